@@ -8,7 +8,7 @@ from ..functions import chemistry as chem
 from ..operators import contacts as c
 from ..operators import covalent, network
 from ..operators.spatial import radius_pairs
-from ..sources.tables import atoms
+from .data import atoms
 from .oracle_atoms import ATOMS, RADII
 from .registry import query
 
@@ -50,7 +50,7 @@ def atom_scan(spark, sf_dir):
 @query("radius_contacts", f"{W} SELECT structure_id, ai, aj, d AS distance FROM near WHERE ai < aj AND d <= 4.0")
 def radius_contacts(spark, sf_dir):
     pairs = radius_pairs(atoms(spark, sf_dir), 4.0, [])
-    return pairs.select("structure_id", F.col("a_atom_idx").alias("ai"), F.col("b_atom_idx").alias("aj"), "distance")
+    return pairs.selectExpr("structure_id", "a_atom_idx AS ai", "b_atom_idx AS aj", "distance")
 
 
 @query("residue_pair_minima", f"""{W} SELECT structure_id, ri, rj, min(d) AS distance,
@@ -58,23 +58,23 @@ def radius_contacts(spark, sf_dir):
   FROM near WHERE ri < rj AND d <= 4.0 GROUP BY ALL""")
 def residue_pair_minima(spark, sf_dir):
     from ..operators.spatial import residue_pair_minima as minima
-    return minima(atoms(spark, sf_dir), 4.0).select(
-        "structure_id", F.col("residue_idx_i").alias("ri"), F.col("residue_idx_j").alias("rj"), "distance",
-        F.col("atom_name_i").alias("atom_i"), F.col("atom_name_j").alias("atom_j"))
+    return minima(atoms(spark, sf_dir), 4.0).selectExpr(
+        "structure_id", "residue_idx_i AS ri", "residue_idx_j AS rj", "distance",
+        "atom_name_i AS atom_i", "atom_name_j AS atom_j")
 
 
 @query("residue_contacts", f"{W}, {CONTACTS} SELECT structure_id, ri, rj, d AS distance FROM pairs0")
 def residue_contacts(spark, sf_dir):
-    return c.residue_contacts(atoms(spark, sf_dir)).select(
-        "structure_id", F.col("residue_idx_i").alias("ri"), F.col("residue_idx_j").alias("rj"), "distance")
+    return c.residue_contacts(atoms(spark, sf_dir)).selectExpr(
+        "structure_id", "residue_idx_i AS ri", "residue_idx_j AS rj", "distance")
 
 
 @query("interface_contacts", f"""{W} SELECT structure_id, ci AS chain_a, cj AS chain_b, li AS label_a, lj AS label_b, min(d) AS distance
   FROM near WHERE d <= 4.0 AND ci <> cj AND ti = 'protein' AND tj = 'protein' GROUP BY ALL""")
 def interface_contacts(spark, sf_dir):
-    return c.interface_contacts(atoms(spark, sf_dir)).select(
-        "structure_id", F.col("chain_i").alias("chain_a"), F.col("chain_j").alias("chain_b"),
-        F.col("label_i").alias("label_a"), F.col("label_j").alias("label_b"), "distance")
+    return c.interface_contacts(atoms(spark, sf_dir)).selectExpr(
+        "structure_id", "chain_i AS chain_a", "chain_j AS chain_b",
+        "label_i AS label_a", "label_j AS label_b", "distance")
 
 
 LIGAND = """lig AS (SELECT structure_id, lj AS ligand, li AS label, min(d) AS d FROM near
@@ -83,7 +83,7 @@ LIGAND = """lig AS (SELECT structure_id, lj AS ligand, li AS label, min(d) AS d
 
 @query("ligand_contacts", f"{W}, {LIGAND} SELECT structure_id, ligand, label, d AS distance FROM lig WHERE d <= 4.0")
 def ligand_contacts(spark, sf_dir):
-    return c.ligand_contacts(atoms(spark, sf_dir)).select("structure_id", "ligand", "label", "distance")
+    return c.ligand_contacts(atoms(spark, sf_dir)).selectExpr("structure_id", "ligand", "label", "distance")
 
 
 @query("nearest_excluded", f"{W}, {LIGAND} SELECT structure_id, ligand, min(d) AS nearest_excluded FROM lig WHERE d > 4.0 GROUP BY ALL")
@@ -96,15 +96,15 @@ def nearest_excluded(spark, sf_dir):
   AND ((qi = 'LYS' AND ni = 'NZ') OR (qi = 'ARG' AND ni IN ('NE', 'NH1', 'NH2')))
   AND ((qj = 'ASP' AND nj IN ('OD1', 'OD2')) OR (qj = 'GLU' AND nj IN ('OE1', 'OE2'))) GROUP BY ALL""")
 def salt_bridges(spark, sf_dir):
-    return c.salt_bridges(atoms(spark, sf_dir)).select(
-        "structure_id", F.col("label_i").alias("positive"), F.col("label_j").alias("negative"), "distance")
+    return c.salt_bridges(atoms(spark, sf_dir)).selectExpr(
+        "structure_id", "label_i AS positive", "label_j AS negative", "distance")
 
 
 @query("metal_donors", f"""{W}, cut(element, cutoff) AS (VALUES ('ZN', 2.6::double), ('MG', 2.5::double), ('CA', 3.1::double))
   SELECT structure_id, lj AS metal, li AS label, ni AS atom_name, d AS distance, d <= cutoff AS is_donor
   FROM near JOIN cut ON cut.element = near.mj WHERE tj = 'metal' AND ti = 'protein' AND ei IN ('N', 'O', 'S') AND d <= cutoff + 1.5""")
 def metal_donors(spark, sf_dir):
-    return c.metal_coordination(atoms(spark, sf_dir)).select(
+    return c.metal_coordination(atoms(spark, sf_dir)).selectExpr(
         "structure_id", "metal", "label", "atom_name", "distance", "is_donor")
 
 
@@ -121,8 +121,8 @@ def metal_donors(spark, sf_dir):
   SELECT structure_id, e.i AS ri, e.j AS rj, e.d AS distance FROM u""")
 def disulfide_matching(spark, sf_dir):
     """Greedy SG-SG matching; the wide cutoff gives chains of competing pairs."""
-    return c.disulfides(atoms(spark, sf_dir), 9.0).select(
-        "structure_id", F.col("residue_idx_i").alias("ri"), F.col("residue_idx_j").alias("rj"), "distance")
+    return c.disulfides(atoms(spark, sf_dir), 9.0).selectExpr(
+        "structure_id", "residue_idx_i AS ri", "residue_idx_j AS rj", "distance")
 
 
 @query("covalent_bonds", f"{W}, {BONDS} SELECT structure_id, p AS atom_a, q AS atom_b FROM bond")
@@ -145,8 +145,8 @@ clash AS (SELECT c.structure_id, ri, rj, li, lj, max(overlap) AS overlap FROM cl
 @query("clash_pairs", f"{W}, {BONDS}, {CLASH} SELECT structure_id, ri, rj, overlap FROM clash")
 def clash_pairs(spark, sf_dir):
     a = atoms(spark, sf_dir)
-    return c.clashes(a, covalent.separations(covalent.bonds(a), 2)).select(
-        "structure_id", F.col("residue_idx_i").alias("ri"), F.col("residue_idx_j").alias("rj"), "overlap")
+    return c.clashes(a, covalent.separations(covalent.bonds(a), 2)).selectExpr(
+        "structure_id", "residue_idx_i AS ri", "residue_idx_j AS rj", "overlap")
 
 
 @query("nearest_nonbonded", f"""{W}, {BONDS}, nb AS (
@@ -158,10 +158,10 @@ def clash_pairs(spark, sf_dir):
 def nearest_nonbonded(spark, sf_dir):
     a = atoms(spark, sf_dir)
     found = c.nearest_nonbonded(a, covalent.separations(covalent.bonds(a), 2))
-    return found.select("structure_id", "atom_idx",
-                        F.concat_ws(":", "best.hit.label", "best.hit.atom_name").alias("nearest"),
-                        F.col("best.hit.distance").alias("nearest_distance"),
-                        F.col("second.hit.distance").alias("runner_up_distance"))
+    return found.selectExpr("structure_id", "atom_idx",
+                        "concat_ws(':', best.near_label, best.near_atom) AS nearest",
+                        "best.distance AS nearest_distance",
+                        "second.distance AS runner_up_distance")
 
 
 @query("min_dist_sources_targets", f"""{W} SELECT structure_id, ri AS residue_idx, min(d) AS distance FROM near
@@ -177,8 +177,8 @@ def min_dist_sources_targets(spark, sf_dir):
   AND ((qi = 'LYS' AND ni = 'NZ') OR (qi = 'ARG' AND ni IN ('NE', 'NH1', 'NH2')))
   AND ((qj = 'ASP' AND nj IN ('OD1', 'OD2')) OR (qj = 'GLU' AND nj IN ('OE1', 'OE2'))) GROUP BY ALL""")
 def charged_min_distance(spark, sf_dir):
-    return c.charged_pairs(atoms(spark, sf_dir), 7.5).select(
-        "structure_id", F.col("label_i").alias("positive"), F.col("label_j").alias("negative"), "distance")
+    return c.charged_pairs(atoms(spark, sf_dir), 7.5).selectExpr(
+        "structure_id", "label_i AS positive", "label_j AS negative", "distance")
 
 
 GRAPH = f"""{CONTACTS}, {LIGAND}, graph0 AS (
@@ -192,7 +192,7 @@ arms AS (SELECT structure_id, i AS node, j AS neighbour, d FROM graph UNION ALL
 
 @query("contact_graph", f"{W}, {GRAPH} SELECT structure_id, i, j, d AS distance FROM graph")
 def contact_graph(spark, sf_dir):
-    return network.contact_graph(atoms(spark, sf_dir)).select("structure_id", "i", "j", "distance")
+    return network.contact_graph(atoms(spark, sf_dir)).selectExpr("structure_id", "i", "j", "distance")
 
 
 @query("contact_graph_degree", f"{W}, {GRAPH} SELECT structure_id, node, count(*) AS degree, min(d) AS closest FROM arms GROUP BY ALL")
@@ -207,7 +207,7 @@ WEDGES = f"""{GRAPH}, wedge AS (SELECT l.structure_id, l.neighbour AS a, r.neigh
 
 @query("wedge_bridges", f"{W}, {WEDGES} SELECT structure_id, a, b, n_bridges, bridge FROM wedge")
 def wedge_bridges(spark, sf_dir):
-    return network.common_neighbours(network.contact_graph(atoms(spark, sf_dir))).select(
+    return network.common_neighbours(network.contact_graph(atoms(spark, sf_dir))).selectExpr(
         "structure_id", "a", "b", "n_bridges", "bridge")
 
 
@@ -219,7 +219,7 @@ def wedge_bridges(spark, sf_dir):
 def unique_bridge_near_miss(spark, sf_dir):
     a = atoms(spark, sf_dir)
     pairs = network.common_neighbours(network.contact_graph(a)).filter("n_bridges = 1")
-    return pairs.select("structure_id", "a", "b", "bridge").join(
+    return pairs.selectExpr("structure_id", "a", "b", "bridge").join(
         network.near_miss(a, pairs, 4.2), ["structure_id", "a", "b"])
 
 
@@ -241,11 +241,11 @@ _NEXT = """next AS (SELECT structure_id, residue_idx AS source, residue_idx + 32
 def shortest_paths(spark, sf_dir):
     """All shortest contact paths of at most three edges between residues 32 apart in file order."""
     a = atoms(spark, sf_dir)
-    ends = a.filter("entity = 'protein'").select(
-        "structure_id", F.col("residue_idx").alias("source"), (F.col("residue_idx") + 32).alias("target")).distinct()
-    return network.shortest_paths(network.contact_graph(a), ends).select(
+    ends = a.filter("entity = 'protein'").selectExpr(
+        "structure_id", "residue_idx AS source", "residue_idx + 32 AS target").distinct()
+    return network.shortest_paths(network.contact_graph(a), ends).selectExpr(
         "structure_id", "source", "target",
-        F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"))
+        "array_join(transform(path, n -> CAST(n AS STRING)), '>') AS path")
 
 
 @query("ring_centroid_distances", f"""{W}, ring AS (SELECT structure_id, residue_idx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms
@@ -258,5 +258,5 @@ def shortest_paths(spark, sf_dir):
 def ring_centroid_distances(spark, sf_dir):
     rings = c.ring_centroids(atoms(spark, sf_dir)).drop("label")
     pairs = radius_pairs(rings, 8.0, [], ident="residue_idx")
-    return pairs.select("structure_id", F.col("a_residue_idx").alias("ri"), F.col("b_residue_idx").alias("rj"),
-                        F.floor(F.col("distance") * 1000).alias("milli_angstrom"))
+    return pairs.selectExpr("structure_id", "a_residue_idx AS ri", "b_residue_idx AS rj",
+                        "floor(distance * 1000) AS milli_angstrom")

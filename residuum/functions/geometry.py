@@ -1,61 +1,61 @@
-"""Angles, torsions and the threshold classifications built on them."""
+"""Angles, torsions and threshold classifications, as SQL expression text.
+
+A vector is a triple of SQL fragments; ``vec("a_")`` names the columns ``a_x a_y a_z``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+Vec = tuple[str, str, str]
+
 
-Vec = tuple[Column, Column, Column]
+def vec(prefix: str) -> Vec:
+    return (f"{prefix}x", f"{prefix}y", f"{prefix}z")
 
 
 def sub(a: Vec, b: Vec) -> Vec:
-    return tuple(p - q for p, q in zip(a, b))
+    return tuple(f"({p} - {q})" for p, q in zip(a, b))
 
 
-def dot(a: Vec, b: Vec) -> Column:
-    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+def dot(a: Vec, b: Vec) -> str:
+    return "(" + " + ".join(f"{p} * {q}" for p, q in zip(a, b)) + ")"
 
 
 def cross(a: Vec, b: Vec) -> Vec:
-    return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
-
-
-def scaled(a: Vec, k: Column) -> Vec:
-    return tuple(p * k for p in a)
+    return tuple(f"({a[i]} * {b[j]} - {a[j]} * {b[i]})" for i, j in ((1, 2), (2, 0), (0, 1)))
 
 
-def norm(a: Vec) -> Column:
-    return F.sqrt(dot(a, a))
+def norm(a: Vec) -> str:
+    return f"sqrt({dot(a, a)})"
 
 
-def angle(p1: Vec, p2: Vec, p3: Vec) -> Column:
+def angle(p1: Vec, p2: Vec, p3: Vec) -> str:
     """Degrees at ``p2``; NULL where either arm has no length."""
     u, v = sub(p1, p2), sub(p3, p2)
-    nu, nv = norm(u), norm(v)
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v) / (nu * nv)))
-    return F.when((nu >= 1e-9) & (nv >= 1e-9), F.degrees(F.acos(cosine)))
+    arms = f"({norm(u)} * {norm(v)})"
+    return (f"CASE WHEN {norm(u)} >= 1e-9 AND {norm(v)} >= 1e-9 "
+            f"THEN degrees(acos(greatest(-1D, least(1D, {dot(u, v)} / {arms})))) END")
 
 
-def normalise_angle(degrees: Column) -> Column:
+def normalise_angle(degrees: str) -> str:
     """Wrap to ``[-180, 180)``."""
-    return F.pmod(degrees + 180.0, F.lit(360.0)) - 180.0
+    return f"(pmod({degrees} + 180D, 360D) - 180D)"
 
 
-def circular_difference(a: Column, b: Column) -> Column:
-    gap = F.pmod(F.abs(normalise_angle(a) - normalise_angle(b)), F.lit(360.0))
-    return F.least(gap, 360.0 - gap)
+def circular_difference(a: str, b: str) -> str:
+    gap = f"pmod(abs({normalise_angle(a)} - {normalise_angle(b)}), 360D)"
+    return f"least({gap}, 360D - {gap})"
 
 
-def dihedral(p1: Vec, p2: Vec, p3: Vec, p4: Vec) -> Column:
-    """Signed torsion in ``[-180, 180)``; NULL where the central bond has no length."""
-    axis = sub(p3, p2)
-    length = norm(axis)
-    b = scaled(axis, F.lit(1.0) / length)
-    first, last = sub(p1, p2), sub(p4, p3)
-    v = sub(first, scaled(b, dot(first, b)))
-    w = sub(last, scaled(b, dot(last, b)))
-    torsion = normalise_angle(F.degrees(F.atan2(dot(cross(b, v), w), dot(v, w))))
-    return F.when(length >= 1e-9, torsion)
+def dihedral(p1: Vec, p2: Vec, p3: Vec, p4: Vec) -> str:
+    """Signed torsion in ``[-180, 180)``; NULL where the central bond has no length.
+
+    Written with cross products, which needs no normalised axis.
+    """
+    b0, b1, b2 = sub(p2, p1), sub(p3, p2), sub(p4, p3)
+    n1, n2 = cross(b0, b1), cross(b1, b2)
+    y = f"({norm(b1)} * {dot(b0, n2)})"
+    x = dot(n1, n2)
+    return f"CASE WHEN {norm(b1)} >= 1e-9 THEN {normalise_angle(f'degrees(atan2({y}, {x}))')} END"
 
 
 # -- chi1 ---------------------------------------------------------------------
@@ -64,83 +64,62 @@ def dihedral(p1: Vec, p2: Vec, p3: Vec, p4: Vec) -> Column:
 CHI1_EDGES = (-120.0, 0.0, 120.0)
 
 
-def chi1_bin(chi: Column) -> Column:
-    return (
-        F.when((chi >= 0.0) & (chi < 120.0), "g+")
-        .when((chi >= 120.0) | (chi < -120.0), "t")
-        .otherwise("g-")
-    )
+def chi1_bin(chi: str) -> str:
+    return (f"CASE WHEN {chi} >= 0D AND {chi} < 120D THEN 'g+' "
+            f"WHEN {chi} >= 120D OR {chi} < -120D THEN 't' WHEN {chi} IS NOT NULL THEN 'g-' END")
 
 
-def chi1_edge_distance(chi: Column) -> Column:
-    return F.least(*[circular_difference(chi, F.lit(edge)) for edge in CHI1_EDGES])
+def chi1_edge_distance(chi: str) -> str:
+    return "least(" + ", ".join(circular_difference(chi, f"{edge}D") for edge in CHI1_EDGES) + ")"
 
 
-def chi1_change_reasons(chi1: Column, chi2: Column, shift: Column | None, *,
-                        min_difference: float = 60.0, margin: float = 15.0,
-                        max_shift: float = 1.0) -> Column:
+def chi1_change_reasons(chi1: str, chi2: str, shift: str = "CAST(NULL AS DOUBLE)", *, min_difference: float = 60.0,
+                        margin: float = 15.0, max_shift: float = 1.0) -> str:
     """Why two chi1 angles do *not* count as a rotamer change; empty when they do."""
-    reasons = [
-        F.when(chi1_bin(chi1) == chi1_bin(chi2), "same_rotamer_bin"),
-        F.when(circular_difference(chi1, chi2) < min_difference, "difference_below_minimum"),
-        F.when(F.least(chi1_edge_distance(chi1), chi1_edge_distance(chi2)) < margin,
-               "within_boundary_margin"),
-    ]
-    if shift is not None:
-        reasons.append(F.when(shift > max_shift, "ca_displacement_exceeds_limit"))
-    return F.array_compact(F.array(*reasons))
-
-
-def omega_class(omega: Column, cis_max: float = 30.0, trans_deviation: float = 30.0) -> Column:
     return (
-        F.when(F.abs(omega) <= cis_max, "cis")
-        .when(F.abs(F.abs(omega) - 180.0) <= trans_deviation, "trans")
-        .otherwise("")
+        f"array_compact(array(CASE WHEN {chi1_bin(chi1)} = {chi1_bin(chi2)} THEN 'same_rotamer_bin' END, "
+        f"CASE WHEN {circular_difference(chi1, chi2)} < {min_difference}D THEN 'difference_below_minimum' END, "
+        f"CASE WHEN least({chi1_edge_distance(chi1)}, {chi1_edge_distance(chi2)}) < {margin}D THEN 'within_boundary_margin' END, "
+        f"CASE WHEN {shift} > {max_shift}D THEN 'ca_displacement_exceeds_limit' END))"
     )
 
 
+def omega_class(omega: str, cis_max: float = 30.0, trans_deviation: float = 30.0) -> str:
+    return (f"CASE WHEN abs({omega}) <= {cis_max}D THEN 'cis' "
+            f"WHEN abs(abs({omega}) - 180D) <= {trans_deviation}D THEN 'trans' ELSE '' END")
+
+
 # -- threshold classifications ------------------------------------------------
 
-def burial_class(rasa: Column, buried_max: float = 0.20, exposed_min: float = 0.40) -> Column:
-    return (
-        F.when(rasa.isNull(), "intermediate")
-        .when(rasa <= buried_max, "buried")
-        .when(rasa >= exposed_min, "solvent-exposed")
-        .otherwise("intermediate")
-    )
+def burial_class(rasa: str, buried_max: float = 0.20, exposed_min: float = 0.40) -> str:
+    return (f"CASE WHEN {rasa} <= {buried_max}D THEN 'buried' "
+            f"WHEN {rasa} >= {exposed_min}D THEN 'solvent-exposed' ELSE 'intermediate' END")
 
 
-def contact_change(d1: Column, d2: Column, contact: float = 4.0, apart: float = 4.5) -> Column:
+def contact_change(d1: str, d2: str, contact: float = 4.0, apart: float = 4.5) -> str:
     """Five-way verdict with a hysteresis band; the order of the tests matters."""
-    return (
-        F.when((d2 <= contact) & (d1 >= apart), "gained")
-        .when((d1 <= contact) & (d2 >= apart), "lost")
-        .when((d1 <= contact) & (d2 <= contact), "retained_contact")
-        .when((d1 >= apart) & (d2 >= apart), "retained_noncontact")
-        .otherwise("ambiguous")
-    )
+    near, far = f"<= {contact}D", f">= {apart}D"
+    return (f"CASE WHEN {d2} {near} AND {d1} {far} THEN 'gained' WHEN {d1} {near} AND {d2} {far} THEN 'lost' "
+            f"WHEN {d1} {near} AND {d2} {near} THEN 'retained_contact' "
+            f"WHEN {d1} {far} AND {d2} {far} THEN 'retained_noncontact' ELSE 'ambiguous' END")
 
 
-def displacement_class(d: Column, unchanged_max: float = 1.0, displaced_min: float = 3.0) -> Column:
-    return (
-        F.when(d <= unchanged_max, "approximately unchanged")
-        .when(d >= displaced_min, "substantially displaced")
-        .otherwise("intermediate")
-    )
+def displacement_class(d: str, unchanged_max: float = 1.0, displaced_min: float = 3.0) -> str:
+    return (f"CASE WHEN {d} <= {unchanged_max}D THEN 'approximately unchanged' "
+            f"WHEN {d} >= {displaced_min}D THEN 'substantially displaced' ELSE 'intermediate' END")
 
 
-def fold_class(helix: Column, beta: Column) -> Column:
+def fold_class(helix: str, beta: str) -> str:
     """Fold label from helix and strand fractions, NULL when no rule applies."""
-    ratio = helix / beta
     return (
-        F.when((helix >= 0.35) & (helix > 2.0 * beta), "predominantly alpha helical")
-        .when((beta >= 0.25) & (beta > 2.0 * helix), "predominantly beta sheet")
-        .when((helix >= 0.15) & (beta >= 0.15) & (ratio >= 0.5) & (ratio <= 2.0), "mixed alpha/beta")
-    )
+        f"CASE WHEN {helix} >= 0.35D AND {helix} > 2D * {beta} THEN 'predominantly alpha helical' "
+        f"WHEN {beta} >= 0.25D AND {beta} > 2D * {helix} THEN 'predominantly beta sheet' "
+        f"WHEN {helix} >= 0.15D AND {beta} >= 0.15D AND {helix} >= 0.5D * {beta} AND {helix} <= 2D * {beta} "
+        f"THEN 'mixed alpha/beta' END")
 
 
-def hbond_energy(n: Vec, h: Vec, c: Vec, o: Vec) -> Column:
+def hbond_energy(n: Vec, h: Vec, c: Vec, o: Vec) -> str:
     """Kabsch-Sander electrostatic energy in kcal/mol; 0 where any pair nearly coincides."""
     on, ch, oh, cn = norm(sub(o, n)), norm(sub(c, h)), norm(sub(o, h)), norm(sub(c, n))
-    energy = F.lit(0.084 * 332.0) * (1.0 / on + 1.0 / ch - 1.0 / oh - 1.0 / cn)
-    return F.when(F.least(on, ch, oh, cn) < 0.5, F.lit(0.0)).otherwise(energy)
+    return (f"CASE WHEN least({on}, {ch}, {oh}, {cn}) < 0.5D THEN 0D "
+            f"ELSE {0.084 * 332.0}D * (1D / {on} + 1D / {ch} - 1D / {oh} - 1D / {cn}) END")

@@ -1,4 +1,4 @@
-"""Canonical JSON text, content hashes and reproducible seeds as column expressions.
+"""Canonical JSON text, content hashes and reproducible seeds, as SQL expression text.
 
 The canonical text is compact JSON with ASCII escapes: the same bytes on every
 machine, so that the hash of a value is a stable identifier.
@@ -6,75 +6,64 @@ machine, so that the hash of a value is a stable identifier.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import json
 
-#: JSON's two-character escapes.
-SHORT_ESCAPES = {
-    '"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t",
-}
+#: Characters JSON escapes with a backslash and a letter or themselves.
+SHORT_ESCAPES = ('"', "\\", "\b", "\f", "\n", "\r", "\t")
 
 
-def _escape_character(c: Column) -> Column:
-    units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
-    expr = F.when(c.rlike(r"^[ -~]$") & ~c.isin('"', "\\"), c)
-    for raw, text in SHORT_ESCAPES.items():
-        expr = expr.when(c == F.lit(raw), F.lit(text))
-    one = F.concat(F.lit("\\u"), F.substring(units, 1, 4))
-    two = F.concat(one, F.lit("\\u"), F.substring(units, 5, 4))
-    return expr.when(F.length(units) == 8, two).otherwise(one)
+def _code_points(text: str) -> str:
+    entries = []
+    for raw in SHORT_ESCAPES:
+        entries += [f"char({ord(raw)})", " || ".join(f"char({ord(c)})" for c in json.dumps(raw)[1:-1])]
+    units = "lower(hex(encode(c, 'UTF-16BE')))"
+    u = "char(92) || 'u' || "
+    return (
+        f"array_join(transform(regexp_extract_all({text}, '(?s).', 0), c -> coalesce("
+        f"try_element_at(map({', '.join(entries)}), c), CASE WHEN c >= ' ' AND c <= '~' THEN c "
+        f"WHEN length({units}) = 8 THEN {u}substr({units}, 1, 4) || {u}substr({units}, 5, 4) "
+        f"ELSE {u}{units} END)), '')"
+    )
 
 
-def json_string(text: Column) -> Column:
+def json_string(text: str) -> str:
     """A JSON string literal. Plain ASCII text skips the per-character path."""
-    plain = ~text.rlike(r'[^ -~]|["\\]')
-    escaped = F.array_join(
-        F.transform(F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0)), _escape_character), ""
-    )
-    return F.concat(F.lit('"'), F.when(plain, text).otherwise(escaped), F.lit('"'))
+    plain = f"NOT {text} RLIKE '[^ -~]' AND instr({text}, char(34)) = 0 AND instr({text}, char(92)) = 0"
+    return f"concat(char(34), CASE WHEN {plain} THEN {text} ELSE {_code_points(text)} END, char(34))"
+
 
+def json_array(*parts) -> str:
+    """Compact JSON array of SQL fragments.
 
-def json_array(*parts) -> Column:
-    """Compact JSON array. Strings are quoted; columns given as ``("raw", column)`` are not."""
-    pieces: list[Column] = []
-    for position, part in enumerate(parts):
-        if position:
-            pieces.append(F.lit(","))
-        if isinstance(part, tuple):
-            pieces.append(part[1].cast("string"))
-        elif isinstance(part, Column):
-            pieces.append(json_string(part))
-        elif isinstance(part, bool):
-            pieces.append(F.lit("true" if part else "false"))
-        elif isinstance(part, int):
-            pieces.append(F.lit(str(part)))
-        else:
-            pieces.append(json_string(F.lit(str(part))))
-    return F.concat(F.lit("["), *pieces, F.lit("]"))
+    Plain strings are SQL text expressions and get quoted; ``raw(x)`` marks a value
+    whose text is already JSON; Python numbers and ``text("...")`` are constants.
+    """
+    rendered = [p[1] if isinstance(p, tuple) else f"'{p}'" if isinstance(p, int) else json_string(p) for p in parts]
+    return "concat('[', " + ", ',', ".join(rendered) + ", ']')"
 
 
-def json_string_list(values: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(values, json_string), ","), F.lit("]"))
+def raw(expression: str) -> tuple[str, str]:
+    return ("raw", f"CAST({expression} AS STRING)")
 
 
-def raw(column: Column) -> tuple[str, Column]:
-    """Mark a numeric column for :func:`json_array`."""
-    return ("raw", column)
+def text(constant: str) -> tuple[str, str]:
+    quoted = json.dumps(constant)
+    return ("raw", "'" + quoted.replace("\\", "\\\\").replace("'", "\\'") + "'")
 
 
-def stable_hash(*parts) -> Column:
-    return F.sha2(json_array(*parts), 256)
+def json_string_list(values: str) -> str:
+    return f"concat('[', array_join(transform({values}, v -> {json_string('v')}), ','), ']')"
 
 
-def text_hash(text: Column) -> Column:
-    return F.sha2(text, 256)
+def stable_hash(*parts) -> str:
+    return f"sha2({json_array(*parts)}, 256)"
 
 
-def seed_of_digest(digest: Column) -> Column:
+def seed_of_digest(digest: str) -> str:
     """First 64 bits of a hex digest with the top bit cleared, as BIGINT."""
-    head = F.translate(F.substring(digest, 1, 1), "89abcdef", "01234567")
-    return F.conv(F.concat(head, F.substring(digest, 2, 15)), 16, 10).cast("bigint")
+    head = f"translate(substr({digest}, 1, 1), '89abcdef', '01234567')"
+    return f"CAST(conv(concat({head}, substr({digest}, 2, 15)), 16, 10) AS BIGINT)"
 
 
-def derive_seed(*parts) -> Column:
+def derive_seed(*parts) -> str:
     return seed_of_digest(stable_hash(*parts))

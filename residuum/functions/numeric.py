@@ -1,15 +1,17 @@
-"""Exact decimal rounding and vector arithmetic as JVM column expressions."""
+"""Exact decimal rounding and distances, as SQL expression text.
 
-from __future__ import annotations
+Functions in this package take and return SQL fragments for ``selectExpr`` and
+``filter``: a plan is then built with a handful of calls into the JVM, and every
+fragment stays inside whole-stage code generation.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 #: Veltkamp splitting factor for IEEE doubles, 2**27 + 1.
-SPLITTER = 134217729.0
+SPLITTER = "134217729D"
 
 
-def round_decimals(x: Column, decimals: int = 3) -> Column:
+def round_decimals(x: str, decimals: int = 3) -> str:
     """The double nearest to ``'%.<decimals>f' % x``, sign of zero included.
 
     ``rint`` of the scaled value is right except where the product *looks* like a
@@ -17,52 +19,47 @@ def round_decimals(x: Column, decimals: int = 3) -> Column:
     (Veltkamp split; the scale has few bits) tells on which side the value lies.
     ``round`` works on the shortest decimal text instead and gets 1.0005 wrong.
 
-    ``x`` is referenced several times: pass a plain column, not a long expression.
+    ``x`` is repeated in the result: pass a column name, not a long expression.
     """
-    scale = F.lit(float(10 ** decimals))
-    product = x * scale
-    nearest = F.rint(product)
-    spread = x * F.lit(SPLITTER)
-    high = spread - (spread - x)
-    error = (high * scale - product) + (x - high) * scale
-    false_tie = (F.abs(product - nearest) == 0.5) & (error != 0.0)
-    settled = F.when(error > 0.0, F.ceil(product)).otherwise(F.floor(product)).cast("double")
+    scale = f"{10 ** decimals}D"
+    product = f"({x} * {scale})"
+    high = f"({x} * {SPLITTER} - ({x} * {SPLITTER} - {x}))"
+    error = f"(({high} * {scale} - {product}) + ({x} - {high}) * {scale})"
     # Past this size neighbouring doubles are further apart than the last digit.
-    limit = float(2 ** 51) / float(10 ** decimals)
-    return F.when(F.abs(x) >= F.lit(limit), x).otherwise(
-        F.when(false_tie, settled).otherwise(nearest) / scale)
+    limit = f"{2 ** 51 // 10 ** decimals}D"
+    return (
+        f"CASE WHEN abs({x}) >= {limit} THEN {x} "
+        f"WHEN abs({product} - rint({product})) = 0.5D AND {error} > 0D THEN CAST(ceil({product}) AS DOUBLE) / {scale} "
+        f"WHEN abs({product} - rint({product})) = 0.5D AND {error} < 0D THEN CAST(floor({product}) AS DOUBLE) / {scale} "
+        f"ELSE rint({product}) / {scale} END"
+    )
 
 
-def round3(x: Column) -> Column:
+def round3(x: str) -> str:
     return round_decimals(x, 3)
 
 
-def fixed_text(x: Column, decimals: int = 3, width: int = 0) -> Column:
-    """Fixed-point text. Rounding first makes the JVM formatter agree with ``printf``."""
-    spec = f"%{width or ''}.{decimals}f"
-    return F.format_string(spec, round_decimals(x, decimals))
-
-
-def squared_distance(ax, ay, az, bx, by, bz) -> Column:
-    dx, dy, dz = ax - bx, ay - by, az - bz
-    return dx * dx + dy * dy + dz * dz
+def fixed_text(x: str, decimals: int = 3, width: int | str = "") -> str:
+    """Fixed-point text of an already rounded column, right-aligned to ``width``."""
+    return f"format_string('%{width}.{decimals}f', {x})"
 
 
-def distance(ax, ay, az, bx, by, bz) -> Column:
-    return F.sqrt(squared_distance(ax, ay, az, bx, by, bz))
+def squared_distance(a: str, b: str) -> str:
+    """Squared distance between the points ``<a>x <a>y <a>z`` and ``<b>x <b>y <b>z``."""
+    return " + ".join(f"({a}{c} - {b}{c}) * ({a}{c} - {b}{c})" for c in "xyz")
 
 
-def point(prefix: str) -> tuple[Column, Column, Column]:
-    """The three coordinate columns ``<prefix>x``, ``<prefix>y``, ``<prefix>z``."""
-    return F.col(f"{prefix}x"), F.col(f"{prefix}y"), F.col(f"{prefix}z")
+def distance(a: str, b: str) -> str:
+    return f"sqrt({squared_distance(a, b)})"
 
 
-def linspace_index(n: Column, k: Column, i: Column) -> Column:
+def linspace_index(n: str, k: str, i: str) -> str:
     """Integer part of the i-th of ``k`` evenly spaced values over ``0 .. n-1``.
 
     The step is formed first and then multiplied, as evenly spaced sampling in
     floating point does it; the last value is the end point itself.
     """
-    step = (n - 1).cast("double") / F.greatest(k - 1, F.lit(1)).cast("double")
-    inner = F.floor(i.cast("double") * step)
-    return F.when((k > 1) & (i == k - 1), (n - 1).cast("long")).otherwise(inner).cast("long")
+    return (
+        f"CASE WHEN {k} > 1 AND {i} = {k} - 1 THEN CAST({n} - 1 AS BIGINT) "
+        f"ELSE CAST(floor({i} * (CAST({n} - 1 AS DOUBLE) / greatest({k} - 1, 1))) AS BIGINT) END"
+    )

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chemistry as chem
-from ..functions.numeric import distance, point
+from ..functions.numeric import distance
 from ..session import cut_lineage
-from .keyed import argmin_by
+from .keyed import argmin_by, two_smallest
 from .spatial import nearest_target, radius_join, radius_pairs, residue_pair_minima
 
 RESIDUE_PAIR = ["residue_idx_i", "residue_idx_j"]
@@ -18,69 +18,57 @@ def protein_atoms(atoms: DataFrame) -> DataFrame:
     return atoms.filter("entity = 'protein'")
 
 
+def _sided(pairs: DataFrame, first: str, fields: list[str], *extra: str) -> DataFrame:
+    """Rename ``a_``/``b_`` columns to ``_i``/``_j``; ``a`` becomes ``i`` where ``first`` holds."""
+    columns = [c for n in fields for c in (
+        f"IF({first}, a_{n}, b_{n}) AS {n}_i", f"IF({first}, b_{n}, a_{n}) AS {n}_j")]
+    return pairs.selectExpr("structure_id", "distance", *columns, *extra)
+
+
 def residue_contacts(atoms: DataFrame, cutoff: float = 4.0, min_separation: int = 3,
                      sequence_exclusion: bool = True, probe: bool | None = None) -> DataFrame:
     """Protein residue pairs within ``cutoff``, neighbours along a chain left out."""
     extra = None
     if sequence_exclusion:
-        gap = F.abs(F.col("a_poly_index") - F.col("b_poly_index"))
-        near_in_chain = (F.col("a_chain") == F.col("b_chain")) & (gap < min_separation)
-        extra = ~F.coalesce(near_in_chain, F.lit(False))
+        extra = f"NOT coalesce(a_chain = b_chain AND abs(a_poly_index - b_poly_index) < {min_separation}, false)"
     found = residue_pair_minima(protein_atoms(atoms), cutoff, ["chain", "poly_index", "label"],
                                 probe=probe, extra=extra)
-    return found.select(
-        "structure_id", *RESIDUE_PAIR, "distance", "atom_name_i", "atom_name_j",
-        "label_i", "label_j", "chain_i", "chain_j")
+    return found.select("structure_id", *RESIDUE_PAIR, "distance", "atom_name_i", "atom_name_j",
+                        "label_i", "label_j", "chain_i", "chain_j")
 
 
 def interface_contacts(atoms: DataFrame, cutoff: float = 4.0) -> DataFrame:
     """Cross-chain contacts, once per orientation, so that ``chain_i`` is the asking chain."""
-    cross = F.col("a_chain") != F.col("b_chain")
-    found = residue_pair_minima(protein_atoms(atoms), cutoff, ["chain", "label"], extra=cross).select(
-        "structure_id", "distance", *[f"{n}_{s}" for s in "ij" for n in ("residue_idx", "atom_name", "chain", "label")])
-    turned = found.select("structure_id", "distance", *[
-        F.col(f"{n}_{o}").alias(f"{n}_{s}") for s, o in ("ij", "ji")
-        for n in ("residue_idx", "atom_name", "chain", "label")])
-    return found.unionByName(turned)
+    found = residue_pair_minima(protein_atoms(atoms), cutoff, ["chain", "label"], extra="a_chain <> b_chain")
+    fields = ("residue_idx", "atom_name", "chain", "label")
+    columns = [f"IF(turned, {n}_{s}, {n}_{o}) AS {n}_{o}" for n in fields for s, o in ("ij", "ji")]
+    return found.selectExpr("*", "explode(array(false, true)) AS turned").selectExpr("structure_id", "distance", *columns)
 
 
 def ligand_contacts(atoms: DataFrame, cutoff: float = 4.0) -> DataFrame:
     """Closest protein atom of every residue within ``cutoff`` of each ligand."""
     cols = ["structure_id", "residue_idx", "atom_idx", "atom_name", "label", "x", "y", "z"]
     pairs = radius_join(protein_atoms(atoms).select(*cols), atoms.filter("entity = 'ligand'").select(*cols), cutoff)
-    best = argmin_by(
-        pairs.select("structure_id", F.col("b_residue_idx").alias("ligand_idx"), F.col("a_residue_idx").alias("residue_idx"),
-                     "distance", "a_atom_idx", "b_atom_idx", "a_atom_name", "b_atom_name", "a_label", "b_label"),
+    return argmin_by(
+        pairs.selectExpr(
+            "structure_id", "b_residue_idx AS ligand_idx", "a_residue_idx AS residue_idx", "distance", "a_atom_idx",
+            "b_atom_idx", "a_atom_name AS atom_name", "b_atom_name AS ligand_atom", "a_label AS label", "b_label AS ligand"),
         ["structure_id", "ligand_idx", "residue_idx"], ["distance", "a_atom_idx", "b_atom_idx"],
-        ["a_atom_name", "b_atom_name", "a_label", "b_label"])
-    return best.select(
-        "structure_id", "ligand_idx", "residue_idx", "distance", F.col("a_atom_name").alias("atom_name"),
-        F.col("b_atom_name").alias("ligand_atom"), F.col("a_label").alias("label"), F.col("b_label").alias("ligand"))
+        ["atom_name", "ligand_atom", "label", "ligand"]).drop("a_atom_idx", "b_atom_idx")
 
 
 def nearest_excluded(per_residue: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
     """Closest residue that lies outside ``cutoff``, from per-residue minima over a wider search."""
-    return per_residue.filter(F.col("distance") > cutoff).groupBy(*keys).agg(
-        F.min("distance").alias("nearest_excluded"))
-
-
-def charged_atoms(atoms: DataFrame) -> DataFrame:
-    return (
-        protein_atoms(atoms).withColumn("charge", chem.charge_sign(F.col("parent"), F.col("atom_name")))
-        .filter(F.col("charge").isNotNull())
-    )
+    return per_residue.filter(f"distance > {cutoff}D").groupBy(*keys).agg(F.expr("min(distance) AS nearest_excluded"))
 
 
 def charged_pairs(atoms: DataFrame, search: float = 4.0) -> DataFrame:
     """Closest opposite-charge atoms of every (positive, negative) residue pair within ``search``."""
-    opposite = (F.col("a_charge") * F.col("b_charge") < 0) & (F.col("a_residue_idx") != F.col("b_residue_idx"))
-    pairs = radius_pairs(charged_atoms(atoms), search, ["residue_idx", "atom_name", "label", "chain", "charge"], extra=opposite)
-    first = F.col("a_charge") > 0
-    fields = ("residue_idx", "atom_idx", "atom_name", "label", "chain")
-    sided = pairs.select(
-        "structure_id", "distance",
-        *[F.when(first, F.col(f"a_{n}")).otherwise(F.col(f"b_{n}")).alias(f"{n}_i") for n in fields],
-        *[F.when(first, F.col(f"b_{n}")).otherwise(F.col(f"a_{n}")).alias(f"{n}_j") for n in fields])
+    charged = protein_atoms(atoms).selectExpr("*", f"{chem.charge_sign('parent', 'atom_name')} AS charge").filter(
+        "charge IS NOT NULL")
+    pairs = radius_pairs(charged, search, ["residue_idx", "atom_name", "label", "chain", "charge"],
+                         extra="a_charge * b_charge < 0 AND a_residue_idx <> b_residue_idx")
+    sided = _sided(pairs, "a_charge > 0", ["residue_idx", "atom_idx", "atom_name", "label", "chain"])
     return argmin_by(sided, ["structure_id", *RESIDUE_PAIR], ["distance", "atom_idx_i", "atom_idx_j"],
                      ["atom_name_i", "atom_name_j", "label_i", "label_j", "chain_i", "chain_j"])
 
@@ -96,12 +84,11 @@ def cysteine_sulfurs(atoms: DataFrame) -> DataFrame:
 
 def disulfide_candidates(atoms: DataFrame, cutoff: float = 2.30) -> DataFrame:
     pairs = radius_pairs(cysteine_sulfurs(atoms), cutoff, ["residue_idx", "label", "chain"],
-                         extra=F.col("a_residue_idx") != F.col("b_residue_idx"))
-    return pairs.select(
-        "structure_id", F.col("a_residue_idx").alias("residue_idx_i"), F.col("b_residue_idx").alias("residue_idx_j"),
-        "distance", F.col("a_atom_idx").alias("atom_i"), F.col("b_atom_idx").alias("atom_j"),
-        F.col("a_label").alias("label_i"), F.col("b_label").alias("label_j"),
-        (F.col("a_chain") != F.col("b_chain")).alias("interchain"))
+                         extra="a_residue_idx <> b_residue_idx")
+    return pairs.selectExpr(
+        "structure_id", "a_residue_idx AS residue_idx_i", "b_residue_idx AS residue_idx_j", "distance",
+        "a_atom_idx AS atom_i", "b_atom_idx AS atom_j", "a_label AS label_i", "b_label AS label_j",
+        "a_chain <> b_chain AS interchain")
 
 
 def greedy_matching(edges: DataFrame, group: list[str], a: str, b: str, order: list[str]) -> DataFrame:
@@ -113,21 +100,19 @@ def greedy_matching(edges: DataFrame, group: list[str], a: str, b: str, order: l
     the remaining edges shrink every round; no component is gathered anywhere.
     """
     remaining, accepted = cut_lineage(edges), None
-    rank = F.struct(*order)
+    rank = f"struct({', '.join(order)})"
     while True:
-        ends = remaining.select(*group, F.col(a).alias("_node"), rank.alias("_rank")).unionByName(
-            remaining.select(*group, F.col(b).alias("_node"), rank.alias("_rank")))
-        first = ends.groupBy(*group, "_node").agg(F.min("_rank").alias("_first"))
-        at_a = first.select(*group, F.col("_node").alias(a), F.col("_first").alias("_first_a"))
-        at_b = first.select(*group, F.col("_node").alias(b), F.col("_first").alias("_first_b"))
+        ends = remaining.selectExpr(*group, f"explode(array({a}, {b})) AS node", f"{rank} AS edge")
+        first = ends.groupBy(*group, "node").agg(F.min("edge").alias("first"))
+        at = {n: first.selectExpr(*group, f"node AS {n}", f"first AS first_{n}") for n in (a, b)}
         chosen = cut_lineage(
-            remaining.join(at_a, [*group, a]).join(at_b, [*group, b])
-            .filter((rank == F.col("_first_a")) & (rank == F.col("_first_b"))).select(*edges.columns))
+            remaining.join(at[a], [*group, a]).join(at[b], [*group, b])
+            .filter(f"{rank} = first_{a} AND {rank} = first_{b}").select(*edges.columns))
         accepted = chosen if accepted is None else accepted.unionByName(chosen)
-        used = chosen.select(*group, F.col(a).alias("_node")).unionByName(chosen.select(*group, F.col(b).alias("_node")))
+        used = chosen.selectExpr(*group, f"explode(array({a}, {b})) AS node")
         remaining = cut_lineage(
-            remaining.join(used.withColumnRenamed("_node", a), [*group, a], "left_anti")
-            .join(used.withColumnRenamed("_node", b), [*group, b], "left_anti").select(*edges.columns))
+            remaining.join(used.withColumnRenamed("node", a), [*group, a], "left_anti")
+            .join(used.withColumnRenamed("node", b), [*group, b], "left_anti").select(*edges.columns))
         if remaining.isEmpty():
             return accepted
 
@@ -138,32 +123,31 @@ def disulfides(atoms: DataFrame, cutoff: float = 2.30) -> DataFrame:
                            "residue_idx_j", ["distance", "residue_idx_i", "residue_idx_j"])
 
 
+def _ends(pairs: DataFrame, *columns: str) -> DataFrame:
+    both = "explode(array(struct(residue_idx_i AS r, residue_idx_j AS o), struct(residue_idx_j AS r, residue_idx_i AS o))) AS e"
+    return pairs.selectExpr("structure_id", both, *columns).selectExpr(
+        "structure_id", "e.r AS residue_idx", "e.o AS other", *columns)
+
+
 def closest_other_sulfur(atoms: DataFrame, bonded: DataFrame, search: float) -> DataFrame:
-    """Per bonded cysteine, the closest SG within ``search`` that is not its partner's."""
-    pairs = disulfide_candidates(atoms, search)
-    both = pairs.select("structure_id", F.col("residue_idx_i").alias("residue_idx"), F.col("residue_idx_j").alias("other"), "distance") \
-        .unionByName(pairs.select("structure_id", F.col("residue_idx_j").alias("residue_idx"), F.col("residue_idx_i").alias("other"), "distance"))
-    partner = bonded.select("structure_id", F.col("residue_idx_i").alias("residue_idx"), F.col("residue_idx_j").alias("other")) \
-        .unionByName(bonded.select("structure_id", F.col("residue_idx_j").alias("residue_idx"), F.col("residue_idx_i").alias("other")))
-    return both.join(partner, ["structure_id", "residue_idx", "other"], "left_anti").groupBy(
-        "structure_id", "residue_idx").agg(F.min("distance").alias("closest_other_sg"))
+    """Per cysteine, the closest SG within ``search`` that is not its disulfide partner's."""
+    return _ends(disulfide_candidates(atoms, search), "distance").join(
+        _ends(bonded), ["structure_id", "residue_idx", "other"], "left_anti").groupBy(
+        "structure_id", "residue_idx").agg(F.expr("min(distance) AS closest_other_sg"))
 
 
 def metal_coordination(atoms: DataFrame, beyond: float = 1.5) -> DataFrame:
     """Protein N/O/S atoms around each eligible metal: donors, and rejected atoms up to ``beyond`` further out."""
-    metals = atoms.filter("entity = 'metal'").withColumn("cutoff", chem.metal_cutoff(F.col("name"))).filter(
-        F.col("cutoff").isNotNull()).select(
-        "structure_id", "residue_idx", "label", "cutoff", chem.metal_element(F.col("name")).alias("element"), "x", "y", "z")
-    donors = protein_atoms(atoms).filter(F.upper("element").isin("N", "O", "S")).select(
+    metals = atoms.filter("entity = 'metal'").selectExpr(
+        "structure_id", "residue_idx", "label", "x", "y", "z", f"{chem.metal_cutoff('name')} AS cutoff",
+        f"{chem.metal_element('name')} AS element").filter("cutoff IS NOT NULL")
+    donors = protein_atoms(atoms).filter("upper(element) IN ('N', 'O', 'S')").select(
         "structure_id", "residue_idx", "atom_name", "label", "x", "y", "z")
-    reach = max(chem.METAL_CUTOFF.values()) + beyond
-    pairs = radius_join(donors, metals, reach, extra=F.lit(True))
-    return pairs.filter(F.col("distance") <= F.col("b_cutoff") + beyond).select(
-        "structure_id", F.col("b_residue_idx").alias("metal_idx"), F.col("b_label").alias("metal"),
-        F.col("b_element").alias("element"), F.col("b_cutoff").alias("cutoff"),
-        F.col("a_residue_idx").alias("residue_idx"), F.col("a_label").alias("label"),
-        F.col("a_atom_name").alias("atom_name"), "distance",
-        (F.col("distance") <= F.col("b_cutoff")).alias("is_donor"))
+    pairs = radius_join(donors, metals, max(chem.METAL_CUTOFF.values()) + beyond)
+    return pairs.filter(f"distance <= b_cutoff + {beyond}D").selectExpr(
+        "structure_id", "b_residue_idx AS metal_idx", "b_label AS metal", "b_element AS element", "b_cutoff AS cutoff",
+        "a_residue_idx AS residue_idx", "a_label AS label", "a_atom_name AS atom_name", "distance",
+        "distance <= b_cutoff AS is_donor")
 
 
 def clashes(atoms: DataFrame, separations: DataFrame, tolerance: float = 0.40,
@@ -171,31 +155,23 @@ def clashes(atoms: DataFrame, separations: DataFrame, tolerance: float = 0.40,
     """Worst overlap of every residue pair: ``r1 + r2 - tolerance - d > 0`` beyond two bonds."""
     candidates = atoms.filter("entity <> 'metal'") if exclude_metals else atoms
     widest = max(r for e, r in chem.VDW_RADIUS.items() if not exclude_metals or e not in chem.MONATOMIC_METALS)
-    pts = candidates.withColumn("radius", chem.vdw_radius(F.col("element")))
-    dx, dy, dz = (F.col(f"a_{c}") - F.col(f"b_{c}") for c in "xyz")
-    gap = F.sqrt(dx * dx + dy * dy + dz * dz)
-    sulfurs = (F.col("a_atom_name") == "SG") & (F.col("b_atom_name") == "SG") \
-        & (F.col("a_element") == "S") & (F.col("b_element") == "S")
-    test = (F.col("a_residue_idx") != F.col("b_residue_idx")) & ~sulfurs \
-        & (F.col("a_radius") + F.col("b_radius") - tolerance - gap > 0)
+    pts = candidates.selectExpr("*", f"{chem.vdw_radius('element')} AS radius")
+    overlap = f"a_radius + b_radius - {tolerance}D - {distance('a_', 'b_')}"
+    test = (f"a_residue_idx <> b_residue_idx AND {overlap} > 0 AND NOT "
+            "(a_atom_name = 'SG' AND b_atom_name = 'SG' AND a_element = 'S' AND b_element = 'S')")
     pairs = radius_pairs(pts, 2 * widest - tolerance, ["residue_idx", "atom_name", "element", "radius", "label"], extra=test)
-    pairs = pairs.withColumn("overlap", F.col("a_radius") + F.col("b_radius") - tolerance - F.col("distance"))
-    near = separations.select("structure_id", F.col("atom_a").alias("a_atom_idx"), F.col("atom_b").alias("b_atom_idx"))
+    near = separations.selectExpr("structure_id", "atom_a AS a_atom_idx", "atom_b AS b_atom_idx")
     kept = pairs.join(near, ["structure_id", "a_atom_idx", "b_atom_idx"], "left_anti")
-    flip = F.col("a_residue_idx") > F.col("b_residue_idx")
-    fields = ("residue_idx", "atom_idx", "atom_name", "label")
-    sided = kept.select(
-        "structure_id", "distance", (-F.col("overlap")).alias("neg_overlap"),
-        *[F.when(flip, F.col(f"b_{n}")).otherwise(F.col(f"a_{n}")).alias(f"{n}_i") for n in fields],
-        *[F.when(flip, F.col(f"a_{n}")).otherwise(F.col(f"b_{n}")).alias(f"{n}_j") for n in fields])
-    worst = argmin_by(sided, ["structure_id", *RESIDUE_PAIR], ["neg_overlap", "atom_idx_i", "atom_idx_j"],
-                      ["distance", "atom_name_i", "atom_name_j", "label_i", "label_j"])
-    return worst.withColumn("overlap", -F.col("neg_overlap")).drop("neg_overlap")
+    sided = _sided(kept, "a_residue_idx < b_residue_idx", ["residue_idx", "atom_idx", "atom_name", "label"],
+                   f"-(a_radius + b_radius - {tolerance}D - distance) AS neg_overlap")
+    return argmin_by(sided, ["structure_id", *RESIDUE_PAIR], ["neg_overlap", "atom_idx_i", "atom_idx_j"],
+                     ["distance", "atom_name_i", "atom_name_j", "label_i", "label_j"]).selectExpr(
+        "*", "-neg_overlap AS overlap").drop("neg_overlap")
 
 
 def nearest_nonbonded(atoms: DataFrame, separations: DataFrame, queries: DataFrame | None = None,
                       search: float = 8.0) -> DataFrame:
-    """Non-bonded protein atoms around each query atom: the two nearest, as structs.
+    """Non-bonded protein atoms around each query atom: the two nearest, as ``best`` and ``second``.
 
     ``queries`` restricts the asking atoms (``structure_id, atom_idx``); ranking is
     by distance, then residue, then atom name.
@@ -203,22 +179,14 @@ def nearest_nonbonded(atoms: DataFrame, separations: DataFrame, queries: DataFra
     cols = ["structure_id", "residue_idx", "atom_idx", "atom_name", "label", "name", "x", "y", "z"]
     base = protein_atoms(atoms).select(*cols)
     asking = base if queries is None else base.join(queries, ["structure_id", "atom_idx"], "left_semi")
-    pairs = radius_join(base, asking, search, extra=F.col("a_atom_idx") != F.col("b_atom_idx"))
-    near = separations.select("structure_id", F.col("atom_a").alias("a_atom_idx"), F.col("atom_b").alias("b_atom_idx"))
-    ranked = pairs.join(near, ["structure_id", "a_atom_idx", "b_atom_idx"], "left_anti").select(
-        "structure_id", F.col("b_atom_idx").alias("atom_idx"), F.col("b_residue_idx").alias("residue_idx"),
-        F.col("b_label").alias("label"), F.col("b_atom_name").alias("atom_name"), F.col("b_name").alias("name"),
-        F.struct("distance", F.col("a_residue_idx").alias("residue_idx"), F.col("a_atom_name").alias("atom_name"),
-                 F.col("a_label").alias("label"), F.col("a_name").alias("name")).alias("hit"))
-    from .keyed import two_smallest
+    pairs = radius_join(base, asking, search, extra="a_atom_idx <> b_atom_idx")
+    near = separations.selectExpr("structure_id", "atom_a AS a_atom_idx", "atom_b AS b_atom_idx")
+    ranked = pairs.join(near, ["structure_id", "a_atom_idx", "b_atom_idx"], "left_anti").selectExpr(
+        "structure_id", "b_atom_idx AS atom_idx", "b_residue_idx AS residue_idx", "b_label AS label",
+        "b_atom_name AS atom_name", "b_name AS name", "distance", "a_residue_idx AS near_idx",
+        "a_atom_name AS near_atom", "a_label AS near_label", "a_name AS near_name")
     return two_smallest(ranked, ["structure_id", "atom_idx", "residue_idx", "label", "atom_name", "name"],
-                        ["hit"])
-
-
-def pair_distances(pairs: DataFrame, atoms: DataFrame, search: float) -> DataFrame:
-    """Minimum heavy-atom distance of listed residue pairs, where it is within ``search``."""
-    minima = residue_pair_minima(atoms, search)
-    return pairs.join(minima, ["structure_id", *RESIDUE_PAIR])
+                        ["distance", "near_idx", "near_atom"], ["near_label", "near_name"])
 
 
 def listed_pair_distances(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -227,14 +195,14 @@ def listed_pair_distances(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
     ``pairs`` holds ``structure_id, residue_idx_i, residue_idx_j``. Atoms reach the pair
     through its two residues, so only listed pairs are ever compared.
     """
-    cols = ["atom_idx", "atom_name", "x", "y", "z"]
-    side = {s: atoms.select("structure_id", F.col("residue_idx").alias(f"residue_idx_{s}"),
-                            *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "ij"}
+    def side(s: str) -> DataFrame:
+        return atoms.selectExpr("structure_id", f"residue_idx AS residue_idx_{s}", f"atom_idx AS atom_idx_{s}",
+                                f"atom_name AS atom_name_{s}", f"x AS {s}_x", f"y AS {s}_y", f"z AS {s}_z")
     rows = pairs.select("structure_id", *RESIDUE_PAIR).distinct() \
-        .join(side["i"], ["structure_id", "residue_idx_i"]).join(side["j"], ["structure_id", "residue_idx_j"]) \
-        .withColumn("distance", distance(*point("i_"), *point("j_")))
-    return argmin_by(rows, ["structure_id", *RESIDUE_PAIR], ["distance", "i_atom_idx", "j_atom_idx"],
-                     ["i_atom_name", "j_atom_name"])
+        .join(side("i"), ["structure_id", "residue_idx_i"]).join(side("j"), ["structure_id", "residue_idx_j"]) \
+        .selectExpr("*", f"{distance('i_', 'j_')} AS distance")
+    return argmin_by(rows, ["structure_id", *RESIDUE_PAIR], ["distance", "atom_idx_i", "atom_idx_j"],
+                     ["atom_name_i", "atom_name_j"])
 
 
 def min_distance_to(sources: DataFrame, targets: DataFrame, first_radius: float = 8.0) -> DataFrame:
@@ -246,8 +214,5 @@ def min_distance_to(sources: DataFrame, targets: DataFrame, first_radius: float
 
 def ring_centroids(atoms: DataFrame) -> DataFrame:
     """Centre of the first aromatic ring of each residue with at least four ring atoms present."""
-    in_ring = F.lit(False)
-    for residue, names in chem.RING_ATOMS.items():
-        in_ring = in_ring | ((F.col("parent") == residue) & F.col("atom_name").isin(*names))
-    return atoms.filter(in_ring).groupBy("structure_id", "residue_idx", "label").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "xyz"]).filter("n >= 4").drop("n")
+    return atoms.filter(chem.in_ring("parent", "atom_name")).groupBy("structure_id", "residue_idx", "label").agg(
+        F.expr("count(*) AS n"), F.expr("avg(x) AS x"), F.expr("avg(y) AS y"), F.expr("avg(z) AS z")).filter("n >= 4").drop("n")

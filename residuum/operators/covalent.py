@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chemistry as chem
-from ..functions.numeric import distance, point
+from ..functions.numeric import distance
+from ..session import reuse
 
 PEPTIDE_MAX, NUCLEIC_MAX = 2.0, 2.2
 
@@ -22,40 +23,29 @@ def _dictionary() -> dict[str, list[str]]:
 
 def dictionary_bonds(atoms: DataFrame) -> DataFrame:
     """Bonds inside residues, found by atom name. Unknown components contribute none."""
-    pairs = [v for key, names in _dictionary().items()
-             for v in (F.lit(key), F.array(*[F.lit(n) for n in names]))]
-    partner = F.try_element_at(F.create_map(*pairs), F.concat_ws(":", "name", "atom_name"))
+    partner = chem.lookup(_dictionary(), "concat_ws(':', name, atom_name)")
     keys = ["structure_id", "residue_idx", "atom_name"]
-    left = atoms.filter("entity = 'protein'").select(
-        "structure_id", "residue_idx", F.col("atom_idx").alias("atom_a"), F.explode(partner).alias("atom_name"))
-    right = atoms.filter("entity = 'protein'").select(*keys, F.col("atom_idx").alias("atom_b"))
+    protein = atoms.filter("entity = 'protein'")
+    left = protein.selectExpr("structure_id", "residue_idx", "atom_idx AS atom_a", f"explode({partner}) AS atom_name")
+    right = protein.selectExpr(*keys, "atom_idx AS atom_b")
     return left.join(right, keys).select("structure_id", "atom_a", "atom_b")
 
 
 def polymer_links(atoms: DataFrame) -> DataFrame:
     """Peptide and nucleotide links between neighbours in polymer order, checked by length."""
-    polymer = atoms.filter(F.col("poly_index").isNotNull()).select(
-        "structure_id", "chain", "poly_index", "polymer_kind", "atom_name", "atom_idx", "x", "y", "z")
-    first = polymer.filter(
-        ((F.col("polymer_kind") == "protein") & (F.col("atom_name") == "C"))
-        | ((F.col("polymer_kind") != "protein") & (F.col("atom_name") == "O3'"))
-    ).select("structure_id", "chain", "polymer_kind", (F.col("poly_index") + 1).alias("poly_index"),
-             F.col("atom_idx").alias("atom_a"), *[F.col(c).alias(f"a_{c}") for c in "xyz"])
-    second = polymer.filter(
-        ((F.col("polymer_kind") == "protein") & (F.col("atom_name") == "N"))
-        | ((F.col("polymer_kind") != "protein") & (F.col("atom_name") == "P"))
-    ).select("structure_id", "chain", "polymer_kind", "poly_index",
-             F.col("atom_idx").alias("atom_b"), *[F.col(c).alias(f"b_{c}") for c in "xyz"])
-    limit = F.when(F.col("polymer_kind") == "protein", PEPTIDE_MAX).otherwise(NUCLEIC_MAX)
-    return (
-        first.join(second, ["structure_id", "chain", "polymer_kind", "poly_index"])
-        .filter(distance(*point("a_"), *point("b_")) <= limit)
-        .select("structure_id", "atom_a", "atom_b")
-    )
+    polymer = atoms.filter("poly_index IS NOT NULL")
+    keys = ["structure_id", "chain", "polymer_kind", "poly_index"]
+    first = polymer.filter("atom_name = IF(polymer_kind = 'protein', 'C', \"O3'\")").selectExpr(
+        *keys[:3], "poly_index + 1 AS poly_index", "atom_idx AS atom_a", "x AS a_x", "y AS a_y", "z AS a_z")
+    second = polymer.filter("atom_name = IF(polymer_kind = 'protein', 'N', 'P')").selectExpr(
+        *keys, "atom_idx AS atom_b", "x AS b_x", "y AS b_y", "z AS b_z")
+    limit = f"IF(polymer_kind = 'protein', {PEPTIDE_MAX}D, {NUCLEIC_MAX}D)"
+    return first.join(second, keys).filter(f"{distance('a_', 'b_')} <= {limit}").select(
+        "structure_id", "atom_a", "atom_b")
 
 
 def disulfide_bonds(disulfides: DataFrame) -> DataFrame:
-    return disulfides.select("structure_id", F.col("atom_i").alias("atom_a"), F.col("atom_j").alias("atom_b"))
+    return disulfides.selectExpr("structure_id", "atom_i AS atom_a", "atom_j AS atom_b")
 
 
 def bonds(atoms: DataFrame, disulfides: DataFrame | None = None) -> DataFrame:
@@ -63,27 +53,25 @@ def bonds(atoms: DataFrame, disulfides: DataFrame | None = None) -> DataFrame:
     edges = dictionary_bonds(atoms).unionByName(polymer_links(atoms))
     if disulfides is not None:
         edges = edges.unionByName(disulfide_bonds(disulfides))
-    back = edges.select("structure_id", F.col("atom_b").alias("atom_a"), F.col("atom_a").alias("atom_b"))
-    return edges.unionByName(back).distinct()
+    both = "explode(array(struct(atom_a AS a, atom_b AS b), struct(atom_b AS a, atom_a AS b))) AS e"
+    return edges.selectExpr("structure_id", both).selectExpr("structure_id", "e.a AS atom_a", "e.b AS atom_b").distinct()
 
 
 def separations(edges: DataFrame, depth: int = 2) -> DataFrame:
     """Fewest bonds between atoms up to ``depth`` apart: ``(structure_id, atom_a, atom_b, separation)``."""
-    reached = edges.select("structure_id", "atom_a", "atom_b", F.lit(1).alias("separation"))
-    frontier = reached
-    step = edges.select("structure_id", F.col("atom_a").alias("_via"), F.col("atom_b").alias("_next"))
+    edges = reuse(edges)
+    reached = edges.selectExpr("structure_id", "atom_a", "atom_b", "1 AS separation")
+    frontier = edges
+    step = edges.selectExpr("structure_id", "atom_a AS via", "atom_b AS next")
     for hop in range(2, depth + 1):
-        frontier = (
-            frontier.withColumnRenamed("atom_b", "_via").join(step, ["structure_id", "_via"])
-            .select("structure_id", "atom_a", F.col("_next").alias("atom_b"), F.lit(hop).alias("separation"))
-            .filter("atom_a <> atom_b")
-        )
-        reached = reached.unionByName(frontier)
+        frontier = frontier.selectExpr("structure_id", "atom_a", "atom_b AS via").join(
+            step, ["structure_id", "via"]).filter("atom_a <> next").selectExpr(
+            "structure_id", "atom_a", "next AS atom_b")
+        reached = reached.unionByName(frontier.selectExpr("*", f"{hop} AS separation"))
     return reached.groupBy("structure_id", "atom_a", "atom_b").agg(F.min("separation").alias("separation"))
 
 
 def unknown_components(atoms: DataFrame) -> DataFrame:
     """Components without a bond dictionary, per structure."""
-    known = chem.is_amino_acid(F.col("name"))
-    return atoms.filter(~known & F.col("entity").isin("protein", "ligand")).select(
+    return atoms.filter(f"NOT {chem.is_amino_acid('name')} AND entity IN ('protein', 'ligand')").select(
         "structure_id", "name").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,14 +15,18 @@ def argmin_by(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``min`` over a struct compares field by field, which makes ``order`` a complete
     tie-break and lets every task reduce its rows before anything is shuffled.
     """
-    best = df.groupBy(*keys).agg(F.min(F.struct(*order, *keep)).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in [*order, *keep]])
+    return _best(df, keys, order, keep, "min")
+
+
+def _best(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str], how: str) -> DataFrame:
+    columns = list(dict.fromkeys([*order, *keep]))
+    best = df.groupBy(*keys).agg(F.expr(f"{how}(struct({', '.join(columns)})) AS _best"))
+    return best.select(*keys, "_best.*")
 
 
 def argmax_by(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               keep: Sequence[str] = ()) -> DataFrame:
-    best = df.groupBy(*keys).agg(F.max(F.struct(*order, *keep)).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in [*order, *keep]])
+    return _best(df, keys, order, keep, "max")
 
 
 def latest(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
@@ -31,24 +35,22 @@ def latest(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     return argmax_by(df, keys, [ordinal], rest).select(*df.columns)
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int,
                   rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each key, numbered from 1.
+    """The first ``k`` rows of each key by the SQL sort terms ``order``, numbered from 1.
 
     The ``row_number <= k`` filter is planned as a partial and a final group
     limit, so at most ``k`` rows per key and task reach the shuffle.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    over = f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)})"
+    return df.selectExpr("*", f"{over} AS {rank}").filter(f"{rank} <= {k}")
 
 
 def two_smallest(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  keep: Sequence[str] = ()) -> DataFrame:
     """Winner and runner-up of each key: ``best`` and ``second`` structs (NULL if absent)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.select(*keys, F.struct(*order, *keep).alias("_row"),
-                       F.row_number().over(w).alias("_rank")).filter("_rank <= 2")
+    ranked = first_per_key(df.selectExpr(*keys, f"struct({', '.join([*order, *keep])}) AS _row", *order),
+                           keys, order, 2, "_rank")
     return ranked.groupBy(*keys).agg(
-        F.max(F.when(F.col("_rank") == 1, F.col("_row"))).alias("best"),
-        F.max(F.when(F.col("_rank") == 2, F.col("_row"))).alias("second"),
-    )
+        F.expr("max(CASE WHEN _rank = 1 THEN _row END) AS best"),
+        F.expr("max(CASE WHEN _rank = 2 THEN _row END) AS second"))

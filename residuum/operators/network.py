@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reuse
 from . import contacts as c
 
-EDGE = ["structure_id", "i", "j", "distance"]
-
 
 def contact_graph(atoms: DataFrame, include_ligands: bool = True, include_metals: bool = True) -> DataFrame:
     """Undirected edges ``i < j`` over residues, ligands and coordinated metals, with the least distance."""
     def edge(df: DataFrame, a: str, b: str, kind: str) -> DataFrame:
-        return df.select("structure_id", F.least(a, b).alias("i"), F.greatest(a, b).alias("j"),
-                         "distance", F.lit(kind).alias("kind"))
+        return df.selectExpr("structure_id", f"least({a}, {b}) AS i", f"greatest({a}, {b}) AS j", "distance", f"'{kind}' AS kind")
 
     edges = edge(c.residue_contacts(atoms), "residue_idx_i", "residue_idx_j", "residue")
     if include_ligands:
@@ -22,17 +20,18 @@ def contact_graph(atoms: DataFrame, include_ligands: bool = True, include_metals
     if include_metals:
         donors = c.metal_coordination(atoms).filter("is_donor")
         edges = edges.unionByName(edge(donors, "residue_idx", "metal_idx", "metal"))
-    return edges.groupBy("structure_id", "i", "j").agg(F.min("distance").alias("distance"), F.min("kind").alias("kind"))
+    return edges.groupBy("structure_id", "i", "j").agg(F.expr("min(distance) AS distance"), F.expr("min(kind) AS kind"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("structure_id", F.col("i").alias("node"), F.col("j").alias("neighbour"), "distance").unionByName(
-        edges.select("structure_id", F.col("j").alias("node"), F.col("i").alias("neighbour"), "distance"))
+    turned = "explode(array(struct(i AS a, j AS b), struct(j AS a, i AS b))) AS e"
+    return edges.selectExpr("structure_id", "distance", turned).selectExpr(
+        "structure_id", "e.a AS node", "e.b AS neighbour", "distance")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("structure_id", "node").agg(
-        F.count(F.lit(1)).alias("degree"), F.min("distance").alias("closest"))
+        F.expr("count(*) AS degree"), F.expr("min(distance) AS closest"))
 
 
 def common_neighbours(edges: DataFrame) -> DataFrame:
@@ -41,23 +40,22 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     Pairs are reached through the shared node by an equi-join. Only the count and
     the least bridge are kept per pair, and both combine map-side.
     """
-    arms = both_ways(edges).select("structure_id", "node", "neighbour", "distance")
-    left = arms.select("structure_id", "node", F.col("neighbour").alias("a"), F.col("distance").alias("d_a"))
-    right = arms.select("structure_id", "node", F.col("neighbour").alias("b"), F.col("distance").alias("d_b"))
-    wedges = left.join(right, ["structure_id", "node"]).filter("a < b")
-    pairs = wedges.groupBy("structure_id", "a", "b").agg(
-        F.count(F.lit(1)).alias("n_bridges"), F.min(F.struct("node", "d_a", "d_b")).alias("bridge"))
-    touching = edges.select("structure_id", F.col("i").alias("a"), F.col("j").alias("b"))
-    return pairs.join(touching, ["structure_id", "a", "b"], "left_anti").select(
-        "structure_id", "a", "b", "n_bridges", F.col("bridge.node").alias("bridge"),
-        F.col("bridge.d_a").alias("bridge_to_a"), F.col("bridge.d_b").alias("bridge_to_b"))
+    edges = reuse(edges)
+    arms = both_ways(edges)
+    left = arms.selectExpr("structure_id", "node", "neighbour AS a", "distance AS d_a")
+    right = arms.selectExpr("structure_id", "node", "neighbour AS b", "distance AS d_b")
+    pairs = left.join(right, ["structure_id", "node"]).filter("a < b").groupBy("structure_id", "a", "b").agg(
+        F.expr("count(*) AS n_bridges"), F.expr("min(struct(node, d_a, d_b)) AS bridge"))
+    touching = edges.selectExpr("structure_id", "i AS a", "j AS b")
+    return pairs.join(touching, ["structure_id", "a", "b"], "left_anti").selectExpr(
+        "structure_id", "a", "b", "n_bridges", "bridge.node AS bridge", "bridge.d_a AS bridge_to_a", "bridge.d_b AS bridge_to_b")
 
 
 def bridging_residues(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """Residues touching both anchors of each listed pair ``(structure_id, a, b)``."""
-    arms = both_ways(edges)
-    to_a = arms.select("structure_id", F.col("neighbour").alias("a"), F.col("node").alias("bridge"))
-    to_b = arms.select("structure_id", F.col("neighbour").alias("b"), F.col("node").alias("bridge"))
+    arms = both_ways(reuse(edges))
+    to_a = arms.selectExpr("structure_id", "neighbour AS a", "node AS bridge")
+    to_b = arms.selectExpr("structure_id", "neighbour AS b", "node AS bridge")
     return anchors.join(to_a, ["structure_id", "a"]).join(to_b, ["structure_id", "b", "bridge"]).filter(
         "bridge <> a AND bridge <> b")
 
@@ -68,20 +66,20 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_edges: int = 3) -> Da
     Each level extends paths by one edge for pairs that are not connected yet, so
     work stops growing for a pair as soon as it is answered.
     """
-    step = both_ways(edges).select("structure_id", F.col("node").alias("_end"), "neighbour")
-    open_paths = pairs.select("structure_id", "source", "target", F.array("source").alias("path"))
+    keys = ["structure_id", "source", "target"]
+    step = both_ways(reuse(edges)).selectExpr("structure_id", "node AS tail", "neighbour")
+    open_paths = pairs.selectExpr(*keys, "array(source) AS path")
     done = open_paths.filter("source = target")
     open_paths = open_paths.filter("source <> target")
-    for _ in range(max_edges):
-        grown = (
-            open_paths.withColumn("_end", F.element_at("path", -1)).join(step, ["structure_id", "_end"])
-            .filter(~F.array_contains("path", F.col("neighbour")))
-            .select("structure_id", "source", "target", F.array_append("path", F.col("neighbour")).alias("path"))
-        )
-        hit = grown.filter(F.element_at("path", -1) == F.col("target"))
+    for level in range(max_edges):
+        grown = open_paths.selectExpr("*", "element_at(path, -1) AS tail").join(step, ["structure_id", "tail"]).filter(
+            "NOT array_contains(path, neighbour)").selectExpr(*keys, "array_append(path, neighbour) AS path")
+        if level == max_edges - 1:
+            return done.unionByName(grown.filter("element_at(path, -1) = target"))
+        grown = reuse(grown)
+        hit = grown.filter("element_at(path, -1) = target")
         done = done.unionByName(hit)
-        open_paths = grown.join(hit.select("structure_id", "source", "target").distinct(),
-                                ["structure_id", "source", "target"], "left_anti")
+        open_paths = grown.join(hit.select(*keys).distinct(), keys, "left_anti")
     return done
 
 
@@ -91,11 +89,11 @@ def near_miss(atoms: DataFrame, pairs: DataFrame, search: float) -> DataFrame:
     Only residues within ``search`` of both anchors compete; the measure is the
     larger of the two distances.
     """
-    minima = c.residue_pair_minima(c.protein_atoms(atoms), search)
-    arms = minima.select("structure_id", F.col("residue_idx_i").alias("node"), F.col("residue_idx_j").alias("other"), "distance") \
-        .unionByName(minima.select("structure_id", F.col("residue_idx_j").alias("node"), F.col("residue_idx_i").alias("other"), "distance"))
-    to_a = arms.select("structure_id", F.col("other").alias("a"), "node", F.col("distance").alias("d_a"))
-    to_b = arms.select("structure_id", F.col("other").alias("b"), "node", F.col("distance").alias("d_b"))
+    minima = c.residue_pair_minima(c.protein_atoms(atoms), search).selectExpr(
+        "structure_id", "residue_idx_i AS i", "residue_idx_j AS j", "distance")
+    arms = both_ways(reuse(minima))
+    to_a = arms.selectExpr("structure_id", "neighbour AS a", "node", "distance AS d_a")
+    to_b = arms.selectExpr("structure_id", "neighbour AS b", "node", "distance AS d_b")
     worst = pairs.select("structure_id", "a", "b", "bridge").join(to_a, ["structure_id", "a"]).join(
-        to_b, ["structure_id", "b", "node"]).filter("node <> a AND node <> b AND node <> bridge")
-    return worst.groupBy("structure_id", "a", "b").agg(F.min(F.greatest("d_a", "d_b")).alias("near_miss"))
+        to_b, ["structure_id", "b", "node"]).filter("node <> bridge")
+    return worst.groupBy("structure_id", "a", "b").agg(F.expr("min(greatest(d_a, d_b)) AS near_miss"))

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import estimated_bytes
+from ..functions.numeric import distance, squared_distance
+from ..session import cut_lineage, estimated_bytes
 from .keyed import argmin_by
 
 #: Half of the 26 touching cells plus the cell itself.
@@ -25,115 +26,100 @@ FULL_SHELL = list(product((-1, 0, 1), repeat=3))
 HOT_CELL_ROWS = 2000
 #: Looking for hot cells costs a pass over the coordinates, so small inputs skip it.
 PROBE_BYTES = 1 << 30
-#: Longest list of hot cells carried as a literal in the plan.
-MAX_HOT_CELLS = 5000
 
 CELL = ["_cx", "_cy", "_cz"]
 
 
-def _cell(coordinate: Column, cutoff: float) -> Column:
+def _cell(coordinate: str, cutoff: float) -> str:
     # A hair wider than the cutoff, so that rounding in the division can never put
     # two points exactly one cutoff apart into cells that do not touch.
     # Non-nullable on purpose: for a nullable join key Catalyst pushes an IS NOT NULL
     # copy of everything the coordinate was computed from down to the scan.
-    return F.coalesce(F.floor(coordinate * F.lit(1.0 / (cutoff * (1.0 + 1e-9)))), F.lit(0).cast("long"))
+    return f"coalesce(floor({coordinate} * {1.0 / (cutoff * (1.0 + 1e-9))!r}D), 0L)"
 
 
-def _with_cell(df: DataFrame, cutoff: float) -> DataFrame:
-    return df.select("*", *[_cell(F.col(axis), cutoff).alias(c) for axis, c in zip("xyz", CELL)])
+def _celled(df: DataFrame, cutoff: float, columns: list[str], group: list[str], prefix: str) -> DataFrame:
+    cells = [f"{_cell(axis, cutoff)} AS {c}" for axis, c in zip("xyz", CELL)]
+    return df.selectExpr(*group, *cells, *[f"{c} AS {prefix}{c}" for c in columns if c not in group])
 
 
 def _spread(df: DataFrame, shell: list[tuple[int, int, int]]) -> DataFrame:
     """One copy of each row per touching cell."""
-    offsets = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(o, "abc")]) for o in shell])
-    return (
-        df.withColumn("_o", F.explode(offsets))
-        .withColumns({c: F.coalesce(F.col(c) + F.col(f"_o.{o}"), F.lit(0).cast("long")) for c, o in zip(CELL, "abc")})
-        .drop("_o")
-    )
+    offsets = ", ".join(f"named_struct('a', {a}L, 'b', {b}L, 'c', {c}L)" for a, b, c in shell)
+    others = [c for c in df.columns if c not in CELL]
+    moved = [f"coalesce({c} + _o.{o}, 0L) AS {c}" for c, o in zip(CELL, "abc")]
+    return df.selectExpr("*", f"explode(array({offsets})) AS _o").selectExpr(*others, *moved)
 
 
-def hot_cells(df: DataFrame, cutoff: float, group: list[str],
-              hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
+def hot_cells(df: DataFrame, cutoff: float, group: list[str], hot_rows: int = HOT_CELL_ROWS) -> DataFrame:
     """Cells above ``hot_rows`` with the number of slices each should be cut into."""
     return (
-        _with_cell(df, cutoff).groupBy(*group, *CELL).count().filter(F.col("count") > hot_rows)
-        .select(*group, *CELL, F.ceil(F.col("count") / hot_rows).cast("int").alias("_slices"))
+        _celled(df, cutoff, [], list(group), "").groupBy(*group, *CELL).count().filter(f"count > {hot_rows}")
+        .selectExpr(*group, *CELL, f"CAST(ceil(count / {hot_rows}) AS INT) AS _slices")
     )
 
 
-def _sliced(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def _sliced(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str], spread_by: str) -> tuple[DataFrame, DataFrame]:
     """Cut the left rows of a hot cell into slices and copy its right rows to each slice.
 
     ``hot`` holds one row per hot cell, at most input rows / HOT_CELL_ROWS. Catalyst
-    sees its true size at run time and picks the join; it is never forced.
+    sees its true size at run time and picks the join; it is never forced. The slice
+    comes from a hash of the row, so a recomputed task makes the same choice.
     """
-    slices = F.coalesce(F.col("_slices"), F.lit(1))
-    cut = left.join(hot, keys, "left").withColumn(
-        "_slice", F.floor(F.rand(17) * slices).cast("int")).drop("_slices")
-    copied = right.join(hot, keys, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
+    cut = left.join(hot, keys, "left").selectExpr(
+        *left.columns, f"pmod(xxhash64({spread_by}), coalesce(_slices, 1)) AS _slice")
+    copied = right.join(hot, keys, "left").selectExpr(
+        *right.columns, "explode(sequence(0L, CAST(coalesce(_slices, 1) - 1 AS BIGINT))) AS _slice")
     return cut, copied
 
 
-def _prefixed(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
-    return df.select(*CELL, *[F.col(c).alias(f"{prefix}{c}") for c in columns])
-
-
 def _join_cells(left: DataFrame, right: DataFrame, cutoff: float, group: list[str],
-                shell, probe: bool | None, hot_rows: int, extra: Column | None) -> DataFrame:
-    left_cells = _with_cell(left, cutoff)
-    right_cells = _spread(_with_cell(right, cutoff), shell)
-    a = _prefixed(left_cells, left.columns, "a_")
-    b = _prefixed(right_cells, right.columns, "b_")
-    for g in group:
-        a = a.withColumnRenamed(f"a_{g}", g)
-        b = b.withColumnRenamed(f"b_{g}", g)
+                shell, probe: bool | None, hot_rows: int, extra: str | None) -> DataFrame:
+    a = _celled(left, cutoff, left.columns, group, "a_")
+    b = _spread(_celled(right, cutoff, right.columns, group, "b_"), shell)
     keys = [*group, *CELL]
     if probe is None:
         probe = estimated_bytes(left) > PROBE_BYTES
     if probe:
-        a, b = _sliced(a, b, hot_cells(left, cutoff, group, hot_rows), keys)
+        a, b = _sliced(a, b, hot_cells(left, cutoff, group, hot_rows), keys, "a_x, a_y, a_z, a_" + next(
+            c for c in [*left.columns] if c not in group))
         keys = [*keys, "_slice"]
-    dx, dy, dz = (F.col(f"a_{c}") - F.col(f"b_{c}") for c in "xyz")
-    within = (dx * dx + dy * dy + dz * dz) <= F.lit(cutoff * cutoff)
-    if extra is not None:
-        within = within & extra
-    joined = a.join(b, keys).filter(within).drop(*CELL, "_slice")
-    return joined.withColumn("distance", F.sqrt(dx * dx + dy * dy + dz * dz))
+    within = f"{squared_distance('a_', 'b_')} <= {cutoff * cutoff!r}D"
+    if extra:
+        within = f"({within}) AND ({extra})"
+    carried = [c for c in [*a.columns, *b.columns] if c not in keys]
+    return a.join(b, keys).filter(within).selectExpr(*group, *carried, f"{distance('a_', 'b_')} AS distance")
 
 
 def radius_pairs(points: DataFrame, cutoff: float, columns: list[str], *,
                  group: list[str] = ("structure_id",), ident: str = "atom_idx",
                  probe: bool | None = None, hot_rows: int = HOT_CELL_ROWS,
-                 extra: Column | None = None) -> DataFrame:
+                 extra: str | None = None) -> DataFrame:
     """Every unordered pair of distinct points of a group within ``cutoff`` (inclusive).
 
     ``columns`` are carried as ``a_<column>`` and ``b_<column>`` with
-    ``a_<ident> < b_<ident>``; only columns named here reach the shuffle.
+    ``a_<ident> < b_<ident>``; only columns named here reach the shuffle. ``extra``
+    is a predicate over the carried columns that must not depend on the order.
     """
     group = list(group)
     carried = list(dict.fromkeys([ident, "x", "y", "z", *columns]))
     base = points.select(*group, *carried)
     # The half shell meets every touching pair once, in either order; pairs in
     # the same cell meet twice and keep the ordered one.
-    same_cell = F.lit(True)
-    for axis in "xyz":
-        same_cell = same_cell & (_cell(F.col(f"a_{axis}"), cutoff) == _cell(F.col(f"b_{axis}"), cutoff))
-    once = ~same_cell | (F.col(f"a_{ident}") < F.col(f"b_{ident}"))
-    if extra is not None:
-        once = once & extra
+    same_cell = " AND ".join(f"{_cell(f'a_{axis}', cutoff)} = {_cell(f'b_{axis}', cutoff)}" for axis in "xyz")
+    once = f"(a_{ident} < b_{ident} OR NOT ({same_cell}))"
+    if extra:
+        once = f"{once} AND ({extra})"
     pairs = _join_cells(base, base, cutoff, group, HALF_SHELL, probe, hot_rows, once)
-    flip = F.col(f"a_{ident}") > F.col(f"b_{ident}")
+    flip = f"a_{ident} > b_{ident}"
     ordered = [c for n in carried for c in (
-        F.when(flip, F.col(f"b_{n}")).otherwise(F.col(f"a_{n}")).alias(f"a_{n}"),
-        F.when(flip, F.col(f"a_{n}")).otherwise(F.col(f"b_{n}")).alias(f"b_{n}"))]
-    return pairs.select(*group, *ordered, "distance")
+        f"IF({flip}, b_{n}, a_{n}) AS a_{n}", f"IF({flip}, a_{n}, b_{n}) AS b_{n}")]
+    return pairs.selectExpr(*group, *ordered, "distance")
 
 
 def radius_join(left: DataFrame, right: DataFrame, cutoff: float, *,
                 group: list[str] = ("structure_id",), probe: bool | None = None,
-                hot_rows: int = HOT_CELL_ROWS, extra: Column | None = None) -> DataFrame:
+                hot_rows: int = HOT_CELL_ROWS, extra: str | None = None) -> DataFrame:
     """Every (left, right) pair of a group within ``cutoff``; columns become ``a_*`` and ``b_*``.
 
     Pass the larger side first: the second one is copied to 27 cells.
@@ -142,24 +128,21 @@ def radius_join(left: DataFrame, right: DataFrame, cutoff: float, *,
 
 
 def residue_pair_minima(points: DataFrame, cutoff: float, columns: list[str] = (), *,
-                        probe: bool | None = None, extra: Column | None = None) -> DataFrame:
+                        probe: bool | None = None, extra: str | None = None) -> DataFrame:
     """Closest atom pair of every residue pair within ``cutoff``.
 
     Ties are broken by atom index, so the witnesses do not depend on partitioning.
     """
     carried = list(dict.fromkeys(["residue_idx", "atom_name", *columns]))
-    different = F.col("a_residue_idx") != F.col("b_residue_idx")
-    if extra is not None:
-        different = different & extra
+    different = "a_residue_idx <> b_residue_idx" + (f" AND ({extra})" if extra else "")
     pairs = radius_pairs(points, cutoff, carried, probe=probe, extra=different)
     # Residue order can differ from atom order only if atoms are not numbered by residue.
-    flip = F.col("a_residue_idx") > F.col("b_residue_idx")
+    flip = "a_residue_idx > b_residue_idx"
     oriented = [c for n in ["atom_idx", *carried] for c in (
-        F.when(flip, F.col(f"b_{n}")).otherwise(F.col(f"a_{n}")).alias(f"{n}_i"),
-        F.when(flip, F.col(f"a_{n}")).otherwise(F.col(f"b_{n}")).alias(f"{n}_j"))]
-    pairs = pairs.select("structure_id", "distance", *oriented)
+        f"IF({flip}, b_{n}, a_{n}) AS {n}_i", f"IF({flip}, a_{n}, b_{n}) AS {n}_j")]
     keep = [f"{n}_{s}" for n in carried if n != "residue_idx" for s in "ij"]
-    return argmin_by(pairs, ["structure_id", "residue_idx_i", "residue_idx_j"],
+    return argmin_by(pairs.selectExpr("structure_id", "distance", *oriented),
+                     ["structure_id", "residue_idx_i", "residue_idx_j"],
                      ["distance", "atom_idx_i", "atom_idx_j"], keep)
 
 
@@ -171,16 +154,13 @@ def nearest_target(sources: DataFrame, targets: DataFrame, *, group: list[str],
     hit within the radius is final, because anything nearer would also be inside.
     The number of rounds is the logarithm of the extent, not of the row count.
     """
-    from ..session import cut_lineage
-
     group, keys = list(group), [*group, *source_key]
     sources = sources.join(targets.select(*group).distinct(), group, "left_semi")
     pending, found, radius = sources, None, first_radius
     for _ in range(max_rounds):
-        hits = radius_join(pending, targets, radius, group=group).groupBy(
-            *group, *[f"a_{k}" for k in source_key]).agg(F.min("distance").alias("distance"))
-        hits = hits.select(*group, *[F.col(f"a_{k}").alias(k) for k in source_key], "distance")
-        hits = cut_lineage(hits)
+        pairs = radius_join(pending, targets, radius, group=group).selectExpr(
+            *group, *[f"a_{k} AS {k}" for k in source_key], "distance")
+        hits = cut_lineage(pairs.groupBy(*keys).agg(F.min("distance").alias("distance")))
         found = hits if found is None else found.unionByName(hits)
         pending = cut_lineage(pending.join(hits, keys, "left_anti"))
         if pending.isEmpty():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Everything here is a runtime SQL setting, so it can be applied to a session
@@ -60,6 +61,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a relation that several branches of one plan read.
+
+    Without it every branch recomputes the relation and the plan doubles with each
+    use. Lost blocks are recomputed from lineage, so this is a speed-up only.
+    """
+    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate for a plan; no job is run."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

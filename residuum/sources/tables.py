@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import chemistry as chem
 from ..functions.numeric import round3
@@ -45,36 +44,27 @@ def atom_template() -> list[tuple[str, int, str, str]]:
 
 def residues_from_embeddings(embeddings: DataFrame) -> DataFrame:
     """One residue per vector: helices of fifteen residues, one ligand or metal after each."""
-    idx = F.col("vec_id") % STRUCTURE_RESIDUES
-    place = idx % SEGMENT
-    segment = F.floor(idx / SEGMENT)
-    hetero = place == SEGMENT - 1
-
-    def pick(values, key: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
-
-    name = (
-        F.when(hetero & (segment % 2 == 0), pick(METAL_NAMES, F.floor(F.col("vec_id") / SEGMENT)))
-        .when(hetero, pick(LIGAND_NAMES, F.floor(F.col("vec_id") / 32)))
-        .when(F.col("vec_id") % 97 == 50, F.lit("SEP"))
-        .otherwise(pick(NAMES, F.col("vec_id") * 7))
-    )
-    chain = F.when(idx < CHAIN_RESIDUES, "A").otherwise("B")
-    entity = F.when(hetero & (segment % 2 == 0), "metal").when(hetero, "ligand").otherwise("protein")
-    return embeddings.select(
-        F.concat(F.lit("S"), F.floor(F.col("vec_id") / STRUCTURE_RESIDUES).cast("string")).alias("structure_id"),
-        idx.alias("residue_idx"),
-        chain.alias("chain"),
-        (idx % CHAIN_RESIDUES + 1).cast("int").alias("seq_id"),
-        name.alias("name"),
-        chem.parent_of(name).alias("parent"),
-        entity.alias("entity"),
-        F.when(entity == "protein", "protein").alias("polymer_kind"),
+    n, c, s = STRUCTURE_RESIDUES, CHAIN_RESIDUES, SEGMENT
+
+    def pick(values, key: str) -> str:
+        return f"element_at({chem.sql_literal(list(values))}, CAST({key} % {len(values)} + 1 AS INT))"
+
+    placed = embeddings.selectExpr(
+        "vec_id", "embedding", f"vec_id % {n} AS residue_idx", f"vec_id % {s} AS place", f"vec_id % {n} div {s} AS segment")
+    typed = placed.selectExpr(
+        "*", f"CASE WHEN place < {s - 1} THEN 'protein' WHEN segment % 2 = 0 THEN 'metal' ELSE 'ligand' END AS entity",
+        f"concat('S', vec_id div {n}) AS structure_id", f"IF(residue_idx < {c}, 'A', 'B') AS chain",
+        f"CAST(residue_idx % {c} + 1 AS INT) AS seq_id")
+    named = typed.selectExpr(
+        "*", f"CASE entity WHEN 'metal' THEN {pick(METAL_NAMES, f'vec_id div {s}')} "
+        f"WHEN 'ligand' THEN {pick(LIGAND_NAMES, 'vec_id div 32')} "
+        f"ELSE IF(vec_id % 97 = 50, 'SEP', {pick(NAMES, 'vec_id * 7')}) END AS name")
+    return named.selectExpr(
+        "structure_id", "residue_idx", "chain", "seq_id", "name", "entity", "segment", "place", "embedding",
+        f"{chem.parent_of('name')} AS parent", "IF(entity = 'protein', 'protein', NULL) AS polymer_kind",
         # Position among the polymer residues of the chain: one residue in sixteen is not polymer.
-        F.when(entity == "protein",
-               idx % CHAIN_RESIDUES - F.floor((idx % CHAIN_RESIDUES) / SEGMENT)).cast("int").alias("poly_index"),
-        segment.alias("segment"), place.alias("place"), "embedding",
-    ).withColumn("label", chem.residue_label(F.col("chain"), F.col("name"), F.col("seq_id"), F.col("entity")))
+        f"IF(entity = 'protein', CAST(residue_idx % {c} - residue_idx % {c} div {s} AS INT), NULL) AS poly_index",
+        f"{chem.residue_label('chain', 'name', 'seq_id', 'entity')} AS label")
 
 
 def atoms_from_embeddings(embeddings: DataFrame) -> DataFrame:
@@ -82,40 +72,34 @@ def atoms_from_embeddings(embeddings: DataFrame) -> DataFrame:
 
     Side chains point away from the helix axis; the vector supplies the scatter.
     """
-    residues = residues_from_embeddings(embeddings)
     by_name: dict[str, list[str]] = {}
     for residue, ordinal, atom, element in atom_template():
         by_name.setdefault(residue, []).append(f"{ordinal}:{atom}:{element}")
-    names = chem.lookup({k: " ".join(v) for k, v in by_name.items()}, F.col("name"))
-    parts = F.split(F.col("_atom"), ":")
-    rows = residues.withColumn("_atom", F.explode(F.split(names, " "))).select(
-        "*", parts[0].cast("long").alias("ordinal"), parts[1].alias("atom_name"), parts[2].alias("element"))
-    protein, backbone = F.col("entity") == "protein", F.col("atom_name").isin(*chem.BACKBONE)
+    template = chem.lookup({k: " ".join(v) for k, v in by_name.items()}, "name")
+    rows = residues_from_embeddings(embeddings).selectExpr("*", f"explode(split({template}, ' ')) AS t").selectExpr(
+        "*", "CAST(split(t, ':')[0] AS BIGINT) AS ordinal", "split(t, ':')[1] AS atom_name", "split(t, ':')[2] AS element")
 
-    def helix(axis: int, first: float, slope: float) -> Column:
-        outward = F.lit(first) + F.lit(slope) * (F.col("ordinal") - 4)
-        return F.coalesce(chem.lookup({k: v[axis] for k, v in HELIX.items()}, F.col("atom_name")), outward)
+    def helix(axis: int, first: float, slope: float) -> str:
+        backbone = chem.lookup({k: v[axis] for k, v in HELIX.items()}, "atom_name")
+        return f"coalesce({backbone}, {first}D + {slope}D * (ordinal - 4))"
 
     # Each step is its own projection, so that no value is spelled out twice.
-    shaped = rows.select(
-        "*", helix(0, 3.3, 1.1).alias("radius"),
-        F.radians(F.col("place") * 100.0 + helix(1, -17.0, 14.0)).alias("angle"),
-        helix(2, -0.6, -0.4).alias("height"),
-        F.when(protein & backbone, 0.5).when(F.col("entity") == "ligand", 14.0).otherwise(6.0).alias("spread"),
-        F.slice("embedding", ((F.col("ordinal") * 3) % 60 + 1).cast("int"), 3).cast("array<double>").alias("noise"))
+    shaped = rows.selectExpr(
+        "*", f"{helix(0, 3.3, 1.1)} AS radius", f"radians(place * 100D + {helix(1, -17.0, 14.0)}) AS angle",
+        f"{helix(2, -0.6, -0.4)} AS height",
+        f"CASE WHEN entity = 'protein' AND {chem.in_list('atom_name', chem.BACKBONE)} THEN 0.5D "
+        "WHEN entity = 'ligand' THEN 14D ELSE 6D END AS spread",
+        "CAST(slice(embedding, CAST(ordinal * 3 % 60 + 1 AS INT), 3) AS array<double>) AS noise")
     # A ligand or metal sits in the groove next to its helix.
-    placed = shaped.select(
-        "structure_id", "residue_idx", (F.col("residue_idx") * 32 + F.col("ordinal")).alias("atom_idx"),
-        "atom_name", "element",
-        ((F.col("segment") % 4) * 9.5 + F.when(protein, F.col("radius") * F.cos("angle")).otherwise(4.5)
-         + F.col("noise")[0] * F.col("spread")).alias("x"),
-        (F.floor(F.col("segment") / 4) * 9.5 + F.when(protein, F.col("radius") * F.sin("angle")).otherwise(4.5)
-         + F.col("noise")[1] * F.col("spread")).alias("y"),
-        (F.when(protein, F.col("place") * 1.5 + F.col("height")).otherwise(11.0)
-         + F.col("noise")[2] * F.col("spread")).alias("z"),
-        "chain", "seq_id", "name", "parent", "entity", "polymer_kind", "poly_index", "label",
-    )
-    return placed.withColumns({axis: F.coalesce(round3(F.col(axis)), F.lit(0.0)) for axis in "xyz"})
+    placed = shaped.selectExpr(
+        "*", "residue_idx * 32 + ordinal AS atom_idx",
+        "segment % 4 * 9.5D + IF(entity = 'protein', radius * cos(angle), 4.5D) + noise[0] * spread AS raw_x",
+        "segment div 4 * 9.5D + IF(entity = 'protein', radius * sin(angle), 4.5D) + noise[1] * spread AS raw_y",
+        "IF(entity = 'protein', place * 1.5D + height, 11D) + noise[2] * spread AS raw_z")
+    return placed.selectExpr(
+        "structure_id", "residue_idx", "atom_idx", "atom_name", "element",
+        *[f"coalesce({round3(f'raw_{c}')}, 0D) AS {c}" for c in "xyz"],
+        "chain", "seq_id", "name", "parent", "entity", "polymer_kind", "poly_index", "label")
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
