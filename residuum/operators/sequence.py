@@ -10,114 +10,77 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column,
+def _partition(keys: Sequence[str]) -> str:
+    return f"PARTITION BY {', '.join(keys)}" if keys else ""
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str,
              out: str = "position") -> DataFrame:
     """0-based position of each row within its key, in ``order``.
 
-    ``block`` must be non-decreasing along ``order``.
+    ``block`` is an SQL expression that must not decrease along ``order``.
     """
     keys = list(keys)
-    blocked = df.withColumn("_block", block)
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order)
-    local = blocked.withColumn("_local", F.row_number().over(inner) - 1)
+    blocked = df.selectExpr("*", f"{block} AS _block")
+    local = blocked.selectExpr(
+        "*", f"row_number() OVER ({_partition([*keys, '_block'])} ORDER BY {', '.join(order)}) - 1 AS _local")
     sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_block", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"))
-    return (
-        local.join(offsets, [*keys, "_block"])
-        .withColumn(out, (F.col("_local") + F.col("_offset")).cast("long"))
-        .drop("_block", "_local", "_offset")
-    )
+    offsets = sizes.selectExpr(*keys, "_block", f"coalesce(sum(_n) OVER ({_partition(keys)} ORDER BY _block "
+                               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset")
+    return local.join(offsets, [*keys, "_block"]).selectExpr(*df.columns, f"CAST(_local + _offset AS BIGINT) AS {out}")
 
 
-def runs(df: DataFrame, keys: Sequence[str], position: str, value: Column,
+def runs(df: DataFrame, keys: Sequence[str], position: str, value: str, *, breaks: str = "false",
          block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Contiguous equal-value runs over a dense 0-based position.
+    """Contiguous equal-value runs over a dense position.
 
     Adds ``run_start``, ``run_length``, ``run_offset`` and ``edge_distance`` (to the
-    nearer end of the run). NULL values form runs of their own, and a missing
-    position ends a run.
+    nearer end of the run). NULL values form runs of their own; a gap in the
+    positions ends a run, and so does a row where ``breaks`` holds.
     """
     keys = list(keys)
-    work = df.withColumn("_value", value).withColumn(
-        "_block", F.expr(f"`{position}` div {block_rows}"))
-    inner = Window.partitionBy(*keys, "_block").orderBy(position)
-    before_value = F.lag(F.struct(F.col("_value"), F.col(position).alias("_p"))).over(inner)
-    step = (
-        work.withColumn("_before", before_value)
-        .withColumn("_starts", F.when(F.col("_before").isNull(), F.lit(None).cast("boolean")).otherwise(
-            ~F.col("_before._value").eqNullSafe(F.col("_value"))
-            | (F.col("_before._p") != F.col(position) - 1)))
-    )
-    # First row of a block: its predecessor is the last row of an earlier block.
-    ends = work.groupBy(*keys, "_block").agg(
-        F.max_by(F.struct(F.col("_value"), F.col(position).alias("_p")), position).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_block")
-    carried = ends.select(*keys, "_block", F.lag("_last").over(across).alias("_carried"))
-    linked = step.join(carried, [*keys, "_block"]).withColumn(
-        "_starts",
-        F.coalesce(
-            F.col("_starts"),
-            F.col("_carried").isNull()
-            | ~F.col("_carried._value").eqNullSafe(F.col("_value"))
-            | (F.col("_carried._p") != F.col(position) - 1),
-        ),
-    )
-    # Start of the run each row belongs to: last start at or before it.
-    start_here = F.when(F.col("_starts"), F.col(position))
-    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    local = linked.withColumn("_start", F.max(start_here).over(upto))
-    block_last = linked.groupBy(*keys, "_block").agg(F.max(start_here).alias("_block_start"))
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = block_last.select(*keys, "_block", F.max("_block_start").over(before).alias("_earlier"))
-    placed = local.join(earlier, [*keys, "_block"]).withColumn(
-        "run_start", F.coalesce("_start", "_earlier"))
+    linked = df.selectExpr("*", f"{value} AS _value", f"{breaks} AS _breaks", f"{position} div {block_rows} AS _block")
+    # The row before is found by an equality on position, not by a window over the key.
+    before = linked.selectExpr(*keys, f"{position} + 1 AS {position}", "_value AS _before", "true AS _joined")
+    marked = linked.join(before, [*keys, position], "left").selectExpr(
+        *linked.columns, f"IF(_joined IS NULL OR _breaks OR NOT (_before <=> _value), {position}, NULL) AS _start")
+    block = [*keys, "_block"]
+    local = marked.selectExpr("*", f"max(_start) OVER ({_partition(block)} ORDER BY {position}) AS _last")
+    earlier = marked.groupBy(*block).agg(F.max("_start").alias("_top")).selectExpr(
+        *block, f"max(_top) OVER ({_partition(keys)} ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _earlier")
+    placed = local.join(earlier, block).selectExpr(*df.columns, "coalesce(_last, _earlier) AS run_start")
     lengths = placed.groupBy(*keys, "run_start").agg(F.count(F.lit(1)).alias("run_length"))
-    offset = F.col(position) - F.col("run_start")
-    return (
-        placed.join(lengths, [*keys, "run_start"])
-        .withColumn("run_offset", offset)
-        .withColumn("edge_distance", F.least(offset, F.col("run_length") - 1 - offset))
-        .drop("_value", "_block", "_before", "_starts", "_carried", "_start", "_earlier")
-    )
+    return placed.join(lengths, [*keys, "run_start"]).selectExpr(
+        *df.columns, "run_start", "run_length", f"{position} - run_start AS run_offset",
+        f"least({position} - run_start, run_length - 1 - ({position} - run_start)) AS edge_distance")
 
 
-def shifted(df: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str],
-            offset: int, prefix: str) -> DataFrame:
-    """Columns of the row ``offset`` positions away, to be left-joined on ``keys + position``.
+def with_neighbour(df: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str],
+                   offset: int, prefix: str, how: str = "left") -> DataFrame:
+    """Add ``<prefix><column>`` from the row ``offset`` positions away.
 
     An equi-join on a dense position replaces ``lag``/``lead``, which would pull a
     whole key into one window partition.
     """
-    return df.select(
-        *keys,
-        (F.col(position) - offset).alias(position),
-        *[F.col(c).alias(f"{prefix}{c}") for c in columns],
-    )
-
-
-def with_neighbour(df: DataFrame, keys: Sequence[str], position: str, columns: Sequence[str],
-                   offset: int, prefix: str) -> DataFrame:
-    moved = shifted(df, keys, position, columns, offset, prefix)
-    return df.join(moved, [*keys, position], "left")
+    moved = df.selectExpr(*keys, f"{position} - ({offset}) AS {position}", *[f"{c} AS {prefix}{c}" for c in columns])
+    return df.join(moved, [*keys, position], how)
 
 
-def dense_rank_by_sample(df: DataFrame, column: str, out: str = "position",
-                         buckets: int = 64) -> DataFrame:
+def dense_positions(df: DataFrame, column: str, out: str = "position", buckets: int = 64) -> DataFrame:
     """0-based rank of distinct, sortable values without a single-partition window.
 
     Boundaries come from a small sample of the values, so they only decide how
     evenly the buckets fill; the ranks are exact whatever the sample was.
     """
-    size = buckets * 20
-    sample = sorted(r[0] for r in df.select(column).orderBy(F.xxhash64(column)).limit(size).collect())
+    rows = df.select(column).orderBy(F.xxhash64(column)).limit(buckets * 20).collect()
+    sample = sorted(r[0] for r in rows)
     bounds = sample[:: max(1, len(sample) // buckets)][1:] if len(sample) >= 2 * buckets else []
-    values = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    bucket = F.lit(0) if values is None else F.size(F.filter(values, lambda b: b <= F.col(column)))
+    from ..functions.chemistry import sql_literal
+    bucket = f"size(filter({sql_literal(bounds)}, b -> b <= {column}))" if bounds else "0"
     return numbered(df, [], [column], bucket, out)
