@@ -113,14 +113,15 @@ def chain_fractions(spark, sf_dir):
 
 _POINTS = 960
 SASA = f"""radii(element, r) AS (VALUES {RADII}),
-ball AS (SELECT k, cos(k * pi() * (3 - sqrt(5::double))) * sqrt(greatest(0, 1 - z * z)) AS ux, sin(k * pi() * (3 - sqrt(5::double))) * sqrt(greatest(0, 1 - z * z)) AS uy, z AS uz
+ball AS MATERIALIZED (SELECT CAST(k AS INT) AS k, cos(k * pi() * (3 - sqrt(5::double))) * sqrt(greatest(0, 1 - z * z)) AS ux, sin(k * pi() * (3 - sqrt(5::double))) * sqrt(greatest(0, 1 - z * z)) AS uy, z AS uz
   FROM (SELECT k::double AS k, k * (2.0::double / {_POINTS}) - 1 + (2.0::double / {_POINTS}) / 2 AS z FROM range({_POINTS}) t(k))),
-hid AS (SELECT DISTINCT n.structure_id, n.ai, b.k FROM near n JOIN radii p ON p.element = n.ei JOIN radii q ON q.element = n.ej
+touch AS MATERIALIZED (SELECT n.structure_id, n.ai, p.r + 1.4 AS ra, (q.r + 1.4) * (q.r + 1.4) AS rb2, y.x - x.x AS dx, y.y - x.y AS dy, y.z - x.z AS dz
+  FROM near n JOIN radii p ON p.element = n.ei JOIN radii q ON q.element = n.ej
   JOIN atoms x ON x.structure_id = n.structure_id AND x.atom_idx = n.ai JOIN atoms y ON y.structure_id = n.structure_id AND y.atom_idx = n.aj
-  CROSS JOIN ball b WHERE n.d < p.r + q.r + 2.8
-  AND (b.ux * (p.r + 1.4) - (y.x - x.x)) * (b.ux * (p.r + 1.4) - (y.x - x.x)) + (b.uy * (p.r + 1.4) - (y.y - x.y)) * (b.uy * (p.r + 1.4) - (y.y - x.y))
-    + (b.uz * (p.r + 1.4) - (y.z - x.z)) * (b.uz * (p.r + 1.4) - (y.z - x.z)) < (q.r + 1.4) * (q.r + 1.4)),
-hidn AS (SELECT structure_id, ai, count(*) AS hidden FROM hid GROUP BY ALL),
+  WHERE n.d < p.r + q.r + 2.8),
+hid AS (SELECT structure_id, ai, k // 60 AS w, bit_count(bit_or(1::BIGINT << CAST(k % 60 AS INT))) AS n FROM touch CROSS JOIN ball
+  WHERE (ux * ra - dx) * (ux * ra - dx) + (uy * ra - dy) * (uy * ra - dy) + (uz * ra - dz) * (uz * ra - dz) < rb2 GROUP BY ALL),
+hidn AS (SELECT structure_id, ai, CAST(sum(n) AS BIGINT) AS hidden FROM hid GROUP BY ALL),
 area AS (SELECT a.*, {_POINTS} - coalesce(hidden, 0) AS open_points FROM atoms a LEFT JOIN hidn h ON h.structure_id = a.structure_id AND h.ai = a.atom_idx)"""
 
 

@@ -118,8 +118,7 @@ def fold_class(helix: str, beta: str) -> str:
         f"THEN 'mixed alpha/beta' END")
 
 
-def hbond_energy(n: Vec, h: Vec, c: Vec, o: Vec) -> str:
-    """Kabsch-Sander electrostatic energy in kcal/mol; 0 where any pair nearly coincides."""
-    on, ch, oh, cn = norm(sub(o, n)), norm(sub(c, h)), norm(sub(o, h)), norm(sub(c, n))
+def hbond_energy(on: str, ch: str, oh: str, cn: str) -> str:
+    """Kabsch-Sander electrostatic energy in kcal/mol from the four distances; 0 where any pair nearly coincides."""
     return (f"CASE WHEN least({on}, {ch}, {oh}, {cn}) < 0.5D THEN 0D "
             f"ELSE {0.084 * 332.0}D * (1D / {on} + 1D / {ch} - 1D / {oh} - 1D / {cn}) END")

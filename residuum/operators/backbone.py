@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import chemistry as chem
 from ..functions.geometry import angle, fold_class, hbond_energy, vec
 from ..functions.numeric import distance
-from ..session import reuse
+from ..session import stage
 from .sequence import BLOCK_ROWS, numbered, runs, with_neighbour
 from .spatial import radius_pairs
 
@@ -43,10 +43,12 @@ def chain_backbone(atoms: DataFrame) -> DataFrame:
     length = distance("before_c_", "before_o_")
     donates = f"bonded_before AND parent <> 'PRO' AND {length} >= 1e-6"
     hydrogens = [f"IF({donates}, n_{c} + (before_c_{c} - before_o_{c}) / {length}, NULL) AS h_{c}" for c in "xyz"]
-    return stretched.selectExpr(
+    # Kept: every rule below reads it, and the hydrogen position is a long expression
+    # that must be computed once, not copied into each distance of the bond energy.
+    return stage(stretched.selectExpr(
         *CHAIN, "residue_idx", "label", "k", "bonded_before", "run_start AS stretch",
         "run_offset + 1 < run_length AS bonded_after", *hydrogens,
-        *[f"{a}_{c}" for a in ("n", "ca", "c", "o") for c in "xyz"])
+        *[f"{a}_{c}" for a in ("n", "ca", "c", "o") for c in "xyz"]))
 
 
 def hydrogen_bonds(chains: DataFrame) -> DataFrame:
@@ -54,15 +56,19 @@ def hydrogen_bonds(chains: DataFrame) -> DataFrame:
     carried = ["chain", "k", "stretch", "residue_idx", *[f"{a}_{c}" for a in ("n", "h", "c", "o") for c in "xyz"]]
     points = chains.selectExpr("*", "ca_x AS x", "ca_y AS y", "ca_z AS z")
     pairs = radius_pairs(points, CA_RADIUS, carried, ident="residue_idx")
-    turned = []
+    sides = []
     for d, a in (("a", "b"), ("b", "a")):
-        energy = hbond_energy(*(vec(f"{p}_{atom}_") for p, atom in ((d, "n"), (d, "h"), (a, "c"), (a, "o"))))
-        turned.append(f"named_struct('e', {energy}, 'dc', {d}_chain, 'dk', {d}_k, 'ds', {d}_stretch, 'dr', {d}_residue_idx, "
-                      f"'ac', {a}_chain, 'ak', {a}_k, 'as', {a}_stretch, 'ar', {a}_residue_idx)")
-    return pairs.selectExpr("structure_id", f"explode(array({', '.join(turned)})) AS b").filter(
-        f"b.e < {ENERGY_CUTOFF}D AND NOT (b.dc = b.ac AND abs(b.dk - b.ak) < 2)").selectExpr(
-        "structure_id", "b.dr AS donor", "b.ar AS acceptor", "b.e AS energy", "b.dc AS donor_chain", "b.dk AS donor_k",
-        "b.ds AS donor_stretch", "b.ac AS acceptor_chain", "b.ak AS acceptor_k", "b.as AS acceptor_stretch")
+        legs = {leg: distance(f"{p}_{u}_", f"{q}_{v}_") for leg, (p, u, q, v) in {
+            "on": (a, "o", d, "n"), "ch": (a, "c", d, "h"), "oh": (a, "o", d, "h"), "cn": (a, "c", d, "n")}.items()}
+        fields = {f"{s}{f}": f"{p}_{n}" for s, p in (("d", d), ("a", a)) for f, n in (
+            ("c", "chain"), ("k", "k"), ("s", "stretch"), ("r", "residue_idx"))} | legs
+        sides.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
+    rows = pairs.selectExpr("structure_id", f"explode(array({', '.join(sides)})) AS b").selectExpr("structure_id", "b.*").filter(
+        "on IS NOT NULL AND oh IS NOT NULL AND NOT (dc = ac AND abs(dk - ak) < 2)")
+    return rows.selectExpr(
+        "structure_id", "dr AS donor", "ar AS acceptor", f"{hbond_energy('on', 'ch', 'oh', 'cn')} AS energy", "dc AS donor_chain",
+        "dk AS donor_k", "ds AS donor_stretch", "ac AS acceptor_chain", "ak AS acceptor_k", "as AS acceptor_stretch").filter(
+        f"energy < {ENERGY_CUTOFF}D")
 
 
 def turns(hbonds: DataFrame) -> DataFrame:
@@ -129,15 +135,24 @@ def _helix_codes(turn_rows: DataFrame, step: int, code: str) -> DataFrame:
         *CHAIN, f"explode(sequence(k, k + {step - 1})) AS k", f"{PRECEDENCE.index(code)} AS rank")
 
 
+def _sheet_ranks(found: DataFrame) -> DataFrame:
+    """E for residues of a bridge with a neighbour on its ladder, B for an isolated bridge."""
+    keys = ["structure_id", "chain_i", "chain_j", "kind", "k_i", "k_j"]
+    step = "IF(kind = 'P', s, -s)"
+    beside = found.selectExpr(*keys, "explode(array(-1, 1)) AS s").selectExpr(
+        *keys[:4], "k_i + s AS k_i", f"k_j + {step} AS k_j").distinct().withColumn("extends", F.lit(True))
+    ranked = found.join(beside, keys, "left").selectExpr(
+        "structure_id", "explode(array(struct(chain_i AS chain, k_i AS k), struct(chain_j AS chain, k_j AS k))) AS e",
+        f"IF(extends, {PRECEDENCE.index('E')}, {PRECEDENCE.index('B')}) AS rank")
+    return ranked.selectExpr("structure_id", "e.chain AS chain", "e.k AS k", "rank")
+
+
 def secondary_structure(atoms: DataFrame) -> DataFrame:
     """Eight-state code and three-state class of every residue with a complete backbone."""
-    chains = reuse(chain_backbone(atoms))
-    bonds = reuse(hydrogen_bonds(chains))
-    turn_rows = reuse(turns(bonds))
-    sheet = ladders(bridges(chains, bonds)).selectExpr(
-        "structure_id", "explode(array(struct(chain_i AS chain, k_i AS k), struct(chain_j AS chain, k_j AS k))) AS e",
-        f"IF(ladder >= 2, {PRECEDENCE.index('E')}, {PRECEDENCE.index('B')}) AS rank").selectExpr(
-        "structure_id", "e.chain AS chain", "e.k AS k", "rank")
+    chains = chain_backbone(atoms)
+    bonds = stage(hydrogen_bonds(chains))
+    turn_rows = stage(turns(bonds))
+    sheet = _sheet_ranks(stage(bridges(chains, bonds)))
     plain = turn_rows.selectExpr(*CHAIN, "explode(sequence(k + 1, k + step - 1)) AS k", f"{PRECEDENCE.index('T')} AS rank")
     here = chains.select(*CHAIN, "k", "stretch", "ca_x", "ca_y", "ca_z")
     around = here

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chemistry as chem
 from ..functions.numeric import distance
-from ..session import cut_lineage
+from ..session import stage
 from .keyed import argmin_by, two_smallest
 from .spatial import nearest_target, radius_join, radius_pairs, residue_pair_minima
 
@@ -99,18 +99,18 @@ def greedy_matching(edges: DataFrame, group: list[str], a: str, b: str, order: l
     touches them. Rounds are bounded by the longest chain of competing edges, and
     the remaining edges shrink every round; no component is gathered anywhere.
     """
-    remaining, accepted = cut_lineage(edges), None
+    remaining, accepted = stage(edges), None
     rank = f"struct({', '.join(order)})"
     while True:
         ends = remaining.selectExpr(*group, f"explode(array({a}, {b})) AS node", f"{rank} AS edge")
         first = ends.groupBy(*group, "node").agg(F.min("edge").alias("first"))
         at = {n: first.selectExpr(*group, f"node AS {n}", f"first AS first_{n}") for n in (a, b)}
-        chosen = cut_lineage(
+        chosen = stage(
             remaining.join(at[a], [*group, a]).join(at[b], [*group, b])
             .filter(f"{rank} = first_{a} AND {rank} = first_{b}").select(*edges.columns))
         accepted = chosen if accepted is None else accepted.unionByName(chosen)
         used = chosen.selectExpr(*group, f"explode(array({a}, {b})) AS node")
-        remaining = cut_lineage(
+        remaining = stage(
             remaining.join(used.withColumnRenamed("node", a), [*group, a], "left_anti")
             .join(used.withColumnRenamed("node", b), [*group, b], "left_anti").select(*edges.columns))
         if remaining.isEmpty():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chemistry as chem
 from ..functions.numeric import distance
-from ..session import reuse
+from ..session import stage
 
 PEPTIDE_MAX, NUCLEIC_MAX = 2.0, 2.2
 
@@ -59,7 +59,7 @@ def bonds(atoms: DataFrame, disulfides: DataFrame | None = None) -> DataFrame:
 
 def separations(edges: DataFrame, depth: int = 2) -> DataFrame:
     """Fewest bonds between atoms up to ``depth`` apart: ``(structure_id, atom_a, atom_b, separation)``."""
-    edges = reuse(edges)
+    edges = stage(edges)
     reached = edges.selectExpr("structure_id", "atom_a", "atom_b", "1 AS separation")
     frontier = edges
     step = edges.selectExpr("structure_id", "atom_a AS via", "atom_b AS next")

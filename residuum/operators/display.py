@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import round3
 from .spatial import radius_join
@@ -35,7 +36,7 @@ def rotation_matrix(seed: int) -> np.ndarray:
     return np.eye(3) + 2.0 * w * skew + 2.0 * skew @ skew
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def rotations(seeds: pd.Series) -> pd.Series:
     """Row-major rotation matrix per seed. The generator is numpy's, so this cannot be a JVM expression."""
     return pd.Series([rotation_matrix(s).ravel() for s in seeds])

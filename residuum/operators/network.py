@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reuse
+from ..session import stage
 from . import contacts as c
 
 
@@ -40,7 +40,7 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     Pairs are reached through the shared node by an equi-join. Only the count and
     the least bridge are kept per pair, and both combine map-side.
     """
-    edges = reuse(edges)
+    edges = stage(edges)
     arms = both_ways(edges)
     left = arms.selectExpr("structure_id", "node", "neighbour AS a", "distance AS d_a")
     right = arms.selectExpr("structure_id", "node", "neighbour AS b", "distance AS d_b")
@@ -53,7 +53,7 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
 
 def bridging_residues(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """Residues touching both anchors of each listed pair ``(structure_id, a, b)``."""
-    arms = both_ways(reuse(edges))
+    arms = both_ways(stage(edges))
     to_a = arms.selectExpr("structure_id", "neighbour AS a", "node AS bridge")
     to_b = arms.selectExpr("structure_id", "neighbour AS b", "node AS bridge")
     return anchors.join(to_a, ["structure_id", "a"]).join(to_b, ["structure_id", "b", "bridge"]).filter(
@@ -67,7 +67,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_edges: int = 3) -> Da
     work stops growing for a pair as soon as it is answered.
     """
     keys = ["structure_id", "source", "target"]
-    step = both_ways(reuse(edges)).selectExpr("structure_id", "node AS tail", "neighbour")
+    step = both_ways(stage(edges)).selectExpr("structure_id", "node AS tail", "neighbour")
     open_paths = pairs.selectExpr(*keys, "array(source) AS path")
     done = open_paths.filter("source = target")
     open_paths = open_paths.filter("source <> target")
@@ -76,7 +76,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_edges: int = 3) -> Da
             "NOT array_contains(path, neighbour)").selectExpr(*keys, "array_append(path, neighbour) AS path")
         if level == max_edges - 1:
             return done.unionByName(grown.filter("element_at(path, -1) = target"))
-        grown = reuse(grown)
+        grown = stage(grown)
         hit = grown.filter("element_at(path, -1) = target")
         done = done.unionByName(hit)
         open_paths = grown.join(hit.select(*keys).distinct(), keys, "left_anti")
@@ -91,7 +91,7 @@ def near_miss(atoms: DataFrame, pairs: DataFrame, search: float) -> DataFrame:
     """
     minima = c.residue_pair_minima(c.protein_atoms(atoms), search).selectExpr(
         "structure_id", "residue_idx_i AS i", "residue_idx_j AS j", "distance")
-    arms = both_ways(reuse(minima))
+    arms = both_ways(stage(minima))
     to_a = arms.selectExpr("structure_id", "neighbour AS a", "node", "distance AS d_a")
     to_b = arms.selectExpr("structure_id", "neighbour AS b", "node", "distance AS d_b")
     worst = pairs.select("structure_id", "a", "b", "bridge").join(to_a, ["structure_id", "a"]).join(

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 BLOCK_ROWS = 4096
 
 
@@ -44,13 +46,13 @@ def runs(df: DataFrame, keys: Sequence[str], position: str, value: str, *, break
     nearer end of the run). NULL values form runs of their own; a gap in the
     positions ends a run, and so does a row where ``breaks`` holds.
     """
-    keys = list(keys)
+    keys, df = list(keys), stage(df)
     linked = df.selectExpr("*", f"{value} AS _value", f"{breaks} AS _breaks", f"{position} div {block_rows} AS _block")
     # The row before is found by an equality on position, not by a window over the key.
     before = linked.selectExpr(*keys, f"{position} + 1 AS {position}", "_value AS _before", "true AS _joined")
     marked = linked.join(before, [*keys, position], "left").selectExpr(
         *linked.columns, f"IF(_joined IS NULL OR _breaks OR NOT (_before <=> _value), {position}, NULL) AS _start")
-    block = [*keys, "_block"]
+    marked, block = stage(marked), [*keys, "_block"]
     local = marked.selectExpr("*", f"max(_start) OVER ({_partition(block)} ORDER BY {position}) AS _last")
     earlier = marked.groupBy(*block).agg(F.max("_start").alias("_top")).selectExpr(
         *block, f"max(_top) OVER ({_partition(keys)} ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _earlier")

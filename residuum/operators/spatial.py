@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import distance, squared_distance
-from ..session import cut_lineage, estimated_bytes
+from ..session import estimated_bytes, stage
 from .keyed import argmin_by
 
 #: Half of the 26 touching cells plus the cell itself.
@@ -160,9 +160,9 @@ def nearest_target(sources: DataFrame, targets: DataFrame, *, group: list[str],
     for _ in range(max_rounds):
         pairs = radius_join(pending, targets, radius, group=group).selectExpr(
             *group, *[f"a_{k} AS {k}" for k in source_key], "distance")
-        hits = cut_lineage(pairs.groupBy(*keys).agg(F.min("distance").alias("distance")))
+        hits = stage(pairs.groupBy(*keys).agg(F.min("distance").alias("distance")))
         found = hits if found is None else found.unionByName(hits)
-        pending = cut_lineage(pending.join(hits, keys, "left_anti"))
+        pending = stage(pending.join(hits, keys, "left_anti"))
         if pending.isEmpty():
             return found
         radius *= 2.0

@@ -6,12 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import displacement_class
-from ..session import reuse
+from ..session import stage
 
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 2.0, -1.0, -10.0, -0.5  # fixed values
-FIT = "rotation array<double>, translation array<double>"
+_DOUBLES, _INTS = T.ArrayType(T.DoubleType()), T.ArrayType(T.IntegerType())
+FIT = T.StructType().add("rotation", _DOUBLES).add("translation", _DOUBLES)
+ALIGNED = T.StructType().add("identity", T.DoubleType()).add("i", _INTS).add("j", _INTS)
 
 
 # -- sequence alignment ----------------------------------------------------------
@@ -74,7 +77,7 @@ def align_sequences(a: str, b: str) -> tuple[list[int], list[int], float]:
     return left, other, same / max(1, min(n, m))
 
 
-@F.pandas_udf("identity double, i array<int>, j array<int>")
+@F.pandas_udf(ALIGNED)
 def alignment(first: pd.Series, second: pd.Series) -> pd.DataFrame:
     rows = [align_sequences(a, b) for a, b in zip(first, second)]
     return pd.DataFrame({"identity": [r[2] for r in rows], "i": [r[0] for r in rows], "j": [r[1] for r in rows]})
@@ -167,17 +170,17 @@ def superpose_states(pairs: DataFrame, keys: list[str], outlier: float = 2.0) ->
     ``pairs`` has ``keys``, ``is_core`` and the points ``m_*`` (moving) and ``t_*``. Returns the
     fits with RMSD before and after, and every pair with its displacement under the final fit.
     """
-    pairs = reuse(pairs)
+    pairs = stage(pairs)
     core = pairs.filter("is_core")
-    first = reuse(kabsch(core, keys))
-    measured = reuse(_residuals(core, first, keys))
+    first = stage(kabsch(core, keys))
+    measured = stage(_residuals(core, first, keys))
     kept = measured.filter(f"residual <= {outlier}D").drop("residual")
     second = kabsch(kept, keys)
     state = measured.groupBy(*keys).agg(
         F.expr("count(*) AS n_core"), F.expr(f"count_if(residual > {outlier}D) AS n_outliers"),
         F.expr("sqrt(avg(residual * residual)) AS rmsd_before"))
     refit = "n_outliers > 0 AND n_core - n_outliers >= 3"
-    fits = reuse(first.join(state, keys).join(
+    fits = stage(first.join(state, keys).join(
         second.selectExpr(*keys, "rotation AS rotation_2", "translation AS translation_2"), keys, "left").selectExpr(
         *keys, "n_core", "n_outliers", "rmsd_before", f"{refit} AS refitted",
         f"IF({refit}, rotation_2, rotation) AS rotation", f"IF({refit}, translation_2, translation) AS translation"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import chemistry as chem
 from ..functions.geometry import burial_class
@@ -37,7 +38,7 @@ def hidden_masks(n_points: int = N_POINTS):
     """Arrow UDF: which of an atom's points lie strictly inside one neighbour's sphere, as 64-bit words."""
     words = -(-n_points // 64)
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def masks(reach: pd.Series, dx: pd.Series, dy: pd.Series, dz: pd.Series, other: pd.Series) -> pd.Series:
         unit = sphere_points(n_points)
         out = []
@@ -76,7 +77,7 @@ def atom_areas(atoms: DataFrame, probe: float = PROBE, n_points: int = N_POINTS,
     masked = sided.withColumn("mask", hidden_masks(n_points)("reach", "dx", "dy", "dz", "other"))
     hidden = masked.groupBy(*group, "atom_idx").agg(
         *[F.expr(f"bit_or(mask[{w}]) AS w{w}") for w in range(words)]).selectExpr(
-        *group, "atom_idx", " + ".join(f"bit_count(w{w})" for w in range(words)) + " AS hidden")
+        *group, "atom_idx", "CAST(" + " + ".join(f"bit_count(w{w})" for w in range(words)) + " AS BIGINT) AS hidden")
     rest = [c for c in atoms.columns if c not in {*group, "atom_idx"}]
     return pts.join(hidden, [*group, "atom_idx"], "left").selectExpr(
         *group, "atom_idx", *rest, f"{n_points} - coalesce(hidden, 0) AS open_points",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+import uuid
+from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Everything here is a runtime SQL setting, so it can be applied to a session
@@ -24,9 +26,24 @@ RUNTIME_SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, so that Arrow functions can be loaded there."""
+    context = spark.sparkContext
+    if context.master.startswith("local") or context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/residuum", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "residuum", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -34,7 +51,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return configure(builder.getOrCreate())
@@ -55,19 +72,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iterative result in the shared folder so that it survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep a relation that several branches of one plan read.
+def stage(df: DataFrame) -> DataFrame:
+    """Write a relation to the shared folder and read it back.
 
-    Without it every branch recomputes the relation and the plan doubles with each
-    use. Lost blocks are recomputed from lineage, so this is a speed-up only.
+    For relations that several branches or rounds read. Later plans start from a
+    columnar scan with a known size: nothing is recomputed per branch, plans stay
+    small however often the relation is joined, and a lost executor costs a re-read.
     """
-    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+    if getattr(df, "_staged", False):
+        return df
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = True
+    return out
 
 
 def estimated_bytes(df: DataFrame) -> int:
