@@ -115,10 +115,10 @@ _POINTS = 960
 SASA = f"""radii(element, r) AS (VALUES {RADII}),
 ball AS MATERIALIZED (SELECT CAST(k AS INT) AS k, cos(k * pi() * (3 - sqrt(5::double))) * sqrt(greatest(0, 1 - z * z)) AS ux, sin(k * pi() * (3 - sqrt(5::double))) * sqrt(greatest(0, 1 - z * z)) AS uy, z AS uz
   FROM (SELECT k::double AS k, k * (2.0::double / {_POINTS}) - 1 + (2.0::double / {_POINTS}) / 2 AS z FROM range({_POINTS}) t(k))),
-touch AS MATERIALIZED (SELECT n.structure_id, n.ai, p.r + 1.4 AS ra, (q.r + 1.4) * (q.r + 1.4) AS rb2, y.x - x.x AS dx, y.y - x.y AS dy, y.z - x.z AS dz
-  FROM near n JOIN radii p ON p.element = n.ei JOIN radii q ON q.element = n.ej
-  JOIN atoms x ON x.structure_id = n.structure_id AND x.atom_idx = n.ai JOIN atoms y ON y.structure_id = n.structure_id AND y.atom_idx = n.aj
-  WHERE n.d < p.r + q.r + 2.8),
+wide AS MATERIALIZED (SELECT structure_id, atom_idx, x, y, z, r + 1.4 AS r FROM atoms JOIN radii USING (element)),
+touch AS MATERIALIZED (SELECT a.structure_id, a.atom_idx AS ai, a.r AS ra, b.r * b.r AS rb2, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz
+  FROM wide a JOIN wide b ON a.structure_id = b.structure_id AND a.atom_idx <> b.atom_idx
+  WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) < a.r + b.r),
 hid AS (SELECT structure_id, ai, k // 60 AS w, bit_count(bit_or(1::BIGINT << CAST(k % 60 AS INT))) AS n FROM touch CROSS JOIN ball
   WHERE (ux * ra - dx) * (ux * ra - dx) + (uy * ra - dy) * (uy * ra - dy) + (uz * ra - dz) * (uz * ra - dz) < rb2 GROUP BY ALL),
 hidn AS (SELECT structure_id, ai, CAST(sum(n) AS BIGINT) AS hidden FROM hid GROUP BY ALL),

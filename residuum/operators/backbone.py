@@ -165,7 +165,8 @@ def secondary_structure(atoms: DataFrame) -> DataFrame:
     ranks = _helix_codes(turn_rows, 4, "H").unionByName(sheet).unionByName(_helix_codes(turn_rows, 3, "G")).unionByName(
         _helix_codes(turn_rows, 5, "I")).unionByName(plain).unionByName(bends)
     best = ranks.groupBy(*CHAIN, "k").agg(F.min("rank").alias("rank"))
-    code = f"coalesce(element_at({chem.sql_literal(list(PRECEDENCE))}, rank + 1), ' ')"
+    # try_element_at: element_at over a literal array is taken to be non-null even for a NULL index.
+    code = f"coalesce(try_element_at({chem.sql_literal(list(PRECEDENCE))}, rank + 1), ' ')"
     return chains.select(*CHAIN, "k", "residue_idx", "label").join(best, [*CHAIN, "k"], "left").selectExpr(
         *CHAIN, "residue_idx", "label", "k", f"{code} AS code").selectExpr("*", f"{chem.three_state('code')} AS class")
 
