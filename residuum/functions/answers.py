@@ -44,11 +44,14 @@ def strip_markup(text: str) -> str:
     return stripped(f"regexp_replace({out}, {_re(r'\.+\z')}, '')")
 
 
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it in ``body`` under ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def final_marker(text: str) -> str:
     """Index of the last line carrying the marker, or -1; lines are separated by line feeds."""
-    lines = f"split({text}, '\\n')"
-    return (f"array_max(transform(sequence(0, size({lines}) - 1), "
-            f"i -> IF({lines}[i] RLIKE {_re(MARKER)}, i, -1)))")
+    return f"array_max(transform(split({text}, '\\n'), (line, i) -> IF(line RLIKE {_re(MARKER)}, i, -1)))"
 
 
 def final_columns(text: str) -> list[list[str]]:
@@ -100,19 +103,18 @@ def _integer_text(text: str) -> str:
 
 
 def canonical_residue(token: str) -> str:
-    t = f"replace({strip_markup(token)}, ' ', '')"
-
     def build(pattern: str) -> str:
-        part = [f"regexp_extract({t}, {_re(pattern)}, {i})" for i in (1, 2, 3)]
+        part = [f"regexp_extract(tok, {_re(pattern)}, {i})" for i in (1, 2, 3)]
         return f"concat(upper({part[0]}), ':', upper({part[1]}), {_integer_text(part[2])})"
-    return f"CASE WHEN {t} RLIKE {_re(RESIDUE)} THEN {build(RESIDUE)} WHEN {t} RLIKE {_re(ENTITY)} THEN {build(ENTITY)} END"
+    return let(f"replace({strip_markup(token)}, ' ', '')", "tok",
+               f"CASE WHEN tok RLIKE {_re(RESIDUE)} THEN {build(RESIDUE)} WHEN tok RLIKE {_re(ENTITY)} THEN {build(ENTITY)} END")
 
 
 def canonical_atom(token: str) -> str:
-    t = f"replace({strip_markup(token)}, ' ', '')"
-    part = [f"regexp_extract({t}, {_re(ATOM)}, {i})" for i in (1, 2, 3, 4)]
-    return (f"CASE WHEN {t} RLIKE {_re(ATOM)} THEN concat(upper({part[0]}), ':', upper({part[1]}), "
-            f"{_integer_text(part[2])}, ':', upper({part[3]})) END")
+    part = [f"regexp_extract(tok, {_re(ATOM)}, {i})" for i in (1, 2, 3, 4)]
+    return let(f"replace({strip_markup(token)}, ' ', '')", "tok",
+               f"CASE WHEN tok RLIKE {_re(ATOM)} THEN concat(upper({part[0]}), ':', upper({part[1]}), "
+               f"{_integer_text(part[2])}, ':', upper({part[3]})) END")
 
 
 def pair_parts(token: str) -> str:
@@ -121,21 +123,20 @@ def pair_parts(token: str) -> str:
 
 def canonical_pair(token: str) -> str:
     """Unordered pair of residues as ``first--second`` in sorted order."""
-    parts = pair_parts(token)
-    ends = f"array_sort(transform({parts}, p -> {canonical_residue('p')}))"
-    return f"CASE WHEN size({parts}) = 2 AND NOT exists({ends}, e -> e IS NULL) THEN array_join({ends}, '--') END"
+    ends = f"array_sort(transform({pair_parts(token)}, p -> {canonical_residue('p')}))"
+    return let(ends, "ends", "CASE WHEN size(ends) = 2 AND NOT exists(ends, e -> e IS NULL) THEN array_join(ends, '--') END")
 
 
 def split_list(text: str) -> str:
-    cleaned = strip_markup(text)
-    words = f"regexp_replace({cleaned}, {_re(r'(?iU)\band\b')}, ',')"
+    words = f"regexp_replace(cl, {_re(r'(?iU)\band\b')}, ',')"
     items = f"filter(transform(split({words}, '[,;\\n]+'), p -> {stripped('p')}), p -> p <> '')"
-    return f"IF(lower({cleaned}) IN ({', '.join(sql_literal(w) for w in EMPTY_WORDS)}), CAST(array() AS array<string>), {items})"
+    empty = ", ".join(sql_literal(w) for w in EMPTY_WORDS)
+    return let(strip_markup(text), "cl", f"IF(lower(cl) IN ({empty}), CAST(array() AS array<string>), {items})")
 
 
 def _canonical_set(text: str, each: str) -> str:
-    values = f"transform({split_list(text)}, t -> {each})"
-    return f"CASE WHEN NOT exists({values}, v -> v IS NULL) THEN array_sort(array_distinct({values})) END"
+    return let(f"transform({split_list(text)}, t -> {each})", "vals",
+               "CASE WHEN NOT exists(vals, v -> v IS NULL) THEN array_sort(array_distinct(vals)) END")
 
 
 def canonical_residue_set(text: str) -> str:
@@ -155,13 +156,13 @@ def canonical_category(text: str, allowed: str) -> str:
 
     ``allowed`` is an array expression; NULL means any text is its own category.
     """
-    cleaned = f"lower({stripped(f'regexp_replace({strip_markup(text)}, {_re(r'(?U)\s+')}, ' ')')})"
-    ordered = (f"array_sort({allowed}, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) "
-               "ELSE array_position({al}, a) - array_position({al}, b) END)").replace("{al}", allowed)
-    inside = f"filter({ordered}, o -> {cleaned} RLIKE concat('(?U)\\\\b\\\\Q', lower(o), '\\\\E\\\\b'))"
-    exact = f"filter({allowed}, o -> lower(o) = {cleaned})"
-    return (f"CASE WHEN {allowed} IS NULL THEN {cleaned} "
-            f"ELSE coalesce(try_element_at({exact}, -1), try_element_at({inside}, 1)) END")
+    squeezed = f"regexp_replace({strip_markup(text)}, {_re(r'(?U)\s+')}, ' ')"
+    by_length = (f"array_sort({allowed}, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) "
+                 f"ELSE CAST(array_position({allowed}, a) - array_position({allowed}, b) AS INT) END)")
+    inside = f"filter({by_length}, o -> cl RLIKE concat('(?U)\\\\b\\\\Q', lower(o), '\\\\E\\\\b'))"
+    exact = f"filter({allowed}, o -> lower(o) = cl)"
+    return let(f"lower({stripped(squeezed)})", "cl", f"CASE WHEN {allowed} IS NULL THEN cl "
+               f"ELSE coalesce(try_element_at({exact}, -1), try_element_at({inside}, 1)) END")
 
 
 def canonical_boolean(text: str) -> str:
@@ -171,8 +172,8 @@ def canonical_boolean(text: str) -> str:
 
 def canonical_choice(text: str, options: str = "CAST(NULL AS array<string>)") -> str:
     letter = f"regexp_extract(upper({strip_markup(text)}), {_re(r'(?U)^\(?([A-Z])\)?\b')}, 1)"
-    return (f"CASE WHEN {letter} <> '' AND ({options} IS NULL OR size({options}) = 0 "
-            f"OR array_contains(transform({options}, o -> upper(o)), {letter})) THEN {letter} END")
+    return let(letter, "lt", f"CASE WHEN lt <> '' AND ({options} IS NULL OR size({options}) = 0 "
+               f"OR array_contains(transform({options}, o -> upper(o)), lt)) THEN lt END")
 
 
 def canonical_number(text: str) -> str:
@@ -181,17 +182,16 @@ def canonical_number(text: str) -> str:
 
 
 def canonical_integer(text: str) -> str:
-    number = canonical_number(text)
-    return f"CASE WHEN abs({number} - rint({number})) <= 1e-9 THEN CAST(rint({number}) AS BIGINT) END"
+    return let(canonical_number(text), "nr", "CASE WHEN abs(nr - rint(nr)) <= 1e-9 THEN CAST(rint(nr) AS BIGINT) END")
 
 
 def canonical_triple(text: str) -> str:
     cleaned = f"translate({strip_markup(text)}, '()[]', '    ')"
-    numbers = f"regexp_extract_all({cleaned}, {_re(NUMBER)}, 0)"
-    return f"CASE WHEN size({numbers}) = 3 THEN transform({numbers}, n -> CAST(n AS DOUBLE)) END"
+    return let(f"regexp_extract_all({cleaned}, {_re(NUMBER)}, 0)", "nrs",
+               "CASE WHEN size(nrs) = 3 THEN transform(nrs, n -> CAST(n AS DOUBLE)) END")
 
 
 def canonical_path(text: str) -> str:
     parts = f"filter(split({strip_markup(text)}, '->|→'), p -> {stripped('p')} <> '')"
-    nodes = f"transform({parts}, p -> {canonical_residue('p')})"
-    return f"CASE WHEN size({parts}) >= 2 AND NOT exists({nodes}, n -> n IS NULL) THEN {nodes} END"
+    return let(f"transform({parts}, p -> {canonical_residue('p')})", "nodes",
+               "CASE WHEN size(nodes) >= 2 AND NOT exists(nodes, n -> n IS NULL) THEN nodes END")
