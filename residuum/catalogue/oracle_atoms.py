@@ -37,11 +37,11 @@ template(name, ordinal, atom_name, element, radius, turn, height) AS (VALUES {_a
 parents(name, parent) AS (VALUES {PARENTS}),
 letters(name, letter) AS (VALUES {LETTERS}),
 res0 AS (
-  SELECT *, vec_id % 256 AS residue_idx, vec_id % 256 % 16 AS place, vec_id % 256 // 16 AS segment FROM embeddings),
+  SELECT *, vec_id % 160 AS residue_idx, vec_id % 160 % 16 AS place, vec_id % 160 // 16 AS segment FROM embeddings),
 res1 AS (
-  SELECT *, 'S' || (vec_id // 256) AS structure_id,
-    CASE WHEN residue_idx < 128 THEN 'A' ELSE 'B' END AS chain,
-    CAST(residue_idx % 128 + 1 AS INT) AS seq_id,
+  SELECT *, 'S' || (vec_id // 160) AS structure_id,
+    CASE WHEN residue_idx < 80 THEN 'A' ELSE 'B' END AS chain,
+    CAST(residue_idx % 80 + 1 AS INT) AS seq_id,
     CASE WHEN place = 15 AND segment % 2 = 0 THEN 'metal' WHEN place = 15 THEN 'ligand' ELSE 'protein' END AS entity,
     CASE WHEN place = 15 AND segment % 2 = 0 THEN {_list(t.METAL_NAMES)}[vec_id // 16 % 3 + 1]
          WHEN place = 15 THEN {_list(t.LIGAND_NAMES)}[vec_id // 32 % 2 + 1]

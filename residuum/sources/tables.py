@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Residues per derived structure, and per chain within it.
-STRUCTURE_RESIDUES, CHAIN_RESIDUES, SEGMENT = 256, 128, 16
+STRUCTURE_RESIDUES, CHAIN_RESIDUES, SEGMENT = 160, 80, 16
 NAMES = list(chem.ONE_LETTER)
 # Backbone of an ideal alpha helix as radius, angle, height per atom.
 HELIX = {"N": (1.53, -27.3, -0.88), "CA": (2.29, 0.0, 0.0), "C": (1.66, 26.3, 1.07), "O": (1.90, 20.0, 2.27)}
