@@ -73,6 +73,9 @@ def atom_areas(atoms: DataFrame, probe: float = PROBE, n_points: int = N_POINTS,
         f"named_struct('atom_idx', {p}_atom_idx, 'reach', {p}_reach, 'dx', {q}_x - {p}_x, 'dy', {q}_y - {p}_y, "
         f"'dz', {q}_z - {p}_z, 'other', {q}_reach)" for p, q in ("ab", "ba"))
     sided = pairs.selectExpr(*group, f"explode(array({turned})) AS p").selectExpr(*group, "p.*")
+    # Masks cost far more time than their input has bytes, so the spread is fixed here rather
+    # than left to a size-based merge; hashing the offset spreads even a single atom's pairs.
+    sided = sided.repartition(int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dx", "dy", "dz")
     words = -(-n_points // 64)
     masked = sided.withColumn("mask", hidden_masks(n_points)("reach", "dx", "dy", "dz", "other"))
     hidden = masked.groupBy(*group, "atom_idx").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as an
 from ..operators.keyed import latest
+from ..session import widened
 
 DISTANCE_TOLERANCE, TRIPLE_TOLERANCE = 0.02, 0.001  # fixed values
 SCALAR_SCHEMAS = ("residue", "atom", "category", "multiple_choice", "residue_pair")
@@ -19,6 +20,7 @@ PARSED = {"text": "string", "number": "double", "flag": "boolean", "items": "arr
 
 def with_final(df: DataFrame, text: str = "response") -> DataFrame:
     """Add ``inline`` and ``fields`` of the last final block."""
+    df = widened(df)
     for step in an.final_columns(text):
         df = df.selectExpr(*step)
     return df

@@ -89,6 +89,15 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Spread the rows of an input with few splits before work that is heavy per row.
+
+    A large input already has more splits than cores and passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate for a plan; no job is run."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
