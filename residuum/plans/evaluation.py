@@ -72,6 +72,48 @@ def repeat_seeds(renders: DataFrame, completions: int) -> DataFrame:
     return renders.selectExpr("*", f"explode(sequence(0, {completions - 1})) AS completion_index").selectExpr("*", f"{seed} AS seed")
 
 
+def batch_chunks(requests: DataFrame, run_key: str = "run_id", max_requests: int = BATCH_REQUESTS, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Requests in order, cut into chunks that are filled until the next request would not fit.
+
+    ``requests`` holds the run key, a dense 0-based ``place`` and ``bytes``. Where a chunk
+    starting at a row would end follows from running sizes, so every row first finds its
+    successor; chunk starts are then the rows reached from row 0, found by doubling the
+    stride: as many rounds as the logarithm of the number of chunks, and no row is
+    visited one after the other.
+    """
+    from ..operators.sequence import BLOCK_ROWS
+    from ..session import stage
+
+    key = [run_key]
+    blocked = requests.selectExpr(run_key, "place", "bytes", f"place div {BLOCK_ROWS} AS block")
+    local = blocked.selectExpr("*", f"sum(bytes) OVER (PARTITION BY {run_key}, block ORDER BY place) AS upto")
+    before = blocked.groupBy(*key, "block").agg(F.expr("sum(bytes) AS total")).selectExpr(
+        run_key, "block", f"coalesce(sum(total) OVER (PARTITION BY {run_key} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")
+    summed = stage(local.join(before, [*key, "block"]).selectExpr(run_key, "place", "bytes", "upto + base AS upto"))
+    # A chunk ends within max_requests rows, so the search for its end meets at most two request blocks.
+    ends = summed.selectExpr(run_key, "place AS last", "upto AS last_upto", f"explode(array(place div {max_requests}, place div {max_requests} - 1)) AS part")
+    jumps = summed.selectExpr(run_key, "place", "upto - bytes AS base", f"place div {max_requests} AS part").join(ends, [*key, "part"]).filter(
+        f"last >= place AND last < place + {max_requests} AND (last_upto - base <= {max_bytes} OR last = place)").groupBy(*key, "place").agg(
+        F.expr("max(last) + 1 AS next"))
+    jumps = stage(jumps)
+    starts = requests.select(*key).distinct().selectExpr(run_key, "0L AS place")
+    while True:
+        reached = starts.join(jumps, [*key, "place"]).selectExpr(run_key, "next AS place").join(summed.select(*key, "place"), [*key, "place"], "left_semi")
+        grown = stage(starts.unionByName(reached).distinct())
+        if grown.count() == starts.count():
+            break
+        starts = grown
+        jumps = stage(jumps.join(jumps.selectExpr(run_key, "place AS next", "next AS after"), [*key, "next"], "left").selectExpr(
+            run_key, "place", "coalesce(after, next) AS next"))
+    # The chunk of a row is the number of starts up to it: counted inside blocks, then across them.
+    flagged = requests.join(starts.selectExpr(run_key, "place", "1L AS opens"), [*key, "place"], "left").selectExpr(
+        "*", f"place div {BLOCK_ROWS} AS block")
+    inside = flagged.selectExpr("*", f"sum(coalesce(opens, 0)) OVER (PARTITION BY {run_key}, block ORDER BY place) AS so_far")
+    opened = flagged.groupBy(*key, "block").agg(F.expr("sum(coalesce(opens, 0)) AS n")).selectExpr(
+        run_key, "block", f"coalesce(sum(n) OVER (PARTITION BY {run_key} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")
+    return inside.join(opened, [*key, "block"]).selectExpr(*requests.columns, "so_far + base - 1 AS chunk")
+
+
 def batch_outputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Outputs that may be stored: ids seen once, in jobs whose every id is known.
 

@@ -158,3 +158,17 @@ def test_batch_outputs_are_all_or_nothing(spark):
     inputs = spark.createDataFrame([("j1", "a"), ("j1", "b"), ("j2", "c")], "job_id string, custom_id string")
     outputs = spark.createDataFrame([("j1", "a", "1"), ("j1", "b", "2"), ("j1", "b", "3"), ("j2", "c", "4"), ("j2", "zz", "5")], "job_id string, custom_id string, body string")
     assert [tuple(r) for r in evaluation.batch_outputs(inputs, outputs).collect()] == [("j1", "a", "1")]
+
+
+def test_batches_are_filled_greedily(spark):
+    rng = np.random.default_rng(9)
+    sizes = [int(v) for v in rng.integers(1, 60, size=157)]
+    df = spark.createDataFrame([("r", i, b) for i, b in enumerate(sizes)], "run_id string, place long, bytes long")
+    got = [r.chunk for r in evaluation.batch_chunks(df, max_requests=6, max_bytes=100).orderBy("place").collect()]
+    want, chunk, count, total = [], 0, 0, 0
+    for b in sizes:
+        if count and (count == 6 or total + b > 100):
+            chunk, count, total = chunk + 1, 0, 0
+        count, total = count + 1, total + b
+        want.append(chunk)
+    assert got == want
