@@ -319,7 +319,20 @@ def capped_rejections(spark, sf_dir):
     return select.capped_rejections(rows, ["event_type", "source"], ["event_id"]).select("event_type", "source", "event_id", "n_rejections")
 
 
-@query("quota_fold")
+def _quota_sql(families, target, cap):
+    """The families one after another, each as its own step."""
+    steps, used = [], "SELECT NULL::BIGINT AS cluster, 0 AS n WHERE false"
+    for i, f in enumerate(families):
+        steps.append(f"""u{i} AS ({used}), r{i} AS (SELECT e.family, e.cluster, e.place, coalesce(u.n, 0) AS used,
+          row_number() OVER (PARTITION BY e.cluster ORDER BY e.place) AS k FROM e LEFT JOIN u{i} u USING (cluster) WHERE e.family = '{f}'),
+          c{i} AS (SELECT family, cluster, place FROM r{i} WHERE k + used <= {cap} ORDER BY place LIMIT {target})""")
+        taken = " UNION ALL ".join(f"SELECT * FROM c{j}" for j in range(i + 1))
+        used = f"SELECT cluster, count(*) AS n FROM ({taken}) GROUP BY ALL"
+    head = "e AS (SELECT event_type AS family, user_id % 30 AS cluster, event_id AS place FROM events WHERE value > 20)"
+    return f"WITH {head}, {', '.join(steps)} {taken}"
+
+
+@query("quota_fold", _quota_sql(["click", "error", "purchase", "signup", "view"], 25, 4))
 def quota_fold(spark, sf_dir):
     """Five families filled in turn with at most four rows per cluster overall."""
     rows = table(spark, sf_dir, "events").selectExpr("event_type AS family", "user_id % 30 AS cluster", "event_id AS place", "value > 20 AS usable")
