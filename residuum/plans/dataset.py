@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import hashing as h
 from ..functions.texts import token_estimate
 from ..operators import select
+from ..operators.keyed import first_per_key
+from ..session import beside
 from ..sources import structures
 from . import families as fam
 
@@ -55,8 +57,9 @@ def select_candidates(proposals: DataFrame, families: list[str], targets: dict[s
     pool = select.pooled_order(accepted, key, ["rank", "parameters"], draw)
     spread = select.diversified(pool, key, "tag", ["pool_rank"])
     order = h.derive_seed(("raw", f"'{seed}'"), h.text("protein"), "cluster")
-    turns = spread.selectExpr("*", f"{cluster} AS cluster").selectExpr(
-        "*", "row_number() OVER (PARTITION BY family, cluster ORDER BY pick) AS turn", f"{order} AS cluster_seed")
+    most = max(targets.values(), default=0) * select.OVERSAMPLE
+    turns = first_per_key(spread.selectExpr("*", f"{cluster} AS cluster"), ["family", "cluster"], ["structure_id", "pick"], most, "turn").selectExpr(
+        "*", f"{order} AS cluster_seed")
     placed = None
     for family in families:
         limit = targets.get(family, 0) * select.OVERSAMPLE
@@ -120,4 +123,5 @@ def over_budget(rendered: DataFrame, budget: int) -> DataFrame:
 
 def build_summary(instances: DataFrame, rendered: DataFrame, rejections: DataFrame) -> DataFrame:
     tokens = rendered.agg(F.expr("count(*) AS renders"), F.expr("max(input_token_count) AS max_tokens"), F.expr("avg(input_token_count) AS mean_tokens"))
-    return instances.agg(F.expr("count(*) AS instances")).join(tokens).join(rejections.agg(F.expr("count(*) AS rejections")))
+    counted = beside(instances.agg(F.expr("count(*) AS instances")), tokens)
+    return beside(counted, rejections.agg(F.expr("count(*) AS rejections")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.chemistry import in_list
 from ..operators.display import generator
 from ..operators.sequence import dense_positions
-from ..session import stage
+from ..session import beside, stage
 
 SET_SCHEMAS = ("residue_set", "string_set", "residue_pair_set", "two_interaction_sets")  # fixed values
 OBSERVATION = ("changed_residue", "changed_residues", "gained_pair", "initial_residues")  # fixed values
@@ -189,7 +189,7 @@ def clustered_bootstrap(scores: DataFrame, seed: str, *, samples: int = 2000, st
     resampled = bootstrap_draws(scores.sparkSession, n, samples, seed).join(placed, "position").groupBy("sample", "family").agg(
         F.expr("sum(times * s) / sum(times * n) AS m")).groupBy("sample").agg(F.expr("avg(m) AS value"))
     interval = resampled.agg(F.expr(f"percentile(value, {alpha / 2}D) AS ci_low"), F.expr(f"percentile(value, {1 - alpha / 2}D) AS ci_high"))
-    return point.join(interval).selectExpr("*", f"CAST({n} AS BIGINT) AS n_clusters", f"CAST({samples} AS BIGINT) AS samples")
+    return beside(point, interval).selectExpr("*", f"CAST({n} AS BIGINT) AS n_clusters", f"CAST({samples} AS BIGINT) AS samples")
 
 
 def paired_difference(first: DataFrame, second: DataFrame, seed: str, *, samples: int = 2000, alpha: float = 0.05) -> DataFrame:
@@ -203,13 +203,9 @@ def paired_difference(first: DataFrame, second: DataFrame, seed: str, *, samples
     if n == 0:
         return summary.selectExpr("*", "0D AS ci_low", "0D AS ci_high")
     placed = pairs.join(dense_positions(pairs.select("semantic_instance_id"), "semantic_instance_id"), "semantic_instance_id")
-    values = bootstrap_draws(scores_spark(first), n, samples, seed).join(placed, "position").groupBy("sample").agg(
+    values = bootstrap_draws(first.sparkSession, n, samples, seed).join(placed, "position").groupBy("sample").agg(
         F.expr("sum(times * (a - b)) / sum(times) AS value"))
-    return summary.join(values.agg(F.expr(f"percentile(value, {alpha / 2}D) AS ci_low"), F.expr(f"percentile(value, {1 - alpha / 2}D) AS ci_high")))
-
-
-def scores_spark(df: DataFrame):
-    return df.sparkSession
+    return beside(summary, values.agg(F.expr(f"percentile(value, {alpha / 2}D) AS ci_low"), F.expr(f"percentile(value, {1 - alpha / 2}D) AS ci_high")))
 
 
 def analyse_run(scores: DataFrame, samples: int = 2000) -> dict[str, DataFrame]:

@@ -89,13 +89,22 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Below this many input bytes per core, work that is heavy per row is spread explicitly.
+NARROW_BYTES = 8 << 20
+
+
 def widened(df: DataFrame) -> DataFrame:
-    """Spread the rows of an input with few splits before work that is heavy per row.
+    """Spread the rows of a small input before work that is heavy per row.
 
     A large input already has more splits than cores and passes through untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if estimated_bytes(df) < cores * NARROW_BYTES else df
+
+
+def beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Columns of two single-row relations next to each other."""
+    return one.selectExpr("*", "1 AS _row").join(other.selectExpr("*", "1 AS _row"), "_row").drop("_row")
 
 
 def estimated_bytes(df: DataFrame) -> int:
