@@ -143,7 +143,15 @@ def residue_burial(spark, sf_dir):
         "structure_id", "label", "open_points", "burial")
 
 
-@query("isolated_chain_surface")
+_ALONE = SASA.replace("a.structure_id = b.structure_id AND a.atom_idx", "a.structure_id = b.structure_id AND a.chain = b.chain AND a.atom_idx").replace(
+    "SELECT structure_id, atom_idx, x, y, z, r", "SELECT structure_id, chain, atom_idx, x, y, z, r")
+
+
+@query("isolated_chain_surface", f"""{W}, {_ALONE}, ref(parent, m) AS (VALUES {_ASA}),
+  s AS (SELECT a.structure_id, a.chain, a.label, a.parent, a.entity, sum(4 * pi() * (r + 1.4) * (r + 1.4) * open_points / {_POINTS}) AS area, CAST(sum(open_points) AS BIGINT) AS open_points
+    FROM area a JOIN radii USING (element) GROUP BY ALL)
+  SELECT structure_id, chain, label, open_points, CASE WHEN entity = 'protein' AND area / m <= 0.2 THEN 'buried'
+    WHEN entity = 'protein' AND area / m >= 0.4 THEN 'solvent-exposed' ELSE 'intermediate' END AS burial FROM s LEFT JOIN ref USING (parent)""")
 def isolated_chain_surface(spark, sf_dir):
     return surface.isolated_chain_areas(atoms(spark, sf_dir)).select("structure_id", "chain", "label", "open_points", "burial")
 

@@ -181,9 +181,14 @@ def parse_normalized(lines: DataFrame) -> DataFrame:
         "structure_id", "line_no", "line", "split(line, ',') AS v",
         f"CASE WHEN line_no = 0 AND line <> '{TABLE_HEADER}' THEN raise_error('unexpected table header') "
         "WHEN size(split(line, ',')) <> 9 THEN raise_error(concat('unexpected column count in line ', line_no)) ELSE true END AS ok")
+
+    def body(i: int) -> str:
+        # The filter below may run after this projection, so the header must not reach a cast.
+        return f"IF(line_no = 0, NULL, v[{i}])"
+
     return checked.filter("ok AND line_no > 0").selectExpr(
-        "structure_id", "line_no AS serial", "v[0] AS record", "v[1] AS chain", "CAST(v[2] AS INT) AS seq_id", "v[3] AS name", "v[4] AS atom_name",
-        "v[5] AS element", "CAST(v[6] AS DOUBLE) AS x", "CAST(v[7] AS DOUBLE) AS y", "CAST(v[8] AS DOUBLE) AS z")
+        "structure_id", "line_no AS serial", "v[0] AS record", "v[1] AS chain", f"CAST({body(2)} AS INT) AS seq_id", "v[3] AS name", "v[4] AS atom_name",
+        "v[5] AS element", *[f"CAST({body(6 + i)} AS DOUBLE) AS {c}" for i, c in enumerate("xyz")])
 
 
 def entity_legend(atoms: DataFrame) -> DataFrame:
