@@ -3,7 +3,8 @@
 A forest of ``TREES`` sorted orders: tree t sorts documents by its own ``DEPTH`` min-hashes. In each
 order the ``NEIGHBOURS`` documents before a document, those with the longest common prefixes, are its
 candidates. The depth adapts by itself: where few documents share a prefix the neighbours reach down
-to ``MIN_DEPTH`` common hashes, in a crowded region they are those that agree on all of them. Sorting is a
+to ``MIN_DEPTH`` common hashes; in a crowded region, where more than ``NEAR`` documents lie closer, a
+candidate must share ``CROWDED_DEPTH``, and the nearest agree on all of them. Sorting is a
 range partitioning of (key, document), so a crowded region, even one of equal keys, is cut into even
 parts, and the pairs across a cut are formed from the rows at its two sides.
 
@@ -28,6 +29,7 @@ from residuum.session import stage
 
 SHINGLE = 5
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 20, 8, 3, 16
+NEAR, CROWDED_DEPTH = 4, 5
 #: Bytes of further hashes that go with each entry: a pair must agree on as many as a linked pair does (less 4.5 standard deviations).
 SKETCH = 32
 #: Documents of a chunk of the grid, and forest entries of a partition.
@@ -84,9 +86,9 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
 
 def _neighbours(keys, sketches, ids, fresh: int, agree: int) -> tuple[list[bytes], list[bytes]]:
     """Pairs whose later row is among the last ``fresh`` rows."""
-    a, b, n, prefix = [], [], len(keys), 1 + 2 * MIN_DEPTH
+    a, b, n = [], [], len(keys)
     for step in range(1, min(NEIGHBOURS, n - 1) + 1):
-        first = max(step, n - fresh)
+        first, prefix = max(step, n - fresh), 1 + 2 * (MIN_DEPTH if step <= NEAR else CROWDED_DEPTH)
         later = np.arange(first, n)
         same = (keys[later, :prefix] == keys[later - step, :prefix]).all(axis=1)
         later = later[same]
