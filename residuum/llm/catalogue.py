@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residuum.llm import chat, neardup, quality, secrets
+from residuum.llm import chat, htmltext, neardup, quality, secrets, tokencount, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies; every executor has it at the same place."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 PROBE_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -79,3 +85,22 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_i
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN least l USING (doc_id)""")
 def op9(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents")).drop("set_key")
+
+
+@query("op2_html_extraction")
+def op2(spark, folder):
+    return htmltext.extract_text(table(spark, folder, "pages"))
+
+
+@query("op4_token_counts")
+def op4(spark, folder):
+    # A section is a line with its line break; the last one may be empty.
+    lines = F.split(F.coalesce("text", F.lit("")), "(?<=\n)")
+    return tokencount.section_tokens(table(spark, folder, "documents").select("doc_id", lines.alias("sections")), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+@query("op8_bpe_encode_decode")
+def op8(spark, folder):
+    encoded = wordbpe.encode_texts(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
