@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residuum.llm import chat, htmltext, neardup, quality, secrets, tokencount, wordbpe
+from residuum.llm import chat, decontaminate, htmltext, langid, neardup, quality, secrets, tokencount, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,13 @@ def op8(spark, folder):
     encoded = wordbpe.encode_texts(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_language_id")
+def op3(spark, folder):
+    return langid.identify(table(spark, folder, "documents"))
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
