@@ -6,9 +6,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residuum.llm import quality, secrets
+from residuum.llm import decontaminate, neardup, quality, secrets, wordbpe
+from residuum.llm.catalogue import tokenizer_file
 from residuum.session import configure, stage
 
 
@@ -18,13 +19,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    configure(spark)
+    return neardup.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    configure(spark)
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked."""
     configure(spark)
     return secrets.redact(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("secret_scans", secrets_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the text that they decode to."""
+    configure(spark)
+    encoded = wordbpe.encode_texts(docs, tokenizer_file("word_bpe_49k.json"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [("quality_rules", quality_stage), ("near_duplicates", near_duplicate_stage), ("benchmark_decontamination", benchmark_stage),
+          ("secret_scans", secrets_stage), ("bpe_tokens", token_stage)]
 
 #: No SQL: learned cutoffs and models, and a tokenizer. Tests compare with a brute-force version.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residuum.llm import chat, decontaminate, htmltext, langid, neardup, quality, secrets, tokencount, wordbpe
+from residuum.llm import chat, decontaminate, htmltext, langid, lm, neardup, quality, secrets, tokencount, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ def op3(spark, folder):
 @query("op7_benchmark_decontamination")
 def op7(spark, folder):
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op10_lm_scoring")
+def op10(spark, folder):
+    return lm.score_texts(table(spark, folder, "documents"))

@@ -27,10 +27,10 @@ UNKNOWN = "und"
 
 
 def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
-    """(lang, windows as strings) of the sample; only rows with a text and a lang."""
+    """(lang, windows as strings) of the sample; only rows with a letter and a lang."""
     place = lambda k: F.pmod(F.xxhash64("text", k), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
     cut = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda k: F.substring("text", place(k), F.lit(WINDOW)))
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").select("lang", F.xxhash64("text").alias("h"), cut.alias("cut"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("lang", F.xxhash64("text").alias("h"), cut.alias("cut"))
     # A rank filter keeps that many rows per task and language before the shuffle.
     ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
     return [(r["lang"], r["cut"]) for r in ranked.orderBy("lang", "h").collect()]
