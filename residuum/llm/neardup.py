@@ -29,7 +29,7 @@ from residuum.session import stage
 
 SHINGLE = 5
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 20, 8, 3, 16
-NEAR, CROWDED_DEPTH = 4, 5
+NEAR, CROWDED_DEPTH = 4, 7
 #: Bytes of further hashes that go with each entry: a pair must agree on as many as a linked pair does (less 4.5 standard deviations).
 SKETCH = 32
 #: Documents of a chunk of the grid, and forest entries of a partition.
