@@ -205,7 +205,8 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) ->
     block = ["root", "i", "j"]
     members = placed.select(*block, F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    members = members.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select(
+    # Texts are shuffled at every size, so that a run costs in proportion to its input.
+    members = members.join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(
         *[F.col(c).alias(f"_{c}") for c in block], "node", "text")
     return placed.groupBy(*block).cogroup(members.groupBy(*[f"_{c}" for c in block])).applyInPandas(_confirmer(percent), "a binary, b binary")
 
@@ -246,7 +247,7 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     judged = stage(near_duplicates(docs, percent))
     ids = judged.groupBy("doc_id").agg((F.count("*") > 1).alias("_many"), F.max("kept").alias("_any")).where("_any").withColumnRenamed("doc_id", "_id")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    met = own.join(ids, F.col("_doc.doc_id").eqNullSafe(F.col("_id")))
+    met = own.hint("merge").join(ids, F.col("_doc.doc_id").eqNullSafe(F.col("_id")))
     many = met.where("_many").select("_doc")
     keyed = many.mapInArrow(_keyed(None), many.withColumn("_key", F.lit(None).cast("binary")).schema)
     right = judged.where("kept").select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_right")).distinct()
