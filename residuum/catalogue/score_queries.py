@@ -81,10 +81,9 @@ def pairwise_agreement(spark, sf_dir):
 
 
 @query("worst_instances", f"""{S} SELECT semantic_instance_id, question_family, min(protein_group_id) AS protein_group_id, avg(score) AS mean_score FROM s
-  GROUP BY semantic_instance_id, question_family, protein_group_id ORDER BY mean_score, semantic_instance_id, protein_group_id LIMIT 12""")
+  GROUP BY semantic_instance_id, question_family, protein_group_id ORDER BY mean_score, semantic_instance_id, question_family, protein_group_id LIMIT 12""")
 def worst_instances(spark, sf_dir):
-    rows = scores(spark, sf_dir).groupBy("semantic_instance_id", "question_family", "protein_group_id").agg(F.expr("avg(score) AS mean_score"))
-    return rows.orderBy("mean_score", "semantic_instance_id", "protein_group_id").limit(12)
+    return report.worst_instances(scores(spark, sf_dir))
 
 
 @query("completion_conditioned", f"""{S} SELECT question_family, count(*) AS n, count(*) FILTER (truncated) AS n_truncated, avg(score) AS score_all,

@@ -119,7 +119,7 @@ def mechanistic(scores: DataFrame) -> DataFrame:
 
 def worst_instances(scores: DataFrame, limit: int = 12) -> DataFrame:
     return scores.groupBy("semantic_instance_id", "question_family", "protein_group_id").agg(
-        F.expr("avg(score) AS mean_score")).orderBy("mean_score", "semantic_instance_id").limit(limit)
+        F.expr("avg(score) AS mean_score")).orderBy("mean_score", "semantic_instance_id", "question_family", "protein_group_id").limit(limit)
 
 
 def completion_conditioned(scores: DataFrame, key: str) -> DataFrame:
@@ -228,11 +228,11 @@ def analyse_run(scores: DataFrame, samples: int = 2000) -> dict[str, DataFrame]:
     }
 
 
-def markdown(tables: dict[str, DataFrame], max_rows: int = 200) -> str:
-    """The report tables as Markdown. Only report-sized tables reach the driver."""
+def markdown(tables: dict[str, DataFrame]) -> str:
+    """The report tables as Markdown, every row of them, read part by part."""
     lines = ["# Run report", ""]
     for name, df in tables.items():
-        rows = df.limit(max_rows).collect()
+        rows = df.toLocalIterator()
         lines += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         lines += ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
         lines.append("")
