@@ -101,14 +101,26 @@ def _neighbours(keys, sketches, ids, fresh: int, agree: int) -> tuple[list[bytes
     return a, b
 
 
-_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("cut", pa.int32()), ("key", pa.binary()), ("sketch", pa.binary())])
+def _joins(root: dict[bytes, bytes], a: bytes, b: bytes) -> bool:
+    """Whether the edge connects two trees of the union-find ``root``; they are joined."""
+    ends = []
+    for x in (a, b):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        ends.append(x)
+    root[ends[0]] = ends[1]
+    return ends[0] != ends[1]
+
+
+_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("joins", pa.bool_()), ("cut", pa.int32()), ("key", pa.binary()), ("sketch", pa.binary())])
 _WIDTH = 1 + 2 * DEPTH
 
 
 def _walker(agree: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates of one sorted part, then its first and last rows, marked with the cuts they lie at."""
-        part, head, tail = TaskContext.get().partitionId(), [], None
+        part, head, tail, root = TaskContext.get().partitionId(), [], None, {}
         for batch in batches:
             if not len(batch):
                 continue
@@ -121,14 +133,15 @@ def _walker(agree: int):
                 # The same pair is near in many trees; the first pruning costs nothing.
                 a, b = zip(*set(zip(a, b)))
                 none = [None] * len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(none, pa.int32()),
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()),
+                                                  pa.array([_joins(root, *p) for p in zip(a, b)], pa.bool_()), pa.array(none, pa.int32()),
                                                   pa.array(none, pa.binary()), pa.array(none, pa.binary())], schema=_FOUND)
             if len(head) < NEIGHBOURS:
                 head += list(zip(*[x[:NEIGHBOURS - len(head)] for x in rows]))
             tail = [x[-NEIGHBOURS:] for x in joined]
         if tail:
             edge = [(part - 1, *r) for r in head if part] + [(part, *r) for r in zip(*tail)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in edge], pa.binary()), pa.array([None] * len(edge), pa.binary()),
+            yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in edge], pa.binary()), pa.array([None] * len(edge), pa.binary()), pa.array([None] * len(edge), pa.bool_()),
                                               pa.array([r[0] for r in edge], pa.int32()), pa.array([r[1] for r in edge], pa.binary()),
                                               pa.array([r[2] for r in edge], pa.binary())], schema=_FOUND)
     return walk
@@ -140,7 +153,7 @@ def _across(agree: int):
         keys = np.frombuffer(b"".join(rows["key"]), np.uint8).reshape(-1, _WIDTH)
         sketches = np.frombuffer(b"".join(map(bytes, rows["sketch"])), np.uint8).reshape(-1, SKETCH)
         a, b = _neighbours(keys, sketches, list(rows["a"]), len(rows), agree)
-        return pd.DataFrame({"a": a, "b": b})
+        return pd.DataFrame({"a": a, "b": b, "joins": True})
     return cross
 
 
@@ -181,7 +194,10 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, that are neighbours in a tree; ``nodes`` has (node, signature)."""
+    """Pairs (a, b) of nodes, a < b, that are neighbours in a tree; ``nodes`` has (node, signature).
+
+    ``joins`` marks a spanning forest of the pairs of each sorted part: together these connect what all pairs connect.
+    """
     share = percent / 100
     agree = int(SKETCH * share - 4.5 * (SKETCH * share * (1 - share)) ** 0.5)
     entries = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "signature").select(
@@ -189,14 +205,14 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         F.substring("signature", F.lit(TREES * 2 * DEPTH + 1), F.lit(SKETCH)).alias("sketch"), "node")
     parts = max(1, -(-nodes.count() * TREES // ENTRIES))
     ordered = entries.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
-    found = stage(ordered.mapInArrow(_walker(agree), "a binary, b binary, cut int, key binary, sketch binary"))
-    across = found.where("cut IS NOT NULL").groupBy("cut").applyInPandas(_across(agree), "a binary, b binary")
-    return found.where("cut IS NULL").select("a", "b").unionByName(across).distinct()
+    found = stage(ordered.mapInArrow(_walker(agree), "a binary, b binary, joins boolean, cut int, key binary, sketch binary"))
+    across = found.where("cut IS NOT NULL").groupBy("cut").applyInPandas(_across(agree), "a binary, b binary, joins boolean")
+    return found.where("cut IS NULL").select("a", "b", "joins").unionByName(across).groupBy("a", "b").agg(F.max("joins").alias("joins"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b); inside a block only those that connect something new."""
-    comp = components(pairs)
+    comp = components(pairs.where("joins"))
     comp = comp.join(comp.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("grid")), "root")
     comp = stage(comp.select("node", "root", F.pmod(F.xxhash64("node"), F.col("grid")).alias("chunk")))
     side = lambda c: comp.select(F.col("node").alias(c), F.col("chunk").alias(f"{c}_chunk"), *(["root"] if c == "a" else []))
