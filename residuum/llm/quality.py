@@ -160,5 +160,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
     own = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    cuts = stage(cutoffs(stage(with_measures(own.drop("_doc")).drop("text")), labels))
-    return judged(with_measures(own), cuts).where("_kept").select("_doc.*")
+    # Measured once and written: a filter on measures not yet written would be pushed below them and compute them again.
+    measured = stage(with_measures(own).drop("text", "lang", "_m"))
+    return judged(measured, stage(cutoffs(measured, labels))).where("_kept").select("_doc.*")
