@@ -10,7 +10,7 @@ from ..functions import texts
 from ..functions.numeric import fixed_text, round3
 from ..operators import keyed, select
 from ..operators.sequence import runs
-from ..plans import evaluation, report, scoring
+from ..plans import evaluation, report, scoring, validation
 from ..sources.tables import table
 from .registry import query
 
@@ -134,17 +134,23 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{texts.token_estimate('text')} AS tokens")
 
 
-_WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+_WORDS = "regexp_extract_all(text, '[A-Za-z0-9]+')"
 
 
-@query("leak_scan", f"""WITH ids AS (SELECT DISTINCT unnest({_WORDS}) AS identifier FROM benchmark),
-  w AS (SELECT doc_id, unnest({_WORDS}) AS identifier FROM documents)
-  SELECT doc_id, identifier FROM w JOIN ids USING (identifier) WHERE length(identifier) >= 11""")
+@query("leak_scan", f"""WITH w AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  ids AS (SELECT item_id, unnest([{{'kind': 'entry', 'identifier': w[1]}}, {{'kind': 'publication', 'identifier': 'doi:' || w[-1]}}, {{'kind': 'component', 'identifier': w[2]}}], recursive := true) FROM w),
+  d AS (SELECT doc_id, text, identifier, kind FROM documents JOIN ids ON item_id % 40 = doc_id % 40)
+  SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, 'leak:' || kind || ':' || identifier AS violation FROM d
+  WHERE CASE kind WHEN 'entry' THEN regexp_matches(text, '(?i)(^|[^\\pL\\pN_])' || identifier || '([^\\pL\\pN_]|$)')
+    WHEN 'publication' THEN length(identifier) > 8 AND contains(text, substr(identifier, 5))
+    ELSE regexp_matches(text, '(^|[^A-Za-z0-9])' || identifier || '([^A-Za-z0-9]|$)') END""")
 def leak_scan(spark, sf_dir):
-    """Texts that contain one of a list of identifiers as a whole word."""
-    words = "explode(array_distinct(regexp_extract_all(lower(text), '[a-z0-9]+', 0))) AS identifier"
-    ids = table(spark, sf_dir, "benchmark").selectExpr(words).filter("length(identifier) >= 11").distinct()
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", words).join(ids, "identifier").select("doc_id", "identifier")
+    """Every text against the identifiers of the benchmark items of its group."""
+    words = "regexp_extract_all(text, '[A-Za-z0-9]+', 0)"
+    ids = table(spark, sf_dir, "benchmark").selectExpr("item_id", f"{words} AS w").selectExpr(
+        "item_id % 40 AS semantic_instance_id", "stack(3, 'entry', try_element_at(w, 1), 'publication', concat('doi:', try_element_at(w, -1)), 'component', try_element_at(w, 2)) AS (kind, identifier)")
+    shown = table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS STRING) AS render_id", "doc_id % 40 AS semantic_instance_id", "text AS user_prompt")
+    return validation.provenance_leaks(shown, ids)
 
 
 # -- parsing and scoring ---------------------------------------------------------
@@ -288,8 +294,8 @@ def runs_islands(spark, sf_dir):
 _SEED = "CAST(('0x' || substr(sha256('[\"{p}\",' || {c} || ']'), 1, 16))::UBIGINT & 9223372036854775807::UBIGINT AS BIGINT)"
 
 
-@query("pooled_choice", f"""WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 16)
-  SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY {_SEED.format(p='pool', c='doc_id')}) AS INT) AS pool_rank FROM p""")
+@query("pooled_choice", f"""WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents)
+  SELECT lang, doc_id, CASE WHEN k <= 16 THEN CAST(row_number() OVER (PARTITION BY lang, k <= 16 ORDER BY {_SEED.format(p='pool', c='doc_id')}) AS INT) END AS pool_rank FROM p""")
 def pooled_choice(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return select.pooled_order(docs, ["lang"], ["n_chars DESC", "doc_id"], h.derive_seed(h.text("pool"), h.raw("doc_id"))).select(

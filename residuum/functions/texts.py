@@ -8,6 +8,6 @@ def token_estimate(text: str) -> str:
     return f"CAST(floor(length({text}) / 2.9D) AS BIGINT) + 1"
 
 
-def contains_word(text: str, word: str) -> str:
-    """Case-insensitive whole-word search for a literal; both arguments are SQL text."""
-    return f"{text} RLIKE concat('(?iU)(?<![A-Za-z0-9])\\\\Q', {word}, '\\\\E(?![A-Za-z0-9])')"
+def contains_word(text: str, word: str, any_case: bool = True) -> str:
+    """Whole-word search for a literal, by default in any case; both arguments are SQL text."""
+    return f"{text} RLIKE concat('{'(?iU)' if any_case else ''}(?<![A-Za-z0-9])\\\\Q', {word}, '\\\\E(?![A-Za-z0-9])')"

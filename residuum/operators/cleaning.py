@@ -14,9 +14,13 @@ KEY = ["structure_id", "chain", "seq_id", "icode", "name"]
 WATERS = ("DOD", "HOH")  # fixed values
 CHAIN_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"  # fixed value
 # Crystallisation additives dropped unless a configuration keeps them.
-ADDITIVES = tuple("""HOH DOD SO4 PO4 GOL EDO PEG PGE PG4 1PE 2PE P6G MPD TRS MES EPE ACT ACY FMT CIT TLA MLA IMD DMS IPA BME DTT
-NH4 CL BR IOD NA K CS RB LI BOG LDA C8E OLC OLA MYR PLM STE D10 D12 DD9 UNX UNL PE4 PEE LMT DMU HEZ BU3 SIN MRD XPE SGM TAM TAR
-FLC MPO POP PPV AZI NO3 SCN BCT CO3 OXL BEN BTB CAC PDO""".split())
+ADDITIVES = (
+    "HOH", "DOD", "SO4", "PO4", "GOL", "EDO", "PEG", "PGE", "PG4", "1PE", "2PE", "P6G", "MPD", "TRS", "MES", "EPE",
+    "ACT", "ACY", "FMT", "CIT", "TLA", "MLA", "IMD", "DMS", "IPA", "BME", "DTT", "NH4", "CL", "BR", "IOD", "NA", "K",
+    "CS", "RB", "LI", "BOG", "LDA", "C8E", "OLC", "OLA", "MYR", "PLM", "STE", "D10", "D12", "DD9", "UNX", "UNL", "PE4",
+    "PEE", "LMT", "DMU", "HEZ", "BU3", "SIN", "MRD", "XPE", "SGM", "TAM", "TAR", "FLC", "MPO", "POP", "PPV", "AZI",
+    "NO3", "SCN", "BCT", "CO3", "OXL", "BEN", "BTB", "CAC", "PDO",
+)
 EXCLUDED_METHODS = ("SOLUTION NMR", "SOLID-STATE NMR")  # fixed values
 
 
@@ -91,6 +95,12 @@ def insertion_codes(atoms: DataFrame) -> DataFrame:
         "structure_id", "'insertion_code_present' AS reason", "concat(chain, ':', seq_id, icode) AS detail").distinct()
 
 
+def emptied(before: DataFrame, after: DataFrame, reason: str) -> DataFrame:
+    """Structures of ``before`` of which nothing is left in ``after``."""
+    return before.select("structure_id").distinct().join(after.select("structure_id").distinct(), "structure_id", "left_anti").selectExpr(
+        "structure_id", f"'{reason}' AS reason", "structure_id AS detail")
+
+
 def remap_chains(atoms: DataFrame) -> DataFrame:
     """Chain names longer than one character get unused single characters, in order of appearance."""
     seen = atoms.groupBy("structure_id", "chain").agg(F.min("ord").alias("o")).groupBy("structure_id").agg(
@@ -108,7 +118,7 @@ def build_residues(atoms: DataFrame) -> DataFrame:
     found = atoms.groupBy(*KEY).agg(F.expr("min(ord) AS first_ord"), F.expr("count(*) AS n_atoms"), F.expr("avg(bfactor) AS confidence"))
     opened = found.groupBy("structure_id", "chain").agg(F.expr("min(first_ord) AS chain_ord"))
     placed = numbered(found.join(opened, ["structure_id", "chain"]), ["structure_id"], ["chain_ord", "first_ord"],
-                      f"chain_ord * 1000000000 + first_ord div {BLOCK_ROWS}", "residue_idx")
+                      f"struct(chain_ord, first_ord div {BLOCK_ROWS})", "residue_idx")
     return placed.selectExpr("*", f"{chem.entity_of('name', 'n_atoms')} AS entity", f"{chem.polymer_kind('name')} AS polymer_kind",
                              f"{chem.parent_of('name')} AS parent", f"{chem.one_letter('name')} AS one_letter")
 
@@ -149,15 +159,19 @@ def clean(raw: DataFrame, *, keep: tuple[str, ...] = (), chains: DataFrame | Non
     atoms = raw if chains is None else filter_chains(raw, chains)
     # Conformers are chosen with all atoms present; hydrogens go after the choice.
     atoms = drop_hydrogens_and_waters(resolve_altlocs(filter_components(atoms, keep)))
+    # A code rejects a structure even where a range would leave its residue out.
+    rejections = insertion_codes(atoms).unionByName(emptied(raw, atoms, "no_retained_residues"))
     if ranges is not None:
+        before = atoms = stage(atoms)
         atoms = filter_ranges(atoms, ranges)
+        rejections = rejections.unionByName(emptied(before, atoms, "residue_ranges_retained_nothing"))
     if splits is not None:
         atoms = split_chains(atoms, splits)
     atoms = stage(remap_chains(stage(atoms)))
     residues = stage(anonymise_ligands(assign_poly_index(stage(build_residues(atoms)))).selectExpr(
         "*", f"{chem.residue_label('chain', 'orig_name', 'seq_id', 'entity')} AS raw_label").selectExpr(
         "* EXCEPT (raw_label)", "IF(entity = 'protein', raw_label, concat(chain, ':', name, seq_id)) AS label"))
-    rejections = insertion_codes(atoms).unionByName(label_collisions(residues))
+    rejections = stage(rejections.unionByName(label_collisions(residues)))
     if chains is not None:
         rejections = rejections.unionByName(missing_chains(atoms, chains))
     carried = ["structure_id", "chain", "seq_id", "icode", "orig_name", "residue_idx", "name", "entity", "polymer_kind", "parent",

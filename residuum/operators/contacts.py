@@ -26,7 +26,7 @@ def _sided(pairs: DataFrame, first: str, fields: list[str], *extra: str) -> Data
 
 
 def residue_contacts(atoms: DataFrame, cutoff: float = 4.0, min_separation: int = 3,
-                     sequence_exclusion: bool = True, probe: bool | None = None) -> DataFrame:
+                     sequence_exclusion: bool = True, probe: bool = False) -> DataFrame:
     """Protein residue pairs within ``cutoff``, neighbours along a chain left out."""
     extra = None
     if sequence_exclusion:
@@ -150,16 +150,28 @@ def metal_coordination(atoms: DataFrame, beyond: float = 1.5) -> DataFrame:
         "distance <= b_cutoff AS is_donor")
 
 
+#: Radius that nearly all atoms stay below, Angstrom.
+USUAL_RADIUS = 2.10
+
+
 def clashes(atoms: DataFrame, separations: DataFrame, tolerance: float = 0.40,
             exclude_metals: bool = True) -> DataFrame:
     """Worst overlap of every residue pair: ``r1 + r2 - tolerance - d > 0`` beyond two bonds."""
     candidates = atoms.filter("entity <> 'metal'") if exclude_metals else atoms
-    widest = max(r for e, r in chem.VDW_RADIUS.items() if not exclude_metals or e not in chem.MONATOMIC_METALS)
+    # Few elements are wider than the usual ones; only their atoms are searched further out.
+    usual, widest = USUAL_RADIUS, max(chem.VDW_RADIUS.values())
     pts = candidates.selectExpr("*", f"{chem.vdw_radius('element')} AS radius")
     overlap = f"a_radius + b_radius - {tolerance}D - {distance('a_', 'b_')}"
     test = (f"a_residue_idx <> b_residue_idx AND {overlap} > 0 AND NOT "
             "(a_atom_name = 'SG' AND b_atom_name = 'SG' AND a_element = 'S' AND b_element = 'S')")
-    pairs = radius_pairs(pts, 2 * widest - tolerance, ["residue_idx", "atom_name", "element", "radius", "label"], extra=test)
+    carried = ["residue_idx", "atom_name", "element", "radius", "label"]
+    pairs = radius_pairs(pts.filter(f"radius <= {usual}D"), 2 * usual - tolerance, carried, extra=test)
+    side = pts.select("structure_id", "atom_idx", "x", "y", "z", *carried)
+    wide = radius_join(side, side.filter(f"radius > {usual}D"), 2 * widest - tolerance,
+                       extra=f"{test} AND (a_radius <= {usual}D OR a_atom_idx < b_atom_idx)")
+    flip = "a_atom_idx > b_atom_idx"
+    pairs = pairs.unionByName(wide.selectExpr("structure_id", "distance", *[c for n in ("atom_idx", "x", "y", "z", *carried) for c in (
+        f"IF({flip}, b_{n}, a_{n}) AS a_{n}", f"IF({flip}, a_{n}, b_{n}) AS b_{n}")]))
     near = separations.selectExpr("structure_id", "atom_a AS a_atom_idx", "atom_b AS b_atom_idx")
     kept = pairs.join(near, ["structure_id", "a_atom_idx", "b_atom_idx"], "left_anti")
     sided = _sided(kept, "a_residue_idx < b_residue_idx", ["residue_idx", "atom_idx", "atom_name", "label"],

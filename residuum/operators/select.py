@@ -15,11 +15,18 @@ def pooled_order(df: DataFrame, keys: list[str], order: list[str], seed: str, po
     """Reorder the best ``pool`` rows of each key by ``seed`` and keep the rest in order.
 
     Adds ``pool_rank``, the place in the new order, for pool rows; other rows keep NULL and
-    follow in ``order``. Only the pool is ranked, which a group limit prunes map-side.
+    follow in ``order`` (sort by :func:`pooled_terms`). Only the pool is ranked, which a group
+    limit prunes map-side; rows are written once with a number of their own and joined on it.
     """
-    head = first_per_key(df, keys, order, pool, "_place")
-    ranked = head.selectExpr(*df.columns, f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {seed}, _place) AS pool_rank")
-    return ranked
+    marked = stage(df.withColumn("_row", F.monotonically_increasing_id()))
+    head = first_per_key(marked, keys, order, pool, "_place")
+    ranked = head.selectExpr("_row", f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {seed}, _place) AS pool_rank")
+    return marked.join(ranked, "_row", "left").drop("_row")
+
+
+def pooled_terms(order: list[str]) -> list[str]:
+    """Sort terms of rows from :func:`pooled_order`: the pool in its new order, then the rest."""
+    return ["pool_rank NULLS LAST", *order]
 
 
 def diversified(df: DataFrame, keys: list[str], tag: str, order: list[str], rounds: int = ROUNDS, keep: int = PER_SOURCE) -> DataFrame:

@@ -3,7 +3,8 @@
 A raw distance predicate has no equality in it, so Catalyst can only plan it as a
 nested loop. Cutting space into cells as wide as the cutoff turns it into an
 equi-join on the cell: a pair within the cutoff always lies in the same cell or in
-two touching ones. The self-join visits only half of the touching cells, which
+two touching ones. Crowded cells are left to the skew join of adaptive execution, or, with ``probe``,
+counted first and cut into slices; the pairs are the same. The self-join visits only half of the touching cells, which
 finds every pair once.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import distance, squared_distance
-from ..session import estimated_bytes, stage
+from ..session import stage
 from .keyed import argmin_by
 
 #: Half of the 26 touching cells plus the cell itself.
@@ -24,8 +25,6 @@ FULL_SHELL = list(product((-1, 0, 1), repeat=3))
 
 #: Rows one cell may hold before its left side is split over several join keys.
 HOT_CELL_ROWS = 2000
-#: Looking for hot cells costs a pass over the coordinates, so small inputs skip it.
-PROBE_BYTES = 1 << 30
 
 CELL = ["_cx", "_cy", "_cz"]
 
@@ -74,12 +73,10 @@ def _sliced(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str],
 
 
 def _join_cells(left: DataFrame, right: DataFrame, cutoff: float, group: list[str],
-                shell, probe: bool | None, hot_rows: int, extra: str | None) -> DataFrame:
+                shell, probe: bool, hot_rows: int, extra: str | None) -> DataFrame:
     a = _celled(left, cutoff, left.columns, group, "a_")
     b = _spread(_celled(right, cutoff, right.columns, group, "b_"), shell)
     keys = [*group, *CELL]
-    if probe is None:
-        probe = estimated_bytes(left) > PROBE_BYTES
     if probe:
         a, b = _sliced(a, b, hot_cells(left, cutoff, group, hot_rows), keys, "a_x, a_y, a_z, a_" + next(
             c for c in [*left.columns] if c not in group))
@@ -93,7 +90,7 @@ def _join_cells(left: DataFrame, right: DataFrame, cutoff: float, group: list[st
 
 def radius_pairs(points: DataFrame, cutoff: float, columns: list[str], *,
                  group: list[str] = ("structure_id",), ident: str = "atom_idx",
-                 probe: bool | None = None, hot_rows: int = HOT_CELL_ROWS,
+                 probe: bool = False, hot_rows: int = HOT_CELL_ROWS,
                  extra: str | None = None) -> DataFrame:
     """Every unordered pair of distinct points of a group within ``cutoff`` (inclusive).
 
@@ -118,7 +115,7 @@ def radius_pairs(points: DataFrame, cutoff: float, columns: list[str], *,
 
 
 def radius_join(left: DataFrame, right: DataFrame, cutoff: float, *,
-                group: list[str] = ("structure_id",), probe: bool | None = None,
+                group: list[str] = ("structure_id",), probe: bool = False,
                 hot_rows: int = HOT_CELL_ROWS, extra: str | None = None) -> DataFrame:
     """Every (left, right) pair of a group within ``cutoff``; columns become ``a_*`` and ``b_*``.
 
@@ -128,7 +125,7 @@ def radius_join(left: DataFrame, right: DataFrame, cutoff: float, *,
 
 
 def residue_pair_minima(points: DataFrame, cutoff: float, columns: list[str] = (), *,
-                        probe: bool | None = None, extra: str | None = None) -> DataFrame:
+                        probe: bool = False, extra: str | None = None) -> DataFrame:
     """Closest atom pair of every residue pair within ``cutoff``.
 
     Ties are broken by atom index, so the witnesses do not depend on partitioning.

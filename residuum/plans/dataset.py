@@ -55,7 +55,7 @@ def select_candidates(proposals: DataFrame, families: list[str], targets: dict[s
     accepted = proposals.filter("accepted")
     draw = h.derive_seed(("raw", f"'{seed}'"), h.text("candidate"), "family", "structure_id", "parameters")
     pool = select.pooled_order(accepted, key, ["rank", "parameters"], draw)
-    spread = select.diversified(pool, key, "tag", ["pool_rank"])
+    spread = select.diversified(pool, key, "tag", select.pooled_terms(["rank", "parameters"]))
     order = h.derive_seed(("raw", f"'{seed}'"), h.text("protein"), "cluster")
     most = max(targets.values(), default=0) * select.OVERSAMPLE
     turns = first_per_key(spread.selectExpr("*", f"{cluster} AS cluster"), ["family", "cluster"], ["structure_id", "pick"], most, "turn").selectExpr(

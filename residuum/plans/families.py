@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chemistry as chem
-from ..functions.numeric import distance, linspace_index
+from ..functions.numeric import distance, linspace_index, round_decimals
 from ..operators import backbone, contacts, covalent, network, surface, torsions
 from ..operators.keyed import argmin_by, first_per_key
 from ..operators.sequence import BLOCK_ROWS, numbered
@@ -170,7 +170,7 @@ def _atom_of(a: Analysis, prefix: str) -> DataFrame:
 def g01_answer(a: Analysis, asked: DataFrame) -> DataFrame:
     """``asked`` holds ``structure_id, atom1, atom2``."""
     joined = asked.join(_atom_of(a, "atom1"), ["structure_id", "atom1"]).join(_atom_of(a, "atom2"), ["structure_id", "atom2"])
-    return joined.selectExpr("structure_id", "atom1", "atom2", f"{distance('atom1_', 'atom2_')} AS number")
+    return joined.selectExpr("structure_id", "atom1", "atom2", f"{round_decimals(distance('atom1_', 'atom2_'))} AS number")
 
 
 def g02(a: Analysis) -> DataFrame:
@@ -451,18 +451,33 @@ def contact_changes(first: DataFrame, second: DataFrame) -> DataFrame:
     return out.selectExpr("structure_id", "l1", "l2", "d1", "d2", f"{contact_change('d1', 'd2')} AS verdict")
 
 
-def t01(changes: DataFrame, seed: str) -> DataFrame:
-    """Up to eight candidate pairs per state pair, at most four gained and four lost, seeded from the fourteen clearest."""
+def t01(changes: DataFrame, seed: str, shared: DataFrame | None = None) -> DataFrame:
+    """Up to eight candidate pairs per state pair, seeded from the fourteen clearest of each direction.
+
+    Four gained and four lost; if that is fewer than six, the first eight of both pools, gained ones first.
+    ``shared`` lists ``structure_id, n_shared``, consistently labelled residues; fewer than thirty reject the pair.
+    """
     from ..operators.select import pooled_order
     moved = changes.filter("verdict IN ('gained', 'lost')").selectExpr("*", "abs(d1 - d2) AS shift")
-    pool = pooled_order(moved, ["structure_id", "verdict"], ["shift DESC", "l1", "l2"], seed, pool=14)
-    chosen = pool.filter("pool_rank <= 4")
-    rows = chosen.groupBy("structure_id").agg(
-        F.expr("array_sort(collect_list(concat(l1, '--', l2))) AS candidates"), F.expr("count_if(verdict = 'gained') AS n_gained"),
-        F.expr("count_if(verdict = 'lost') AS n_lost"))
-    verdict = ("CASE WHEN n_gained = 0 OR n_lost = 0 THEN 'state_pair_lacks_both_gained_and_lost_contacts' "
+    pool = pooled_order(moved, ["structure_id", "verdict"], ["shift DESC", "l1", "l2"], seed, pool=14).filter("pool_rank IS NOT NULL")
+    sizes = pool.groupBy("structure_id").agg(F.expr("count_if(verdict = 'gained') AS g"), F.expr("count_if(verdict = 'lost') AS l"))
+    chosen = pool.join(sizes, "structure_id").filter(
+        "IF(least(g, 4) + least(l, 4) >= 6, pool_rank <= 4, pool_rank + IF(verdict = 'gained', 0, g) <= 8)")
+    picked = chosen.groupBy("structure_id").agg(
+        F.expr("transform(array_sort(collect_list(struct(l1, l2))), p -> concat(p.l1, '--', p.l2)) AS candidates"),
+        F.expr("array_sort(array_distinct(flatten(collect_list(array(l1, l2))))) AS labels"), F.first("g").alias("g"), F.first("l").alias("l"))
+    known = changes.select("structure_id").distinct()
+    if shared is not None:
+        known = shared.join(known, "structure_id", "full")
+    else:
+        known = known.withColumn("n_shared", F.lit(None).cast("long"))
+    rows = known.join(picked, "structure_id", "left").selectExpr(
+        "structure_id", "n_shared", "coalesce(g, 0) AS g", "coalesce(l, 0) AS l", "coalesce(candidates, CAST(array() AS array<string>)) AS candidates",
+        "coalesce(labels, CAST(array() AS array<string>)) AS labels")
+    verdict = ("CASE WHEN n_shared < 30 THEN 'too_few_consistently_labelled_residues' "
+               "WHEN g = 0 OR l = 0 THEN 'state_pair_lacks_both_gained_and_lost_contacts' "
                "WHEN size(candidates) < 6 THEN 'too_few_unambiguous_contact_changes' END")
-    return _rows(rows, "T01", _json(candidates="candidates"), verdict, "-size(candidates)")
+    return _rows(rows, "T01", _json(candidates="candidates"), verdict, "-size(candidates)", required="labels")
 
 
 def t01_answer(changes: DataFrame, asked: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..session import widened
 DISTANCE_TOLERANCE, TRIPLE_TOLERANCE = 0.02, 0.001  # fixed values
 SCALAR_SCHEMAS = ("residue", "atom", "category", "multiple_choice", "residue_pair")
 SET_SCHEMAS = ("string_set", "residue_set", "residue_pair_set")
+OTHER_SCHEMAS = ("boolean", "integer", "distance", "numeric_triple", "ordered_path", "two_interaction_sets")
 
 #: Columns a parsed answer may fill; which one depends on the schema.
 PARSED = {"text": "string", "number": "double", "flag": "boolean", "items": "array<string>",
@@ -92,15 +93,16 @@ def with_score(df: DataFrame, schema: str = "answer_schema", tolerance: str = "t
               f"coalesce({tolerance}, {TRIPLE_TOLERANCE}D)), ok -> NOT ok)")
     scalar = ", ".join(f"'{v}'" for v in SCALAR_SCHEMAS)
     sets = ", ".join(f"'{v}'" for v in SET_SCHEMAS)
+    others = ", ".join(f"'{v}'" for v in OTHER_SCHEMAS)
     correct = (
         f"CASE WHEN format_error THEN false WHEN {s} IN ({scalar}) THEN parsed_text = gold_text "
         f"WHEN {s} = 'boolean' THEN parsed_flag = gold_flag WHEN {s} = 'integer' THEN parsed_number = gold_number "
         f"WHEN {s} = 'distance' THEN {dist} WHEN {s} = 'numeric_triple' THEN {triple} "
         f"WHEN {s} IN ({sets}) THEN {same_set('gold_items', 'parsed_items')} WHEN {s} = 'ordered_path' THEN parsed_items = gold_items "
-        f"WHEN {s} = 'two_interaction_sets' THEN {same_set('gold_gained', 'parsed_gained')} AND {same_set('gold_lost', 'parsed_lost')} "
-        f"ELSE raise_error(concat('no scorer for answer schema ', {s})) END")
+        f"WHEN {s} = 'two_interaction_sets' THEN {same_set('gold_gained', 'parsed_gained')} AND {same_set('gold_lost', 'parsed_lost')} END")
     score = (
-        f"CASE WHEN format_error THEN 0D WHEN {s} IN ({sets}) THEN {f1('gold_items', 'parsed_items')} "
+        f"CASE WHEN NOT coalesce({s} IN ({scalar}, {sets}, {others}), false) THEN raise_error(concat('no scorer for answer schema ', coalesce({s}, 'null'))) "
+        f"WHEN format_error THEN 0D WHEN {s} IN ({sets}) THEN {f1('gold_items', 'parsed_items')} "
         f"WHEN {s} = 'two_interaction_sets' THEN ({f1('gold_gained', 'parsed_gained')} + {f1('gold_lost', 'parsed_lost')}) / 2D "
         f"ELSE IF({correct}, 1D, 0D) END")
     barred = "coalesce(truncated, false) OR coalesce(provider_refusal, false)"
@@ -141,10 +143,27 @@ def unknown_renders(results: DataFrame, renders: DataFrame) -> DataFrame:
     return results.join(renders, "render_id", "left_anti").select("render_id").distinct()
 
 
-def score_run(results: DataFrame, renders: DataFrame, instances: DataFrame) -> DataFrame:
-    """Results joined to their renders and instances and scored. Unknown renders are an error, not a loss."""
+def score_run(results: DataFrame, renders: DataFrame, instances: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """Results joined to their renders and instances and scored. Unknown renders are an error, not a loss.
+
+    ``fields`` lists the expected fields of ``multi_field`` instances: ``semantic_instance_id, field, answer_schema,
+    gold_*, categories, options, tolerance``. Such an instance without a field is an error; its scores by field are in ``field_scores``.
+    """
     known = renders.select("render_id", F.lit(True).alias("known"), *[c for c in renders.columns if c != "render_id"])
     joined = latest_attempts(results).join(known, "render_id", "left").join(instances, "semantic_instance_id", "left")
-    checked = joined.filter("known OR raise_error(concat('response refers to an unknown render: ', render_id))")
-    return score_responses(checked.withColumnRenamed("raw_response", "response").withColumnRenamed("refusal", "provider_refusal")).selectExpr(
+    checked = joined.filter("known OR raise_error(concat('response refers to an unknown render: ', render_id))").withColumnRenamed(
+        "raw_response", "response").withColumnRenamed("refusal", "provider_refusal")
+    several = "answer_schema <=> 'multi_field'"
+    out = score_responses(checked.filter(f"NOT {several}")).withColumn("field_scores", F.lit(None).cast("map<string,double>"))
+    many = checked.filter(several).withColumn("answer_id", F.struct("run_id", "render_id", "completion_index"))
+    if fields is None:
+        scores = many.selectExpr("answer_id", "CAST(NULL AS BOOLEAN) AS format_error", "CAST(NULL AS DOUBLE) AS score", "CAST(NULL AS BOOLEAN) AS correct",
+                                 "CAST(NULL AS map<string, double>) AS field_scores").limit(0)
+    else:
+        asked = many.select("answer_id", "semantic_instance_id").join(fields, "semantic_instance_id").drop("semantic_instance_id")
+        scores = score_fields(many.select("answer_id", "response", "truncated", "provider_refusal"), asked)
+    scored = many.join(scores, "answer_id", "left").filter(
+        "score IS NOT NULL OR raise_error(concat('no expected fields for ', semantic_instance_id))").drop("answer_id")
+    refused = f"provider_refusal OR (format_error AND {an.looks_like_refusal('response')})"
+    return out.unionByName(scored.selectExpr("*", f"{refused} AS refusal"), allowMissingColumns=True).selectExpr(
         "*", "coalesce(cluster_id, protein_group_id) AS cluster", "error IS NOT NULL AND error <> '' AS api_error")

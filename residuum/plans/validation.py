@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import in_list
+from ..functions.texts import contains_word
 from . import scoring
 
 FORBIDDEN_RECORDS = ("HEADER", "TITLE", "COMPND", "SOURCE", "REMARK", "DBREF", "SEQRES", "HELIX", "SHEET", "SSBOND", "LINK", "SITE", "CONECT", "JRNL", "AUTHOR")  # fixed values
@@ -34,9 +35,19 @@ def forbidden_records(renders: DataFrame) -> DataFrame:
 
 
 def provenance_leaks(renders: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Prompts that contain a source identifier as a word. Words meet identifiers in an equi-join, not a scan per identifier."""
-    words = renders.selectExpr("render_id", "explode(array_distinct(regexp_extract_all(lower(user_prompt), '[a-z0-9]+', 0))) AS word")
-    return words.join(identifiers.selectExpr("lower(identifier) AS word").distinct(), "word").selectExpr("render_id AS id", "concat('leak:', word) AS violation")
+    """Prompts that show an identifier of their own instance.
+
+    ``identifiers`` holds ``semantic_instance_id, kind, identifier``. An ``entry`` is searched as a word in any
+    case; a ``publication``, without what stands before its first colon, as written if longer than four
+    characters; a ``component`` as a word as written. Identifiers are literals, whatever they contain.
+    """
+    shown = renders.select("render_id", "semantic_instance_id", "user_prompt").join(identifiers, "semantic_instance_id")
+    token = "substr(identifier, instr(identifier, ':') + 1)"
+    hit = ("CASE kind WHEN 'entry' THEN user_prompt RLIKE concat('(?iU)\\\\b\\\\Q', identifier, '\\\\E\\\\b') "
+           f"WHEN 'publication' THEN length({token}) > 4 AND contains(user_prompt, {token}) "
+           f"WHEN 'component' THEN {contains_word('user_prompt', 'identifier', any_case=False)} "
+           "ELSE raise_error(concat('unknown kind of identifier: ', kind)) END")
+    return shown.filter(hit).selectExpr("render_id AS id", "concat('leak:', kind, ':', identifier) AS violation").distinct()
 
 
 def coordinate_mismatch(renders: DataFrame) -> DataFrame:

@@ -12,29 +12,85 @@ from ..functions.chemistry import in_list
 from ..functions.hashing import json_string_list
 
 STRINGS = T.ArrayType(T.StringType())
-
-
-def _schema(text: str) -> T.StructType:
-    out = T.StructType()
-    kinds = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
-             "timestamp": T.TimestampType(), "strings": STRINGS, "doubles": T.ArrayType(T.DoubleType())}
-    for field in text.split():
-        name, kind = field.split(":")
-        out.add(name, kinds[kind])
-    return out
-
-
-GOLD = "gold_text:string gold_number:double gold_flag:boolean gold_items:strings gold_numbers:doubles gold_gained:strings gold_lost:strings"
-INSTANCE = _schema("semantic_instance_id:string question_family:string question_version:string protein_group_id:string cluster:string source_type:string "
-                   "source_entries:strings source_file_sha256s:strings question_parameters:string answer_schema:string gold_hash:string "
-                   f"{GOLD} selection_margins:string definition_version:string curation_status:string required_labels:strings")
-RENDER = _schema("render_id:string semantic_instance_id:string question_family:string representation:string prompt_version:string system_prompt:string "
-                 "user_prompt:string prompt_sha256:string displayed_coordinates_sha256:string rotation_seed:long is_rotation_variant:boolean answer_schema:string "
-                 "input_token_count:long atom_count:long")
-RESULT = _schema("run_id:string render_id:string completion_index:int attempt:int recorded_at:timestamp model_provider:string model_id:string "
-                 "raw_response:string max_output_tokens:int truncated:boolean refusal:boolean error:string latency_seconds:double")
-DECISION = _schema("semantic_instance_id:string decision:string reason:string notes:string curator:string timestamp:string label_override:string")
-REJECTION = _schema("candidate_id:string question_family:string protein_group_id:string reason:string detail:string criteria_failed:strings")
+DOUBLES = T.ArrayType(T.DoubleType())
+
+# The columns of an answer, one of which is set, and of each kind of record.
+GOLD_FIELDS = [
+    T.StructField("gold_text", T.StringType()),
+    T.StructField("gold_number", T.DoubleType()),
+    T.StructField("gold_flag", T.BooleanType()),
+    T.StructField("gold_items", STRINGS),
+    T.StructField("gold_numbers", DOUBLES),
+    T.StructField("gold_gained", STRINGS),
+    T.StructField("gold_lost", STRINGS),
+]
+GOLD = [f.name for f in GOLD_FIELDS]
+INSTANCE = T.StructType([
+    T.StructField("semantic_instance_id", T.StringType()),
+    T.StructField("question_family", T.StringType()),
+    T.StructField("question_version", T.StringType()),
+    T.StructField("protein_group_id", T.StringType()),
+    T.StructField("cluster", T.StringType()),
+    T.StructField("source_type", T.StringType()),
+    T.StructField("source_entries", STRINGS),
+    T.StructField("source_file_sha256s", STRINGS),
+    T.StructField("question_parameters", T.StringType()),
+    T.StructField("answer_schema", T.StringType()),
+    T.StructField("gold_hash", T.StringType()),
+    *GOLD_FIELDS,
+    T.StructField("selection_margins", T.StringType()),
+    T.StructField("definition_version", T.StringType()),
+    T.StructField("curation_status", T.StringType()),
+    T.StructField("required_labels", STRINGS),
+])
+RENDER = T.StructType([
+    T.StructField("render_id", T.StringType()),
+    T.StructField("semantic_instance_id", T.StringType()),
+    T.StructField("question_family", T.StringType()),
+    T.StructField("representation", T.StringType()),
+    T.StructField("prompt_version", T.StringType()),
+    T.StructField("system_prompt", T.StringType()),
+    T.StructField("user_prompt", T.StringType()),
+    T.StructField("prompt_sha256", T.StringType()),
+    T.StructField("displayed_coordinates_sha256", T.StringType()),
+    T.StructField("rotation_seed", T.LongType()),
+    T.StructField("is_rotation_variant", T.BooleanType()),
+    T.StructField("answer_schema", T.StringType()),
+    T.StructField("input_token_count", T.LongType()),
+    T.StructField("atom_count", T.LongType()),
+])
+RESULT = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("render_id", T.StringType()),
+    T.StructField("completion_index", T.IntegerType()),
+    T.StructField("attempt", T.IntegerType()),
+    T.StructField("recorded_at", T.TimestampType()),
+    T.StructField("model_provider", T.StringType()),
+    T.StructField("model_id", T.StringType()),
+    T.StructField("raw_response", T.StringType()),
+    T.StructField("max_output_tokens", T.IntegerType()),
+    T.StructField("truncated", T.BooleanType()),
+    T.StructField("refusal", T.BooleanType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("latency_seconds", T.DoubleType()),
+])
+DECISION = T.StructType([
+    T.StructField("semantic_instance_id", T.StringType()),
+    T.StructField("decision", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("notes", T.StringType()),
+    T.StructField("curator", T.StringType()),
+    T.StructField("timestamp", T.StringType()),
+    T.StructField("label_override", T.StringType()),
+])
+REJECTION = T.StructType([
+    T.StructField("candidate_id", T.StringType()),
+    T.StructField("question_family", T.StringType()),
+    T.StructField("protein_group_id", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("detail", T.StringType()),
+    T.StructField("criteria_failed", STRINGS),
+])
 
 #: Fixed values.
 ANSWER_SCHEMAS = ("string_set", "integer", "numeric_triple", "distance", "atom", "residue", "residue_set", "residue_pair", "residue_pair_set",
@@ -55,7 +111,7 @@ def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
 
 def instance_violations(instances: DataFrame) -> DataFrame:
     """Rows that break a record rule: unknown schema, or neither an answer nor its hash."""
-    gold = " AND ".join(f"{g.split(':')[0]} IS NULL" for g in GOLD.split())
+    gold = " AND ".join(f"{g} IS NULL" for g in GOLD)
     return instances.selectExpr(
         "semantic_instance_id", f"CASE WHEN NOT {in_list('answer_schema', ANSWER_SCHEMAS)} THEN 'unknown_answer_schema' "
         f"WHEN gold_hash IS NULL AND {gold} THEN 'gold_or_hash_required' END AS violation").filter("violation IS NOT NULL")
@@ -81,7 +137,7 @@ def write_dataset(instances: DataFrame, renders: DataFrame, rejections: DataFram
     ``header_id`` is written to the header relation and checked by every reader.
     """
     spark = instances.sparkSession
-    gold = [g.split(":")[0] for g in GOLD.split()]
+    gold = list(GOLD)
     hashed = instances.withColumn("gold_hash", F.expr(f"sha2({gold_json()}, 256)"))
     write_jsonl(hashed.select("semantic_instance_id", *gold), f"{folder}/gold", ["semantic_instance_id"])
     write_jsonl(hashed.drop(*gold), f"{folder}/instances", ["semantic_instance_id"])

@@ -32,7 +32,7 @@ def atom_template() -> list[tuple[str, int, str, str]]:
         parent = chem.MODIFIED_PARENT.get(residue, residue)
         atoms = list(chem.BACKBONE)
         if parent != "GLY":
-            atoms += ["CB", *chem.SIDE_CHAIN[parent].split()]
+            atoms += ["CB", *chem.SIDE_CHAIN[parent]]
         if residue == "SEP":
             atoms += ["P", "O1P", "O2P", "O3P"]
         rows += [(residue, i, a, element_of(a)) for i, a in enumerate(atoms)]

@@ -39,8 +39,16 @@ def test_renders_and_checks(spark, built):
     assert "ATOM      1  N  " in prompt and prompt.rstrip().endswith("answer.") and "{" not in prompt
     assert validation.orphan_renders(out, inst).count() == 0 and validation.prompt_hash_mismatch(out).count() == 0
     assert validation.forbidden_records(out).count() == 0
-    leaks = spark.createDataFrame([("END",), ("zzzz",)], "identifier string")
-    assert {r.violation for r in validation.provenance_leaks(out, leaks).collect()} == {"leak:end"}
+
+
+def test_leaks_of_the_own_instance_only(spark):
+    prompt = "see AF-P12345-F1, 10.1000/abc.9 and 1crn; HEM2 hem x1crny"
+    shown = spark.createDataFrame([("r1", "i1", prompt), ("r2", "i2", prompt)], "render_id string, semantic_instance_id string, user_prompt string")
+    ids = spark.createDataFrame([("i1", "entry", "AF-P12345-F1"), ("i1", "publication", "doi:10.1000/abc.9"), ("i1", "entry", "1CRN"), ("i1", "component", "HEM"),
+                                 ("i2", "component", "hem"), ("i2", "publication", "doi:see"), ("i2", "entry", "P1.345")],
+                                "semantic_instance_id string, kind string, identifier string")
+    assert {(r.id, r.violation) for r in validation.provenance_leaks(shown, ids).collect()} == {
+        ("r1", "leak:entry:AF-P12345-F1"), ("r1", "leak:publication:doi:10.1000/abc.9"), ("r1", "leak:entry:1CRN"), ("r2", "leak:component:hem")}
 
 
 def full(spark, rows):
@@ -99,3 +107,20 @@ def test_results_stream_scores_each_attempt_once(spark, tmp_path):
     scored = results_log.score_stream(results_log.first_arrivals(results_log.results_stream(spark, log)), renders)
     results_log.start(scored.select("render_id", "score", "format_error"), out, check).awaitTermination(90)
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("r1", 1.0, False), ("r2", 0.0, True)]
+
+
+def test_a_run_scores_single_and_several_fields(spark):
+    results = spark.createDataFrame([("r", "n1", 0, 0, "FINAL: A:V22"), ("r", "n2", 0, 1, "FINAL\nsite: A:V22\nkind: strand"), ("r", "n2", 1, 2, "FINAL\nkind: helix")],
+                                    "run_id string, render_id string, completion_index int, ordinal long, raw_response string").selectExpr(
+        "*", "false AS truncated", "false AS refusal", "CAST(NULL AS STRING) AS error")
+    renders = spark.createDataFrame([("n1", "i1"), ("n2", "i2")], "render_id string, semantic_instance_id string")
+    extra = ["CAST(NULL AS array<string>) AS categories", "CAST(NULL AS array<string>) AS options", "CAST(NULL AS DOUBLE) AS tolerance"]
+    instances = full(spark, [("i1", "residue", "A:V22"), ("i2", "multi_field", None)]).selectExpr(
+        "*", *extra, "CAST(NULL AS STRING) AS cluster_id", "'p' AS protein_group_id")
+    fields = full(spark, [("site", "residue", "A:V22"), ("kind", "category", "helix")]).withColumnRenamed("semantic_instance_id", "field").selectExpr(
+        "*", "'i2' AS semantic_instance_id", "array('helix', 'strand') AS categories", *extra[1:])
+    got = {(r.render_id, r.completion_index): (r.score, r.correct, r.format_error, r.field_scores) for r in scoring.score_run(results, renders, instances, fields).collect()}
+    assert got == {("n1", 0): (1.0, True, False, None), ("n2", 0): (0.5, False, False, {"site": 1.0, "kind": 0.0}),
+                   ("n2", 1): (0.0, False, True, {"site": 0.0, "kind": 1.0})}
+    with pytest.raises(Exception, match="no expected fields"):
+        scoring.score_run(results, renders, instances).collect()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from residuum.operators import backbone, contacts, network, select, sequence, spatial, surface
 from residuum.operators.display import generator
-from residuum.plans import evaluation, report
+from residuum.plans import evaluation, families, report
 
 
 def cloud(spark, n=300, seed=1, hot=0):
@@ -172,3 +172,27 @@ def test_batches_are_filled_greedily(spark):
         count, total = count + 1, total + b
         want.append(chunk)
     assert got == want
+
+
+def test_clashes_of_wide_elements(spark):
+    rows = [("s", 0, 0, "K1", "K", 0.0), ("s", 1, 1, "C1", "C", 3.9), ("s", 2, 2, "K2", "K", -4.0), ("s", 3, 3, "C2", "C", 8.0)]
+    atoms = spark.createDataFrame(rows, "structure_id string, residue_idx int, atom_idx int, atom_name string, element string, x double").selectExpr(
+        "*", "0D AS y", "0D AS z", "'ligand' AS entity", "CAST(residue_idx AS STRING) AS label")
+    none = spark.createDataFrame([], "structure_id string, atom_a int, atom_b int")
+    got = {(r.residue_idx_i, r.residue_idx_j): round(r.overlap, 2) for r in contacts.clashes(atoms, none).collect()}
+    assert got == {(0, 1): 0.15, (0, 2): 1.10}
+
+
+def test_pooled_order_keeps_the_rest(spark):
+    rows = select.pooled_order(spark.range(40).selectExpr("'k' AS k", "id"), ["k"], ["id"], "-id").orderBy(F.col("pool_rank").asc_nulls_last(), "id").collect()
+    assert [r.id for r in rows] == [*range(15, -1, -1), *range(16, 40)]
+
+
+def test_contact_changes_fall_back_to_both_pools(spark):
+    def pairs(name, gained, lost):
+        return [(name, f"A{i:02}", f"B{i:02}", 9.0, 9.0 - i / 10, v) for i, v in enumerate(["gained"] * gained + ["lost"] * lost)]
+    changes = spark.createDataFrame(pairs("x", 1, 10) + pairs("y", 5, 5) + pairs("z", 3, 0) + pairs("w", 2, 2) + [("v", "a", "b", 5.0, 5.0, "retained_noncontact")],
+                                    "structure_id string, l1 string, l2 string, d1 double, d2 double, verdict string")
+    got = {r.structure_id: (r.reason, len(r.required) // 2) for r in families.t01(changes, "xxhash64(l1, l2)").collect()}
+    lacks = "state_pair_lacks_both_gained_and_lost_contacts"
+    assert got == {"x": (None, 8), "y": (None, 8), "z": (lacks, 3), "w": ("too_few_unambiguous_contact_changes", 4), "v": (lacks, 0)}
