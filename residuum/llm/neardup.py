@@ -11,6 +11,11 @@ parts, and the pairs across a cut are formed from the rows at its two sides.
 Documents of equal sets are one node. Candidates are confirmed in blocks: connected candidates meet in
 one task, cut into a grid of chunks if there are many, so a text is sent once per block instead of once per
 pair, and pairs that a block has already connected are not compared again.
+
+Neighbours are capped and signatures are random, so the forest alone may miss a link. What it left apart is
+searched exactly: two linked sets share an element among the rarest of each (a prefix under any common
+order), so documents of different components that share one there, and could still overlap enough after
+it, are confirmed as well. Components that the forest has already joined form no pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +40,9 @@ SKETCH = 32
 #: Documents of a chunk of the grid, and forest entries of a partition.
 CHUNK, ENTRIES = 256, 100_000
 
+#: Shingles are ordered by how full their bin is, so that common passages come last; 2 ** BIN_BITS counts are held.
+BIN_BITS = 18
+
 _HASHES = TREES * DEPTH + SKETCH
 _MUL = np.random.default_rng(20).integers(0, 2**31, _HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -227,6 +235,58 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) ->
     return placed.groupBy(*block).cogroup(members.groupBy(*[f"_{c}" for c in block])).applyInPandas(_confirmer(percent), "a binary, b binary")
 
 
+def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << BIN_BITS, np.int64)
+    for batch in batches:
+        sets = [shingles(t.as_py()) for t in batch.column(0)]
+        if sets:
+            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS)
+    full = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], ["bin", "n"])
+
+
+def _prefixer(ranks: np.ndarray, percent: int):
+    low = np.uint64((1 << (64 - BIN_BITS)) - 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Key, size and rarest elements of each set, in the common order."""
+        for batch in batches:
+            rows = []
+            for text in batch.column(0):
+                found = shingles(text.as_py())
+                if len(found):
+                    ordered = (ranks[(found >> np.uint64(64 - BIN_BITS)).astype(np.int64)] << np.uint64(64 - BIN_BITS)) | (found & low)
+                    take = len(found) - -(-percent * len(found) // 100) + 1
+                    rows.append((set_key(found), len(found), np.sort(np.partition(ordered, take - 1)[:take]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
+                                              pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["node", "n", "rarest"])
+    return cut
+
+
+def unjoined(docs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components of ``roots`` that may be linked; no linked pair is missing.
+
+    The order of elements comes from counts in 2 ** BIN_BITS bins, all that is brought to the driver. It only decides how
+    few pairs there are: any order gives a superset of the links.
+    """
+    texts = docs.select("text")
+    bins = texts.mapInArrow(_binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << BIN_BITS, np.int64)
+    counts[bins["bin"].to_numpy(np.int64)] = bins["n"].to_numpy(np.int64)
+    ranks = np.empty(1 << BIN_BITS, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(1 << BIN_BITS, dtype=np.uint64)
+    sets = texts.mapInArrow(_prefixer(ranks, percent), "node binary, n long, rarest array<long>").groupBy("node").agg(
+        F.max("n").alias("n"), F.max("rarest").alias("rarest"))
+    entries = stage(sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("rarest").alias("at", "element")))
+    shared = entries.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("element")
+    live = stage(entries.join(shared, "element", "left_semi"))
+    side = lambda p: live.select("element", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "root", "n", "at")])
+    # What both can still have in common from this element on must reach the least overlap of a link.
+    reach = f"{100 + percent} * least(a_n - a_at, b_n - b_at) >= {percent} * (a_n + b_n)"
+    return side("a").hint("merge").join(side("b"), "element").where(f"a_node < b_node AND a_root <> b_root AND {reach}").select(
+        F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept, and set_key.
 
@@ -239,7 +299,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     described = stage(describe(docs))
     nodes = described.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(
         F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"))
-    roots = stage(components(links(docs, nodes, stage(candidates(nodes, percent)), percent)))
+    found = stage(links(docs, nodes, stage(candidates(nodes, percent)), percent))
+    missed = stage(unjoined(docs, stage(components(found)), percent).withColumn("joins", F.lit(True)))
+    roots = stage(components(found.unionByName(links(docs, nodes, missed, percent))))
     rooted = described.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     # Minima per component combine before the shuffle; the join back splits a crowded component.
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -80,6 +80,17 @@ def test_cuts_and_chunks_lose_nothing(spark, monkeypatch):
     assert got == sorted(plain_components(rows, 85), key=str)
 
 
+def test_links_that_the_forest_misses_are_found(spark, monkeypatch):
+    """Without a single neighbour from the forest the components are the same."""
+    rows = corpus(11)
+    none = spark.createDataFrame([], "a binary, b binary, joins boolean")
+    monkeypatch.setattr(neardup, "candidates", lambda nodes, percent: none)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)
+    for percent in (85, 80):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, percent).collect()), key=str)
+        assert got == sorted(plain_components(rows, percent), key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
