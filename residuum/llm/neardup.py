@@ -35,6 +35,8 @@ from residuum.session import stage
 SHINGLE = 5
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 20, 8, 3, 16
 NEAR, CROWDED_DEPTH = 4, 7
+#: Edge-disjoint spanning forests of a sorted part whose pairs are confirmed.
+FORESTS = 3
 #: Bytes of further hashes that go with each entry: a pair must agree on as many as a linked pair does (less 4.5 standard deviations).
 SKETCH = 32
 #: Documents of a chunk of the grid, and forest entries of a partition.
@@ -92,21 +94,20 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
 
 
-def _neighbours(keys, sketches, ids, fresh: int, agree: int) -> tuple[list[bytes], list[bytes]]:
-    """Pairs whose later row is among the last ``fresh`` rows."""
-    a, b, n = [], [], len(keys)
+def _neighbours(keys, sketches, ids, fresh: int, agree: int) -> list[tuple[int, bytes, bytes]]:
+    """Pairs whose later row is among the last ``fresh`` rows, those first whose sketches agree most."""
+    out, n = set(), len(keys)
     for step in range(1, min(NEIGHBOURS, n - 1) + 1):
         first, prefix = max(step, n - fresh), 1 + 2 * (MIN_DEPTH if step <= NEAR else CROWDED_DEPTH)
         later = np.arange(first, n)
         same = (keys[later, :prefix] == keys[later - step, :prefix]).all(axis=1)
         later = later[same]
-        later = later[(sketches[later] == sketches[later - step]).sum(axis=1) >= agree]
-        for i in later:
+        same = (sketches[later] == sketches[later - step]).sum(axis=1)
+        for i, k in zip(later[same >= agree], same[same >= agree]):
             x, y = ids[i - step], ids[i]
             if x != y:
-                a.append(min(x, y))
-                b.append(max(x, y))
-    return a, b
+                out.add((-int(k), min(x, y), max(x, y)))
+    return sorted(out)
 
 
 def _joins(root: dict[bytes, bytes], a: bytes, b: bytes) -> bool:
@@ -121,14 +122,14 @@ def _joins(root: dict[bytes, bytes], a: bytes, b: bytes) -> bool:
     return ends[0] != ends[1]
 
 
-_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("joins", pa.bool_()), ("cut", pa.int32()), ("key", pa.binary()), ("sketch", pa.binary())])
+_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("cut", pa.int32()), ("key", pa.binary()), ("sketch", pa.binary())])
 _WIDTH = 1 + 2 * DEPTH
 
 
 def _walker(agree: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates of one sorted part, then its first and last rows, marked with the cuts they lie at."""
-        part, head, tail, root = TaskContext.get().partitionId(), [], None, {}
+        part, head, tail, forests = TaskContext.get().partitionId(), [], None, [{} for _ in range(FORESTS)]
         for batch in batches:
             if not len(batch):
                 continue
@@ -136,20 +137,18 @@ def _walker(agree: int):
             joined = [old + new for old, new in zip(tail, rows)] if tail else rows
             keys = np.frombuffer(b"".join(joined[0]), np.uint8).reshape(-1, _WIDTH)
             sketches = np.frombuffer(b"".join(joined[1]), np.uint8).reshape(-1, SKETCH)
-            a, b = _neighbours(keys, sketches, joined[2], len(rows[2]), agree)
-            if a:
-                # The same pair is near in many trees; the first pruning costs nothing.
-                a, b = zip(*set(zip(a, b)))
-                none = [None] * len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()),
-                                                  pa.array([_joins(root, *p) for p in zip(a, b)], pa.bool_()), pa.array(none, pa.int32()),
+            # Pairs that connect something in one of a few forests, the most similar first; what these leave apart is searched exactly later.
+            kept = [p[1:] for p in _neighbours(keys, sketches, joined[2], len(rows[2]), agree) if any(_joins(f, *p[1:]) for f in forests)]
+            if kept:
+                none = [None] * len(kept)
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in kept], pa.binary()), pa.array([p[1] for p in kept], pa.binary()), pa.array(none, pa.int32()),
                                                   pa.array(none, pa.binary()), pa.array(none, pa.binary())], schema=_FOUND)
             if len(head) < NEIGHBOURS:
                 head += list(zip(*[x[:NEIGHBOURS - len(head)] for x in rows]))
             tail = [x[-NEIGHBOURS:] for x in joined]
         if tail:
             edge = [(part - 1, *r) for r in head if part] + [(part, *r) for r in zip(*tail)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in edge], pa.binary()), pa.array([None] * len(edge), pa.binary()), pa.array([None] * len(edge), pa.bool_()),
+            yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in edge], pa.binary()), pa.array([None] * len(edge), pa.binary()),
                                               pa.array([r[0] for r in edge], pa.int32()), pa.array([r[1] for r in edge], pa.binary()),
                                               pa.array([r[2] for r in edge], pa.binary())], schema=_FOUND)
     return walk
@@ -160,8 +159,7 @@ def _across(agree: int):
         rows = rows.assign(a=rows["a"].map(bytes), key=rows["key"].map(bytes)).sort_values(["key", "a"])
         keys = np.frombuffer(b"".join(rows["key"]), np.uint8).reshape(-1, _WIDTH)
         sketches = np.frombuffer(b"".join(map(bytes, rows["sketch"])), np.uint8).reshape(-1, SKETCH)
-        a, b = _neighbours(keys, sketches, list(rows["a"]), len(rows), agree)
-        return pd.DataFrame({"a": a, "b": b, "joins": True})
+        return pd.DataFrame([p[1:] for p in _neighbours(keys, sketches, list(rows["a"]), len(rows), agree)], columns=["a", "b"])
     return cross
 
 
@@ -202,9 +200,10 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, that are neighbours in a tree; ``nodes`` has (node, signature).
+    """Nodes ``a`` with the greater nodes that are their neighbours in a tree, as ``near`` array<binary>; ``nodes`` has (node, signature).
 
-    ``joins`` marks a spanning forest of the pairs of each sorted part: together these connect what all pairs connect.
+    Of each sorted part ``FORESTS`` edge-disjoint spanning forests are kept, of pairs with the most equal sketches. A node has at
+    most 2 * ``NEIGHBOURS`` * ``TREES`` neighbours, so the array is bounded.
     """
     share = percent / 100
     agree = int(SKETCH * share - 4.5 * (SKETCH * share * (1 - share)) ** 0.5)
@@ -213,19 +212,20 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         F.substring("signature", F.lit(TREES * 2 * DEPTH + 1), F.lit(SKETCH)).alias("sketch"), "node")
     parts = max(1, -(-nodes.count() * TREES // ENTRIES))
     ordered = entries.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
-    found = stage(ordered.mapInArrow(_walker(agree), "a binary, b binary, joins boolean, cut int, key binary, sketch binary"))
-    across = found.where("cut IS NOT NULL").groupBy("cut").applyInPandas(_across(agree), "a binary, b binary, joins boolean")
-    return found.where("cut IS NULL").select("a", "b", "joins").unionByName(across).groupBy("a", "b").agg(F.max("joins").alias("joins"))
-
-
-def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b); inside a block only those that connect something new."""
-    comp = components(pairs.where("joins"))
-    comp = comp.join(comp.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("grid")), "root")
-    comp = stage(comp.select("node", "root", F.pmod(F.xxhash64("node"), F.col("grid")).alias("chunk")))
-    side = lambda c: comp.select(F.col("node").alias(c), F.col("chunk").alias(f"{c}_chunk"), *(["root"] if c == "a" else []))
-    placed = stage(pairs.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "root", F.least("a_chunk", "b_chunk").alias("i"), F.greatest("a_chunk", "b_chunk").alias("j")))
+    found = stage(ordered.mapInArrow(_walker(agree), "a binary, b binary, cut int, key binary, sketch binary"))
+    across = found.where("cut IS NOT NULL").groupBy("cut").applyInPandas(_across(agree), "a binary, b binary")
+    return found.where("cut IS NULL").select("a", "b").unionByName(across).groupBy("a").agg(F.collect_set("b").alias("near"))
+
+
+def links(docs: DataFrame, nodes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) among the candidates of ``near`` (a, near); inside a block only those that connect something new."""
+    comp = components(near.select("a", F.explode("near").alias("b")))
+    grid = comp.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("grid"))
+    comp = stage(comp.join(grid, "root").select(F.col("node").alias("a"), "root", "grid"))
+    # Both ends lie in one component, so only one is looked up, once for all its neighbours.
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.col("grid"))
+    placed = stage(near.join(comp, "a").select("a", "root", "grid", F.explode("near").alias("b")).select(
+        "a", "b", "root", F.least(chunk("a"), chunk("b")).alias("i"), F.greatest(chunk("a"), chunk("b")).alias("j")))
     block = ["root", "i", "j"]
     members = placed.select(*block, F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
@@ -264,7 +264,7 @@ def _prefixer(ranks: np.ndarray, percent: int):
 
 
 def unjoined(docs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components of ``roots`` that may be linked; no linked pair is missing.
+    """Candidates (a, near), one pair a row, of nodes in different components of ``roots``; no linked pair is missing.
 
     The order of elements comes from counts in 2 ** BIN_BITS bins, all that is brought to the driver. It only decides how
     few pairs there are: any order gives a superset of the links.
@@ -284,7 +284,7 @@ def unjoined(docs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     # What both can still have in common from this element on must reach the least overlap of a link.
     reach = f"{100 + percent} * least(a_n - a_at, b_n - b_at) >= {percent} * (a_n + b_n)"
     return side("a").hint("merge").join(side("b"), "element").where(f"a_node < b_node AND a_root <> b_root AND {reach}").select(
-        F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+        F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().select("a", F.array("b").alias("near"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = described.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(
         F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"))
     found = stage(links(docs, nodes, stage(candidates(nodes, percent)), percent))
-    missed = stage(unjoined(docs, stage(components(found)), percent).withColumn("joins", F.lit(True)))
+    missed = stage(unjoined(docs, stage(components(found)), percent))
     roots = stage(components(found.unionByName(links(docs, nodes, missed, percent))))
     rooted = described.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     # Minima per component combine before the shuffle; the join back splits a crowded component.

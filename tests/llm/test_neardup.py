@@ -83,7 +83,7 @@ def test_cuts_and_chunks_lose_nothing(spark, monkeypatch):
 def test_links_that_the_forest_misses_are_found(spark, monkeypatch):
     """Without a single neighbour from the forest the components are the same."""
     rows = corpus(11)
-    none = spark.createDataFrame([], "a binary, b binary, joins boolean")
+    none = spark.createDataFrame([], "a binary, near array<binary>")
     monkeypatch.setattr(neardup, "candidates", lambda nodes, percent: none)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)
     for percent in (85, 80):
