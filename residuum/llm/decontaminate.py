@@ -3,8 +3,8 @@
 A mask lays a pattern over consecutive words and hashes only some of them, so a substituted word at an
 ignored place does not hide a passage. Hashes of the benchmark and of the documents meet in a join. Each hit
 names a diagonal (place in the document minus place in the item); along it the words are compared one by
-one, and the stretch with the best sum of +1 for an equal word and -4 for a substituted one is a leak if
-enough of its words are equal. A positive sum means that more than four fifths are.
+one. It is a leak if a stretch of it, or an item that is there as a whole, has enough equal words and they are
+four fifths of it; where three or more substituted words stand together, five sixths.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from residuum.session import stage
 #: Fixed masks of one span: 1 is hashed, 0 is ignored.
 MASKS = ["11011011", "11100111"]
 SPAN = len(MASKS[0])
-#: Equal words a leak has at least; for shorter items, all of them.
+#: Equal words a leak has at least, unless the item is there as a whole. Items shorter than the span must be equal.
 MIN_WORDS = 12
 PENALTY = 4
 #: Seeds of a benchmark that is sent to every executor (about 40 bytes each); a larger one is joined by a shuffle.
@@ -55,6 +55,41 @@ def _best(doc: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), begin, step)["best"]
 
 
+def _enough(equal: Column, words: Column, joined: Column) -> Column:
+    """Whether ``equal`` of ``words`` suffice; ``joined`` tells that no three substituted words stand together."""
+    return F.when(joined, equal * 5 >= words * 4).otherwise(equal * 6 >= words * 5)
+
+
+def _verdict(doc: Column, item: Column, shift: Column) -> Column:
+    """The leak along a diagonal, (sum, equal, first, last), or null.
+
+    A stretch begins and ends with an equal word. One of twice as many equal words or more can be halved, and one
+    half has at least the same share of them, so fewer decide. Reported is the stretch with the best sum if it
+    suffices, else all of the overlap, else the stretch of most equal words among those that decide.
+    """
+    first, last = F.greatest(F.lit(1), 1 - shift), F.least(F.size(item), F.size(doc) - shift)
+    places = F.filter(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda i: F.element_at(doc, i + shift) == F.element_at(item, i))
+
+    def judged(e: Column) -> Column:
+        n = F.size(e)
+        at = lambda k: F.element_at(e, k)
+        joined = lambda a, b: F.forall(F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>")), lambda k: at(k + 1) - at(k) <= 3)
+        stretch = lambda equal, a, b: F.struct((equal - PENALTY * (b - a + 1 - equal)).alias("sum"), equal.alias("equal"), a.alias("first"), b.alias("last"))
+        # All of the item has a counterpart, or the words from the first to the last equal one are judged.
+        inside = (first == 1) & (last == F.size(item)) & (F.size(item) >= SPAN)
+        ends = (at(F.lit(1)) <= 3) & (at(n) >= F.size(item) - 2)
+        whole = F.when(inside & (n < MIN_WORDS), _enough(n, F.size(item), ends & joined(F.lit(1), n))).otherwise(
+            (n >= MIN_WORDS) & _enough(n, at(n) - at(F.lit(1)) + 1, joined(F.lit(1), n)))
+        tried = F.flatten(F.transform(indices(MIN_WORDS, F.least(n, F.lit(2 * MIN_WORDS - 1))), lambda m: F.transform(
+            F.filter(F.sequence(F.lit(1), n - m + 1), lambda k: _enough(m, at(k + m - 1) - at(k) + 1, F.lit(True)) & _enough(m, at(k + m - 1) - at(k) + 1, joined(k, k + m - 1))),
+            lambda k: F.struct(m.alias("equal"), (-at(k)).alias("back"), at(k + m - 1).alias("last")))))
+        part = let(F.array_max(tried), lambda t: F.when(t.isNotNull(), stretch(t["equal"], -t["back"], t["last"])))
+        best = let(_best(doc, item, shift), lambda b: F.when(b["equal"] >= F.least(F.lit(MIN_WORDS), F.size(item)), b))
+        return F.when((n >= F.least(F.lit(MIN_WORDS), F.size(item))) | (inside & (n * 5 >= F.size(item) * 4)), F.coalesce(best, F.when(whole, stretch(n, at(F.lit(1)), at(n))), part))
+
+    return let(places, judged)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that it leaks: doc_id, item_id, n_equal, n_words (of the stretch), item_words, doc_word.
 
@@ -74,8 +109,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # The hits are a written table: few are sent to the documents, many are shuffled to them.
     renamed = hits.select(F.col("doc_id").alias("_id"), F.col("item_id").alias("_item"), "shift")
     met = own.join(renamed, F.col("doc_id").eqNullSafe(F.col("_id"))).join(items, F.col("item_id").eqNullSafe(F.col("_item")))
-    tried = met.select("doc_id", "item_id", F.size("item").alias("item_words"), "shift", let(F.col("c"), lambda c: _best(c, F.col("item"), F.col("shift"))).alias("b"))
-    real = tried.where((F.col("b.equal") >= F.least(F.lit(MIN_WORDS), F.col("item_words"))) & (F.col("b.sum") > 0))
+    tried = met.select("doc_id", "item_id", F.size("item").alias("item_words"), "shift", let(F.col("c"), lambda c: _verdict(c, F.col("item"), F.col("shift"))).alias("b"))
+    real = tried.where(F.col("b").isNotNull())
     top = F.max_by(F.struct("b.equal", "b.first", "b.last", "shift", "item_words"), F.struct("b.equal", -F.col("shift"), "item_words"))
     return real.groupBy("doc_id", "item_id").agg(top.alias("t")).select(
         "doc_id", "item_id", F.col("t.equal").cast("long").alias("n_equal"), (F.col("t.last") - F.col("t.first") + 1).cast("long").alias("n_words"),
