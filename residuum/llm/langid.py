@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from residuum.llm import gru
+from residuum.session import stage
 
 WINDOW, SIZE = 64, 8
-#: Bounds of the sample: documents per language (lowest hashes of the text), windows of each.
+#: Bounds of the sample: different texts per language (lowest hashes), windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
 BATCH, EPOCHS, RATE = 128, 8, 0.02
 #: Windows that are scored together.
@@ -27,13 +28,14 @@ UNKNOWN = "und"
 
 
 def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
-    """(lang, windows as strings) of the sample; only rows with a letter and a lang."""
+    """(lang, windows as strings) of the sample; only rows with a letter and a lang, copies of a text once."""
     place = lambda k: F.pmod(F.xxhash64("text", k), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
     cut = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda k: F.substring("text", place(k), F.lit(WINDOW)))
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("lang", F.xxhash64("text").alias("h"), cut.alias("cut"))
-    # A rank filter keeps that many rows per task and language before the shuffle.
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
-    return [(r["lang"], r["cut"]) for r in ranked.orderBy("lang", "h").collect()]
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("lang", F.xxhash64("text").alias("h"), "text")
+    # Hashes alone are made distinct and ranked, so that no copies take places; a rank filter keeps that many per task and language.
+    ranked = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE_DOCS)
+    chosen = rows.join(stage(ranked.drop("k")), ["lang", "h"]).groupBy("lang", "h").agg(F.min(cut).alias("cut"))
+    return [(r["lang"], r["cut"]) for r in chosen.orderBy("lang", "h").collect()]
 
 
 def _hidden(p: dict[str, np.ndarray], codes: np.ndarray, keep: bool = False):

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from residuum.llm import langid, lm
 
 
+def test_copies_take_no_places_in_the_language_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    texts = spark.createDataFrame([(f"text number {i} of this language", "en") for i in range(50)], "text string, lang string")
+    lowest = texts.orderBy(F.xxhash64("text")).first().text
+    copies = spark.range(300).select(F.lit(lowest).alias("text"), F.lit("en").alias("lang"))
+    got = langid.sample(texts.unionByName(copies))
+    assert len(got) == 20 and len({tuple(cut) for _, cut in got}) == 20
+
+
 def test_language_model_learns_from_all_rows(spark):
     # The order of two words tells the cycle; one very long text and many copies of another come first.
     ids = [i for i in range(30000) if zlib.crc32(str(i).encode()) % 5 != 1]
