@@ -3,7 +3,7 @@
 Every family is two plans over a displayed ``atoms`` relation. ``propose`` returns tagged rows
 ``structure_id, family, accepted, parameters, reason, rank, tag, required``: accepted candidates and the
 reasons others failed. ``answer`` recomputes the value of accepted candidates from the relations alone, so it
-can be run on any displayed structure. Whole-structure families skip structures above the size limit.
+can be run on any displayed structure. Whole-structure families reject structures above the size limit.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ MAX_WHOLE_ATOMS, NEGATIVE_MARGIN, SET_MARGIN, NEAREST_MARGIN = 1560, 0.20, 0.05,
 CONTEXT_ONLY = ("P01", "P02", "S03", "S04", "S05", "S08", "S09")
 NOT_FOR_PREDICTED = ("S06", "S07", "S02", "I01", "G04", "T01")
 ORDER = ("P01", "P02", "P03", "G01", "G02", "G03", "G04", "S01", "S02", "S03", "S04", "S05", "S06", "S07", "S08", "S09", "I01", "N01", "T01")
+TOO_LARGE = "structure_too_large_for_uncroppable_family"
 #: Atom preferred for a distance question, most telling first.
 INFORMATIVE = ("NZ", "NE2", "OD1", "OE1", "SG", "OG", "OH", "CZ", "CG", "CB", "CA")
 CHARGED = ("ASP", "GLU", "LYS", "ARG", "HIS")
@@ -48,11 +49,14 @@ class Analysis:
             "structure_id", "residue_idx", "chain", "seq_id", "name", "parent", "entity", "poly_index", "label").agg(
             F.expr("count(*) AS n_atoms")))
 
+    @property
+    def sizes(self) -> DataFrame:
+        """Structures and whether they are too large to be shown whole."""
+        return self._get("sizes", lambda: self.atoms.groupBy("structure_id").agg(F.expr(f"count(*) > {MAX_WHOLE_ATOMS} AS large")))
+
     @property
     def small(self) -> DataFrame:
-        """Structures that may be shown whole."""
-        return self._get("small", lambda: self.atoms.groupBy("structure_id").agg(F.expr("count(*) AS n")).filter(
-            f"n <= {MAX_WHOLE_ATOMS}").select("structure_id"))
+        return self.sizes.filter("NOT large").select("structure_id")
 
     @property
     def disulfides(self) -> DataFrame:
@@ -98,13 +102,19 @@ def _whole(a: Analysis, df: DataFrame) -> DataFrame:
     return df.join(a.small, "structure_id", "left_semi")
 
 
+def _with_large(a: Analysis, rows: DataFrame, family: str) -> DataFrame:
+    """``rows`` and one rejection per structure that is too large."""
+    return rows.unionByName(_rows(a.sizes.filter("large"), family, "'{}'", f"'{TOO_LARGE}'"))
+
+
 # -- parsing -----------------------------------------------------------------------
 
 def p01(a: Analysis) -> DataFrame:
     """Chain list: identifiers must differ by more than case."""
-    rows = _whole(a, a.residues).groupBy("structure_id").agg(
-        F.expr("collect_set(chain) AS chains"), F.expr("count(DISTINCT upper(chain)) AS folded"))
-    return _rows(rows, "P01", "'{}'", "IF(folded < size(chains), 'chain_ids_differ_only_by_case', NULL)", "-size(chains)")
+    rows = a.residues.groupBy("structure_id").agg(
+        F.expr("collect_set(chain) AS chains"), F.expr("count(DISTINCT upper(chain)) AS folded")).join(a.sizes, "structure_id")
+    verdict = f"CASE WHEN folded < size(chains) THEN 'chain_ids_differ_only_by_case' WHEN large THEN '{TOO_LARGE}' END"
+    return _rows(rows, "P01", "'{}'", verdict, "-size(chains)")
 
 
 def p01_answer(a: Analysis) -> DataFrame:
@@ -113,7 +123,7 @@ def p01_answer(a: Analysis) -> DataFrame:
 
 def p02(a: Analysis) -> DataFrame:
     rows = _whole(a, a.residues).filter("entity = 'protein'").groupBy("structure_id", "chain").count()
-    return _rows(rows, "P02", _json(chain="chain"), "IF(count < 20, 'chain_too_short', NULL)", "-count")
+    return _with_large(a, _rows(rows, "P02", _json(chain="chain"), "IF(count < 20, 'chain_too_short', NULL)", "-count"), "P02")
 
 
 def p02_answer(a: Analysis) -> DataFrame:
@@ -127,7 +137,7 @@ def p03(a: Analysis) -> DataFrame:
     placed = side.join(totals, "structure_id").selectExpr("*", "residue_idx / greatest(total - 1, 1) AS place").filter(
         "place BETWEEN 0.15D AND 0.85D").selectExpr("*", "abs(place - 0.5D) AS off")
     best = first_per_key(placed, ["structure_id"], ["off", "label", "atom_name"], 24)
-    return _rows(best, "P03", _json(residue="label", atom="atom_name"), rank="rank - 1", required="array(label)")
+    return _with_large(a, _rows(best, "P03", _json(residue="label", atom="atom_name"), rank="rank - 1", required="array(label)"), "P03")
 
 
 def p03_answer(a: Analysis) -> DataFrame:
@@ -267,9 +277,9 @@ def s01_answer(a: Analysis) -> DataFrame:
 
 def s02(a: Analysis) -> DataFrame:
     """The only phosphorylated residue of a structure."""
-    sites = _whole(a, a.atoms).filter(f"entity = 'protein' AND {chem.in_list('name', chem.PHOSPHO)}").groupBy("structure_id").agg(
-        F.expr("count(DISTINCT residue_idx) AS n"), F.expr("min(label) AS label"), F.expr("bool_or(atom_name = 'P') AS has_p"))
-    verdict = "CASE WHEN n > 1 THEN 'multiple_phosphorylated_residues' WHEN NOT has_p THEN 'phosphate_atom_missing' END"
+    sites = a.atoms.filter(f"entity = 'protein' AND {chem.in_list('name', chem.PHOSPHO)}").groupBy("structure_id").agg(
+        F.expr("count(DISTINCT residue_idx) AS n"), F.expr("min(label) AS label"), F.expr("bool_or(atom_name = 'P') AS has_p")).join(a.sizes, "structure_id")
+    verdict = f"CASE WHEN n > 1 THEN 'multiple_phosphorylated_residues' WHEN large THEN '{TOO_LARGE}' WHEN NOT has_p THEN 'phosphate_atom_missing' END"
     return _rows(sites, "S02", "'{}'", verdict, required="array(label)")
 
 
@@ -283,8 +293,8 @@ def s03(a: Analysis) -> DataFrame:
     rows = _whole(a, a.areas).filter(f"rasa IS NOT NULL AND {chem.is_standard('name')}")
     off = "CASE burial WHEN 'buried' THEN 0.2D - rasa WHEN 'solvent-exposed' THEN rasa - 0.4D END"
     kind = f"CASE WHEN {chem.in_list('parent', CHARGED)} THEN 'charged' WHEN {chem.in_list('parent', HYDROPHOBIC)} THEN 'hydrophobic' ELSE 'polar' END"
-    return _rows(rows, "S03", _json(residue="label"), "IF(burial = 'intermediate', 'intermediate_burial', NULL)", f"-({off})",
-                 f"concat(burial, ':', {kind})", "array(label)")
+    return _with_large(a, _rows(rows, "S03", _json(residue="label"), "IF(burial = 'intermediate', 'intermediate_burial', NULL)", f"-({off})",
+                                f"concat(burial, ':', {kind})", "array(label)"), "S03")
 
 
 def s03_answer(a: Analysis) -> DataFrame:
@@ -295,7 +305,7 @@ def s04(a: Analysis) -> DataFrame:
     """Secondary structure well inside a stable run."""
     rows = _whole(a, backbone.class_runs(a.atoms, a.structure))
     verdict = "CASE WHEN class IS NULL THEN 'dssp_missing_backbone' WHEN run_length < 5 OR edge_distance < 2 THEN 'unstable_secondary_structure_run' END"
-    return _rows(rows, "S04", _json(residue="label"), verdict, "-(run_length + edge_distance)", "coalesce(class, '')", "array(label)")
+    return _with_large(a, _rows(rows, "S04", _json(residue="label"), verdict, "-(run_length + edge_distance)", "coalesce(class, '')", "array(label)"), "S04")
 
 
 def s04_answer(a: Analysis) -> DataFrame:
@@ -306,7 +316,7 @@ def s05(a: Analysis) -> DataFrame:
     """Fold class of chains with at least forty assigned residues."""
     rows = _whole(a, backbone.chain_fractions(a.structure))
     verdict = "CASE WHEN n_assigned < 40 THEN 'chain_too_short_for_fold_class' WHEN fold IS NULL THEN 'fold_class_undefined' END"
-    return _rows(rows, "S05", _json(chain="chain"), verdict, tag="coalesce(fold, '')")
+    return _with_large(a, _rows(rows, "S05", _json(chain="chain"), verdict, tag="coalesce(fold, '')"), "S05")
 
 
 def s05_answer(a: Analysis) -> DataFrame:
@@ -380,7 +390,7 @@ def i01(a: Analysis) -> DataFrame:
         "structure_id", "chain_i", "chain_j").agg(F.expr("min(d) AS nearest_excluded"))
     rows = per_pair.join(edge, ["structure_id", "chain_i", "chain_j"], "left")
     verdict = (f"CASE WHEN n NOT BETWEEN 4 AND 40 THEN 'interface_size_out_of_range' WHEN nearest_excluded < {4.0 + SET_MARGIN}D THEN 'interface_negative_margin' END")
-    return _rows(rows, "I01", _json(chain_a="chain_i", chain_b="chain_j"), verdict, "-size(labels)", "concat(chain_i, chain_j)", "labels")
+    return _with_large(a, _rows(rows, "I01", _json(chain_a="chain_i", chain_b="chain_j"), verdict, "-size(labels)", "concat(chain_i, chain_j)", "labels"), "I01")
 
 
 def i01_answer(a: Analysis) -> DataFrame:
