@@ -201,24 +201,30 @@ def g02_answer(a: Analysis) -> DataFrame:
     return ranked.selectExpr("structure_id", "label AS residue", "atom_name AS atom", "concat(best.near_label, ':', best.near_atom) AS text")
 
 
-def g03(a: Analysis, search: float = 12.0) -> DataFrame:
-    """Closest of five candidates to a target: a clear winner among residues within ``search``, decoys spread by rank."""
+def g03(a: Analysis) -> DataFrame:
+    """Closest of five candidates to a target: a clear winner among all residues of the structure, decoys spread by rank."""
     protein = a.residues.filter("entity = 'protein'")
-    targets = _sampled(a, protein, 20).selectExpr("structure_id", "residue_idx", "label", "chain", "poly_index")
-    minima = contacts.residue_pair_minima(contacts.protein_atoms(a.atoms), search, ["label", "chain", "poly_index"],
-                                          extra="NOT coalesce(a_chain = b_chain AND abs(a_poly_index - b_poly_index) <= 2, false)")
-    sides = "explode(array(struct(residue_idx_i AS t, residue_idx_j AS o, label_j AS l), struct(residue_idx_j AS t, residue_idx_i AS o, label_i AS l))) AS e"
-    near = minima.selectExpr("structure_id", "distance", sides).selectExpr("structure_id", "e.t AS residue_idx", "e.o AS other", "e.l AS other_label", "distance")
-    around = near.join(targets, ["structure_id", "residue_idx"])
-    placed = numbered(around, ["structure_id", "residue_idx"], ["distance", "other"], "0", "place")
+    # The reference asks for two residues more than there are candidates.
+    counted = stage(a.residues.groupBy("structure_id").agg(F.expr("count_if(entity = 'protein') AS n_protein")))
+    enough = protein.join(counted.filter("n_protein >= 7"), "structure_id", "left_semi")
+    targets = stage(_sampled(a, enough, 20).selectExpr("structure_id", "residue_idx AS residue_idx_i", "label", "chain", "poly_index"))
+    others = protein.selectExpr("structure_id", "residue_idx AS residue_idx_j", "label AS other_label", "chain AS other_chain", "poly_index AS other_index")
+    # Twenty targets per structure at most, whatever its size.
+    pairs = stage(targets.join(others, "structure_id").filter(
+        "residue_idx_i <> residue_idx_j AND NOT coalesce(chain = other_chain AND abs(poly_index - other_index) <= 2, false)"))
+    measured = contacts.listed_pair_distances(pairs, a.atoms).select("structure_id", "residue_idx_i", "residue_idx_j", "distance")
+    around = stage(pairs.join(measured, ["structure_id", "residue_idx_i", "residue_idx_j"]).selectExpr(
+        "structure_id", "residue_idx_i AS residue_idx", "label", "residue_idx_j AS other", "other_label", "distance"))
+    placed = numbered(around, ["structure_id", "residue_idx"], ["distance", "other"], "CAST(floor(distance / 8) AS BIGINT)", "place")
     sizes = around.groupBy("structure_id", "residue_idx").agg(F.expr("count(*) AS n")).filter("n >= 5").selectExpr("*", "greatest(1, (n - 1) div 4) AS step")
     chosen = placed.join(sizes, ["structure_id", "residue_idx"]).filter(
         "place <= 1 OR ((place - 1) % step = 0 AND (place - 1) div step < 4)")
     rows = chosen.groupBy("structure_id", "residue_idx", "label").agg(
         F.expr("min(distance) FILTER (WHERE place = 0) AS d0"), F.expr("min(distance) FILTER (WHERE place = 1) AS d1"),
         F.expr("array_sort(collect_list(IF(place = 0 OR ((place - 1) % step = 0 AND (place - 1) div step < 4), other_label, NULL))) AS candidates"))
-    return _rows(rows, "G03", _json(target="label", candidates="candidates"),
-                 f"IF(d1 - d0 < {NEAREST_MARGIN}D, 'closest_candidate_margin', NULL)", "-(d1 - d0)", required="concat(array(label), candidates)")
+    found = _rows(rows, "G03", _json(target="label", candidates="candidates"),
+                  f"IF(d1 - d0 < {NEAREST_MARGIN}D, 'closest_candidate_margin', NULL)", "-(d1 - d0)", required="concat(array(label), candidates)")
+    return found.unionByName(_rows(counted.filter("n_protein < 7"), "G03", "'{}'", "'too_few_residues'"))
 
 
 def g03_answer(a: Analysis, asked: DataFrame) -> DataFrame:
