@@ -1,13 +1,14 @@
 """The append-only results log as a stream: each stored attempt is scored once as it arrives.
 
-The log is a folder of JSON lines. Rows are deduplicated by attempt within a watermark, so
-a restarted writer that appends a row twice does not have it scored twice; state is bounded by
-the watermark, not by the length of the log.
+The log is a folder of JSON lines. Rows are deduplicated by attempt over the whole log, so a restarted
+writer that appends a row twice does not have it scored twice, and a row that comes late or is replayed
+is still scored. The state holds the keys of all attempts; it grows with the log, so long logs should keep
+it in the RocksDB state store.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..plans import scoring
@@ -18,15 +19,16 @@ def results_stream(spark: SparkSession, folder: str, max_files: int = 100) -> Da
     return spark.readStream.schema(RESULT).option("maxFilesPerTrigger", max_files).option("mode", "FAILFAST").json(folder)
 
 
-def first_arrivals(results: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """One row per attempt. ``recorded_at`` is the event time."""
-    return results.withWatermark("recorded_at", delay).dropDuplicatesWithinWatermark(
-        ["run_id", "render_id", "completion_index", "attempt"])
+def first_arrivals(results: DataFrame) -> DataFrame:
+    """One row per attempt, however late it arrives."""
+    return results.dropDuplicates(["run_id", "render_id", "completion_index", "attempt"])
 
 
 def score_stream(results: DataFrame, renders: DataFrame) -> DataFrame:
-    """Join arriving results to the static renders and score them."""
-    joined = results.withColumnRenamed("raw_response", "response").withColumnRenamed("refusal", "provider_refusal").join(renders, "render_id")
+    """Join arriving results to the static renders and score them. Unknown renders are an error, not a loss."""
+    known = renders.select("render_id", F.lit(True).alias("known"), *[c for c in renders.columns if c != "render_id"])
+    joined = results.withColumnRenamed("raw_response", "response").withColumnRenamed("refusal", "provider_refusal").join(known, "render_id", "left").filter(
+        "known OR raise_error(concat('response refers to an unknown render: ', coalesce(render_id, 'null')))").drop("known")
     for step in scoring.an.final_columns("response"):
         joined = joined.selectExpr(*step)
     return scoring.with_score(scoring.with_parsed(joined))
