@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residuum.llm import chat, decontaminate, htmltext, langid, lm, neardup, quality, secrets, tokencount, wordbpe
+from residuum.llm import chat, decontaminate, htmltext, langid, lm, merkle, neardup, prefixes, quality, secrets, tokencount, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,58 @@ def op7(spark, folder):
 @query("op10_lm_scoring")
 def op10(spark, folder):
     return lm.score_texts(table(spark, folder, "documents"))
+
+
+#: CRC-32 of a decimal number in SQL that has no such function: bit by bit over its characters.
+CRC32_SQL = """
+WITH crc AS (SELECT {key} AS {key}, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({key}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS crc FROM (SELECT DISTINCT {key} FROM {table} WHERE {key} IS NOT NULL)),
+"""
+
+
+@query("op11_prefix_trie", CRC32_SQL.format(key="conv_id", table="conversations") + """
+turns AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY pos) AS l FROM turns GROUP BY conv_id),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.l, [])[1:(crc % 9)::BIGINT], a.l[(crc % 9 + 1)::BIGINT:]) AS l
+  FROM lists a JOIN crc USING (conv_id) LEFT JOIN lists b ON b.conv_id = a.conv_id - a.conv_id % 5),
+starts AS (SELECT conv_id, len(l) AS n, d, l[1:d] AS p, l[1:greatest(d - 1, 0)] AS up, CASE WHEN d > 0 THEN strlen(l[d].t) ELSE 0 END AS bytes FROM rebuilt, unnest(range(0, len(l) + 1)) u(d)),
+nodes AS (SELECT p, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM starts GROUP BY p, d),
+children AS (SELECT up AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up),
+under AS (SELECT s.p, sum(v.saved) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes v JOIN starts s ON s.conv_id = v.conv_id AND s.d <= v.d LEFT JOIN children c ON c.p = v.p GROUP BY s.p)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, u.leaves AS n_leaves, u.saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN under u ON u.p = x.p LEFT JOIN children c ON c.p = x.p LEFT JOIN nodes y ON x.d > 0 AND y.p = x.up AND y.d = x.d - 1""")
+def op11(spark, folder):
+    return prefixes.prefix_trie(table(spark, folder, "conversations"))
+
+
+@query("op12_merkle_manifest", CRC32_SQL.format(key="doc_id", table="documents").replace("WITH", "WITH RECURSIVE", 1) + """
+fields AS (SELECT doc_id, lang, n_chars, coalesce(crc % 7 = 0, false) AS hit, coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id, '-')
+  || coalesce(strlen(source)::VARCHAR || ':' || source, '-') || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') AS head, coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS tail
+  FROM documents LEFT JOIN crc USING (doc_id)),
+hashed AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars, '-') || tail) AS leaf,
+  sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1), '-') || tail) AS changed, hit FROM fields),
+own AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed),
+levels AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY place) AS l FROM own GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], ''))) FROM levels WHERE len(l) > 1),
+subroots AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM levels WHERE len(l) = 1),
+tops AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS l FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], ''))) FROM tops WHERE len(l) > 1),
+moves AS (
+  SELECT o.lang, o.place, x.level, o.place >> x.level AS spot, x.l FROM own o JOIN levels x ON x.lang IS NOT DISTINCT FROM o.lang WHERE len(x.l) > 1
+  UNION ALL
+  SELECT o.lang, o.place, 100 + t.level, s.place >> t.level, t.l FROM own o JOIN subroots s ON s.lang IS NOT DISTINCT FROM o.lang JOIN tops t ON len(t.l) > 1),
+paths AS (SELECT lang, place, list(CASE WHEN spot % 2 = 1 THEN 'L' WHEN spot + 1 < len(l) THEN 'R' ELSE 'N' END || coalesce(l[xor(spot, 1) + 1], '') ORDER BY level) AS path FROM moves GROUP BY lang, place),
+ends AS (
+  SELECT o.doc_id, o.leaf, s.subroot, (SELECT l[1] FROM tops WHERE len(l) = 1) AS root, coalesce(p.path, []) AS path, CASE WHEN o.hit THEN o.changed ELSE o.leaf END AS shown
+  FROM own o JOIN subroots s ON s.lang IS NOT DISTINCT FROM o.lang LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM o.lang AND p.place = o.place),
+folded AS (SELECT *, list_reduce(list_concat([shown], path), lambda h, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || h WHEN 'R' THEN h || s[2:] ELSE h END)) AS folded_root FROM ends)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded""")
+def op12(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"))
