@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from residuum.llm import chat, decontaminate, htmltext, langid, lm, merkle, neardup, prefixes, quality, secrets, tokencount, wordbpe
+from residuum.llm import chat, decontaminate, htmltext, langid, lm, merkle, neardup, pii, prefixes, quality, secrets, tokencount, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,8 @@ folded AS (SELECT *, list_reduce(list_concat([shown], path), lambda h, s: sha256
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded""")
 def op12(spark, folder):
     return merkle.manifest(table(spark, folder, "documents"))
+
+
+@query("op13_personal_data")
+def op13(spark, folder):
+    return pii.find_personal(table(spark, folder, "documents"))

@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from residuum.session import stage
 
-#: Levels that one sweep of a block climbs, and the nodes of a block.
+#: Levels that one sweep of a block climbs; a block has at most 2 to that power nodes.
 LEVELS = 12
-SPAN = 1 << LEVELS
 #: Leaves whose checksum of the id is divisible by this are tampered with.
 TAMPER = 7
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -58,9 +57,9 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(parts, ["tree", "_part"]).select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("rank"), "n")
 
 
-def steps(n: int) -> int:
+def steps(n: int, levels: int) -> int:
     """Levels that a block of a tree with n nodes on its level climbs."""
-    return min(LEVELS, (n - 1).bit_length())
+    return min(levels, (n - 1).bit_length())
 
 
 def forward(digests: list[str], first: int, climb: int) -> tuple[str, list]:
@@ -119,69 +118,76 @@ def _in_order(table: pa.Table) -> pa.Table:
     return table.sort_by("rank")
 
 
-def _up(table: pa.Table) -> pa.Table:
-    table = _in_order(table)
-    n, first = table["n"][0].as_py(), table["rank"][0].as_py()
-    top, _ = forward(table["digest"].to_pylist(), first, steps(n))
-    return pa.table({"tree": [table["tree"][0].as_py()], "rank": pa.array([first // SPAN], pa.int64()), "digest": [top], "n": pa.array([-(-n // (1 << steps(n)))], pa.int64())})
+def _upward(levels: int):
+    def up(table: pa.Table) -> pa.Table:
+        table = _in_order(table)
+        n, first = table["n"][0].as_py(), table["rank"][0].as_py()
+        climb = steps(n, levels)
+        top, _ = forward(table["digest"].to_pylist(), first, climb)
+        return pa.table({"tree": [table["tree"][0].as_py()], "rank": pa.array([first >> levels], pa.int64()), "digest": [top], "n": pa.array([-(-n // (1 << climb))], pa.int64())})
+    return up
 
 
-def _down(table: pa.Table, above: pa.Table) -> tuple[pa.Table, list[str], str, str]:
+def _paths(table: pa.Table, above: pa.Table, levels: int) -> tuple[pa.Table, list[str], str, str]:
     table, above = _in_order(table), above.to_pylist()[0]
     digests, first = table["digest"].to_pylist(), table["rank"][0].as_py()
-    _, nodes = forward(digests, first, steps(table["n"][0].as_py()))
+    _, nodes = forward(digests, first, steps(table["n"][0].as_py(), levels))
     return table, backward(nodes, first, len(digests), above["suffix"]), above["subroot"], above["root"]
 
 
-def _down_nodes(table: pa.Table, above: pa.Table) -> pa.Table:
-    table, paths, subroot, root = _down(table, above)
-    text = lambda v: pa.array([v] * len(paths), pa.string())
-    return pa.table({"tree": table["tree"], "rank": table["rank"], "suffix": pa.array(paths, pa.string()), "subroot": text(subroot), "root": text(root)})
+def _to_nodes(levels: int):
+    def down(table: pa.Table, above: pa.Table) -> pa.Table:
+        table, paths, subroot, root = _paths(table, above, levels)
+        text = lambda v: pa.array([v] * len(paths), pa.string())
+        return pa.table({"tree": table["tree"], "rank": table["rank"], "suffix": pa.array(paths, pa.string()), "subroot": text(subroot), "root": text(root)})
+    return down
 
 
-def _down_leaves(table: pa.Table, above: pa.Table) -> pa.Table:
-    table, paths, subroot, root = _down(table, above)
-    proofs = [siblings(p) for p in paths]
-    folded = [fold(changed or own, p) for own, changed, p in zip(table["digest"].to_pylist(), table["tampered"].to_pylist(), proofs)]
-    return pa.table({"doc_id": table["doc_id"], "leaf": table["digest"], "subroot": [subroot] * len(paths), "root": [root] * len(paths),
-                     "proof_sha256": [digest("".join(d for _, d in p)) for p in proofs], "folded_root": folded, "verified": [f == root for f in folded]})
+def _to_leaves(levels: int):
+    def down(table: pa.Table, above: pa.Table) -> pa.Table:
+        table, paths, subroot, root = _paths(table, above, levels)
+        proofs = [siblings(p) for p in paths]
+        folded = [fold(changed or own, p) for own, changed, p in zip(table["digest"].to_pylist(), table["tampered"].to_pylist(), proofs)]
+        return pa.table({"doc_id": table["doc_id"], "leaf": table["digest"], "subroot": [subroot] * len(paths), "root": [root] * len(paths),
+                         "proof_sha256": [digest("".join(d for _, d in p)) for p in proofs], "folded_root": folded, "verified": [f == root for f in folded]})
+    return down
 
 
-def climbed(nodes: DataFrame) -> list[DataFrame]:
+def climbed(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """The written relations of the forward sweep, from the given nodes to one node a tree."""
     tiers = [nodes]
     while not tiers[-1].where("n > 1").isEmpty():
-        tiers.append(stage(_blocks(tiers[-1]).applyInArrow(_up, NODE)))
+        tiers.append(stage(_blocks(tiers[-1], levels).applyInArrow(_upward(levels), NODE)))
     return tiers
 
 
-def _blocks(nodes: DataFrame):
-    return nodes.groupBy("tree", F.expr(f"rank div {SPAN}").alias("block"))
+def _blocks(nodes: DataFrame, levels: int):
+    return nodes.groupBy("tree", F.shiftright("rank", levels).alias("block"))
 
 
-def _met(nodes: DataFrame, paths: DataFrame):
-    return _blocks(nodes).cogroup(paths.groupBy("tree", F.col("rank").alias("block")))
+def _met(nodes: DataFrame, paths: DataFrame, levels: int):
+    return _blocks(nodes, levels).cogroup(paths.groupBy("tree", F.col("rank").alias("block")))
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Per row of ``docs``: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     Nulls are hashed as ``-``; a null lang is a tree of its own, the first; rows of a tree are ordered by doc_id
     (null first), equal ids by leaf, and repeated rows are leaves of their own. A tree of one leaf is that leaf. A null
     doc_id is never tampered with; a tampered null n_chars stays null, so its row still verifies. An empty table
-    gives no rows; further columns are ignored. Blocks hold at most ``SPAN`` digests, never a text.
+    gives no rows; further columns are ignored. A task holds the digests of one block, at most 2 ** ``levels``, never a text.
     """
     own = ranked(stage(leaves(docs)), ["doc_id", "leaf"]).withColumnRenamed("leaf", "digest")
     own = stage(own)
-    below = climbed(own)
+    below = climbed(own, levels)
     subroots = below[-1].select("tree", "digest")
     tops = stage(ranked(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("lang_tree"), "digest"), ["lang_tree"]))
-    above = climbed(tops)
+    above = climbed(tops, levels)
     paths = above[-1].selectExpr("tree", "rank", "'' AS suffix", "CAST(NULL AS STRING) AS subroot", "digest AS root")
     for tier in reversed(above[:-1]):
-        paths = stage(_met(tier.select("tree", "rank", "digest", "n"), paths).applyInArrow(_down_nodes, PATH))
+        paths = stage(_met(tier.select("tree", "rank", "digest", "n"), paths, levels).applyInArrow(_to_nodes(levels), PATH))
     paths = tops.join(paths.select("rank", "suffix", "root"), "rank").selectExpr("lang_tree AS tree", "0L AS rank", "suffix", "digest AS subroot", "root")
     for tier in reversed(below[1:-1]):
-        paths = stage(_met(tier, paths).applyInArrow(_down_nodes, PATH))
+        paths = stage(_met(tier, paths, levels).applyInArrow(_to_nodes(levels), PATH))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _met(own, paths).applyInArrow(_down_leaves, f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    return _met(own, paths, levels).applyInArrow(_to_leaves(levels), f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")

@@ -77,7 +77,7 @@ def running(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
     sums = stage(blocked.groupBy(key, "_b").agg(F.sum(value).alias("_sum")))
     if sums.where("_b > 0").isEmpty():
         return local.withColumn("before", F.col("_in")).drop("_b", "_in")
-    offsets = running(sums, key, "_b", "_sum").select(key, "_b", F.col("before").alias("_offset"))
+    offsets = running(sums.withColumnRenamed("_b", "_at"), key, "_at", "_sum").select(key, F.col("_at").alias("_b"), F.col("before").alias("_offset"))
     return local.join(offsets, [key, "_b"]).withColumn("before", F.col("_in") + F.col("_offset")).drop("_b", "_in", "_offset")
 
 
