@@ -67,3 +67,40 @@ def seed_of_digest(digest: str) -> str:
 
 def derive_seed(*parts) -> str:
     return seed_of_digest(stable_hash(*parts))
+
+
+def json_number(value: str) -> str:
+    """A double as JSON writes it: shortest digits, plain from 1e-4 to 1e16, otherwise with a two-digit exponent."""
+    size = f"abs({value})"
+    plain = f"regexp_replace(regexp_replace(CAST(CAST({value} AS DECIMAL(38, 20)) AS STRING), '0+$', ''), '[.]$', '.0')"
+    exponent = f"regexp_replace(regexp_replace(CAST({value} AS STRING), '[.]0E', 'E'), 'E(-?)([0-9]+)$', 'e$1$2')"
+    padded = (f"regexp_replace(regexp_replace({exponent}, 'e([0-9])', 'e+$1'), 'e([+-])([0-9])$', 'e$10$2')")
+    return (f"CASE WHEN {value} = 0 OR ({size} >= 1e-3 AND {size} < 1e7) THEN CAST({value} AS STRING) "
+            f"WHEN {size} >= 1e-4 AND {size} < 1e16 THEN {plain} ELSE {padded} END")
+
+
+def canonical(value: str, kind) -> str:
+    """Compact JSON of any value by its Spark type: sorted keys, ASCII escapes, nulls written out."""
+    from pyspark.sql import types as T
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [f"{_quoted(json.dumps(f.name) + ':')}, {canonical(f'{value}.`{f.name}`', f.dataType)}" for f in fields]
+        body = f"concat('{{', {', '.join(x for p in parts for x in (p, _quoted(',')))[:-5]}, '}}')" if parts else "'{}'"
+    elif isinstance(kind, T.ArrayType):
+        name = f"e{abs(hash(value)) % 10 ** 9}"
+        body = f"concat('[', array_join(transform({value}, {name} -> {canonical(name, kind.elementType)}), ','), ']')"
+    elif isinstance(kind, T.MapType):
+        name = f"m{abs(hash(value)) % 10 ** 9}"
+        entry = f"concat({json_string(f'{name}.key')}, ':', {canonical(f'{name}.value', kind.valueType)})"
+        body = f"concat('{{', array_join(transform(array_sort(map_entries({value})), {name} -> {entry}), ','), '}}')"
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        body = json_number(f"CAST({value} AS DOUBLE)")
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        body = f"CAST({value} AS STRING)"
+    else:
+        body = json_string(f"CAST({value} AS STRING)")
+    return f"coalesce({body}, 'null')"
+
+
+def _quoted(constant: str) -> str:
+    return "'" + constant.replace("\\", "\\\\").replace("'", "\\'") + "'"

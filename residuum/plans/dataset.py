@@ -22,6 +22,7 @@ NOTICE = {
 }
 FRAME_NOTICE = "The whole structure was moved as one rigid body; only relative positions carry meaning."
 CROP_NOTICE = "The records are a local excerpt of a larger structure."
+FINISH = "Finish with a line FINAL: followed by the answer."
 #: One sentence per family; named places are filled from the parameters.
 QUESTIONS = {
     "P01": "Which chain identifiers occur in the structure?", "P02": "How many protein residues does chain {chain} have?",
@@ -48,9 +49,8 @@ def instance_id() -> str:
     return f"concat(family, '-', structure_id, '-', substr({digest}, 1, 8))"
 
 
-def select_candidates(proposals: DataFrame, families: list[str], targets: dict[str, int], seed: int, cap: int = 6,
-                      cluster: str = "structure_id") -> DataFrame:
-    """Accepted candidates through the seeded pool, the spread over tags, the round-robin and the quota."""
+def ordered_candidates(proposals: DataFrame, families: list[str], targets: dict[str, int], seed: int, cluster: str = "structure_id") -> DataFrame:
+    """Accepted candidates through the seeded pool, the spread over tags and the round-robin: ``place`` within the family, at most four times the target."""
     key = ["family", "structure_id"]
     accepted = proposals.filter("accepted")
     draw = h.derive_seed(("raw", f"'{seed}'"), h.text("candidate"), "family", "structure_id", "parameters")
@@ -68,8 +68,14 @@ def select_candidates(proposals: DataFrame, families: list[str], targets: dict[s
                 "*", "row_number() OVER (PARTITION BY family ORDER BY turn, cluster_seed, cluster) AS place", "true AS usable")
             placed = rows if placed is None else placed.unionByName(rows)
     if placed is None:
-        return accepted.limit(0)
-    return select.quota_fold(fam.stage(placed), families, targets, cap)
+        return accepted.selectExpr("*", f"{cluster} AS cluster", "1 AS place", "true AS usable").limit(0)
+    return fam.stage(placed)
+
+
+def select_candidates(proposals: DataFrame, families: list[str], targets: dict[str, int], seed: int, cap: int = 6,
+                      cluster: str = "structure_id") -> DataFrame:
+    """Candidates in order, and of those what the quotas leave."""
+    return select.quota_fold(ordered_candidates(proposals, families, targets, seed, cluster), families, targets, cap)
 
 
 def question_text() -> str:
@@ -107,9 +113,9 @@ def renders(instances: DataFrame, atoms: DataFrame, seed: int, table_share: floa
         legend, "structure_id", "left")
     notice = "CASE representation " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NOTICE.items()) + " END"
     body = ("concat_ws('\\n\\n', " + notice + f", IF(representation = 'context_only', NULL, '{FRAME_NOTICE}'), "
-            "IF(representation = 'context_only', NULL, concat('Structure:\\n', rtrim(text))), "
+            "IF(representation = 'context_only', NULL, concat('Structure:\\n', trim(TRAILING '\\n' FROM text))), "
             "IF(representation = 'context_only' OR legend IS NULL, NULL, concat('Non-polymer entities:\\n', legend)), "
-            f"concat('Question: ', {question_text()}), 'Finish with a line FINAL: followed by the answer.')")
+            f"concat('Question: ', {question_text()}), '{FINISH}')")
     return wanted.selectExpr("*", f"concat({body}, '\\n') AS user_prompt").selectExpr(
         "concat(semantic_instance_id, '::', representation) AS render_id", "semantic_instance_id", "family AS question_family", "representation",
         f"'{PROMPT_VERSION}' AS prompt_version", "user_prompt", "sha2(user_prompt, 256) AS prompt_sha256", "sha2(text, 256) AS displayed_coordinates_sha256",

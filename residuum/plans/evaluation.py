@@ -141,3 +141,24 @@ def with_decisions(instances: DataFrame, decisions: DataFrame) -> DataFrame:
     return instances.join(last, "semantic_instance_id", "left").selectExpr(
         *[c for c in instances.columns if c != "curation_status"],
         "CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE 'candidate' END AS curation_status", "reason")
+
+
+def decided(instances: DataFrame, decisions: DataFrame | None) -> DataFrame:
+    """Status, notes and answer after the last decision; ``label_override`` is the JSON of an answer and replaces the whole answer."""
+    from ..functions.chemistry import in_list
+    from ..sources.records import GOLD_FIELDS
+    rest = [c for c in instances.columns if c not in {f.name for f in GOLD_FIELDS}]
+    if decisions is None:
+        return instances.selectExpr("*", "'proposed' AS curation_status", "'' AS curator_notes", "CAST(NULL AS STRING) AS curator_override")
+    last = last_decisions(decisions).selectExpr("semantic_instance_id", "decision", "notes", "label_override AS curator_override")
+    value = "get_json_object(curator_override, '$.value')"
+    given = {"gold_number": f"IF({in_list('answer_schema', ('integer', 'distance'))}, CAST({value} AS DOUBLE), NULL)",
+             "gold_flag": f"IF(answer_schema = 'boolean', CAST({value} AS BOOLEAN), NULL)",
+             "gold_items": f"IF({in_list('answer_schema', ('string_set', 'residue_set', 'residue_pair_set', 'ordered_path'))}, from_json({value}, 'array<string>'), NULL)",
+             "gold_numbers": f"IF(answer_schema = 'numeric_triple', from_json({value}, 'array<double>'), NULL)",
+             "gold_gained": "from_json(get_json_object(curator_override, '$.gained'), 'array<string>')",
+             "gold_lost": "from_json(get_json_object(curator_override, '$.lost'), 'array<string>')",
+             "gold_text": f"IF({in_list('answer_schema', ('residue', 'atom', 'residue_pair', 'category', 'multiple_choice'))}, {value}, NULL)"}
+    return instances.join(last, "semantic_instance_id", "left").selectExpr(
+        *rest, *[f"IF(curator_override IS NULL, {f.name}, {given[f.name]}) AS {f.name}" for f in GOLD_FIELDS],
+        "CASE decision WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE 'proposed' END AS curation_status", "coalesce(notes, '') AS curator_notes", "curator_override")

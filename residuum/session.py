@@ -36,7 +36,7 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Give executors this package, so that Arrow functions can be loaded there."""
     context = spark.sparkContext
-    if context.master.startswith("local") or context.applicationId in _SHIPPED:
+    if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp()}/residuum", "zip", root.parent, root.name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chemistry import in_list
-from ..functions.hashing import json_string_list
+from ..functions.hashing import json_number, json_string, json_string_list
 
 STRINGS = T.ArrayType(T.StringType())
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -123,12 +123,14 @@ def decision_violations(decisions: DataFrame) -> DataFrame:
         "semantic_instance_id", "'reason_required' AS violation")
 
 
-def gold_json() -> str:
-    """Canonical text of the answer, the input of its hash. Numbers use their shortest form."""
-    return ("CASE WHEN gold_items IS NOT NULL THEN concat('{\"value\":', " + json_string_list("gold_items") + ", '}') "
-            "WHEN gold_text IS NOT NULL THEN to_json(struct(gold_text AS value)) WHEN gold_number IS NOT NULL THEN to_json(struct(gold_number AS value)) "
-            "WHEN gold_flag IS NOT NULL THEN to_json(struct(gold_flag AS value)) WHEN gold_numbers IS NOT NULL THEN to_json(struct(gold_numbers AS value)) "
-            "WHEN gold_gained IS NOT NULL THEN to_json(struct(gold_gained AS gained, gold_lost AS lost)) END")
+def gold_json(integer: str = "answer_schema = 'integer'") -> str:
+    """Canonical text of the answer, the input of its hash: sorted keys, ASCII escapes, shortest numbers. ``integer`` says whether the number is a count."""
+    number = f"IF({integer}, CAST(CAST(gold_number AS BIGINT) AS STRING), {json_number('gold_number')})"
+    numbers = f"concat('[', array_join(transform(gold_numbers, n -> {json_number('n')}), ','), ']')"
+    value = (f"CASE WHEN gold_items IS NOT NULL THEN {json_string_list('gold_items')} WHEN gold_text IS NOT NULL THEN {json_string('gold_text')} "
+             f"WHEN gold_number IS NOT NULL THEN {number} WHEN gold_flag IS NOT NULL THEN CAST(gold_flag AS STRING) WHEN gold_numbers IS NOT NULL THEN {numbers} END")
+    sets = f"concat('{{\"gained\":', {json_string_list('gold_gained')}, ',\"lost\":', {json_string_list('gold_lost')}, '}}')"
+    return f"coalesce(concat('{{\"value\":', {value}, '}}'), {sets})"
 
 
 def write_dataset(instances: DataFrame, renders: DataFrame, rejections: DataFrame, folder: str, header_id: str) -> None:
@@ -165,10 +167,14 @@ def load_dataset(spark: SparkSession, folder: str, header_id: str) -> tuple[Data
     return joined, read_jsonl(spark, f"{folder}/renders", RENDER)
 
 
+def listed_ids(listed: DataFrame) -> DataFrame:
+    """Instance ids of a published list with a text column ``value``; blanks and # lines do not count."""
+    return listed.selectExpr("trim(value) AS semantic_instance_id").filter("semantic_instance_id <> '' AND semantic_instance_id NOT LIKE '#%'")
+
+
 def drop_listed(instances: DataFrame, listed: DataFrame) -> DataFrame:
-    """Remove instances whose answers were published. ``listed`` has a text column ``value``; blanks and # lines do not count."""
-    ids = listed.selectExpr("trim(value) AS semantic_instance_id").filter("semantic_instance_id <> '' AND semantic_instance_id NOT LIKE '#%'")
-    return instances.join(ids, "semantic_instance_id", "left_anti")
+    """Remove instances whose answers were published."""
+    return instances.join(listed_ids(listed), "semantic_instance_id", "left_anti")
 
 
 def merge_manifests(first: DataFrame, second: DataFrame) -> DataFrame:
