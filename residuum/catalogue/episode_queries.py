@@ -14,7 +14,7 @@ from .data import atoms
 from .dataset_queries import _S63
 from .registry import query
 
-SEED, ATOM_BUDGET = 5, 700
+SEED, ATOM_BUDGET = 5, 1500
 #: Chains of state 1 by segment of 16 residues; in state 2 they are called C, A, B and come in another order.
 _CHAIN = "CASE WHEN residue_idx < 32 THEN 'A' WHEN residue_idx < 64 THEN 'B' WHEN residue_idx < 96 THEN 'C' WHEN residue_idx < 112 AND entity = 'protein' THEN 'X' WHEN residue_idx = 127 THEN 'D' END"
 _KIND = "CAST(substr(structure_id, 2) AS INT) % 4"

@@ -115,7 +115,7 @@ def renames(aligned: DataFrame, first: DataFrame, second: DataFrame) -> DataFram
 def harmonised(second: DataFrame, aligned: DataFrame, names: DataFrame) -> DataFrame:
     """State 2 in the frame and under the chain names of state 1; labels and polymer positions are made anew. A name that would occur twice is an error."""
     moved = superpose.apply_superposition(second, aligned.filter("reason IS NULL"), ["structure_id"])
-    clash = names.groupBy("structure_id", "new_chain").count().filter("count > 1 AND raise_error(concat('two chains become ', new_chain, ' in ', structure_id))")
+    clash = names.groupBy("structure_id", "new_chain").count().filter("IF(count > 1, raise_error(concat('two chains become ', new_chain, ' in ', structure_id)), false)")
     renamed = moved.join(names.join(clash, ["structure_id", "new_chain"], "left_anti"), ["structure_id", "chain"]).withColumn("chain", F.col("new_chain"))
     labelled = renamed.withColumn("label", F.expr(chem.residue_label("chain", "name", "seq_id", "entity"))).drop("new_chain", "poly_index")
     return cleaning.assign_poly_index(labelled).select(*second.columns)
