@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 # Element classes of the language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("script style head title template noscript iframe object audio video canvas svg math datalist noembed noframes param select".split())
+HIDDEN = set("script style head title template noscript iframe object audio video canvas datalist noembed noframes param".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
             "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir pre blockquote table figure hr".split())
@@ -33,32 +34,79 @@ IMPLIED = {
 #: Elements that an end tag of something inside or outside does not close.
 WALLS = {"table", "td", "th", "caption", "html", "template", "button", "object"}
 PARTS = {"table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
+DELIMITER = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NO_BOX = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
+NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
+#: Open elements at most, as in browsers: what is nested deeper stands beside its parent.
+DEEPEST = 512
+#: Cells are padded to the widest cell of their column, but no further than this; and columns that one cell may span.
+WIDEST, MOST_SPANNED = 120, 1000
+#: Blanks that a line begins with at most.
+MOST_INDENTED = 64
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "shown", "lines")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.shown: bool = True
+        self.lines: list[str] | None = None
+
+
+class Tags:
+    """Where a tag ends. A start that cannot end is remembered by the quotes it met, so no part of a page is read twice in vain."""
+
+    def __init__(self, source: str):
+        self.source, self.doomed = source, set()
+        self.unclosed: dict[str, int] = {}
+        self.last = source.rfind(">")
+
+    def end(self, at: int) -> int:
+        """The next ``>`` outside quotes, or -1."""
+        met: list[int] = []
+        while at <= self.last:
+            found = DELIMITER.search(self.source, at)
+            mark, place = found[0], found.start()
+            if mark == ">":
+                return place
+            if place in self.doomed or place >= self.unclosed.get(mark, len(self.source)):
+                break
+            met.append(place)
+            closing = self.source.find(mark, place + 1)
+            if closing < 0:
+                self.unclosed[mark] = place
+                break
+            at = closing + 1
+        self.doomed.update(met)
+        return -1
 
 
 def parse(source: str) -> Node:
-    """The tree of a page; texts are strings among the children, entities resolved."""
+    """The tree of a page; texts are strings among the children, entities resolved. Every character is looked at a bounded number of times."""
     root = Node("html", {})
-    stack, at, size = [root], 0, len(source)
+    stack, at, size, tags_of = [root], 0, len(source), Tags(source)
+    opened: Counter[str] = Counter()
 
     def text(piece: str) -> None:
         if piece:
             stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
 
+    def drop(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
+        del stack[depth:]
+
     def close(tags: set[str], walls: set[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in tags:
-                del stack[depth:]
+                drop(depth)
                 return
             if stack[depth].tag in walls:
                 return
@@ -69,20 +117,29 @@ def parse(source: str) -> Node:
             text(source[at:])
             break
         text(source[at:found.start()])
-        at = found.end()
         ending, name = found[1], found[2]
         if not name:
-            continue  # a comment or declaration
+            # A comment or declaration; one that is not ended takes the rest.
+            mark = "-->" if found[0] == "<!--" else ">"
+            end = source.find(mark, found.end())
+            at = size if end < 0 else end + len(mark)
+            continue
+        end = tags_of.end(found.end())
+        if end < 0:
+            text(found[0])
+            at = found.end()
+            continue
+        at = end + 1
         name = name.lower()
         if ending:
-            if name == "p" and not any(n.tag == "p" for n in stack):
+            if name == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p", {}))
             elif name == "br":
                 stack[-1].children.append(Node("br", {}))
             elif name not in ("html", "body"):
                 close({name}, ({"table"} if name in PARTS else WALLS) - {name})
             continue
-        written = found[3]
+        written = source[found.end():end]
         attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(written)} if written.strip(" /") else {}
         if name == "html":
             continue
@@ -97,28 +154,59 @@ def parse(source: str) -> Node:
         elif name in ENDS_P:
             close({"p"}, WALLS)
         if stack[-1].tag == "head" and name not in ("title", "meta", "link", "style", "script", "base", "noscript", "template"):
-            stack.pop()
+            drop(len(stack) - 1)
+        if len(stack) >= DEEPEST:
+            drop(len(stack) - 1)
         node = Node(name, attributes)
         stack[-1].children.append(node)
         if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(source, at)
-            raw = source[at:end.start() if end else size]
+            raw_end = RAW_END[name].search(source, at)
+            raw = source[at:raw_end.start() if raw_end else size]
             node.children.append(html.unescape(raw) if name in ("textarea", "title") else raw)
-            at = size if not end else (source.find(">", end.start()) + 1 or size)
+            at = size if not raw_end else (source.find(">", raw_end.start()) + 1 or size)
             continue
         stack.append(node)
+        opened[name] += 1
     return root
 
 
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.I) for name in RAW}
+
+
 def hidden(node: Node) -> bool:
+    """Elements without a box; ``visibility`` is another matter, as what is inside can be visible again."""
     if node.tag in HIDDEN or "hidden" in node.attributes:
         return True
     if node.tag == "input" or (node.tag == "dialog" and "open" not in node.attributes):
         return True
     style = node.attributes.get("style")
-    return bool(style and INVISIBLE.search(style))
+    return bool(style and NO_BOX.search(style))
+
+
+def visible_children(node: Node) -> list:
+    """Children that are laid out: of a select the chosen option, of a drawing its texts."""
+    if node.tag == "select":
+        options, todo = [], [node]
+        while todo:
+            n = todo.pop()
+            if n.tag == "option":
+                options.append(n)
+            else:
+                todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+        chosen = [o for o in options if "selected" in o.attributes] or options[:1]
+        return [c for o in chosen for c in o.children]
+    if node.tag == "svg":
+        texts, todo = [], [c for c in reversed(node.children) if isinstance(c, Node)]
+        while todo:
+            n = todo.pop()
+            if n.tag in ("text", "foreignobject"):
+                texts += [" ", n, " "]
+            elif n.tag not in ("title", "desc", "defs", "symbol", "metadata") and not hidden(n):
+                todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+        return texts
+    return node.children
 
 
 class Writer:
@@ -199,7 +287,8 @@ def _table(table: Node, writer: Writer) -> None:
     while todo:
         node = todo.pop()
         if isinstance(node, str):
-            writer.write(node)
+            if table.shown:
+                writer.write(node)
         elif id(node) not in cells and not hidden(node):
             if node.tag in ("tr", "tbody", "thead", "tfoot"):
                 todo += reversed(node.children)
@@ -209,33 +298,63 @@ def _table(table: Node, writer: Writer) -> None:
         writer.end()
         _walk(caption, writer)
     writer.end()
-    texts = [[" ".join(render(c).split("\n")) for c in r] for r in rows]
+    texts = []
+    for r in rows:
+        line = []
+        for c in r:
+            found = NUMBER.match(c.attributes.get("colspan", ""))
+            spanned = min(MOST_SPANNED, max(1, int(found[1]))) if found else 1
+            line.append((" ".join(render(c).split("\n")), spanned))
+            line += [("", 0)] * (spanned - 1)
+        texts.append(line)
     widths: list[int] = []
     for r in texts:
-        for i, t in enumerate(r):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], len(t))
+        widths += [0] * (len(r) - len(widths))
+        for i, (t, spanned) in enumerate(r):
+            if spanned == 1 and len(t) <= WIDEST:
+                widths[i] = max(widths[i], len(t))
     for r in texts:
-        writer.write("  ".join(t.ljust(w) for t, w in zip(r, widths)).rstrip(" "), keep=True)
+        last = max((i for i, (t, _) in enumerate(r) if t), default=-1)
+        writer.write("  ".join(t.ljust(w) for (t, _), w in zip(r[:last + 1], widths)).rstrip(" "), keep=True)
         writer.end()
     writer.apart()
 
 
+def lay_tables(root: Node) -> None:
+    """Set what is visible, then lay out every table, inner ones first, so that tables never nest in calls."""
+    tables, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        found = VISIBILITY.search(node.attributes.get("style", ""))
+        if found:
+            node.shown = found[1].lower() not in ("hidden", "collapse")
+        if node.tag == "table":
+            tables.append(node)
+        for c in node.children:
+            if isinstance(c, Node):
+                c.shown = node.shown
+                if not hidden(c):
+                    todo.append(c)
+    for table in reversed(tables):
+        writer = Writer()
+        _table(table, writer)
+        table.lines = writer.text().split("\n")
+
+
 def _walk(top: Node, writer: Writer) -> None:
-    """Depth first with a stack of its own, so that no depth of nesting is too deep; tables recurse by cell."""
+    """Depth first with a stack of its own; tables inside are laid out already."""
     todo: list[tuple] = [("open", top, False, None)]
     while todo:
         step, node, keep, saved = todo.pop()
+        if step == "text":
+            writer.write(node, keep)
+            continue
         if step == "close":
             writer.apart() if node.tag in SPACED and saved[1] else writer.end()
             if node.tag == "li" and writer.mark is not None:
                 writer.mark = None  # an empty item shows nothing
             writer.indent = saved[0]
             continue
-        if isinstance(node, str):
-            writer.write(node, keep)
-            continue
         if node is not top and hidden(node):
             continue
         tag = node.tag
@@ -243,7 +362,14 @@ def _walk(top: Node, writer: Writer) -> None:
             writer.end(True)
             continue
         if tag == "table":
-            _table(node, writer)
+            writer.apart()
+            for line in node.lines or ():
+                if line:
+                    writer.write(line, keep=True)
+                    writer.end()
+                else:
+                    writer.blank = True
+            writer.apart()
             continue
         if tag == "hr":
             writer.apart()
@@ -257,18 +383,23 @@ def _walk(top: Node, writer: Writer) -> None:
                 number = node.attributes.get("_number")
                 mark = f"{number}. " if number else "- "
                 writer.mark = writer.indent + mark
-                writer.indent += " " * len(mark)
+                writer.indent = (writer.indent + " " * len(mark))[:MOST_INDENTED]
             elif tag in ("blockquote", "dd"):
-                writer.indent += "  "
+                writer.indent = (writer.indent + "  ")[:MOST_INDENTED]
             todo.append(("close", node, keep, saved))
         if tag == "ol":
-            at = int(node.attributes["start"]) if node.attributes.get("start", "").lstrip("-").isdigit() else 1
+            begin = NUMBER.match(node.attributes.get("start", ""))
+            at = int(begin[1]) if begin else 1
             for child in node.children:
                 if isinstance(child, Node) and child.tag == "li":
                     child.attributes = child.attributes | {"_number": str(at)}
                     at += 1
         keep = keep or tag in ("pre", "textarea", "xmp")
-        todo += [("open", c, keep, None) for c in reversed(node.children)]
+        for c in reversed(visible_children(node)):
+            if isinstance(c, Node):
+                todo.append(("open", c, keep, None))
+            elif node.shown:
+                todo.append(("text", c, keep, None))
 
 
 def render(node: Node) -> str:
@@ -278,14 +409,18 @@ def render(node: Node) -> str:
 
 
 def visible_text(source: str | None) -> str:
-    return render(parse(source)) if source else ""
+    if not source:
+        return ""
+    root = parse(source)
+    lay_tables(root)
+    return render(root)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, text (all visible text), n_chars and n_lines.
 
     Null or empty html, and pages that show nothing, give an empty text; broken html gives what the tree
-    builder makes of it; repeated rows are rendered each; an empty table gives no rows; further columns are
+    builder makes of it; very long pages take time in proportion, and nesting beyond ``DEEPEST`` is flattened as browsers do; repeated rows are rendered each; an empty table gives no rows; further columns are
     ignored. Pages do not meet, so nothing is shuffled.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,10 +23,15 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
 BATCH, EPOCHS, RATE = 128, 8, 0.02
 #: Windows that are scored together.
 TOGETHER = 4096
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters and some numbers, such as superscripts; ``has_letter`` tells them apart.
+WORD_CHARACTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in WORD_CHARACTER.finditer(text))
+
+
 def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
     """(lang, windows as strings) of the sample; only rows with a letter and a lang, copies of a text once."""
     place = lambda k: F.pmod(F.xxhash64("text", k), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int") + 1
@@ -122,7 +127,7 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 texts = batch.column(2).to_pylist()
-                real = [i for i, t in enumerate(texts) if t and names and LETTER.search(t)]
+                real = [i for i, t in enumerate(texts) if t and names and has_letter(t)]
                 labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if real:
                     found = pooled(model, [texts[i].encode("utf-8", "replace") for i in real])

@@ -72,14 +72,30 @@ def measures(text: Column) -> Column:
     return let(words(text), of)
 
 
+def _failed(m: Column) -> Column:
+    return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def _ratios(m: Column) -> dict[str, Column]:
+    least_one = lambda c: F.greatest(c, F.lit(1))
+    return {"symbols_per_word": m["n_symbols"] / least_one(m["n_words"]), "dup_line_share": m["n_dup_lines"] / least_one(m["n_lines"]),
+            "repeat_share": m["n_repeat_words"] / least_one(m["n_words"]), "mean_word_chars": m["word_chars"] / least_one(m["n_words"])}
+
+
+def _kept(failed: Column, ratios, cut: Column) -> Column:
+    """False if the base rules failed or a ratio is above the cutoff of the stratum."""
+    kept = ~failed
+    for rule in LADDERS:
+        kept = kept & ~F.coalesce(ratios[rule] > cut[rule], F.lit(False))
+    return kept
+
+
 def with_measures(docs: DataFrame) -> DataFrame:
     """Adds ``_m`` (the counts), ``_base_failed``, ``_stratum`` and ``_ratios`` (rule to value)."""
-    m, least_one = F.col("_m"), lambda c: F.greatest(c, F.lit(1))
-    ratios = {"symbols_per_word": m["n_symbols"] / least_one(m["n_words"]), "dup_line_share": m["n_dup_lines"] / least_one(m["n_lines"]),
-              "repeat_share": m["n_repeat_words"] / least_one(m["n_words"]), "mean_word_chars": m["word_chars"] / least_one(m["n_words"])}
+    m = F.col("_m")
     return docs.select("*", measures(F.col("text")).alias("_m")).select(
-        "*", ((m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])).alias("_base_failed"),
-        F.coalesce(F.col("lang"), F.lit("und")).alias("_stratum"), F.struct(*[v.alias(k) for k, v in ratios.items()]).alias("_ratios"))
+        "*", _failed(m).alias("_base_failed"), F.coalesce(F.col("lang"), F.lit("und")).alias("_stratum"),
+        F.struct(*[v.alias(k) for k, v in _ratios(m).items()]).alias("_ratios"))
 
 
 def log_factorial(n: Column) -> Column:
@@ -136,13 +152,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: f
 
 
 def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Adds ``_kept``: false if the base rules failed or a ratio is above its stratum's cutoff."""
-    above = [F.coalesce(F.col("_ratios")[rule] > F.col("_cut")[rule], F.lit(False)) for rule in LADDERS]
-    rejected = above[0]
-    for other in above[1:]:
-        rejected = rejected | other
-    # The cutoffs are a written table of one small row per language: joined by what its files weigh.
-    return measured.join(cuts, "_stratum", "left").withColumn("_kept", ~F.col("_base_failed") & ~rejected)
+    """Adds ``_kept``. The cutoffs are a written table of one small row per language: joined by what its files weigh."""
+    return measured.join(cuts, "_stratum", "left").withColumn("_kept", _kept(F.col("_base_failed"), F.col("_ratios"), F.col("_cut")))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -159,7 +170,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    own = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    # Measured once and written: a filter on measures not yet written would be pushed below them and compute them again.
-    measured = stage(with_measures(own).drop("text", "lang", "_m"))
-    return judged(measured, stage(cutoffs(measured, labels))).where("_kept").select("_doc.*")
+    measured = stage(with_measures(docs.select("doc_id", "text", "lang")).drop("text", "lang", "_m"))
+    cuts = stage(cutoffs(measured, labels))
+    # Texts are measured once more instead of being written beside their measures.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).withColumn("_stratum", F.coalesce(F.col("_doc.lang"), F.lit("und")))
+    met = own.join(cuts, "_stratum", "left")
+    return met.where(let(measures(F.col("_doc.text")), lambda m: _kept(_failed(m), _ratios(m), F.col("_cut")))).select("_doc.*")

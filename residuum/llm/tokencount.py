@@ -8,6 +8,8 @@ section that holds most of its bytes, the earliest of equals. So counts of secti
 from __future__ import annotations
 
 import base64
+import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,19 +20,57 @@ from pyspark.sql import DataFrame
 #: Fixed value: how the byte-level vocabularies cut a text before their merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROWS = 512
+#: Runs of blanks from this length on are merged here: the library's pattern search fails on runs of a million.
+LONG_BLANKS = 100_000
+#: Fixed value: the blanks of that pattern.
+BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def merged_lengths(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Byte lengths of the tokens of one piece: the best pair first, the leftmost of equals, over a linked list."""
+    after, before, stop = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1)), list(range(1, len(piece) + 1))
+    queue = [(ranks[piece[i:i + 2]], i, i + 2) for i in range(len(piece) - 1) if piece[i:i + 2] in ranks]
+    heapq.heapify(queue)
+    while queue:
+        _, i, end = heapq.heappop(queue)
+        j = after[i] if stop[i] else len(piece)
+        if not stop[i] or j >= len(piece) or stop[j] != end or not stop[j]:
+            continue  # one of the two symbols is another by now
+        stop[i], stop[j], after[i] = end, 0, after[j]
+        if after[i] < len(piece):
+            before[after[i]] = i
+        for a in (before[i], i):
+            b = after[a] if a >= 0 else len(piece)
+            if a >= 0 and b < len(piece) and (rank := ranks.get(piece[a:stop[b]])) is not None:
+                heapq.heappush(queue, (rank, a, stop[b]))
+    out, i = [], 0
+    while i < len(piece):
+        out.append(stop[i] - i)
+        i = after[i]
+    return out
 
 
 class Counter:
     def __init__(self, path: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.ranks, self.long = ranks, re.compile(f"[{BLANK}]{{{LONG_BLANKS},}}")
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         self.lengths[list(ranks.values())] = [len(k) for k in ranks]
 
     def spans(self, text: str) -> np.ndarray:
         """Where each token ends, in bytes."""
-        return np.cumsum(self.lengths[np.array(self.encoding.encode_ordinary(text), np.int64)])
+        parts, at = [], 0
+        for run in self.long.finditer(text) if len(text) >= LONG_BLANKS else ():
+            # The last blank of a run belongs to the word after it.
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts += [self._lengths(text[at:run.start()]), np.array(merged_lengths(text[run.start():end].encode(), self.ranks), np.int64)]
+            at = end
+        return np.cumsum(np.concatenate([*parts, self._lengths(text[at:])]))
+
+    def _lengths(self, text: str) -> np.ndarray:
+        return self.lengths[np.array(self.encoding.encode_ordinary(text), np.int64)]
 
 
 def attributed(token_ends: np.ndarray, section_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
