@@ -315,7 +315,8 @@ def _table(table: Node, writer: Writer) -> None:
                 widths[i] = max(widths[i], len(t))
     for r in texts:
         last = max((i for i, (t, _) in enumerate(r) if t), default=-1)
-        writer.write("  ".join(t.ljust(w) for (t, _), w in zip(r[:last + 1], widths)).rstrip(" "), keep=True)
+        # Columns that no cell fills are not shown.
+        writer.write("  ".join(t.ljust(w) for (t, _), w in zip(r[:last + 1], widths) if t or w).rstrip(" "), keep=True)
         writer.end()
     writer.apart()
 
