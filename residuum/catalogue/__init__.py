@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["contact_queries", "structure_queries", "score_queries", "family_queries", "state_queries", "render_queries", "dataset_queries", "episode_queries"]
+GROUPS = ["contact_queries", "structure_queries", "score_queries", "family_queries", "state_queries", "render_queries", "dataset_queries", "episode_queries", "source_queries"]
 
 
 def load_all() -> None:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 RAW = ["structure_id", "ord", "is_hetatm", "atom_name", "altloc", "name", "chain", "seq_id", "icode", "x", "y", "z",
        "occupancy", "bfactor", "element", "model"]
 #: One mmCIF token: quoted text or a run of non-blanks.
@@ -103,20 +105,45 @@ def assembly_operators(contents: DataFrame) -> DataFrame:
     return pivoted.select("structure_id", "oper_id", "m")
 
 
-def assembly_chains(contents: DataFrame, assembly_id: str) -> DataFrame:
-    """``structure_id, label_chain, oper_id, copy``: which operators apply to which chain of an assembly.
+def expanded_operators(expression: str) -> str:
+    """SQL for an operator expression as an array of products, each an array of operator ids.
 
-    Operator lists and ``a-b`` ranges are expanded; products of lists are not supported.
+    Factors stand in parentheses, or bare; a factor is a list of ids and ``a-b`` ranges. The last factor runs fastest:
+    ``(1-2)(3,P)`` gives 1·3, 1·P, 2·3, 2·P. An expression of one factor gives arrays of one.
     """
+    span = ("IF(part RLIKE '^[0-9]+-[0-9]+$', transform(sequence(CAST(split(part, '-')[0] AS INT), CAST(split_part(part, '-', -1) AS INT)), n -> CAST(n AS STRING)), array(part))")
+    # A bare list such as 1,2 is one factor; a comma between two parentheses separates nothing.
+    factors = f"filter(regexp_extract_all(translate({expression}, ' \"\\'', ''), '[^()]+', 0), f -> trim(BOTH ',' FROM f) <> '')"
+    ids = f"transform({factors}, f -> flatten(transform(split(trim(BOTH ',' FROM f), ','), part -> {span})))"
+    return (f"aggregate({ids}, array(CAST(array() AS array<string>)), (products, factor) -> "
+            "flatten(transform(products, p -> transform(factor, o -> concat(p, array(o))))))")
+
+
+def composed(first: str, second: str) -> str:
+    """The twelve numbers of ``first`` after ``second``."""
+    turn = [f"{first}[{3 * i}] * {second}[{j}] + {first}[{3 * i + 1}] * {second}[{3 + j}] + {first}[{3 * i + 2}] * {second}[{6 + j}]" for i in range(3) for j in range(3)]
+    shift = [f"{first}[{3 * i}] * {second}[9] + {first}[{3 * i + 1}] * {second}[10] + {first}[{3 * i + 2}] * {second}[11] + {first}[{9 + i}]" for i in range(3)]
+    return f"array({', '.join(turn + shift)})"
+
+
+def assembly_chains(contents: DataFrame, assembly_id: str) -> DataFrame:
+    """``structure_id, label_chain, copy, ops``: the products of operators that an assembly applies to a chain, in the order of the file."""
     rows = loop_table(contents, "pdbx_struct_assembly_gen").groupBy("structure_id", "row").agg(
         *[F.expr(f"max(value) FILTER (WHERE item = '{n}') AS {n}") for n in ("assembly_id", "oper_expression", "asym_id_list")])
-    listed = rows.filter(f"assembly_id = '{assembly_id}'").selectExpr(
-        "structure_id", "explode(split(asym_id_list, ',')) AS label_chain",
-        "IF(oper_expression LIKE '%)(%', raise_error('operator products are not supported'), translate(oper_expression, '()', '')) AS ops")
-    part = "explode(split(ops, ',')) AS part"
-    span = ("IF(part RLIKE '^[0-9]+-[0-9]+$', transform(sequence(CAST(split(part, '-')[0] AS INT), CAST(split_part(part, '-', -1) AS INT)), n -> CAST(n AS STRING)), array(part))")
-    flat = listed.selectExpr("structure_id", "label_chain", part).selectExpr("structure_id", "label_chain", f"explode({span}) AS oper_id")
-    return flat.selectExpr("*", "row_number() OVER (PARTITION BY structure_id, label_chain ORDER BY length(oper_id), oper_id) - 1 AS copy")
+    flat = rows.filter(f"assembly_id = '{assembly_id}'").selectExpr("structure_id", "row", "explode(split(asym_id_list, ',')) AS label_chain", "oper_expression").selectExpr(
+        "structure_id", "row", "trim(label_chain) AS label_chain", f"posexplode({expanded_operators('oper_expression')}) AS (place, ops)")
+    return flat.selectExpr("structure_id", "label_chain", "row_number() OVER (PARTITION BY structure_id, label_chain ORDER BY row, place) - 1 AS copy", "ops")
+
+
+def assembly_moves(contents: DataFrame, assembly_id: str) -> DataFrame:
+    """``structure_id, label_chain, copy, m``: one composed move per copy; the last operator of a product acts first. An unknown operator is an error."""
+    chains = assembly_chains(contents, assembly_id)
+    steps = chains.selectExpr("structure_id", "label_chain", "copy", "posexplode(ops) AS (step, oper_id)").join(
+        assembly_operators(contents), ["structure_id", "oper_id"], "left").selectExpr(
+        "structure_id", "label_chain", "copy", "step", "IF(m IS NULL, raise_error(concat('unknown operator ', oper_id, ' in ', structure_id)), m) AS m")
+    unit = "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D)"
+    return steps.groupBy("structure_id", "label_chain", "copy").agg(
+        F.expr(f"aggregate(transform(array_sort(collect_list(struct(step, m))), s -> s.m), {unit}, (a, b) -> {composed('a', 'b')}) AS m"))
 
 
 def expand_assembly(raw: DataFrame, contents: DataFrame, assembly_id: str) -> DataFrame:
@@ -124,10 +151,10 @@ def expand_assembly(raw: DataFrame, contents: DataFrame, assembly_id: str) -> Da
 
     A structure without the assembly is an error, not an empty result.
     """
-    chains = assembly_chains(contents, assembly_id)
+    chains = stage(assembly_moves(contents, assembly_id))
     known = contents.select("structure_id").join(chains.select("structure_id").distinct().withColumn("ok", F.lit(True)), "structure_id", "left")
     checked = known.filter("ok OR raise_error(concat('unknown biological assembly in ', structure_id))").select("structure_id")
-    moves = chains.join(assembly_operators(contents), ["structure_id", "oper_id"]).join(checked, "structure_id", "left_semi")
+    moves = chains.join(checked, "structure_id", "left_semi")
     joined = raw.join(moves, ["structure_id", "label_chain"])
     moved = {c: f"m[{3 * r}] * x + m[{3 * r + 1}] * y + m[{3 * r + 2}] * z + m[{9 + r}]" for r, c in enumerate("xyz")}
     special = {"chain": "IF(copy = 0, chain, concat(chain, copy + 1))", "ord": "copy * 1000000000L + ord", **moved}
