@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing as h
-from ..plans import identity, responses
+from ..plans import identity, reading, responses
 from ..session import stage
-from ..sources import structures
+from ..sources import provenance as prov, structures
 from .contact_queries import W
 from .data import atoms
 from .registry import query
@@ -112,3 +112,45 @@ def relation_fingerprint(spark, sf_dir):
     """One digest of the documents, whatever their order and layout."""
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "n_chars", "sha2(text, 256) AS text_sha256")
     return identity.digest_of(rows, "doc_id", rows.columns)
+
+
+@query("prompt_structure", f"""{W}, {_SERIAL}, two AS (SELECT 'Structure 1' AS label, 0.0 AS dx UNION ALL SELECT 'Structure 2', 1.0)
+  SELECT structure_id AS render_id, two.label, atom_name, element, name, chain, seq_id, CAST(floor((x + dx) * 1000 + 0.5) AS BIGINT) AS mx, CAST(floor(y * 1000 + 0.5) AS BIGINT) AS my, CAST(floor(z * 1000 + 0.5) AS BIGINT) AS mz FROM o, two""")
+def prompt_structure(spark, sf_dir):
+    """Two blocks a prompt, with legends and a question between and after them."""
+    base = _ready(spark, sf_dir)
+    text = lambda rows: structures.as_documents(structures.minimal_pdb(rows))
+    both = text(base).join(text(base.withColumn("x", F.expr("x + 1D"))).withColumnRenamed("text", "second"), "structure_id")
+    prompts = both.selectExpr("structure_id AS render_id", "concat('The structure follows.\\n\\nStructure 1:\\n', text, '\\nNon-polymer entities in structure 1:\\nA:ZN4: Zn ion\\n\\n  Structure 2:\\nas text\\n', second, "
+                              "'\\nATOMS are not records here. Question: which?\\n') AS user_prompt")
+    return reading.prompt_atoms(stage(prompts)).selectExpr("render_id", "label", "atom_name", "element", "name", "chain", "seq_id", *[f"CAST(floor({c} * 1000 + 0.5D) AS BIGINT) AS m{c}" for c in "xyz"])
+
+
+@query("prompt_highlights", f"""{W}, pairs AS (SELECT DISTINCT structure_id, residue_idx, label FROM residues WHERE entity = 'protein' AND residue_idx % 16 < 6),
+  named AS (SELECT structure_id || ':' || (residue_idx // 16) AS id, label, CASE residue_idx % 16 // 2 WHEN 0 THEN 'query' WHEN 1 THEN 'gold' ELSE 'evidence' END AS role FROM pairs)
+  SELECT id AS semantic_instance_id, label, label[1] AS chain, CAST(regexp_extract(label, '[0-9]+$') AS INT) AS number, role FROM named""")
+def prompt_highlights(spark, sf_dir):
+    """Six neighbouring residues of a segment, two in the question, two in the answer, and all of them in the evidence."""
+    rows = atoms(spark, sf_dir).filter("entity = 'protein' AND residue_idx % 16 < 6").select("structure_id", "residue_idx", "label").distinct()
+    listed = lambda low, high: f"array_sort(collect_list(IF(residue_idx % 16 BETWEEN {low} AND {high}, label, NULL)))"
+    grouped = rows.groupBy(F.expr("concat(structure_id, ':', residue_idx div 16)").alias("semantic_instance_id")).agg(
+        F.expr(f"to_json(named_struct('residues', {listed(0, 1)}, 'note', 'at 4:30 and B:'))").alias("question_parameters"),
+        F.expr(f"to_json(named_struct('value', array_join({listed(2, 3)}, '--')))").alias("gold"), F.expr(f"to_json(named_struct('near', {listed(0, 5)}))").alias("evidence"))
+    return reading.highlights(grouped)
+
+
+@query("provenance", """SELECT o_orderkey AS entry, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS release_date, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS deposit_date,
+    CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0 THEN o_orderpriority END AS experimental_method, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN (o_orderkey % 40) / 10.0::double END AS resolution,
+    CASE WHEN o_orderkey % 7 <> 0 THEN 'order ' || o_orderkey END AS title, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'pdbx_database_id_DOI:10.1/' || o_orderkey END,
+      'pdbx_database_id_PubMed:' || o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'year:' || year(o_orderdate) END], lambda x: x IS NOT NULL), ';') END AS publications,
+    CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN '1,' || (o_orderkey % 9) ELSE '' END AS assembly_ids FROM orders""")
+def provenance(spark, sf_dir):
+    """A metadata document of every order, some broken, some with parts missing or null."""
+    year = "date_format(CAST(o_orderdate AS TIMESTAMP), 'yyyy-MM-dd')"
+    body = (f"""concat('{{"rcsb_accession_info":{{"initial_release_date":"', {year}, 'T00:00:00Z"', IF(o_orderkey % 2 = 0, concat(',"deposit_date":"', {year}, '"'), ''), '}},',
+      '"exptl":', IF(o_orderkey % 3 = 0, 'null', concat('[{{"method":"', o_orderpriority, '"}},{{"method":"other"}}]')), ',"rcsb_entry_info":{{"resolution_combined":', IF(o_orderkey % 5 = 0, '[]', concat('[', (o_orderkey % 40) / 10D, ',9.9]')), ',"unknown":[1]}},',
+      '"struct":{{"title":"order ', o_orderkey, '"}},"rcsb_primary_citation":{{"pdbx_database_id_DOI":', IF(o_orderkey % 2 = 0, concat('"10.1/', o_orderkey, '"'), 'null'), ',"pdbx_database_id_PubMed":"', o_custkey, '"', IF(o_orderkey % 3 = 0, concat(',"year":', year(o_orderdate)), ''), '}},',
+      '"rcsb_entry_container_identifiers":', IF(o_orderkey % 5 = 0, '{{}}', concat('{{"assembly_ids":["1","', o_orderkey % 9, '"]}}')), '}}')""")
+    records = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS entry", f"CASE o_orderkey % 14 WHEN 0 THEN NULL WHEN 7 THEN '{{broken' ELSE {body.replace('{{', '{').replace('}}', '}')} END AS payload")
+    out = prov.annotated(records)
+    return out.selectExpr("entry", "release_date", "deposit_date", "experimental_method", "resolution", "title", "array_join(publications, ';') AS publications", "array_join(assembly_ids, ',') AS assembly_ids")
