@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing as h
-from ..plans import identity, reading, responses
+from ..plans import identity, reading, responses, validation
 from ..session import stage
 from ..sources import provenance as prov, structures
+from ..sources.records import GOLD_FIELDS
 from .contact_queries import W
 from .data import atoms
 from .registry import query
@@ -154,3 +155,40 @@ def provenance(spark, sf_dir):
     records = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS entry", f"CASE o_orderkey % 14 WHEN 0 THEN NULL WHEN 7 THEN '{{broken' ELSE {body.replace('{{', '{').replace('}}', '}')} END AS payload")
     out = prov.annotated(records)
     return out.selectExpr("entry", "release_date", "deposit_date", "experimental_method", "resolution", "title", "array_join(publications, ';') AS publications", "array_join(assembly_ids, ',') AS assembly_ids")
+
+
+_FAULTS = {1: ("unique_instances", "duplicate_id"), 2: ("source_is_named", "missing_source_provenance"), 3: ("sources_have_hashes", "source_entries_and_hashes_differ"), 4: ("margins", "missing_selection_margins"),
+           5: ("version", "missing_definition_version"), 6: ("reviewed", "not_accepted"), 7: ("override_notes", "override_without_notes"), 8: ("answers_match_their_hash", "gold_hash_mismatch"), 9: ("records", "unknown_answer_schema"),
+           11: ("instances_are_shown", "instance_without_render"), 15: ("one_frame_one_structure", "coordinates_differ")}
+_SHOWN_FAULTS = {12: ("renders_belong", "render_without_instance"), 13: ("prompts_match_their_hash", "prompt_hash_mismatch"), 14: ("no_telling_records", "forbidden_record")}
+_FAULT_ROWS = ", ".join(f"({k}, '{r}', '{v}', 'i')" for k, (r, v) in _FAULTS.items()) + ", " + ", ".join(f"({k}, '{r}', '{v}', 'r')" for k, (r, v) in _SHOWN_FAULTS.items())
+
+
+@query("validation_violations", f"""WITH f(k, rule, violation, kind) AS (VALUES {_FAULT_ROWS})
+  SELECT rule, CASE rule WHEN 'override_notes' THEN 'warning' ELSE 'error' END AS severity, kind || o_orderkey AS id, violation FROM orders JOIN f ON k = o_orderkey % 40
+  UNION ALL SELECT 'sources_have_hashes', 'error', 'i' || o_orderkey, 'source_entries_and_hashes_differ' FROM orders WHERE o_orderkey % 40 = 2
+  UNION ALL SELECT 'targets', 'warning', 'F', 'family_below_target' FROM orders WHERE o_orderstatus = 'F' HAVING count(*) < 1000000
+  UNION ALL SELECT 'targets', 'warning', 'none', 'family_below_target'
+  UNION ALL SELECT 'cap', 'error', 'p' || o_custkey, 'protein_above_cap' FROM (SELECT o_custkey, sum(CASE WHEN o_orderkey % 40 = 1 THEN 2 ELSE 1 END) AS n FROM orders GROUP BY 1) WHERE n > 15
+  UNION ALL SELECT 'size', 'error', 'dataset', 'size_out_of_range'""")
+def validation_violations(spark, sf_dir):
+    """A dataset of one instance per order with one fault of every kind in forty."""
+    k = "o_orderkey % 40"
+    gold = {"gold_number": "CAST(o_custkey AS DOUBLE)"}
+    rows = table(spark, sf_dir, "orders").selectExpr("*", f"explode(IF({k} = 1, array(1, 2), array(1))) AS copy")
+    instances = stage(rows.selectExpr(
+        "concat('i', o_orderkey) AS semantic_instance_id", "o_orderstatus AS question_family", "concat('p', o_custkey) AS protein_group_id", f"IF({k} = 9, 'guess', 'integer') AS answer_schema",
+        f"CASE {k} WHEN 2 THEN array() WHEN 3 THEN array('a', 'b') ELSE array('a') END AS source_entries", "array('h') AS source_file_sha256s", f"IF({k} = 4, NULL, '{{\"gap\":1}}') AS selection_margins",
+        f"IF({k} = 5, '', '1') AS definition_version", f"IF({k} = 6, 'proposed', 'accepted') AS curation_status", f"IF({k} = 7, '{{\"value\":1}}', NULL) AS curator_override", "'' AS curator_notes",
+        f"sha2(concat('{{\"value\":', IF({k} = 8, 'x', CAST(o_custkey AS STRING)), IF({k} = 9, '.0', ''), '}}'), 256) AS gold_hash",
+        *[f"{gold.get(g.name, f'CAST(NULL AS {g.dataType.simpleString()})')} AS {g.name}" for g in GOLD_FIELDS]))
+    prompt = f"concat('Question ', o_orderkey, IF({k} = 14, '\\nREMARK 1', ''))"
+    renders = stage(table(spark, sf_dir, "orders").filter(f"{k} <> 11").selectExpr("*", f"explode(IF({k} = 15, array(1, 2), array(1))) AS copy").selectExpr(
+        f"concat('r', o_orderkey, IF(copy = 2, 'b', '')) AS render_id", "concat('i', o_orderkey) AS semantic_instance_id", "'minimal_pdb' AS representation", "1L AS rotation_seed", f"{prompt} AS user_prompt",
+        f"sha2(IF({k} = 13, 'other', {prompt}), 256) AS prompt_sha256", "CAST(copy AS STRING) AS displayed_coordinates_sha256").withColumn(
+        "semantic_instance_id", F.expr("IF(substr(render_id, 2) RLIKE '^[0-9]+$' AND CAST(substr(render_id, 2) AS BIGINT) % 40 = 12, concat('z', substr(render_id, 2)), semantic_instance_id)")))
+    # The orders whose render went astray are shown by another one.
+    more = table(spark, sf_dir, "orders").filter(f"{k} = 12").selectExpr("concat('s', o_orderkey) AS render_id", "concat('i', o_orderkey) AS semantic_instance_id", "'minimal_pdb' AS representation", "1L AS rotation_seed",
+                                                                         "'q' AS user_prompt", "sha2('q', 256) AS prompt_sha256", "'1' AS displayed_coordinates_sha256")
+    dataset = validation.Dataset(instances, renders.unionByName(more), {"F": 1_000_000, "none": 1, "O": 1}, 15, (1, 10), True)
+    return validation.violations(dataset)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import in_list
 from ..functions.texts import contains_word
+from ..sources import records
 from . import scoring
 
 FORBIDDEN_RECORDS = ("HEADER", "TITLE", "COMPND", "SOURCE", "REMARK", "DBREF", "SEQRES", "HELIX", "SHEET", "SSBOND", "LINK", "SITE", "CONECT", "JRNL", "AUTHOR")  # fixed values
@@ -77,3 +82,94 @@ def changed_answers(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Stored answers that a fresh run of the family plan no longer gives: both have ``id`` and ``answer`` as text."""
     return stored.join(recomputed.withColumnRenamed("answer", "fresh"), "id", "left").filter("NOT answer <=> fresh").selectExpr(
         "id", "'answer_changed' AS violation")
+
+
+# -- the suite ----------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Dataset:
+    """What is validated, and against what. ``identifiers`` and ``recomputed`` are optional inputs of the rules that need them."""
+
+    instances: DataFrame
+    renders: DataFrame
+    targets: dict[str, int] = field(default_factory=dict)
+    cap: int | None = None
+    size: tuple[int, int] | None = None
+    reviewed: bool = False
+    identifiers: DataFrame | None = None
+    recomputed: DataFrame | None = None
+
+
+ERROR, WARNING = "error", "warning"
+_SUITE: dict[str, tuple[str, Callable[[Dataset], DataFrame | None]]] = {}
+
+
+def rule(name: str, severity: str = ERROR):
+    """Register a check: a function from a dataset to rows ``id, violation``, or None where it does not apply."""
+    def register(fn):
+        _SUITE[name] = (severity, fn)
+        return fn
+    return register
+
+
+def _where(instances: DataFrame, condition: str, violation: str) -> DataFrame:
+    return instances.filter(condition).selectExpr("semantic_instance_id AS id", f"'{violation}' AS violation")
+
+
+rule("unique_instances")(lambda d: duplicate_ids(d.instances, "semantic_instance_id"))
+rule("unique_renders")(lambda d: duplicate_ids(d.renders, "render_id"))
+rule("renders_belong")(lambda d: orphan_renders(d.renders, d.instances))
+rule("instances_are_shown")(lambda d: instances_without_render(d.instances, d.renders))
+rule("prompts_match_their_hash")(lambda d: prompt_hash_mismatch(d.renders))
+rule("no_telling_records")(lambda d: forbidden_records(d.renders))
+rule("one_frame_one_structure")(lambda d: coordinate_mismatch(d.renders))
+rule("records")(lambda d: records.instance_violations(d.instances).withColumnRenamed("semantic_instance_id", "id"))
+rule("no_leaks")(lambda d: None if d.identifiers is None else provenance_leaks(d.renders, d.identifiers))
+rule("answers_are_stable")(lambda d: None if d.recomputed is None else changed_answers(d.instances.selectExpr("semantic_instance_id AS id", f"{gold_text()} AS answer"), d.recomputed))
+rule("source_is_named")(lambda d: _where(d.instances, "coalesce(size(source_entries), 0) = 0 OR coalesce(size(source_file_sha256s), 0) = 0", "missing_source_provenance"))
+rule("sources_have_hashes")(lambda d: _where(d.instances, "coalesce(size(source_entries), 0) <> coalesce(size(source_file_sha256s), 0)", "source_entries_and_hashes_differ"))
+rule("margins")(lambda d: _where(d.instances, "question_family <> 'MECH' AND coalesce(selection_margins, '') IN ('', '{}')", "missing_selection_margins"))
+rule("version")(lambda d: _where(d.instances, "coalesce(definition_version, '') = ''", "missing_definition_version"))
+rule("reviewed")(lambda d: _where(d.instances, "coalesce(curation_status, '') <> 'accepted'", "not_accepted") if d.reviewed else None)
+rule("override_notes", WARNING)(lambda d: _where(d.instances, "curator_override IS NOT NULL AND trim(coalesce(curator_notes, '')) = ''", "override_without_notes"))
+rule("answers_match_their_hash")(lambda d: _where(d.instances, f"gold_hash <> sha2({records.gold_json()}, 256)", "gold_hash_mismatch"))
+
+
+@rule("targets", WARNING)
+def below_target(d: Dataset) -> DataFrame | None:
+    if not d.targets:
+        return None
+    wanted = d.instances.sparkSession.createDataFrame(sorted(d.targets.items()), "question_family string, target long")
+    counts = d.instances.groupBy("question_family").agg(F.expr("count(*) AS n"))
+    return wanted.join(counts, "question_family", "left").filter("coalesce(n, 0) < target").selectExpr("question_family AS id", "'family_below_target' AS violation")
+
+
+@rule("cap")
+def above_cap(d: Dataset) -> DataFrame | None:
+    """Automatic instances only; episodes do not count."""
+    if d.cap is None:
+        return None
+    return d.instances.filter("question_family <> 'MECH'").groupBy("protein_group_id").count().filter(f"count > {d.cap}").selectExpr("protein_group_id AS id", "'protein_above_cap' AS violation")
+
+
+@rule("size")
+def outside_size(d: Dataset) -> DataFrame | None:
+    if d.size is None:
+        return None
+    return d.instances.agg(F.expr("count(*) AS n")).filter(f"n NOT BETWEEN {d.size[0]} AND {d.size[1]}").selectExpr("'dataset' AS id", "'size_out_of_range' AS violation")
+
+
+def violations(dataset: Dataset, names: list[str] | None = None) -> DataFrame:
+    """``rule, severity, id, violation`` of all registered rules, or of those named."""
+    parts = []
+    for name in names or _SUITE:
+        severity, check = _SUITE[name]
+        found = check(dataset)
+        if found is not None:
+            parts.append(found.selectExpr(f"'{name}' AS rule", f"'{severity}' AS severity", "CAST(id AS STRING) AS id", "violation"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def verdict(found: DataFrame) -> DataFrame:
+    """One row: errors, warnings, and whether the dataset passes, which warnings do not prevent."""
+    return found.agg(F.expr("count_if(severity = 'error') AS n_errors"), F.expr("count_if(severity = 'warning') AS n_warnings")).selectExpr("*", "n_errors = 0 AS passes")
