@@ -40,23 +40,30 @@ WITH turns AS (
   UNION ALL VALUES (-1, 0, 'user', '{PROBE_TEXT}'), (-1, 1, 'assistant', '{PROBE_TEXT}')),
 lengths AS (
   SELECT *, length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '[', ''))
-    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 END AS written FROM turns)
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+      ELSE 19 + 2 * length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), '[', '')) END AS written,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place,
+    -- After a turn the machine stands at the last role that it knows.
+    coalesce(last_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS stood FROM turns),
+moves AS (SELECT *, stood || ' ' || role NOT IN ('start system', 'start user', 'system user', 'user assistant', 'assistant user') AS bad FROM lengths)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
-  sum(written)::BIGINT AS formatted_chars
-FROM lengths GROUP BY conv_id""")
+  sum(written)::BIGINT AS formatted_chars, NOT bool_or(bad) AS valid, (min(place) FILTER (bad))::INT AS bad_turn,
+  NOT bool_or(bad) AND arg_max(role, place) FILTER (role IN ('system', 'user', 'assistant')) = 'assistant' AS complete
+FROM moves GROUP BY conv_id""")
 def op1(spark, folder):
     turns = table(spark, folder, "conversations")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE_TEXT), (-1, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
+    probe = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{PROBE_TEXT}'), (-1L, 1L, 'assistant', '{PROBE_TEXT}') AS t(conv_id, turn, role, text)")
     probe = probe.select(*[F.col(c).cast(turns.schema[c].dataType) for c in ("conv_id", "turn", "role", "text")])
     out = chat.format_chats(turns.select("conv_id", "turn", "role", "text").unionByName(probe))
-    back = out.select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"),
+    back = out.select("conv_id", "valid", "bad_turn", "complete", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"),
                       F.length("formatted").cast("long").alias("formatted_chars"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
-                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+                       "valid", "bad_turn", "complete")
 
 
 @query("op5_quality_rules")
