@@ -243,25 +243,29 @@ def last_decision_join(spark, sf_dir):
     return evaluation.with_decisions(docs, decisions).selectExpr("semantic_instance_id AS doc_id", "curation_status AS status")
 
 
-@query("resume_remaining", """SELECT o_orderkey AS render_id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1 AND l_returnflag <> 'R')""")
+@query("resume_remaining", """SELECT o_orderkey AS render_id, c AS completion_index FROM orders o, (VALUES (0), (1), (2)) t(c)
+  WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND (l_linenumber - 1) % 3 = c AND l_returnflag <> 'R')""")
 def resume_remaining(spark, sf_dir):
-    jobs = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS render_id", "0 AS completion_index")
-    done = table(spark, sf_dir, "lineitem").join(jobs.selectExpr("render_id AS l_orderkey"), "l_orderkey", "left_semi").filter(
-        "l_linenumber = 1").selectExpr("'run' AS run_id", "l_orderkey AS render_id", "0 AS completion_index", "IF(l_returnflag = 'R', 'timeout', NULL) AS error")
-    return evaluation.remaining(jobs, done, "run").select("render_id")
+    """Three completions an order; every line of it is a stored attempt, those sent back failed."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    jobs = orders.selectExpr("o_orderkey AS render_id", "explode(array(0, 1, 2)) AS completion_index")
+    done = table(spark, sf_dir, "lineitem").join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey", "left_semi").selectExpr(
+        "'run' AS run_id", "l_orderkey AS render_id", "(l_linenumber - 1) % 3 AS completion_index", "IF(l_returnflag = 'R', 'timeout', NULL) AS error")
+    return evaluation.remaining(jobs, done, "run").select("render_id", "completion_index")
 
 
-@query("pending_dedup", """SELECT l_partkey AS digest, min(l_orderkey) AS render_id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY ALL""")
+@query("pending_dedup", """SELECT l_partkey AS digest, min(l_orderkey) AS render_id FROM lineitem WHERE l_partkey NOT IN (SELECT 2 * p_partkey FROM part) GROUP BY ALL""")
 def pending_dedup(spark, sf_dir):
+    """Requests by part; what is cached belongs to twice the number of each part."""
     requests = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS digest", "l_orderkey AS render_id", "l_linenumber AS completion_index")
-    cache = table(spark, sf_dir, "part").filter("p_size > 25").selectExpr("p_partkey AS digest")
+    cache = table(spark, sf_dir, "part").selectExpr("2 * p_partkey AS digest")
     return evaluation.pending(requests, cache).select("digest", "render_id")
 
 
-@query("cache_lookup", """SELECT l_orderkey, l_linenumber, p_name AS response FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25""")
+@query("cache_lookup", """SELECT l_orderkey, l_linenumber, p_name AS response FROM lineitem LEFT JOIN part ON 2 * p_partkey = l_partkey""")
 def cache_lookup(spark, sf_dir):
     requests = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS digest", "CAST(l_partkey AS STRING) AS request", "l_orderkey", "l_linenumber")
-    cache = table(spark, sf_dir, "part").filter("p_size > 25").selectExpr("p_partkey AS digest", "CAST(p_partkey AS STRING) AS request", "p_name AS response")
+    cache = table(spark, sf_dir, "part").selectExpr("2 * p_partkey AS digest", "CAST(2 * p_partkey AS STRING) AS request", "p_name AS response")
     return evaluation.with_cache(requests, cache).select("l_orderkey", "l_linenumber", "response")
 
 

@@ -143,19 +143,20 @@ def unknown_renders(results: DataFrame, renders: DataFrame) -> DataFrame:
     return results.join(renders, "render_id", "left_anti").select("render_id").distinct()
 
 
-def score_run(results: DataFrame, renders: DataFrame, instances: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+def score_run(results: DataFrame, renders: DataFrame, instances: DataFrame, fields: DataFrame | None = None, every_attempt: bool = False) -> DataFrame:
     """Results joined to their renders and instances and scored. Unknown renders are an error, not a loss.
 
     ``fields`` lists the expected fields of ``multi_field`` instances: ``semantic_instance_id, field, answer_schema,
     gold_*, categories, options, tolerance``. Such an instance without a field is an error; its scores by field are in ``field_scores``.
+    Only the last attempt of a completion is scored, unless ``every_attempt``.
     """
     known = renders.select("render_id", F.lit(True).alias("known"), *[c for c in renders.columns if c != "render_id"])
-    joined = latest_attempts(results).join(known, "render_id", "left").join(instances, "semantic_instance_id", "left")
+    joined = (results if every_attempt else latest_attempts(results)).join(known, "render_id", "left").join(instances, "semantic_instance_id", "left")
     checked = joined.filter("known OR raise_error(concat('response refers to an unknown render: ', render_id))").withColumnRenamed(
         "raw_response", "response").withColumnRenamed("refusal", "provider_refusal")
     several = "answer_schema <=> 'multi_field'"
     out = score_responses(checked.filter(f"NOT {several}")).withColumn("field_scores", F.lit(None).cast("map<string,double>"))
-    many = checked.filter(several).withColumn("answer_id", F.struct("run_id", "render_id", "completion_index"))
+    many = checked.filter(several).withColumn("answer_id", F.struct("run_id", "render_id", "completion_index", *(["attempt"] if every_attempt else [])))
     if fields is None:
         scores = many.selectExpr("answer_id", "CAST(NULL AS BOOLEAN) AS format_error", "CAST(NULL AS DOUBLE) AS score", "CAST(NULL AS BOOLEAN) AS correct",
                                  "CAST(NULL AS map<string, double>) AS field_scores").limit(0)
