@@ -107,6 +107,41 @@ def bootstrap_cluster_ci(spark, sf_dir):
     return report.clustered_bootstrap(scores(spark, sf_dir), "macro", samples=500)
 
 
+@query("bootstrap_family_ci", f"""{S}, c AS (SELECT *, CASE WHEN CAST(split_part(render_id, '-', 1) AS BIGINT) % 5 = 0 THEN protein_group_id ELSE 'C' || (CAST(split_part(render_id, '-', 1) AS BIGINT) % 17) END AS cluster FROM s),
+  g AS (SELECT question_family, count(DISTINCT cluster) AS n_clusters, avg(score) AS micro, avg(correct::int) AS exact, stddev_pop(score) AS spread FROM c GROUP BY ALL)
+  SELECT question_family, statistic, CAST(floor(point * 1000 + 0.5) AS BIGINT) AS milli, n_clusters, true AS covered FROM (UNPIVOT g ON micro, exact, spread INTO NAME statistic VALUE point)""")
+def bootstrap_family_ci(spark, sf_dir):
+    """Three statistics with an interval for every family; SQL tells the points, and that an interval covers its point."""
+    rows, parts = scores(spark, sf_dir), []
+    for name in ("micro", "exact", "spread"):
+        out = report.family_intervals(rows, "family", samples=200, statistic=name)
+        parts.append(out.selectExpr("question_family", f"'{name}' AS statistic", "CAST(floor(point * 1000 + 0.5D) AS BIGINT) AS milli", "n_clusters", "ci_low <= point AND point <= ci_high AND ci_low < ci_high AS covered"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("score_summary", f"""{S} SELECT count(*) AS n, count(DISTINCT render_id) AS n_renders, count(DISTINCT semantic_instance_id) AS n_instances, count(DISTINCT question_family) AS n_families, CAST(floor(avg(score) * 1e6 + 0.5) AS BIGINT) AS micro,
+  CAST(floor(avg(correct::int) * 1e6 + 0.5) AS BIGINT) AS exact, count(*) FILTER (format_error) AS format_errors, count(*) FILTER (refusal) AS refusals, count(*) FILTER (truncated) AS truncated, count(*) FILTER (question_family = 'error') AS api_errors FROM s""")
+def score_summary(spark, sf_dir):
+    return report.score_summary(scores(spark, sf_dir)).selectExpr(
+        "n", "n_renders", "n_instances", "n_families", "CAST(floor(mean_score * 1e6 + 0.5D) AS BIGINT) AS micro", "CAST(floor(exact * 1e6 + 0.5D) AS BIGINT) AS exact", "format_errors", "refusals", "truncated", "api_errors")
+
+
+@query("run_report", f"""{S}, f AS (SELECT 'format_error' AS c1, count(*) FILTER (format_error) AS a, count(*) FILTER (refusal) AS b, count(*) FILTER (truncated) AS c, count(*) FILTER (question_family = 'error') AS d, count(*) FILTER (score = 0) AS e, count(*) AS g FROM s),
+  r AS (SELECT representation, concat_ws(' | ', representation, count(*), count(DISTINCT semantic_instance_id), count(*) FILTER (format_error)) AS line FROM s GROUP BY representation),
+  m AS (SELECT '# Run report' || chr(10) || chr(10) || '## failures' || chr(10) || chr(10) || '| format_error | refusal | truncated | api_error | scored_zero | total |' || chr(10) || '|---|---|---|---|---|---|' || chr(10)
+    || '| ' || concat_ws(' | ', a, b, c, d, e, g) || ' |' || chr(10) || chr(10) || '## forms' || chr(10) || chr(10) || '| grp | n | n_instances | format_errors |' || chr(10) || '|---|---|---|---|' || chr(10)
+    || (SELECT string_agg('| ' || line || ' |', chr(10) ORDER BY line) FROM r) || chr(10) AS text FROM f)
+  SELECT sha256(text) AS markdown_sha256, 2::BIGINT AS n_tables, 1 + (SELECT count(*) FROM r) AS n_rows, 1 + (SELECT count(*) FROM r) AS n_html_rows FROM m""")
+def run_report(spark, sf_dir):
+    """Three forms of one value: the text is compared, and the other two hold as many tables and rows."""
+    rows = scores(spark, sf_dir)
+    texts = report.report_texts(report.report_value({
+        "failures": report.failure_counts(rows), "forms": report.group_summary(rows, "representation").select("grp", "n", "n_instances", "format_errors")}))
+    parsed = "from_json(json, 'array<struct<name: string, columns: array<string>, rows: array<array<string>>>>')"
+    return texts.selectExpr("sha2(markdown, 256) AS markdown_sha256", f"CAST(size({parsed}) AS BIGINT) AS n_tables", f"CAST(aggregate({parsed}, 0, (n, t) -> n + size(t.rows)) AS BIGINT) AS n_rows",
+                            "CAST(size(split(html, '<tr><td>')) - 1 AS BIGINT) AS n_html_rows")
+
+
 # -- exact numbers, hashes, text -------------------------------------------------
 
 @query("round3_exact", """WITH v AS (SELECT l_orderkey, l_linenumber, l_extendedprice * l_tax / 8 AS v FROM lineitem)

@@ -8,6 +8,8 @@ truncated, api_error`` and, where named, ``answer_key``, ``answer_items``, ``pro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -170,28 +172,94 @@ def bootstrap_draws(spark, n: int, samples: int, *parts, per_task: int = 125) ->
         _draws(n, samples, (*parts, n, samples), per_task), "sample bigint, position bigint, times bigint")
 
 
-def clustered_bootstrap(scores: DataFrame, seed: str, *, samples: int = 2000, statistic: str = "macro", alpha: float = 0.05) -> DataFrame:
+@dataclass(frozen=True)
+class Statistic:
+    """An aggregate by its parts, so that resampling never goes back to rows.
+
+    ``update`` names SQL aggregates over the rows of one cluster and group; they merge by addition. ``value`` makes a
+    number of a group's merged parts, ``finish`` one of the values of all groups.
+    """
+
+    update: dict[str, str]
+    group: str = "'all'"
+    value: str = "s / n"
+    finish: str = "avg(value)"
+
+
+_MEAN = {"s": "sum(score)", "n": "count(*)"}
+#: Statistics by name; any other is passed as a :class:`Statistic`.
+STATISTICS = {
+    "macro": Statistic(_MEAN, "question_family"), "micro": Statistic(_MEAN), "exact": Statistic({"s": "sum(IF(correct, 1D, 0D))", "n": "count(*)"}),
+    "spread": Statistic(_MEAN | {"q": "sum(score * score)"}, value="sqrt(greatest(0D, q / n - (s / n) * (s / n)))"),
+}
+
+
+def _statistic(statistic: str | Statistic) -> Statistic:
+    return STATISTICS[statistic] if isinstance(statistic, str) else statistic
+
+
+def _parts(scores: DataFrame, st: Statistic, keys: list[str] = ()) -> DataFrame:
+    return stage(scores.selectExpr("*", "coalesce(cluster, protein_group_id) AS _cluster", f"{st.group} AS _group").drop("cluster").withColumnRenamed("_cluster", "cluster").groupBy(
+        *keys, "cluster", "_group").agg(*[F.expr(f"{v} AS {k}") for k, v in st.update.items()]))
+
+
+def _finished(merged: DataFrame, st: Statistic, keys: list[str], out: str) -> DataFrame:
+    return merged.selectExpr(*keys, f"{st.value} AS value").groupBy(*keys).agg(F.expr(f"coalesce({st.finish}, 0D) AS {out}"))
+
+
+def clustered_bootstrap(scores: DataFrame, seed: str, *, samples: int = 2000, statistic: str | Statistic = "macro", alpha: float = 0.05) -> DataFrame:
     """Percentile interval from resampling whole clusters.
 
-    Scores shrink to a sum and a count per (cluster, family) first. Resamples join these
-    by cluster position and are summed per family, so neither clusters nor resamples
+    Scores shrink to the parts of the statistic per (cluster, group) first. Resamples join these
+    by cluster position and are summed per group, so neither clusters nor resamples
     ever sit in one task.
     """
-    family = "question_family" if statistic == "macro" else "'all'"
-    stats = stage(scores.selectExpr("coalesce(cluster, protein_group_id) AS cluster", f"{family} AS family", "score").groupBy(
-        "cluster", "family").agg(F.expr("sum(score) AS s"), F.expr("count(*) AS n")))
+    st = _statistic(statistic)
+    stats = _parts(scores, st)
     names = stats.select("cluster").distinct()
     n = names.count()
-    point = stats.groupBy("family").agg(F.expr("sum(s) / sum(n) AS m")).agg(F.expr("coalesce(avg(m), 0D) AS point"))
+    point = _finished(stats.groupBy("_group").agg(*[F.sum(k).alias(k) for k in st.update]), st, [], "point")
     if n < 2:
         return point.selectExpr("point", "point AS ci_low", "point AS ci_high", f"CAST({n} AS BIGINT) AS n_clusters", "CAST(0 AS BIGINT) AS samples")
     placed = stats.join(dense_positions(names, "cluster"), "cluster")
-    resampled = bootstrap_draws(scores.sparkSession, n, samples, seed).join(placed, "position").groupBy("sample", "family").agg(
-        F.expr("sum(times * s) / sum(times * n) AS m")).groupBy("sample").agg(F.expr("avg(m) AS value"))
+    merged = bootstrap_draws(scores.sparkSession, n, samples, seed).join(placed, "position").groupBy("sample", "_group").agg(
+        *[F.expr(f"sum(times * {k}) AS {k}") for k in st.update])
+    resampled = _finished(merged, st, ["sample"], "value")
     interval = resampled.agg(F.expr(f"percentile(value, {alpha / 2}D) AS ci_low"), F.expr(f"percentile(value, {1 - alpha / 2}D) AS ci_high"))
     return beside(point, interval).selectExpr("*", f"CAST({n} AS BIGINT) AS n_clusters", f"CAST({samples} AS BIGINT) AS samples")
 
 
+def family_intervals(scores: DataFrame, seed: str, *, samples: int = 2000, statistic: str | Statistic = "micro", alpha: float = 0.05) -> DataFrame:
+    """The same interval for every question family, each over its own clusters; one cluster gives no interval.
+
+    Families with as many clusters share their draws, as they are drawn from one seed and the number of clusters.
+    """
+    st = _statistic(statistic)
+    key = ["question_family"]
+    stats = _parts(scores, st, key)
+    point = _finished(stats.groupBy(*key, "_group").agg(*[F.sum(k).alias(k) for k in st.update]), st, key, "point")
+    placed = stage(stats.select(*key, "cluster").distinct().selectExpr("*", "row_number() OVER (PARTITION BY question_family ORDER BY cluster) - 1 AS position"))
+    sizes = stage(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n_clusters")))
+    counts = sorted(r[0] for r in sizes.filter("n_clusters > 1").select("n_clusters").distinct().collect())
+    out = point.join(sizes, key)
+    if not counts:
+        return out.selectExpr(*key, "point", "point AS ci_low", "point AS ci_high", "n_clusters")
+    draws = reduce(DataFrame.unionByName, [bootstrap_draws(scores.sparkSession, n, samples, seed).withColumn("n_clusters", F.lit(n).cast("long")) for n in counts])
+    known = stats.join(placed, [*key, "cluster"]).join(sizes, key)
+    merged = draws.join(known, ["n_clusters", "position"]).groupBy(*key, "sample", "_group").agg(*[F.expr(f"sum(times * {k}) AS {k}") for k in st.update])
+    values = _finished(merged, st, [*key, "sample"], "value").groupBy(*key).agg(
+        F.expr(f"percentile(value, {alpha / 2}D) AS ci_low"), F.expr(f"percentile(value, {1 - alpha / 2}D) AS ci_high"))
+    return out.join(values, key, "left").selectExpr(*key, "point", "coalesce(ci_low, point) AS ci_low", "coalesce(ci_high, point) AS ci_high", "n_clusters")
+
+
+def score_summary(scores: DataFrame) -> DataFrame:
+    """One row over all scores, those without coordinates too."""
+    return scores.agg(
+        F.expr("count(*) AS n"), F.expr("count(DISTINCT render_id) AS n_renders"), F.expr("count(DISTINCT semantic_instance_id) AS n_instances"), F.expr("count(DISTINCT question_family) AS n_families"),
+        F.expr("coalesce(avg(score), 0D) AS mean_score"), F.expr("coalesce(avg(IF(correct, 1D, 0D)), 0D) AS exact"), F.expr("count_if(format_error) AS format_errors"),
+        F.expr("count_if(refusal) AS refusals"), F.expr("count_if(truncated) AS truncated"), F.expr("count_if(api_error) AS api_errors"))
+
+
 def paired_difference(first: DataFrame, second: DataFrame, seed: str, *, samples: int = 2000, alpha: float = 0.05) -> DataFrame:
     """Mean within-instance difference of two arms with a bootstrap interval over instances."""
     a = instance_scores(first).selectExpr("semantic_instance_id", "mean_score AS a")
@@ -216,7 +284,9 @@ def analyse_run(scores: DataFrame, samples: int = 2000) -> dict[str, DataFrame]:
     return {
         "macro": clustered_bootstrap(primary, "macro", samples=samples),
         "micro": clustered_bootstrap(primary, "micro", samples=samples, statistic="micro"),
+        "summary": score_summary(scores),
         "per_family": group_summary(primary, "question_family"),
+        "family_intervals": family_intervals(primary, "family", samples=samples),
         "per_protein": group_summary(primary, "protein_group_id"),
         "per_representation": group_summary(scores, "representation"),
         "context_baseline": context_baseline(scores),
@@ -237,3 +307,42 @@ def markdown(tables: dict[str, DataFrame]) -> str:
         lines += ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
         lines.append("")
     return "\n".join(lines)
+
+
+def report_value(tables: dict[str, DataFrame]) -> DataFrame:
+    """The report as one nested value, a row a table: ``position, name, columns, rows``, all texts; a null stays null.
+
+    Tables of a report are short; one that grows with the data, such as ``per_protein``, is written as a table instead.
+    """
+    parts = []
+    for position, (name, df) in enumerate(tables.items()):
+        cells = [f"format_string('%.4f', {c})" if kind in ("double", "float") else f"CAST({c} AS STRING)" for c, kind in df.dtypes]
+        row = f"array({', '.join(f'IF({c} IS NULL, NULL, {t})' for (c, _), t in zip(df.dtypes, cells))})"
+        columns = ", ".join(f"'{c}'" for c in df.columns)
+        parts.append(df.agg(F.expr(f"array_sort(collect_list({row})) AS rows")).selectExpr(f"{position} AS position", f"'{name}' AS name", f"array({columns}) AS columns", "rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_MARKED = "concat('| ', array_join({r}, ' | ', ''), ' |')"
+_ESCAPED = "replace(replace(replace(coalesce(c, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def report_texts(value: DataFrame) -> DataFrame:
+    """``json, markdown, html`` of one :func:`report_value`, one row."""
+    marked = (f"concat('## ', name, '\\n\\n', {_MARKED.format(r='columns')}, '\\n|', repeat('---|', size(columns)), '\\n', "
+              f"array_join(transform(rows, r -> {_MARKED.format(r='r')}), '\\n'))")
+
+    def cells(row: str, tag: str) -> str:
+        return f"concat('<tr>', array_join(transform({row}, c -> concat('<{tag}>', {_ESCAPED}, '</{tag}>')), ''), '</tr>')"
+
+    page = f"concat('<h2>', name, '</h2><table>', {cells('columns', 'th')}, array_join(transform(rows, r -> {cells('r', 'td')}), ''), '</table>')"
+    rows = value.selectExpr("position", "to_json(named_struct('name', name, 'columns', columns, 'rows', rows), map('ignoreNullFields', 'false')) AS j", f"{marked} AS m", f"{page} AS h")
+    whole = lambda c: f"transform(array_sort(collect_list(struct(position, {c}))), x -> x.{c})"
+    return rows.agg(F.expr(f"concat('[', array_join({whole('j')}, ','), ']') AS json"), F.expr(f"concat('# Run report\\n\\n', array_join({whole('m')}, '\\n\\n'), '\\n') AS markdown"),
+                    F.expr(f"concat('<!doctype html><title>Run report</title>', array_join({whole('h')}, '')) AS html"))
+
+
+def write_report(texts: DataFrame, folder: str) -> None:
+    """The three forms as text files, one folder each."""
+    for form in ("json", "markdown", "html"):
+        texts.select(F.col(form).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{form}")
