@@ -4,14 +4,18 @@ Words of all training documents are counted. The most frequent ``WORDS`` are sym
 other word is one symbol, the rare word. The output is factored: a softmax over classes (frequency bins
 of words, and the rare word), then one over the words of the class. A rare word is finally drawn by its
 count among rare words. The network is trained in numpy by backpropagation truncated to windows, states
-carried from window to window; scoring carries them through the whole document in the same way. Training runs
-in rounds over all training rows: each task goes on from the same parameters with its own rows, then the
-parameters are averaged by tokens; only they and the counts of the known words come to the driver.
+carried from window to window; scoring carries them through the whole document in the same way. Texts are cut
+once, into a written table of symbols that training and scoring read. Training runs in rounds, each over its
+share of all training rows. Rows are dealt to rounds and shards by the hash of id and text, and shards are counted
+by tokens, so that the model does not depend on how the table is laid out: each shard goes on from the same
+parameters with its own rows, then they are averaged by tokens; only they and the counts of the known words come
+to the driver.
 """
 
 from __future__ import annotations
 
 import copy
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,14 +33,18 @@ END = " "
 WORDS, CLASSES, SIZE = 1536, 24, 16
 #: Words whose counts every worker holds; any other word meets its count in a join.
 HELD = 60_000
-#: Streams of a window at most and with few tokens, steps of a window, rate of the first round, tokens that are learned together.
-STREAMS, FEW_STREAMS, STEPS, RATE, CHUNK = 256, 64, 24, 0.01, 160_000
-#: Rounds, each over its share of the rows; a corpus of at most so many tokens goes through all rows in each of two rounds.
-ROUNDS, SMALL_TOKENS = 4, 2_000_000
-#: Tokens of a training task at least, and pieces in which parameters are averaged.
-TASK_TOKENS, PIECES = 250_000, 16
-#: Tokens that a worker scores together, and steps of a scoring window.
-TOGETHER, WINDOW = 1_500_000, 32
+#: Streams of a window at most, steps of a window, rate of the first round, tokens that are learned together.
+STREAMS, STEPS, RATE, CHUNK = 128, 24, 0.01, 160_000
+#: Rounds, each over its share of the rows, and how often they go over all rows.
+ROUNDS, PASSES = 4, 1
+#: Tokens of a shard in a round, about, and pieces in which parameters are averaged.
+SHARD_TOKENS, PIECES = 500_000, 16
+#: Tasks of a round at most; beyond that a task learns several shards, one after the other.
+TASKS = 16_384
+#: Tokens that a worker scores together, steps of a scoring window, rows whose outputs are computed together.
+TOGETHER, WINDOW, ROWS = 1_500_000, 32, 16_384
+#: Logits of at most this size need no shift before ``exp`` in single precision.
+SAFE = 60
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -69,7 +77,7 @@ class Model:
         _, starts = np.unique(bins, return_index=True)
         self.starts = np.append(starts, [n, n + 1]).astype(int)  # bounds of the classes, the last one is the rare word
         self.classes = len(self.starts) - 1
-        self.class_of = np.repeat(np.arange(self.classes), np.diff(self.starts))
+        self.class_of = np.repeat(np.arange(self.classes, dtype=np.int16), np.diff(self.starts))
         rng = np.random.default_rng(10)
         self.p = {"table": gru.glorot(rng, n + 1, 3 * SIZE), "u": gru.glorot(rng, SIZE, 3 * SIZE), "wc": gru.glorot(rng, SIZE, self.classes),
                   "bc": np.zeros(self.classes, np.float32), "ww": gru.glorot(rng, SIZE, n + 1), "bw": np.zeros(n + 1, np.float32)}
@@ -80,33 +88,38 @@ class Model:
     def end(self) -> int:
         return self.symbols.get(END, self.n)
 
+    def _unshifted(self) -> bool:
+        """States lie between -1 and 1, so the weights bound every logit."""
+        p = self.p
+        return max(float((np.abs(p["wc"]).sum(axis=0) + np.abs(p["bc"])).max()), float((np.abs(p["ww"]).sum(axis=0) + np.abs(p["bw"])).max())) <= SAFE
+
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """ln P(target | state) of each row: class, then word in its class."""
-        p, out, classes = self.p, np.empty(len(targets)), self.class_of[targets]
-        logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        out[:] = logits[np.arange(len(targets)), classes] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cuts[c]:cuts[c + 1]]
-            a, b = self.starts[c], self.starts[c + 1]
-            if len(rows) and b - a > 1:
-                inner = states[rows] @ p["ww"][:, a:b] + p["bw"][a:b]
-                inner -= inner.max(axis=1, keepdims=True)
-                out[rows] += inner[np.arange(len(rows)), targets[rows] - a] - np.log(np.exp(inner).sum(axis=1))
+        p, out, shifted = self.p, np.empty(len(targets)), not self._unshifted()
+        bounds = np.arange(self.classes + 1)
+        for at in range(0, len(targets), ROWS):
+            y = targets[at:at + ROWS]
+            classes = self.class_of[y]
+            order = np.argsort(classes, kind="stable")
+            y, classes, h = y[order], classes[order], states[at:at + ROWS][order]
+            found = _log_softmax(h @ p["wc"] + p["bc"], classes, shifted)
+            cuts = np.searchsorted(classes, bounds)
+            for c in range(self.classes):
+                a, b, rows = self.starts[c], self.starts[c + 1], slice(cuts[c], cuts[c + 1])
+                if cuts[c + 1] > cuts[c] and b - a > 1:
+                    found[rows] += _log_softmax(h[rows] @ p["ww"][:, a:b] + p["bw"][a:b], y[rows] - a, shifted)
+            out[at + order] = found
         return out
 
     def train(self, texts: list[list[int]]) -> None:
-        """Two passes over the joined texts."""
+        """Two passes over the joined texts, without Spark."""
         for done in range(2 if texts else 0):
-            self.learn(np.concatenate([[self.end()], *texts]).astype(int), gru.Adam(self.p, RATE / (1 + done)))
+            self.learn(np.concatenate([[self.end()], *texts]).astype(np.int16), gru.Adam(self.p, RATE / (1 + done)))
 
     def learn(self, flat: np.ndarray, adam: gru.Adam) -> None:
         """Truncated backpropagation: streams run through the symbols, states go on from window to window; each symbol after the first is learned once."""
         while len(flat) > 1:
-            bound = STREAMS if len(flat) > CHUNK // 2 else FEW_STREAMS
-            streams = max(1, min(bound, (len(flat) - 1) // STEPS))
+            streams = max(1, min(STREAMS, (len(flat) - 1) // STEPS))
             length = (len(flat) - 1) // streams
             self._run(np.stack([flat[i * length:(i + 1) * length + 1] for i in range(streams)], axis=1), adam)
             flat = flat[streams * length:]
@@ -116,21 +129,26 @@ class Model:
         for at in range(0, length, STEPS):
             x, y = streams[at:at + STEPS][:length - at], streams[at + 1:at + STEPS + 1].ravel()
             states, memory = gru.forward(p["table"][x], p["u"], state, True)
-            state, h = states[-1], states.reshape(-1, SIZE)
-            scale, classes = np.float32(1 / len(y)), self.class_of[y]
+            state, scale = states[-1], np.float32(1 / len(y))
+            order = np.argsort(self.class_of[y], kind="stable")
+            y, h = y[order], states.reshape(-1, SIZE)[order]
+            classes = self.class_of[y]
             d = gru.softmax(h @ p["wc"] + p["bc"])
             d[np.arange(len(y)), classes] -= 1
             d *= scale
             grads = {"wc": h.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-            dh = d @ p["wc"].T
-            for c in np.unique(classes):
-                a, b, rows = self.starts[c], self.starts[c + 1], np.flatnonzero(classes == c)
-                if b - a > 1:
+            sorted_dh = d @ p["wc"].T
+            cuts = np.searchsorted(classes, np.arange(self.classes + 1))
+            for c in range(self.classes):
+                a, b, rows = self.starts[c], self.starts[c + 1], slice(cuts[c], cuts[c + 1])
+                if cuts[c + 1] > cuts[c] and b - a > 1:
                     e = gru.softmax(h[rows] @ p["ww"][:, a:b] + p["bw"][a:b])
-                    e[np.arange(len(rows)), y[rows] - a] -= 1
+                    e[np.arange(len(e)), y[rows] - a] -= 1
                     e *= scale
                     grads["ww"][:, a:b], grads["bw"][a:b] = h[rows].T @ e, e.sum(axis=0)
-                    dh[rows] += e @ p["ww"][:, a:b].T
+                    sorted_dh[rows] += e @ p["ww"][:, a:b].T
+            dh = np.empty_like(sorted_dh)
+            dh[order] = sorted_dh
             dx, grads["u"] = gru.backward(dh.reshape(states.shape), p["u"], memory)
             grads["table"] = gru.table_grad(x, dx, self.n + 1)
             adam.update(grads)
@@ -158,6 +176,15 @@ class Model:
         return totals
 
 
+def _log_softmax(logits: np.ndarray, targets: np.ndarray, shifted: bool) -> np.ndarray:
+    """Logarithm of the softmax of each row at its target."""
+    if shifted:
+        logits -= logits.max(axis=1, keepdims=True)
+    at = logits[np.arange(len(targets)), targets]
+    np.exp(logits, out=logits)
+    return at.astype(float) - np.log(logits @ np.ones(logits.shape[1], np.float32))
+
+
 def most_frequent(counts: DataFrame, bound: int) -> list[tuple[str, int]]:
     """Words by count, at most ``bound``: whole bins of the logarithm of the count, from the top, while they fit.
 
@@ -173,26 +200,32 @@ def most_frequent(counts: DataFrame, bound: int) -> list[tuple[str, int]]:
     return sorted([(r["word"], r["c"]) for r in chosen], key=lambda x: (-x[1], x[0]))
 
 
-def _trained(docs: DataFrame, model: Model, rate: float) -> dict[str, np.ndarray]:
-    """Parameters after a round over ``docs``: each task goes on from those of ``model``; their mean, weighted by tokens."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), sorted(model.p)
+def _trained(dealt: DataFrame, shards: int, model: Model, rate: float) -> dict[str, np.ndarray]:
+    """Parameters after a round over ``dealt`` (shard, deal, symbols): each shard goes on from those of ``model``; their mean, weighted by tokens."""
+    shared, names = dealt.sparkSession.sparkContext.broadcast(model), sorted(model.p)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_shard(rows: Iterator[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
         own = copy.deepcopy(shared.value)
-        index, end, adam = {w.encode(): i for w, i in own.symbols.items()}, own.end(), gru.Adam(own.p, rate)
-        waiting, total = [end], 0
-        for batch in batches:
-            for text in batch.column(0):
-                found = (text.as_py() or "").encode("utf-8", "replace").translate(_LOWER).split()
-                waiting += [index.get(w, own.n) for w in found]
-                waiting.append(end)
-                while len(waiting) > CHUNK:
-                    own.learn(np.array(waiting[:CHUNK + 1]), adam)
-                    waiting, total = waiting[CHUNK:], total + CHUNK
-        own.learn(np.array(waiting), adam)
-        total += len(waiting) - 1
+        adam, waiting, size, total = gru.Adam(own.p, rate), [np.array([own.end()], np.int16)], 1, 0
+        for _, symbols in rows:
+            waiting.append(np.frombuffer(symbols, np.int16))
+            size += len(waiting[-1])
+            while size > CHUNK:
+                flat = np.concatenate(waiting)
+                own.learn(flat[:CHUNK + 1], adam)
+                waiting, size, total = [flat[CHUNK:]], size - CHUNK, total + CHUNK
+        own.learn(np.concatenate(waiting), adam)
+        return total + size - 1, np.concatenate([own.p[k].ravel() for k in names])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come in order of their shards; what a task has learned is summed before it is sent.
+        rows = ((k, x) for batch in batches for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        total, sums = 0, None
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            n, params = of_shard(group)
+            total, sums = total + n, n * params.astype(float) + (0 if sums is None else sums)
         if total:
-            pieces = np.array_split(np.concatenate([own.p[k].ravel() for k in names]), PIECES)
+            pieces = np.array_split((sums / total).astype(np.float32), PIECES)
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([total] * PIECES, pa.int64()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "tokens", "params"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +238,8 @@ def _trained(docs: DataFrame, model: Model, rate: float) -> dict[str, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / tokens_of[k]).astype(np.float32).tobytes() for k, x in sums.items()], pa.binary())], ["piece", "params"])
 
     # Written, so that a lost task of the mean does not train again.
-    parts = stage(docs.select("text").mapInArrow(learn, "piece int, tokens long, params binary"))
+    placed = dealt.repartitionById(min(shards, TASKS), F.pmod("shard", F.lit(min(shards, TASKS))).cast("int")).sortWithinPartitions("shard", "deal")
+    parts = stage(placed.select("shard", "symbols").mapInArrow(learn, "piece int, tokens long, params binary"))
     means = sorted(tuple(r) for r in parts.repartition(PIECES, "piece").mapInArrow(mean, "piece int, params binary").collect())
     if not means:
         return model.p
@@ -215,16 +249,60 @@ def _trained(docs: DataFrame, model: Model, rate: float) -> dict[str, np.ndarray
     return out
 
 
-def fit(train_docs: DataFrame, counts: DataFrame, n: int) -> tuple[Model, dict[str, int]]:
-    """The network trained on all rows, ``n`` tokens, and the counts of the most frequent words, at most ``HELD``."""
-    held = most_frequent(counts, HELD)
-    model = Model(held[:WORDS], n - sum(c for _, c in held[:WORDS]))
-    rounds, shares = (ROUNDS, ROUNDS) if n > SMALL_TOKENS else (2, 1)
-    for done in range(rounds if n else 0):
-        share = train_docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shares)) == done % shares)
-        # Small tables have few tasks, so that each has something to learn from; large ones keep theirs.
-        model.p = _trained(share.coalesce(max(1, n // shares // TASK_TOKENS)), model, RATE / (1 + done))
-    return model, dict(held)
+def fit(cut: DataFrame, model: Model, n: int) -> Model:
+    """``model`` trained on all rows of ``cut`` (deal, symbols), ``n`` tokens."""
+    shards = max(1, n // ROUNDS // SHARD_TOKENS)
+    own = cut.select("deal", "symbols", F.pmod("deal", F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftrightunsigned("deal", 16), F.lit(shards)).alias("shard"))
+    for done in range(ROUNDS * PASSES if n else 0):
+        model.p = _trained(own.where(F.col("round") == done % ROUNDS).select("shard", "deal", "symbols"), shards, model, RATE / (1 + done))
+    return model
+
+
+def cut_texts(docs: DataFrame, known: dict[str, int], network: int, base_of, rare_of) -> DataFrame:
+    """``docs`` (doc_id, held_out, deal, text) with texts cut once: symbols of the network (16 bits each), counts and sums over the words of ``known``, and the other words."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most HELD words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        index, last = {w.encode(): i for i, w in enumerate(held)}, len(held)  # symbols of the network come first
+        base = np.array([base_of(c) for c in held.values()] + [0.0])
+        rare = np.array([0.0 if i < network else rare_of(c) for i, c in enumerate(held.values())] + [0.0])
+        end, get = END.encode(), index.get
+        for batch in batches:
+            rows = []
+            for text in batch.column(3):
+                found = (text.as_py() or "").encode("utf-8", "replace").translate(_LOWER).split()
+                found.append(end)
+                place = np.array([get(w, last) for w in found], np.int32)
+                others = [found[i].decode() for i in np.flatnonzero(place == last)]
+                rows.append((len(place), len(place) - len(others), float(base[place].sum()), float(rare[place].sum()), np.minimum(place, network).astype(np.int16).tobytes(), others))
+            sizes, n_known, bases, rares, symbols, others = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(rares, pa.float64()),
+                                              pa.array(symbols, pa.binary()), pa.array(others, pa.list_(pa.string()))],
+                                             ["doc_id", "held_out", "deal", "n_tokens", "n_known", "base", "rare", "symbols", "others"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "held_out", "deal", "text").mapInArrow(
+        run, f"doc_id {kind}, held_out boolean, deal long, n_tokens long, n_known long, base double, rare double, symbols binary, others array<string>")
+
+
+def network_scores(cut: DataFrame, model: Model) -> DataFrame:
+    """``cut`` with ``model``, the network's log10 probability, in place of ``symbols``."""
+    shared = cut.sparkSession.sparkContext.broadcast(model)
+    columns = [c for c in cut.columns if c != "symbols"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = shared.value
+        for batch in batches:
+            # Whole rows that are scored together; at least one.
+            group = np.cumsum(np.asarray(batch.column("n_tokens"))) // TOGETHER
+            starts = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else []
+            for a, b in zip(starts, [*starts[1:], len(group)]):
+                part = batch.slice(a, b - a)
+                found = network.score([np.frombuffer(x, np.int16) for x in part.column("symbols").to_pylist()]) / math.log(10)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(found, pa.float64())], [*columns, "model"])
+
+    return cut.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "symbols") + ", model double")
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -236,56 +314,26 @@ def score_texts(docs: DataFrame) -> DataFrame:
     end; repeated rows are scored each; an empty table gives no rows; further columns are ignored. With nothing
     to learn from all words are rare.
     """
-    own = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    deal = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    own = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), deal.alias("deal"))
     counts = stage(count_words(own.where("NOT held_out")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
-    model, held = fit(own.where("NOT held_out"), counts, n)
-    inside = sum(held[w] for w in model.symbols)
-    rare_n, rare_v = n - inside, v - len(model.symbols)
+    held = most_frequent(counts, HELD)
+    inside = sum(c for _, c in held[:WORDS])
+    model = Model(held[:WORDS], n - inside)
+    rare_n, rare_v = n - inside, v - model.n
     base_of = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     rare_of = lambda c: math.log10((c + 0.5) / (rare_n + 0.5 * (rare_v + 1)))
-
-    shared = docs.sparkSession.sparkContext.broadcast((model, held))  # at most HELD words
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, known = shared.value
-        index = {w: i for i, w in enumerate(known)}  # symbols of the network come first
-        base = np.array([base_of(c) for c in known.values()] + [0.0])
-        rare = np.array([0.0 if i < network.n else rare_of(c) for i, c in enumerate(known.values())] + [0.0])
-        waiting, size = [], 0
-
-        def scored() -> pa.RecordBatch:
-            ids, held_rows, places, others = zip(*waiting)
-            found = network.score([np.minimum(p, network.n) for p in places]) / math.log(10)
-            rows = [(len(p), int((p < len(known)).sum()), float(base[p].sum()), float(s + rare[p].sum())) for p, s in zip(places, found)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(held_rows, pa.bool_()), *[pa.array(x) for x in zip(*rows)],
-                                               pa.array(others, pa.list_(pa.string()))], ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "others"])
-
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for doc_id, held_row, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-                found = tokens(text.as_py())
-                place = np.array([index.get(w, len(known)) for w in found])
-                waiting.append((doc_id.as_py(), held_row.as_py(), place, [found[i] for i in np.flatnonzero(place == len(known))]))
-                size += len(found)
-                if size >= TOGETHER:
-                    yield scored()
-                    waiting, size = [], 0
-        if waiting:
-            yield scored()
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    part = own.select("doc_id", "held_out", "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double, others array<string>")
     # Written once, so that the row numbers do not change when a lost task runs again.
-    part = stage(part.withColumn("row", F.monotonically_increasing_id()))
-    other = part.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
+    cut = stage(cut_texts(own, dict(held), model.n, base_of, rare_of).withColumn("row", F.monotonically_increasing_id()))
+    model = fit(cut.where("NOT held_out"), model, n)
+    part = network_scores(cut.drop("deal", "others"), model)
+    other = cut.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     met = other.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"),
                                   F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1)))).alias("more_base"),
                                   F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / (rare_n + 0.5 * (rare_v + 1)))).alias("more_model"))
-    out, zero = part.drop("others").join(sums, "row", "left"), lambda c: F.coalesce(F.col(c), F.lit(0))
+    out, zero = part.join(sums, "row", "left"), lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                      (F.col("base") + zero("more_base")).alias("base_score"), (F.col("model") + zero("more_model")).alias("score"))
+                      (F.col("base") + zero("more_base")).alias("base_score"), (F.col("model") + F.col("rare") + zero("more_model")).alias("score"))

@@ -108,6 +108,24 @@ def test_lm_is_a_distribution_and_carries_its_state():
         assert math.isclose(total, got, rel_tol=1e-4)
 
 
+def test_lm_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)  # so that a round has several shards
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = []
+    for laid in (docs.coalesce(1), docs.repartition(7, "n_chars")):
+        monkeypatch.setattr(lm, "TASKS", 3 if scores else 16_384)
+        scores.append({r.doc_id: r.score for r in lm.score_texts(laid).collect()})
+    assert all(math.isclose(s, scores[1][i], rel_tol=1e-4) for i, s in scores[0].items())
+
+
+def test_log_softmax_with_and_without_shift():
+    rng = np.random.default_rng(3)
+    logits, targets = rng.normal(0, 9, (50, 11)).astype(np.float32), rng.integers(0, 11, 50)
+    exact = logits.astype(float) - np.log(np.exp(logits.astype(float)).sum(axis=1, keepdims=True))
+    for shifted in (True, False):
+        np.testing.assert_allclose(lm._log_softmax(logits.copy(), targets, shifted), exact[np.arange(50), targets], rtol=1e-4, atol=1e-4)
+
+
 def test_lm_edges(spark):
     docs = spark.createDataFrame([(1, None, "x", 0.), (2, "", "x", 0.), (None, "Ab ab", None, 0.), (3, "q " * 5000, "x", 0.), (3, "q " * 5000, "x", 0.)], DOCS)
     got = sorted((r.n_tokens, r.n_known) for r in lm.score_texts(docs).collect())
