@@ -1,12 +1,12 @@
 """Quality rules with risk-controlled cutoffs.
 
-Four ratios are compared with cutoffs. The cutoff of a rule in a stratum (a language) comes from
-labelled documents that pass the base rules and are labelled good: going from the loosest cutoff of a
-ladder to the strictest, each step is an exact binomial test of "the rule rejects at least ``RISK``
-of the good documents"; the walk stops at the first step that is not refuted, and the last refuted
-one is the cutoff. A fixed order needs no correction along the ladder; over strata and rules the
-level is divided by their number (Bonferroni). So with probability ``1 - LEVEL`` no stratum loses
-more than the sum of its rules' risks of its good documents.
+Four ratios are compared with cutoffs. The cutoffs of a stratum (a language) come from labelled
+documents that pass the base rules and are labelled good: along one ladder, fixed beforehand, all four
+rules grow stricter together, and each step is an exact binomial test of "the rules together reject at
+least ``RISK`` of the good documents"; the walk stops at the first step that is not refuted, and the
+last refuted one gives the cutoffs. A fixed order needs no correction along the ladder, and rules need
+none as their union is tested; over strata the level is divided by their number (Bonferroni). So with
+probability ``1 - LEVEL`` no stratum loses more than ``RISK`` of its good documents.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from residuum.session import stage
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Share of good documents a stratum may lose over all rules, and the probability that it loses more.
+#: Share of good documents a stratum may lose over all rules, and the probability that any loses more.
 RISK, LEVEL = 0.02, 0.05
 #: Ladders from loose to strict; a document is rejected if its ratio is above the cutoff.
 LADDERS = {
@@ -29,6 +29,9 @@ LADDERS = {
     "repeat_share": [0.48, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2],
     "mean_word_chars": [40.0, 30.0, 20.0, 15.0, 12.0, 10.0],
 }
+#: Steps of the common ladder; a shorter ladder stays on a cutoff for several steps.
+STEPS = max(map(len, LADDERS.values()))
+JOINT = [{rule: ladder[i * len(ladder) // STEPS] for rule, ladder in LADDERS.items()} for i in range(STEPS)]
 
 
 def _repeat_words(count: Column, grams: Column) -> Column:
@@ -135,20 +138,14 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: f
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1")
     held = measured.where(~F.col("_base_failed")).join(good, "doc_id")
-    counts = held.groupBy("_stratum").agg(F.count("*").alias("n"), *[
-        F.count_if(F.col("_ratios")[rule] > cut).alias(f"{rule}_{i}") for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)])
-    long = counts.select("_stratum", "n", F.inline(F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(cut).alias("cut"), F.col(f"{rule}_{i}").alias("k"))
-        for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)])))
-    tests = counts.agg((F.count("*") * len(LADDERS)).alias("tests"))
-    tested = (long.withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk / len(LADDERS)))
-              .withColumn("_row", F.lit(1)).join(tests.withColumn("_row", F.lit(1)), "_row")
-              .groupBy("_stratum", "rule").agg(
-                  F.min(F.when(F.col("p") > level / F.col("tests"), F.col("step"))).alias("stop"),
-                  F.collect_list(F.struct("step", "cut")).alias("steps")))
-    chosen = tested.select("_stratum", "rule", F.array_max(F.transform(
-        F.filter("steps", lambda s: F.col("stop").isNull() | (s["step"] < F.col("stop"))), lambda s: F.struct(s["step"], s["cut"])))["cut"].alias("cut"))
-    return chosen.groupBy("_stratum").agg(F.struct(*[F.max(F.when(F.col("rule") == rule, F.col("cut"))).alias(rule) for rule in LADDERS]).alias("_cut"))
+    rejected = lambda cut: F.expr(" OR ".join(f"coalesce(_ratios.{rule} > {value}D, false)" for rule, value in cut.items()))
+    counts = stage(held.groupBy("_stratum").agg(F.count("*").alias("n"), *[F.count_if(rejected(cut)).alias(f"k_{i}") for i, cut in enumerate(JOINT)]))
+    strata = max(1, counts.count())
+    steps = counts.select("_stratum", "n", F.posexplode(F.array(*[f"k_{i}" for i in range(STEPS)])).alias("step", "k"))
+    walked = (steps.withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk)).groupBy("_stratum")
+              .agg(F.coalesce(F.min(F.when(F.col("p") > level / strata, F.col("step"))), F.lit(STEPS)).alias("passed")))
+    cuts = F.array(*[F.struct(*[F.lit(value).alias(rule) for rule, value in cut.items()]) for cut in JOINT])
+    return walked.select("_stratum", F.when(F.col("passed") > 0, F.element_at(cuts, F.greatest("passed", F.lit(1)))).alias("_cut"))
 
 
 def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:

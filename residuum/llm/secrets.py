@@ -1,7 +1,9 @@
 """Secret scans: three fixed patterns, and character Markov models of random strings and ordinary words.
 
 The models are first-order chains over the letters that keys are written in. Their training labels
-come from the patterns: what a pattern matched is random, words of texts without a match are ordinary.
+come from the patterns: what a pattern matched is random; words of texts without a match are ordinary, and so
+are the identifiers that are made from them by a rule (numbered names, paths, dates, plain numbers), since words
+alone show no digits. ``error_rates`` measures both errors on strings that the chains were not trained on.
 A candidate run is a secret if the log-likelihood ratio of the two chains exceeds ``MIN_RATIO``.
 """
 
@@ -80,29 +82,46 @@ def _cells(string: Column) -> Column:
     return F.transform(indices(1, F.length(string) - 1), lambda i: _state(string, i) * STATES + _state(string, i + 1))
 
 
-def train(docs: DataFrame) -> list[float]:
-    """The log-likelihood ratio of every transition, row by row.
+def _identifiers(word: Column) -> Column:
+    """A word and ordinary identifiers made from it and its hash: a numbered name, a path, two dates, a number of 16 digits."""
+    part = lambda n, at: F.pmod(F.shiftrightunsigned(F.xxhash64(word), at), F.lit(n))
+    day = lambda at: F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), part(36500, at).cast("int")), "yyyy-MM-dd")
+    bare = F.translate(word, ".,;:!?", "")
+    return F.array(word, F.concat_ws("_", bare, part(1000, 3)), F.concat(F.lit("/"), bare, F.lit("/"), F.lower(bare), part(100, 7)),
+                   F.concat_ws("-", day(0), day(20)), F.lpad(part(10 ** 16, 5).cast("string"), 16, "7"))
 
-    Both chains back off to the frequency of the letter, nine parts to one of an even share. The samples are the strings with the lowest hashes among
-    all labelled ones; their bounds are parameters of this module. Only STATES * STATES sums reach the
-    driver. Without a labelled string of either kind all ratios are 0 and the method adds nothing.
-    """
+
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct random strings and distinct ordinary words (column ``s``), labelled by the patterns."""
     text = F.coalesce("text", F.lit(""))
     has = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)
     marked = docs.select(text.alias("text")).where(has)
     value = lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["value"], "^" + ASSIGN, 2)).otherwise(s["value"])
     random = marked.select(F.explode(F.transform(base_spans(F.col("text")), value)).alias("s"))
-    # One word of every clean text, chosen by hash, so that no long text dominates and nothing is exploded.
+    # One word in 64 of every clean text, chosen by hash, so that no long text dominates and few are exploded.
     clean = docs.select(text.alias("text")).where(~has).select(F.pmod(F.xxhash64("text"), F.lit(64)).alias("h"), words(F.col("text")).alias("w"))
     plain = clean.select(F.explode(F.filter("w", lambda w, i: (F.length(w) >= 6) & (i % 64 == F.col("h")))).alias("s"))
-    plain = plain.where(F.col("s").rlike("^[A-Za-z_-]+[.,;:!?]?$"))
+    return random.distinct(), plain.where(F.col("s").rlike("^[A-Za-z_-]+[.,;:!?]?$")).distinct()
+
+
+def train(docs: DataFrame) -> list[float]:
+    """The log-likelihood ratio of every transition, row by row.
 
-    def counted(strings: DataFrame, bound: int, name: str) -> DataFrame:
+    Both chains back off to the frequency of the letter, nine parts to one of an even share. The samples are the strings with the lowest hashes among
+    all labelled ones; their bounds are parameters of this module. Only STATES * STATES sums reach the
+    driver. Without a labelled string of either kind all ratios are 0 and the method adds nothing.
+    """
+    return fit(*labelled(docs))
+
+
+def fit(random: DataFrame, plain: DataFrame) -> list[float]:
+    """``train`` on labelled strings."""
+    def counted(strings: DataFrame, bound: int, name: str, forms) -> DataFrame:
         # A top-k by hash is kept per task before anything is sent.
-        chosen = strings.distinct().orderBy(F.xxhash64("s"), "s").limit(bound)
+        chosen = strings.orderBy(F.xxhash64("s"), "s").limit(bound).select(F.explode(forms(F.col("s"))).alias("s"))
         return chosen.select(F.explode(_cells(F.col("s"))).alias("cell"), F.lit(name).alias("name"))
 
-    both = counted(random, RANDOM_SAMPLE, "random").unionByName(counted(plain, ORDINARY_SAMPLE, "ordinary"))
+    both = counted(random, RANDOM_SAMPLE, "random", F.array).unionByName(counted(plain, ORDINARY_SAMPLE, "ordinary", _identifiers))
     sums = {(r["name"], r["cell"]): r["count"] for r in both.groupBy("name", "cell").count().collect()}
     if len({name for name, _ in sums}) < 2:
         return [0.0] * (STATES * STATES)
@@ -123,9 +142,27 @@ def ratio(string: Column, table: Column) -> Column:
     return F.aggregate(_cells(string), F.lit(0.0), lambda acc, cell: acc + F.element_at(table, cell + 1))
 
 
+def _table(model: list[float]) -> Column:
+    return F.split(F.lit(" ".join(map(str, model))), " ").cast("array<double>")
+
+
+def error_rates(docs: DataFrame) -> DataFrame:
+    """One row a label (``random``, ``ordinary``): n strings long enough for a candidate, n_flagged above the ratio.
+
+    The chains are trained on labelled strings with an even hash and judge those with an odd one. A label without strings has no row.
+    """
+    random, plain = labelled(docs)
+    odd = F.pmod(F.xxhash64("s"), F.lit(2)) == 1
+    model = fit(random.where(~odd), plain.where(~odd))
+    held = random.where(odd).select("s", F.lit("random").alias("label")).unionByName(
+        plain.where(odd).select(F.explode(_identifiers(F.col("s"))).alias("s"), F.lit("ordinary").alias("label")))
+    held = held.where(F.col("s").rlike("^" + CANDIDATE + "$"))
+    return held.groupBy("label").agg(F.count("*").alias("n"), F.count_if(let(_table(model), lambda t: ratio(F.col("s"), t) > MIN_RATIO)).alias("n_flagged"))
+
+
 def all_spans(text: Column, base: Column, model: list[float]) -> Column:
     """The base spans and, beside them, candidate runs that touch none and look random."""
-    table = F.split(F.lit(" ".join(map(str, model))), " ").cast("array<double>")
+    table = _table(model)
 
     def added(spans: Column) -> Column:
         runs = _spans(text, CANDIDATE, "markov", lambda m: F.lit(True))

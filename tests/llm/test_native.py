@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -59,6 +60,47 @@ def test_base_spans_equal_plain_search(spark, sf):
         assert found[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base).encode()).hexdigest()
 
 
+def test_markov_leaves_ordinary_identifiers(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = ["2023-05-17-2023-06-18", "1234567890123456", "20240131T235959-20240201", "/usr/share/lib/python3", "customer_account_2024_12", "0000-0001-5109-3700"]
+    keys = ["qZ7xK9vB2mR4tW8yL1nC", "Xf3QzP0vKe8WmJ2bTy6R", "hG5dkS9qXw2Vz7RbN4jL"]
+    found = {r.doc_id: r.n_markov for r in secrets.find_secrets(documents(spark, plain + keys), secrets.train(docs)).collect()}
+    assert [found[i] for i in range(len(plain + keys))] == [0] * len(plain) + [1] * len(keys)
+    rates = {r.label: (r.n, r.n_flagged) for r in secrets.error_rates(docs).collect()}
+    assert rates["ordinary"][1] <= 0.01 * rates["ordinary"][0] and rates["random"][1] >= 0.5 * rates["random"][0]
+
+
+def plain_cutoff(good, ratios, risk, level):
+    """The joint ladder of a stratum in plain Python: the last refuted step, or None."""
+    passed = None
+    for cut in quality.JOINT:
+        k = sum(any(ratios[i][rule] > value for rule, value in cut.items()) for i in good)
+        if sum(math.comb(len(good), i) * risk ** i * (1 - risk) ** (len(good) - i) for i in range(k + 1)) > level:
+            break
+        passed = cut
+    return passed
+
+
+def test_cutoffs_equal_a_plain_walk(spark):
+    rng = random.Random(5)
+    rows, labels, places = [], [], {}
+    for lang, n in (("a", 400), ("b", 260), ("c", 90), (None, 300)):
+        for _ in range(n):
+            i, kind = len(rows), rng.random()
+            w = ["w%d" % rng.randrange(10 ** 6) for _ in range(60)] + (["###"] * 25 if kind < .1 else []) + (["#"] if lang == "b" and .1 < kind < .15 else [])
+            rows.append((i, " ".join(w) + ("\nsame line here" * rng.randrange(1, 4) if lang == "a" else ""), lang))
+            labels.append((i, 0 if kind < .1 else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    measured = {r.doc_id: r for r in quality.with_measures(docs).collect()}
+    good = {lang: [i for i, _, x in rows if x == lang and labels[i][1] == 1 and not measured[i]._base_failed] for _, _, lang in rows}
+    cut = {lang: plain_cutoff(ids, {i: measured[i]._ratios.asDict() for i in ids}, quality.RISK, quality.LEVEL / len(good)) for lang, ids in good.items()}
+    assert cut["a"] and cut["b"] and cut["c"] is None and cut[None] == quality.JOINT[-1]
+    want = {i: not measured[i]._base_failed and not (cut[x] and any(measured[i]._ratios[rule] > value for rule, value in cut[x].items())) for i, _, x in rows}
+    assert {r.doc_id: r.kept for r in quality.quality_rules(docs, marks).collect()} == want
+    assert sum(not x for x in want.values()) > 20
+
+
 def test_markov_finds_random_runs_only(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = secrets.train(docs)
