@@ -34,7 +34,7 @@ WORDS, CLASSES, SIZE = 1536, 24, 16
 #: Words whose counts every worker holds; any other word meets its count in a join.
 HELD = 60_000
 #: Streams of a window at most, steps of a window, rate of the first round, tokens that are learned together.
-STREAMS, STEPS, RATE, CHUNK = 128, 24, 0.01, 160_000
+STREAMS, STEPS, RATE, CHUNK = 256, 24, 0.01, 160_000
 #: Rounds, each over its share of the rows, and how often they go over all rows.
 ROUNDS, PASSES = 4, 1
 #: Tokens of a shard in a round, about, and pieces in which parameters are averaged.
@@ -42,7 +42,7 @@ SHARD_TOKENS, PIECES = 500_000, 16
 #: Tasks of a round at most; beyond that a task learns several shards, one after the other.
 TASKS = 16_384
 #: Tokens that a worker scores together, steps of a scoring window, rows whose outputs are computed together.
-TOGETHER, WINDOW, ROWS = 1_500_000, 32, 16_384
+TOGETHER, WINDOW, ROWS = 1_500_000, 32, 65_536
 #: Logits of at most this size need no shift before ``exp`` in single precision.
 SAFE = 60
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -118,6 +118,7 @@ class Model:
 
     def learn(self, flat: np.ndarray, adam: gru.Adam) -> None:
         """Truncated backpropagation: streams run through the symbols, states go on from window to window; each symbol after the first is learned once."""
+        flat = flat.astype(np.intp)
         while len(flat) > 1:
             streams = max(1, min(STREAMS, (len(flat) - 1) // STEPS))
             length = (len(flat) - 1) // streams
@@ -129,26 +130,21 @@ class Model:
         for at in range(0, length, STEPS):
             x, y = streams[at:at + STEPS][:length - at], streams[at + 1:at + STEPS + 1].ravel()
             states, memory = gru.forward(p["table"][x], p["u"], state, True)
-            state, scale = states[-1], np.float32(1 / len(y))
-            order = np.argsort(self.class_of[y], kind="stable")
-            y, h = y[order], states.reshape(-1, SIZE)[order]
-            classes = self.class_of[y]
+            state, h = states[-1], states.reshape(-1, SIZE)
+            scale, classes = np.float32(1 / len(y)), self.class_of[y]
             d = gru.softmax(h @ p["wc"] + p["bc"])
             d[np.arange(len(y)), classes] -= 1
             d *= scale
             grads = {"wc": h.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-            sorted_dh = d @ p["wc"].T
-            cuts = np.searchsorted(classes, np.arange(self.classes + 1))
-            for c in range(self.classes):
-                a, b, rows = self.starts[c], self.starts[c + 1], slice(cuts[c], cuts[c + 1])
-                if cuts[c + 1] > cuts[c] and b - a > 1:
+            dh = d @ p["wc"].T
+            for c in np.unique(classes):
+                a, b, rows = self.starts[c], self.starts[c + 1], np.flatnonzero(classes == c)
+                if b - a > 1:
                     e = gru.softmax(h[rows] @ p["ww"][:, a:b] + p["bw"][a:b])
-                    e[np.arange(len(e)), y[rows] - a] -= 1
+                    e[np.arange(len(rows)), y[rows] - a] -= 1
                     e *= scale
                     grads["ww"][:, a:b], grads["bw"][a:b] = h[rows].T @ e, e.sum(axis=0)
-                    sorted_dh[rows] += e @ p["ww"][:, a:b].T
-            dh = np.empty_like(sorted_dh)
-            dh[order] = sorted_dh
+                    dh[rows] += e @ p["ww"][:, a:b].T
             dx, grads["u"] = gru.backward(dh.reshape(states.shape), p["u"], memory)
             grads["table"] = gru.table_grad(x, dx, self.n + 1)
             adam.update(grads)
@@ -157,7 +153,7 @@ class Model:
         """ln probability of each whole text of symbols; texts advance together, longest first, so that those still running are a prefix."""
         sizes = np.array([len(t) for t in texts])
         order = np.argsort(-sizes, kind="stable")
-        flat, begin = np.concatenate(texts), np.cumsum(sizes) - sizes
+        flat, begin = np.concatenate(texts).astype(np.intp), np.cumsum(sizes) - sizes
         totals, ordered = np.zeros(len(texts)), sizes[order]
         state, last = np.zeros((len(texts), SIZE), np.float32), np.full(len(texts), self.end())
         for at in range(0, int(ordered[0]) if len(ordered) else 0, WINDOW):
