@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chemistry as chem
 from ..functions.numeric import distance
-from ..session import stage
+from ..session import merged, stage
 from .keyed import argmin_by, two_smallest
 from .spatial import nearest_target, radius_join, radius_pairs, residue_pair_minima
 
@@ -173,7 +173,7 @@ def clashes(atoms: DataFrame, separations: DataFrame, tolerance: float = 0.40,
     pairs = pairs.unionByName(wide.selectExpr("structure_id", "distance", *[c for n in ("atom_idx", "x", "y", "z", *carried) for c in (
         f"IF({flip}, b_{n}, a_{n}) AS a_{n}", f"IF({flip}, a_{n}, b_{n}) AS b_{n}")]))
     near = separations.selectExpr("structure_id", "atom_a AS a_atom_idx", "atom_b AS b_atom_idx")
-    kept = pairs.join(near, ["structure_id", "a_atom_idx", "b_atom_idx"], "left_anti")
+    kept = pairs.join(merged(near), ["structure_id", "a_atom_idx", "b_atom_idx"], "left_anti")
     sided = _sided(kept, "a_residue_idx < b_residue_idx", ["residue_idx", "atom_idx", "atom_name", "label"],
                    f"-(a_radius + b_radius - {tolerance}D - distance) AS neg_overlap")
     return argmin_by(sided, ["structure_id", *RESIDUE_PAIR], ["neg_overlap", "atom_idx_i", "atom_idx_j"],
@@ -193,7 +193,7 @@ def nearest_nonbonded(atoms: DataFrame, separations: DataFrame, queries: DataFra
     asking = base if queries is None else base.join(queries, ["structure_id", "atom_idx"], "left_semi")
     pairs = radius_join(base, asking, search, extra="a_atom_idx <> b_atom_idx")
     near = separations.selectExpr("structure_id", "atom_a AS a_atom_idx", "atom_b AS b_atom_idx")
-    ranked = pairs.join(near, ["structure_id", "a_atom_idx", "b_atom_idx"], "left_anti").selectExpr(
+    ranked = pairs.join(merged(near), ["structure_id", "a_atom_idx", "b_atom_idx"], "left_anti").selectExpr(
         "structure_id", "b_atom_idx AS atom_idx", "b_residue_idx AS residue_idx", "b_label AS label",
         "b_atom_name AS atom_name", "b_name AS name", "distance", "a_residue_idx AS near_idx",
         "a_atom_name AS near_atom", "a_label AS near_label", "a_name AS near_name")
@@ -211,7 +211,7 @@ def listed_pair_distances(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
         return atoms.selectExpr("structure_id", f"residue_idx AS residue_idx_{s}", f"atom_idx AS atom_idx_{s}",
                                 f"atom_name AS atom_name_{s}", f"x AS {s}_x", f"y AS {s}_y", f"z AS {s}_z")
     rows = pairs.select("structure_id", *RESIDUE_PAIR).distinct() \
-        .join(side("i"), ["structure_id", "residue_idx_i"]).join(side("j"), ["structure_id", "residue_idx_j"]) \
+        .join(merged(side("i")), ["structure_id", "residue_idx_i"]).join(merged(side("j")), ["structure_id", "residue_idx_j"]) \
         .selectExpr("*", f"{distance('i_', 'j_')} AS distance")
     return argmin_by(rows, ["structure_id", *RESIDUE_PAIR], ["distance", "atom_idx_i", "atom_idx_j"],
                      ["atom_name_i", "atom_name_j"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chemistry as chem
 from ..functions.numeric import distance
-from ..session import stage
+from ..session import merged, stage
 
 PEPTIDE_MAX, NUCLEIC_MAX = 2.0, 2.2
 
@@ -28,7 +28,7 @@ def dictionary_bonds(atoms: DataFrame) -> DataFrame:
     protein = atoms.filter("entity = 'protein'")
     left = protein.selectExpr("structure_id", "residue_idx", "atom_idx AS atom_a", f"explode({partner}) AS atom_name")
     right = protein.selectExpr(*keys, "atom_idx AS atom_b")
-    return left.join(right, keys).select("structure_id", "atom_a", "atom_b")
+    return left.join(merged(right), keys).select("structure_id", "atom_a", "atom_b")
 
 
 def polymer_links(atoms: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def polymer_links(atoms: DataFrame) -> DataFrame:
     second = polymer.filter("atom_name = IF(polymer_kind = 'protein', 'N', 'P')").selectExpr(
         *keys, "atom_idx AS atom_b", "x AS b_x", "y AS b_y", "z AS b_z")
     limit = f"IF(polymer_kind = 'protein', {PEPTIDE_MAX}D, {NUCLEIC_MAX}D)"
-    return first.join(second, keys).filter(f"{distance('a_', 'b_')} <= {limit}").select(
+    return first.join(merged(second), keys).filter(f"{distance('a_', 'b_')} <= {limit}").select(
         "structure_id", "atom_a", "atom_b")
 
 
@@ -62,7 +62,7 @@ def separations(edges: DataFrame, depth: int = 2) -> DataFrame:
     edges = stage(edges)
     reached = edges.selectExpr("structure_id", "atom_a", "atom_b", "1 AS separation")
     frontier = edges
-    step = edges.selectExpr("structure_id", "atom_a AS via", "atom_b AS next")
+    step = merged(edges.selectExpr("structure_id", "atom_a AS via", "atom_b AS next"))
     for hop in range(2, depth + 1):
         frontier = frontier.selectExpr("structure_id", "atom_a", "atom_b AS via").join(
             step, ["structure_id", "via"]).filter("atom_a <> next").selectExpr(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import merged, stage
 from . import contacts as c
 
 
@@ -44,10 +44,10 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     arms = both_ways(edges)
     left = arms.selectExpr("structure_id", "node", "neighbour AS a", "distance AS d_a")
     right = arms.selectExpr("structure_id", "node", "neighbour AS b", "distance AS d_b")
-    pairs = left.join(right, ["structure_id", "node"]).filter("a < b").groupBy("structure_id", "a", "b").agg(
+    pairs = left.join(merged(right), ["structure_id", "node"]).filter("a < b").groupBy("structure_id", "a", "b").agg(
         F.expr("count(*) AS n_bridges"), F.expr("min(struct(node, d_a, d_b)) AS bridge"))
     touching = edges.selectExpr("structure_id", "i AS a", "j AS b")
-    return pairs.join(touching, ["structure_id", "a", "b"], "left_anti").selectExpr(
+    return pairs.join(merged(touching), ["structure_id", "a", "b"], "left_anti").selectExpr(
         "structure_id", "a", "b", "n_bridges", "bridge.node AS bridge", "bridge.d_a AS bridge_to_a", "bridge.d_b AS bridge_to_b")
 
 
@@ -56,7 +56,7 @@ def bridging_residues(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     arms = both_ways(stage(edges))
     to_a = arms.selectExpr("structure_id", "neighbour AS a", "node AS bridge")
     to_b = arms.selectExpr("structure_id", "neighbour AS b", "node AS bridge")
-    return anchors.join(to_a, ["structure_id", "a"]).join(to_b, ["structure_id", "b", "bridge"]).filter(
+    return anchors.join(merged(to_a), ["structure_id", "a"]).join(merged(to_b), ["structure_id", "b", "bridge"]).filter(
         "bridge <> a AND bridge <> b")
 
 
@@ -67,7 +67,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_edges: int = 3) -> Da
     work stops growing for a pair as soon as it is answered.
     """
     keys = ["structure_id", "source", "target"]
-    step = both_ways(stage(edges)).selectExpr("structure_id", "node AS tail", "neighbour")
+    step = merged(both_ways(stage(edges)).selectExpr("structure_id", "node AS tail", "neighbour"))
     open_paths = pairs.selectExpr(*keys, "array(source) AS path")
     done = open_paths.filter("source = target")
     open_paths = open_paths.filter("source <> target")
@@ -94,6 +94,6 @@ def near_miss(atoms: DataFrame, pairs: DataFrame, search: float) -> DataFrame:
     arms = both_ways(stage(minima))
     to_a = arms.selectExpr("structure_id", "neighbour AS a", "node", "distance AS d_a")
     to_b = arms.selectExpr("structure_id", "neighbour AS b", "node", "distance AS d_b")
-    worst = pairs.select("structure_id", "a", "b", "bridge").join(to_a, ["structure_id", "a"]).join(
-        to_b, ["structure_id", "b", "node"]).filter("node <> bridge")
+    worst = pairs.select("structure_id", "a", "b", "bridge").join(merged(to_a), ["structure_id", "a"]).join(
+        merged(to_b), ["structure_id", "b", "node"]).filter("node <> bridge")
     return worst.groupBy("structure_id", "a", "b").agg(F.expr("min(greatest(d_a, d_b)) AS near_miss"))

@@ -3,7 +3,8 @@
 A raw distance predicate has no equality in it, so Catalyst can only plan it as a
 nested loop. Cutting space into cells as wide as the cutoff turns it into an
 equi-join on the cell: a pair within the cutoff always lies in the same cell or in
-two touching ones. Crowded cells are left to the skew join of adaptive execution, or, with ``probe``,
+two touching ones. The join is a sorted merge, since the copied side is many times larger than
+Catalyst takes it for. Crowded cells are left to the skew join of adaptive execution, or, with ``probe``,
 counted first and cut into slices; the pairs are the same. The self-join visits only half of the touching cells, which
 finds every pair once.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import distance, squared_distance
-from ..session import stage
+from ..session import merged, stage
 from .keyed import argmin_by
 
 #: Half of the 26 touching cells plus the cell itself.
@@ -85,7 +86,7 @@ def _join_cells(left: DataFrame, right: DataFrame, cutoff: float, group: list[st
     if extra:
         within = f"({within}) AND ({extra})"
     carried = [c for c in [*a.columns, *b.columns] if c not in keys]
-    return a.join(b, keys).filter(within).selectExpr(*group, *carried, f"{distance('a_', 'b_')} AS distance")
+    return a.join(merged(b), keys).filter(within).selectExpr(*group, *carried, f"{distance('a_', 'b_')} AS distance")
 
 
 def radius_pairs(points: DataFrame, cutoff: float, columns: list[str], *,
@@ -159,7 +160,7 @@ def nearest_target(sources: DataFrame, targets: DataFrame, *, group: list[str],
             *group, *[f"a_{k} AS {k}" for k in source_key], "distance")
         hits = stage(pairs.groupBy(*keys).agg(F.min("distance").alias("distance")))
         found = hits if found is None else found.unionByName(hits)
-        pending = stage(pending.join(hits, keys, "left_anti"))
+        pending = stage(pending.join(merged(hits), keys, "left_anti"))
         if pending.isEmpty():
             return found
         radius *= 2.0

@@ -16,7 +16,7 @@ from ..functions.numeric import distance
 from ..operators import contacts, torsions
 from ..operators.keyed import argmax_by, argmin_by, first_per_key, two_smallest
 from ..operators.spatial import radius_join
-from ..session import stage
+from ..session import merged, stage
 
 SEARCH, MIN_CHI1_CHANGE, MIN_PACKING_CHANGE = 8.0, 60.0, 0.5  # fixed values
 
@@ -48,7 +48,7 @@ def _labelled_pairs(pairs: DataFrame, atoms: DataFrame, out: str) -> DataFrame:
     names = stage(atoms.select("structure_id", "label", "residue_idx").distinct())
     located = pairs.select("structure_id", "l1", "l2").distinct()
     for n in (1, 2):
-        located = located.join(names.selectExpr("structure_id", f"label AS l{n}", f"residue_idx AS r{n}"), ["structure_id", f"l{n}"])
+        located = located.join(merged(names.selectExpr("structure_id", f"label AS l{n}", f"residue_idx AS r{n}")), ["structure_id", f"l{n}"])
     located = stage(located.selectExpr("*", "least(r1, r2) AS residue_idx_i", "greatest(r1, r2) AS residue_idx_j"))
     measured = contacts.listed_pair_distances(located, atoms).selectExpr("structure_id", "residue_idx_i", "residue_idx_j", f"distance AS {out}")
     return located.join(measured, ["structure_id", "residue_idx_i", "residue_idx_j"]).select("structure_id", "l1", "l2", out)

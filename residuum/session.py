@@ -89,6 +89,15 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """Join this relation by sorted merge, never by sending it through the driver.
+
+    For relations that grow with the input but look small to Catalyst: it takes a column of compressed
+    Parquet for its bytes in memory, and exploded rows for no more than their source.
+    """
+    return df.hint("merge")
+
+
 #: Below this many input bytes per core, work that is heavy per row is spread explicitly.
 NARROW_BYTES = 8 << 20
 

@@ -196,3 +196,18 @@ def test_contact_changes_fall_back_to_both_pools(spark):
     got = {r.structure_id: (r.reason, len(r.required) // 2) for r in families.t01(changes, "xxhash64(l1, l2)").collect()}
     lacks = "state_pair_lacks_both_gained_and_lost_contacts"
     assert got == {"x": (None, 8), "y": (None, 8), "z": (lacks, 3), "w": ("too_few_unambiguous_contact_changes", 4), "v": (lacks, 0)}
+
+
+def test_copied_sides_are_not_broadcast(spark, sf):
+    """Catalyst takes rows copied to touching cells for as small as their source: no static broadcast may rest on that."""
+    from residuum.operators import covalent, network
+    from residuum.operators.spatial import radius_join, radius_pairs
+    from residuum.session import stage
+    from residuum.sources import tables
+
+    atoms = stage(tables.atoms(spark, sf))
+    bonds = covalent.bonds(atoms)
+    edges = radius_pairs(atoms, 4.0, []).selectExpr("structure_id", "a_atom_idx AS i", "b_atom_idx AS j", "distance")
+    for df in (radius_pairs(atoms, 4.0, []), radius_join(atoms, atoms, 4.0), bonds, covalent.separations(bonds, 2),
+               network.common_neighbours(edges)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
