@@ -8,6 +8,7 @@ from ..functions import chemistry as chem
 from ..functions.geometry import angle, chi1_bin, dihedral, vec
 from ..operators import backbone, display, superpose, surface, torsions
 from ..operators.sequence import with_neighbour
+from ..session import merged
 from .data import atoms
 from .oracle_atoms import ATOMS, RADII
 from .registry import query
@@ -278,5 +279,5 @@ def align_part_names(spark, sf_dir):
     from ..sources.tables import table
     part = table(spark, sf_dir, "part").selectExpr("p_partkey AS pair_id", "p_name AS first")
     after = part.selectExpr("pair_id - 1 AS pair_id", "first AS second")
-    return superpose.align_chains(part.join(after, "pair_id")).groupBy("pair_id").agg(
+    return superpose.align_chains(part.join(merged(after), "pair_id")).groupBy("pair_id").agg(
         F.expr("count(*) AS n_aligned"), F.expr("count_if(same_letter) AS n_same"))

@@ -93,9 +93,21 @@ def chain_sequences(residues: DataFrame) -> DataFrame:
         F.expr("array_join(transform(array_sort(collect_list(struct(poly_index, one_letter))), r -> r.one_letter), '') AS sequence"))
 
 
+def aligned_sequences(pairs: DataFrame) -> DataFrame:
+    """Sequence pairs ``first, second`` with their alignment as ``a``: each different pair is aligned once.
+
+    An alignment costs far more time than its input has bytes, so the spread is fixed here rather than
+    left to a size-based merge, and by a hash of the pair, as the exchange of the distinct pairs is merged.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("first", "second").distinct().repartition(tasks, F.xxhash64("first", "second")).withColumn(
+        "a", alignment("first", "second"))
+
+
 def align_chains(pairs: DataFrame) -> DataFrame:
     """Aligned positions of listed sequence pairs: input ``pair_id, first, second``."""
-    return pairs.withColumn("a", alignment("first", "second")).selectExpr(
+    found = pairs.join(aligned_sequences(pairs), ["first", "second"])
+    return found.selectExpr(
         "pair_id", "a.identity AS identity", "first", "second", "explode(arrays_zip(a.i, a.j)) AS p").selectExpr(
         "pair_id", "identity", "p.i AS i", "p.j AS j", "substr(first, p.i + 1, 1) = substr(second, p.j + 1, 1) AS same_letter")
 
@@ -109,9 +121,9 @@ def map_residues(residues_1: DataFrame, residues_2: DataFrame, chain_pairs: Data
     """
     first = chain_sequences(residues_1).selectExpr("structure_id AS structure_1", "chain AS chain_1", "sequence AS first")
     second = chain_sequences(residues_2).selectExpr("structure_id AS structure_2", "chain AS chain_2", "sequence AS second")
-    joined = chain_pairs.join(first, ["structure_1", "chain_1"]).join(second, ["structure_2", "chain_2"])
+    joined = stage(chain_pairs.join(first, ["structure_1", "chain_1"]).join(second, ["structure_2", "chain_2"]))
     ends = ["structure_1", "chain_1", "structure_2", "chain_2"]
-    rows = joined.withColumn("a", alignment("first", "second")).selectExpr(
+    rows = joined.join(aligned_sequences(joined), ["first", "second"]).selectExpr(
         "pair_id", *ends, "a.identity AS identity", "first", "second", "explode(arrays_zip(a.i, a.j)) AS p").filter(
         "substr(first, p.i + 1, 1) = substr(second, p.j + 1, 1)")
     by_position = [r.selectExpr(f"structure_id AS structure_{s}", f"chain AS chain_{s}", f"poly_index AS poly_{s}",

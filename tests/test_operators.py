@@ -211,3 +211,14 @@ def test_copied_sides_are_not_broadcast(spark, sf):
     for df in (radius_pairs(atoms, 4.0, []), radius_join(atoms, atoms, 4.0), bonds, covalent.separations(bonds, 2),
                network.common_neighbours(edges)):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_sequence_pairs_are_aligned_once_and_spread(spark):
+    from residuum.operators import superpose
+
+    pairs = spark.createDataFrame([(i, "green anvil", "red anvil" if i % 2 else "blue anvil") for i in range(60)], "pair_id long, first string, second string")
+    found = superpose.aligned_sequences(pairs)
+    assert found.count() == 2 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = superpose.align_chains(pairs).groupBy("pair_id").count().collect()
+    want = {k: len(superpose.align_sequences("green anvil", b)[0]) for k, b in ((0, "blue anvil"), (1, "red anvil"))}
+    assert {r.pair_id: r["count"] for r in rows} == {i: want[i % 2] for i in range(60)}
