@@ -51,17 +51,17 @@ def _labelled_pairs(pairs: DataFrame, atoms: DataFrame, out: str) -> DataFrame:
         located = located.join(merged(names.selectExpr("structure_id", f"label AS l{n}", f"residue_idx AS r{n}")), ["structure_id", f"l{n}"])
     located = stage(located.selectExpr("*", "least(r1, r2) AS residue_idx_i", "greatest(r1, r2) AS residue_idx_j"))
     measured = contacts.listed_pair_distances(located, atoms).selectExpr("structure_id", "residue_idx_i", "residue_idx_j", f"distance AS {out}")
-    return located.join(measured, ["structure_id", "residue_idx_i", "residue_idx_j"]).select("structure_id", "l1", "l2", out)
+    return located.join(merged(measured), ["structure_id", "residue_idx_i", "residue_idx_j"]).select("structure_id", "l1", "l2", out)
 
 
 def gained_interactions(anchors: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """Partners the anchor touches in the second state only. A partner missing from the first state was infinitely far."""
     cols = ["structure_id", "label", "x", "y", "z"]
-    anchor_atoms = second.join(anchors.select("structure_id", "label").distinct(), ["structure_id", "label"], "left_semi").select(*cols)
+    anchor_atoms = second.join(merged(anchors.select("structure_id", "label").distinct()), ["structure_id", "label"], "left_semi").select(*cols)
     near = radius_join(second.select(*cols), anchor_atoms, SEARCH, extra="a_label <> b_label").groupBy("structure_id", "b_label", "a_label").agg(
         F.min("distance").alias("d2")).selectExpr("structure_id", "b_label AS l1", "a_label AS l2", "d2")
     near = stage(near)
-    joined = near.join(_labelled_pairs(near, first, "d1"), ["structure_id", "l1", "l2"], "left").selectExpr(
+    joined = near.join(merged(_labelled_pairs(near, first, "d1")), ["structure_id", "l1", "l2"], "left").selectExpr(
         "structure_id", "l1", "l2", "d2", "coalesce(d1, CAST('Infinity' AS DOUBLE)) AS d1")
     return joined.filter(f"({contact_change('d1', 'd2')}) = 'gained'").groupBy("structure_id", F.col("l1").alias("label")).agg(
         F.expr("array_sort(collect_set(array_join(array_sort(array(l1, l2)), '--'))) AS value"))

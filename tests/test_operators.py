@@ -222,3 +222,18 @@ def test_equal_sequence_pairs_are_aligned_once_and_spread(spark):
     rows = superpose.align_chains(pairs).groupBy("pair_id").count().collect()
     want = {k: len(superpose.align_sequences("green anvil", b)[0]) for k, b in ((0, "blue anvil"), (1, "red anvil"))}
     assert {r.pair_id: r["count"] for r in rows} == {i: want[i % 2] for i in range(60)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gained_interactions_do_not_broadcast(spark, sf):
+    from residuum.plans import mechanistic
+    from residuum.session import stage
+    from residuum.sources import tables
+
+    first = stage(tables.atoms(spark, sf))
+    second = first.selectExpr(*["x + 1D AS x" if c == "x" else c for c in first.columns])
+    anchors = first.filter("entity = 'ligand'").select("structure_id", "label").distinct()
+    assert "BroadcastExchange" not in plan(mechanistic.gained_interactions(anchors, first, second))
