@@ -16,7 +16,7 @@ from ..functions.numeric import distance, linspace_index, round_decimals
 from ..operators import backbone, contacts, covalent, network, surface, torsions
 from ..operators.keyed import argmin_by, first_per_key
 from ..operators.sequence import BLOCK_ROWS, numbered
-from ..session import stage
+from ..session import merged, stage
 
 #: Fixed values.
 MAX_WHOLE_ATOMS, NEGATIVE_MARGIN, SET_MARGIN, NEAREST_MARGIN = 1560, 0.20, 0.05, 0.25
@@ -210,14 +210,14 @@ def g03(a: Analysis) -> DataFrame:
     targets = stage(_sampled(a, enough, 20).selectExpr("structure_id", "residue_idx AS residue_idx_i", "label", "chain", "poly_index"))
     others = protein.selectExpr("structure_id", "residue_idx AS residue_idx_j", "label AS other_label", "chain AS other_chain", "poly_index AS other_index")
     # Twenty targets per structure at most, whatever its size.
-    pairs = stage(targets.join(others, "structure_id").filter(
+    pairs = stage(targets.join(merged(others), "structure_id").filter(
         "residue_idx_i <> residue_idx_j AND NOT coalesce(chain = other_chain AND abs(poly_index - other_index) <= 2, false)"))
     measured = contacts.listed_pair_distances(pairs, a.atoms).select("structure_id", "residue_idx_i", "residue_idx_j", "distance")
-    around = stage(pairs.join(measured, ["structure_id", "residue_idx_i", "residue_idx_j"]).selectExpr(
+    around = stage(pairs.join(merged(measured), ["structure_id", "residue_idx_i", "residue_idx_j"]).selectExpr(
         "structure_id", "residue_idx_i AS residue_idx", "label", "residue_idx_j AS other", "other_label", "distance"))
     placed = numbered(around, ["structure_id", "residue_idx"], ["distance", "other"], "CAST(floor(distance / 8) AS BIGINT)", "place")
     sizes = around.groupBy("structure_id", "residue_idx").agg(F.expr("count(*) AS n")).filter("n >= 5").selectExpr("*", "greatest(1, (n - 1) div 4) AS step")
-    chosen = placed.join(sizes, ["structure_id", "residue_idx"]).filter(
+    chosen = placed.join(merged(sizes), ["structure_id", "residue_idx"]).filter(
         "place <= 1 OR ((place - 1) % step = 0 AND (place - 1) div step < 4)")
     rows = chosen.groupBy("structure_id", "residue_idx", "label").agg(
         F.expr("min(distance) FILTER (WHERE place = 0) AS d0"), F.expr("min(distance) FILTER (WHERE place = 1) AS d1"),

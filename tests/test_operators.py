@@ -237,3 +237,19 @@ def test_gained_interactions_do_not_broadcast(spark, sf):
     second = first.selectExpr(*["x + 1D AS x" if c == "x" else c for c in first.columns])
     anchors = first.filter("entity = 'ligand'").select("structure_id", "label").distinct()
     assert "BroadcastExchange" not in plan(mechanistic.gained_interactions(anchors, first, second))
+
+
+def test_target_pairs_of_g03_are_not_broadcast(spark, sf, monkeypatch):
+    from residuum.session import stage
+    from residuum.sources import tables
+
+    seen = []
+
+    def watched(df):
+        if "other_label" in df.columns:
+            seen.append(plan(df))
+        return stage(df)
+
+    monkeypatch.setattr(families, "stage", watched)
+    families.g03(families.Analysis(tables.atoms(spark, sf)))
+    assert len(seen) == 2 and not any("BroadcastExchange" in p for p in seen)
