@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import chemistry as chem
 from ..functions.geometry import angle, fold_class, hbond_energy, vec
 from ..functions.numeric import distance
-from ..session import stage
+from ..session import merged, stage
 from .sequence import BLOCK_ROWS, numbered, runs, with_neighbour
 from .spatial import radius_pairs
 
@@ -111,7 +111,7 @@ def bridges(chains: DataFrame, hbonds: DataFrame) -> DataFrame:
                                f"x AS {s}_x", f"y AS {s}_y", f"z AS {s}_z") for s in "ij"}
     return (
         found.filter("i.chain <> j.chain OR abs(i.k - j.k) > 2")
-        .join(side["i"], ["structure_id", "i"]).join(side["j"], ["structure_id", "j"])
+        .join(merged(side["i"]), ["structure_id", "i"]).join(merged(side["j"]), ["structure_id", "j"])
         .filter(f"{distance('i_', 'j_')} <= {CA_RADIUS}D")
         .selectExpr("structure_id", "i.chain AS chain_i", "i.k AS k_i", "j.chain AS chain_j", "j.k AS k_j", "kind")
     )
@@ -131,7 +131,7 @@ def ladders(found: DataFrame) -> DataFrame:
 def _helix_codes(turn_rows: DataFrame, step: int, code: str) -> DataFrame:
     here = turn_rows.filter(f"step = {step}").select(*CHAIN, "k")
     before = here.selectExpr(*CHAIN, "k + 1 AS k")
-    return here.join(before, [*CHAIN, "k"]).selectExpr(
+    return here.join(merged(before), [*CHAIN, "k"]).selectExpr(
         *CHAIN, f"explode(sequence(k, k + {step - 1})) AS k", f"{PRECEDENCE.index(code)} AS rank")
 
 
@@ -141,7 +141,7 @@ def _sheet_ranks(found: DataFrame) -> DataFrame:
     step = "IF(kind = 'P', s, -s)"
     beside = found.selectExpr(*keys, "explode(array(-1, 1)) AS s").selectExpr(
         *keys[:4], "k_i + s AS k_i", f"k_j + {step} AS k_j").distinct().withColumn("extends", F.lit(True))
-    ranked = found.join(beside, keys, "left").selectExpr(
+    ranked = found.join(merged(beside), keys, "left").selectExpr(
         "structure_id", "explode(array(struct(chain_i AS chain, k_i AS k), struct(chain_j AS chain, k_j AS k))) AS e",
         f"IF(extends, {PRECEDENCE.index('E')}, {PRECEDENCE.index('B')}) AS rank")
     return ranked.selectExpr("structure_id", "e.chain AS chain", "e.k AS k", "rank")
@@ -158,7 +158,7 @@ def secondary_structure(atoms: DataFrame) -> DataFrame:
     around = here
     for offset, prefix in ((-2, "p_"), (2, "q_")):
         moved = here.selectExpr(*CHAIN, f"k - ({offset}) AS k", *[f"{n} AS {prefix}{n}" for n in ("stretch", "ca_x", "ca_y", "ca_z")])
-        around = around.join(moved, [*CHAIN, "k"])
+        around = around.join(merged(moved), [*CHAIN, "k"])
     bend = angle(vec("p_ca_"), vec("ca_"), vec("q_ca_"))
     bends = around.filter(f"p_stretch = stretch AND q_stretch = stretch AND 180D - ({bend}) > {BEND_ANGLE}D").selectExpr(
         *CHAIN, "k", f"{PRECEDENCE.index('S')} AS rank")
@@ -167,7 +167,7 @@ def secondary_structure(atoms: DataFrame) -> DataFrame:
     best = ranks.groupBy(*CHAIN, "k").agg(F.min("rank").alias("rank"))
     # try_element_at: element_at over a literal array is taken to be non-null even for a NULL index.
     code = f"coalesce(try_element_at({chem.sql_literal(list(PRECEDENCE))}, rank + 1), ' ')"
-    return chains.select(*CHAIN, "k", "residue_idx", "label").join(best, [*CHAIN, "k"], "left").selectExpr(
+    return chains.select(*CHAIN, "k", "residue_idx", "label").join(merged(best), [*CHAIN, "k"], "left").selectExpr(
         *CHAIN, "residue_idx", "label", "k", f"{code} AS code").selectExpr("*", f"{chem.three_state('code')} AS class")
 
 

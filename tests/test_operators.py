@@ -253,3 +253,11 @@ def test_target_pairs_of_g03_are_not_broadcast(spark, sf, monkeypatch):
     monkeypatch.setattr(families, "stage", watched)
     families.g03(families.Analysis(tables.atoms(spark, sf)))
     assert len(seen) == 2 and not any("BroadcastExchange" in p for p in seen)
+
+
+def test_secondary_structure_does_not_broadcast(spark, sf):
+    from residuum.sources import tables
+
+    chains = backbone.chain_backbone(tables.atoms(spark, sf))
+    assert "BroadcastExchange" not in plan(backbone.bridges(chains, backbone.hydrogen_bonds(chains)))
+    assert "BroadcastExchange" not in plan(backbone.secondary_structure(tables.atoms(spark, sf)))
