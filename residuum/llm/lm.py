@@ -17,6 +17,7 @@ from __future__ import annotations
 import copy
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from residuum.llm import gru
-from residuum.llm.text import ascii_lower, words
 from residuum.session import stage
 
 #: What ends every text; a blank is in no word.
@@ -43,6 +43,8 @@ SHARD_TOKENS, PIECES = 500_000, 16
 TASKS = 16_384
 #: Tokens that a worker scores together, steps of a scoring window, rows whose outputs are computed together.
 TOGETHER, WINDOW, ROWS = 1_500_000, 32, 65_536
+#: Different words that a task counts together.
+COUNTED = 200_000
 #: Logits of at most this size need no shift before ``exp`` in single precision.
 SAFE = 60
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -58,10 +60,31 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
 
 
+def _cut(text: pa.Scalar) -> list[bytes]:
+    """Words of a text in UTF-8 with A-Z lower-cased, then the end; null is empty."""
+    found = (text.as_py() or b"").translate(_LOWER).split()
+    found.append(END.encode())
+    return found
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all rows, the end counted once a row; counts combine before the shuffle."""
-    text = F.concat(words(ascii_lower(F.col("text"))), F.array(F.lit(END)))
-    return docs.select(F.explode(text).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    """(word, c) over all rows, the end counted once a row; a task counts at most about ``COUNTED`` words before it sends them on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Counter()
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                met.update(_cut(text))
+                if len(met) >= COUNTED:
+                    yield _counted(met)
+                    met = Counter()
+        if met:
+            yield _counted(met)
+
+    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _counted(met: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(met), pa.binary()).cast(pa.string()), pa.array(list(met.values()), pa.int64())], ["word", "c"])
 
 
 class Model:
@@ -96,18 +119,19 @@ class Model:
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """ln P(target | state) of each row: class, then word in its class."""
         p, out, shifted = self.p, np.empty(len(targets)), not self._unshifted()
-        bounds = np.arange(self.classes + 1)
+        wc, ww, bounds = np.vstack([p["wc"], p["bc"]]), np.vstack([p["ww"], p["bw"]]), np.arange(self.classes + 1)
         for at in range(0, len(targets), ROWS):
             y = targets[at:at + ROWS]
             classes = self.class_of[y]
             order = np.argsort(classes, kind="stable")
-            y, classes, h = y[order], classes[order], states[at:at + ROWS][order]
-            found = _log_softmax(h @ p["wc"] + p["bc"], classes, shifted)
+            y, classes, h = y[order], classes[order], np.ones((len(y), SIZE + 1), np.float32)
+            h[:, :SIZE] = states[at:at + ROWS][order]
+            found = _log_softmax(h @ wc, classes, shifted)
             cuts = np.searchsorted(classes, bounds)
             for c in range(self.classes):
                 a, b, rows = self.starts[c], self.starts[c + 1], slice(cuts[c], cuts[c + 1])
                 if cuts[c + 1] > cuts[c] and b - a > 1:
-                    found[rows] += _log_softmax(h[rows] @ p["ww"][:, a:b] + p["bw"][a:b], y[rows] - a, shifted)
+                    found[rows] += _log_softmax(h[rows] @ ww[:, a:b], y[rows] - a, shifted)
             out[at + order] = found
         return out
 
@@ -129,23 +153,27 @@ class Model:
         p, length, state = self.p, len(streams) - 1, np.zeros((streams.shape[1], SIZE), np.float32)
         for at in range(0, length, STEPS):
             x, y = streams[at:at + STEPS][:length - at], streams[at + 1:at + STEPS + 1].ravel()
-            states, memory = gru.forward(p["table"][x], p["u"], state, True)
-            state, h = states[-1], states.reshape(-1, SIZE)
-            scale, classes = np.float32(1 / len(y)), self.class_of[y]
-            d = gru.softmax(h @ p["wc"] + p["bc"])
-            d[np.arange(len(y)), classes] -= 1
-            d *= scale
-            grads = {"wc": h.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-            dh = d @ p["wc"].T
-            for c in np.unique(classes):
-                a, b, rows = self.starts[c], self.starts[c + 1], np.flatnonzero(classes == c)
-                if b - a > 1:
-                    e = gru.softmax(h[rows] @ p["ww"][:, a:b] + p["bw"][a:b])
-                    e[np.arange(len(rows)), y[rows] - a] -= 1
-                    e *= scale
-                    grads["ww"][:, a:b], grads["bw"][a:b] = h[rows].T @ e, e.sum(axis=0)
+            table, u = gru.prepared(p["table"], p["u"])
+            states, memory = gru.run(np.take(table, x, axis=1), u, state, True)
+            state, scale, shifted = states[-1], np.float32(1 / len(y)), not self._unshifted()
+            # In order of the classes, with a last column of ones for the biases.
+            order = np.argsort(self.class_of[y], kind="stable")
+            y, h = y[order], np.ones((len(y), SIZE + 1), np.float32)
+            h[:, :SIZE] = states.reshape(-1, SIZE)[order]
+            classes, wc, ww = self.class_of[y], np.vstack([p["wc"], p["bc"]]), np.vstack([p["ww"], p["bw"]])
+            d = _errors(h @ wc, classes, scale, shifted)
+            to_wc, to_ww, dh = h.T @ d, np.zeros_like(ww), d @ p["wc"].T
+            cuts = np.searchsorted(classes, np.arange(self.classes + 1))
+            for c in range(self.classes):
+                a, b, rows = self.starts[c], self.starts[c + 1], slice(cuts[c], cuts[c + 1])
+                if cuts[c + 1] > cuts[c] and b - a > 1:
+                    e = _errors(h[rows] @ ww[:, a:b], y[rows] - a, scale, shifted)
+                    to_ww[:, a:b] = h[rows].T @ e
                     dh[rows] += e @ p["ww"][:, a:b].T
-            dx, grads["u"] = gru.backward(dh.reshape(states.shape), p["u"], memory)
+            grads = {"wc": to_wc[:SIZE], "bc": to_wc[SIZE], "ww": to_ww[:SIZE], "bw": to_ww[SIZE]}
+            back = np.empty_like(dh)
+            back[order] = dh
+            dx, grads["u"] = gru.backward(back.reshape(states.shape), p["u"], memory)
             grads["table"] = gru.table_grad(x, dx, self.n + 1)
             adam.update(grads)
 
@@ -156,6 +184,7 @@ class Model:
         flat, begin = np.concatenate(texts).astype(np.intp), np.cumsum(sizes) - sizes
         totals, ordered = np.zeros(len(texts)), sizes[order]
         state, last = np.zeros((len(texts), SIZE), np.float32), np.full(len(texts), self.end())
+        table, u = gru.prepared(self.p["table"], self.p["u"])
         for at in range(0, int(ordered[0]) if len(ordered) else 0, WINDOW):
             running = int(np.searchsorted(-ordered, -at, "left"))
             rows = order[:running]
@@ -163,10 +192,13 @@ class Model:
             place = np.minimum(begin[rows][None, :] + at + np.arange(steps)[:, None], (begin + sizes - 1)[rows][None, :])
             target = flat[place]
             inputs = np.concatenate([last[None, :running], target[:-1]])
-            states = gru.forward(self.p["table"][inputs], self.p["u"], state[:running])
-            real = (at + np.arange(steps))[:, None] < ordered[None, :running]
-            found = np.zeros(target.shape)
-            found[real] = self.log_probs(states[real], target[real])
+            states = gru.run(np.take(table, inputs, axis=1), u, state[:running])
+            if ordered[running - 1] >= at + steps:
+                found = self.log_probs(states.reshape(-1, SIZE), target.ravel()).reshape(target.shape)
+            else:
+                real = (at + np.arange(steps))[:, None] < ordered[None, :running]
+                found = np.zeros(target.shape)
+                found[real] = self.log_probs(states[real], target[real])
             totals[rows] += found.sum(axis=0)
             state, last = states[-1], target[-1]
         return totals
@@ -181,6 +213,16 @@ def _log_softmax(logits: np.ndarray, targets: np.ndarray, shifted: bool) -> np.n
     return at.astype(float) - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
+def _errors(logits: np.ndarray, targets: np.ndarray, scale: np.float32, shifted: bool) -> np.ndarray:
+    """``scale`` times the softmax of each row, less ``scale`` at its target."""
+    if shifted:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= (scale / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
+    logits[np.arange(len(targets)), targets] -= scale
+    return logits
+
+
 def most_frequent(counts: DataFrame, bound: int) -> list[tuple[str, int]]:
     """Words by count, at most ``bound``: whole bins of the logarithm of the count, from the top, while they fit.
 
@@ -255,7 +297,7 @@ def fit(cut: DataFrame, model: Model, n: int) -> Model:
 
 
 def cut_texts(docs: DataFrame, known: dict[str, int], network: int, base_of, rare_of) -> DataFrame:
-    """``docs`` (doc_id, held_out, deal, text) with texts cut once: symbols of the network (16 bits each), counts and sums over the words of ``known``, and the other words."""
+    """``docs`` (doc_id, held_out, deal, text) with texts cut once: symbols of the network (16 bits each), counts and sums over the words of ``known``, and the different other words with their counts."""
     shared = docs.sparkSession.sparkContext.broadcast(known)  # at most HELD words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,23 +305,26 @@ def cut_texts(docs: DataFrame, known: dict[str, int], network: int, base_of, rar
         index, last = {w.encode(): i for i, w in enumerate(held)}, len(held)  # symbols of the network come first
         base = np.array([base_of(c) for c in held.values()] + [0.0])
         rare = np.array([0.0 if i < network else rare_of(c) for i, c in enumerate(held.values())] + [0.0])
-        end, get = END.encode(), index.get
+        get, missing = index.get, itertools.repeat(last)
         for batch in batches:
-            rows = []
-            for text in batch.column(3):
-                found = (text.as_py() or "").encode("utf-8", "replace").translate(_LOWER).split()
-                found.append(end)
-                place = np.array([get(w, last) for w in found], np.int32)
-                others = [found[i].decode() for i in np.flatnonzero(place == last)]
-                rows.append((len(place), len(place) - len(others), float(base[place].sum()), float(rare[place].sum()), np.minimum(place, network).astype(np.int16).tobytes(), others))
-            sizes, n_known, bases, rares, symbols, others = zip(*rows) if rows else [()] * 6
+            rows, words, times, bounds = [], [], [], [0]
+            for text in batch.column(3).cast(pa.binary()):
+                found = _cut(text)
+                place = np.fromiter(map(get, found, missing), np.int32, len(found))
+                others = Counter([found[i] for i in np.flatnonzero(place == last).tolist()])
+                words.extend(others)
+                times.extend(others.values())
+                bounds.append(len(words))
+                rows.append((len(place), len(place) - others.total(), float(base[place].sum()), float(rare[place].sum()), np.minimum(place, network).astype(np.int16).tobytes()))
+            sizes, n_known, bases, rares, symbols = zip(*rows) if rows else [()] * 5
+            met = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "k"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(rares, pa.float64()),
-                                              pa.array(symbols, pa.binary()), pa.array(others, pa.list_(pa.string()))],
+                                              pa.array(symbols, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), met)],
                                              ["doc_id", "held_out", "deal", "n_tokens", "n_known", "base", "rare", "symbols", "others"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "held_out", "deal", "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, deal long, n_tokens long, n_known long, base double, rare double, symbols binary, others array<string>")
+        run, f"doc_id {kind}, held_out boolean, deal long, n_tokens long, n_known long, base double, rare double, symbols binary, others array<struct<word: string, k: bigint>>")
 
 
 def network_scores(cut: DataFrame, model: Model) -> DataFrame:
@@ -325,8 +370,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     cut = stage(cut_texts(own, dict(held), model.n, base_of, rare_of).withColumn("row", F.monotonically_increasing_id()))
     model = fit(cut.where("NOT held_out"), model, n)
     part = network_scores(cut.drop("deal", "others"), model)
-    other = cut.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    met = other.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    met = cut.select("row", F.inline("others")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"),
                                   F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1)))).alias("more_base"),
                                   F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / (rare_n + 0.5 * (rare_v + 1)))).alias("more_model"))

@@ -183,3 +183,16 @@ def test_leaks_on_given_tables(spark, sf):
     docs = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
     got = decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == plain_leaks([(d, t) for d, t in texts if len(t) < 3000 or d == texts[0][0]], items)
+
+
+def test_words_are_counted_in_parts_and_others_once_a_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COUNTED", 3)  # so that a task sends its counts on several times
+    texts = ["A b\x0bC a", None, "", "é É x\u00a0y  x\u00a0y\tb", "zz " * 500]
+    docs = spark.createDataFrame([(i, t, False, i) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean, deal long")
+    plain = Counter(w for t in texts for w in lm.tokens(t))
+    got = lm.count_words(docs)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.word: r.c for r in got.collect()} == plain
+    cut = lm.cut_texts(docs, {lm.END: 5, "a": 2, "b": 2}, 2, float, float).orderBy("doc_id").collect()
+    assert [{w.word: w.k for w in r.others} for r in cut] == [{k: n for k, n in Counter(lm.tokens(t)).items() if k not in (lm.END, "a", "b")} for t in texts]
+    assert [(r.n_tokens, r.n_known, r.base) for r in cut] == [(5, 4, 11.0), (1, 1, 5.0), (1, 1, 5.0), (6, 2, 7.0), (501, 1, 5.0)]
