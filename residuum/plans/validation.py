@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chemistry import in_list
 from ..functions.texts import contains_word
+from ..session import merged, spread_by
 from ..sources import records
 from . import scoring
 
@@ -18,15 +19,17 @@ FORBIDDEN_RECORDS = ("HEADER", "TITLE", "COMPND", "SOURCE", "REMARK", "DBREF", "
 
 
 def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).count().filter("count > 1").selectExpr(f"{key} AS id", "'duplicate_id' AS violation")
+    return spread_by(df.select(key), key).groupBy(key).count().filter("count > 1").selectExpr(f"{key} AS id", "'duplicate_id' AS violation")
 
 
 def orphan_renders(renders: DataFrame, instances: DataFrame) -> DataFrame:
-    return renders.join(instances, "semantic_instance_id", "left_anti").selectExpr("render_id AS id", "'render_without_instance' AS violation")
+    shown = spread_by(renders.select("render_id", "semantic_instance_id"), "semantic_instance_id")
+    return shown.join(merged(instances), "semantic_instance_id", "left_anti").selectExpr("render_id AS id", "'render_without_instance' AS violation")
 
 
 def instances_without_render(instances: DataFrame, renders: DataFrame) -> DataFrame:
-    return instances.join(renders, "semantic_instance_id", "left_anti").selectExpr("semantic_instance_id AS id", "'instance_without_render' AS violation")
+    asked = spread_by(instances.select("semantic_instance_id"), "semantic_instance_id")
+    return asked.join(merged(renders), "semantic_instance_id", "left_anti").selectExpr("semantic_instance_id AS id", "'instance_without_render' AS violation")
 
 
 def prompt_hash_mismatch(renders: DataFrame) -> DataFrame:
@@ -46,7 +49,7 @@ def provenance_leaks(renders: DataFrame, identifiers: DataFrame) -> DataFrame:
     case; a ``publication``, without what stands before its first colon, as written if longer than four
     characters; a ``component`` as a word as written. Identifiers are literals, whatever they contain.
     """
-    shown = renders.select("render_id", "semantic_instance_id", "user_prompt").join(identifiers, "semantic_instance_id")
+    shown = renders.select("render_id", "semantic_instance_id", "user_prompt").join(merged(identifiers), "semantic_instance_id")
     token = "substr(identifier, instr(identifier, ':') + 1)"
     hit = ("CASE kind WHEN 'entry' THEN user_prompt RLIKE concat('(?iU)\\\\b\\\\Q', identifier, '\\\\E\\\\b') "
            f"WHEN 'publication' THEN length({token}) > 4 AND contains(user_prompt, {token}) "
@@ -57,7 +60,8 @@ def provenance_leaks(renders: DataFrame, identifiers: DataFrame) -> DataFrame:
 
 def coordinate_mismatch(renders: DataFrame) -> DataFrame:
     """Renders of one instance in one frame must show the same coordinates."""
-    shown = renders.filter("representation <> 'context_only'").groupBy("semantic_instance_id", "representation", "rotation_seed").agg(
+    frame = ["semantic_instance_id", "representation", "rotation_seed"]
+    shown = spread_by(renders.filter("representation <> 'context_only'").select(*frame, "displayed_coordinates_sha256"), frame[0]).groupBy(*frame).agg(
         F.expr("count(DISTINCT displayed_coordinates_sha256) AS n"))
     return shown.filter("n > 1").selectExpr("semantic_instance_id AS id", "'coordinates_differ' AS violation")
 
@@ -80,7 +84,7 @@ def self_score(instances: DataFrame) -> DataFrame:
 
 def changed_answers(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Stored answers that a fresh run of the family plan no longer gives: both have ``id`` and ``answer`` as text."""
-    return stored.join(recomputed.withColumnRenamed("answer", "fresh"), "id", "left").filter("NOT answer <=> fresh").selectExpr(
+    return stored.join(merged(recomputed.withColumnRenamed("answer", "fresh")), "id", "left").filter("NOT answer <=> fresh").selectExpr(
         "id", "'answer_changed' AS violation")
 
 

@@ -98,6 +98,15 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """Rows by the hash of ``key`` over all shuffle partitions.
+
+    Adaptive execution merges partitions by their compressed bytes, and ids that follow each other compress so
+    well that one task would sort all of them; it leaves partitions alone whose number is given.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 #: Below this many input bytes per core, work that is heavy per row is spread explicitly.
 NARROW_BYTES = 8 << 20
 

@@ -124,3 +124,14 @@ def test_a_run_scores_single_and_several_fields(spark):
                    ("n2", 1): (0.0, False, True, {"site": 0.0, "kind": 1.0})}
     with pytest.raises(Exception, match="no expected fields"):
         scoring.score_run(results, renders, instances).collect()
+
+
+def test_ids_are_compared_in_merged_joins_over_all_partitions(spark):
+    asked = spark.createDataFrame([("a",), ("b",), ("b",)], "semantic_instance_id string")
+    shown = spark.createDataFrame([("r1", "a"), ("r2", "c"), ("r3", None)], "render_id string, semantic_instance_id string")
+    for found, want in ((validation.orphan_renders(shown, asked), ["r2", "r3"]), (validation.instances_without_render(asked, shown), ["b", "b"])):
+        assert sorted(r.id for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "REPARTITION_BY_NUM" in plan
+    twice = validation.duplicate_ids(asked, "semantic_instance_id")
+    assert [r.id for r in twice.collect()] == ["b"] and "REPARTITION_BY_NUM" in twice._jdf.queryExecution().executedPlan().toString()
