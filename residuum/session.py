@@ -20,6 +20,9 @@ RUNTIME_SETTINGS = {
     # one more exchange: a hot grid cell costs far more than that exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Catalyst takes compressed Parquet for its size in memory and would broadcast staged relations of up to
+    # 300 times that; larger ones are left to adaptive execution, which knows the bytes shuffled.
+    "spark.sql.sources.fileCompressionFactor": "300.0",
 }
 
 
@@ -126,6 +129,6 @@ def beside(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate for a plan; no job is run."""
+    """Catalyst's own size estimate for a plan, of files as they are stored; no job is run."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    return int(int(str(stats.sizeInBytes())) / float(df.sparkSession.conf.get("spark.sql.sources.fileCompressionFactor")))

@@ -261,3 +261,13 @@ def test_secondary_structure_does_not_broadcast(spark, sf):
     chains = backbone.chain_backbone(tables.atoms(spark, sf))
     assert "BroadcastExchange" not in plan(backbone.bridges(chains, backbone.hydrogen_bonds(chains)))
     assert "BroadcastExchange" not in plan(backbone.secondary_structure(tables.atoms(spark, sf)))
+
+
+def test_staged_relations_are_not_broadcast_for_their_compressed_size(spark):
+    from residuum.session import estimated_bytes, stage
+    rows = spark.range(400_000).selectExpr("concat('S', id div 1000) AS structure_id", "id % 1000 AS residue_idx", "'a name that compresses well' AS label")
+    kept = stage(rows)
+    assert estimated_bytes(kept) < 1 << 20  # of 20 MB in memory
+    joined = kept.join(kept.withColumnRenamed("label", "other"), ["structure_id", "residue_idx"])
+    assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert joined.count() == 400_000
