@@ -60,7 +60,7 @@ def shingles(text: str | None) -> np.ndarray:
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not tokens:
         return np.empty(0, np.uint64)
-    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    codes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, tokens)), ">u8").astype(np.uint64)
     width = min(SHINGLE, len(codes))
     out = np.full(len(codes) - width + 1, width, np.uint64)
     for k in range(width):
@@ -83,11 +83,19 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is known of each row, and after the last one a row with how many shingles of the task lie in each bin."""
+    names, counts, ids = ["doc_id", "n_shingles", "set_key", "signature", "bins"], np.zeros(1 << BIN_BITS, np.int32), None
     for batch in batches:
-        sets = [shingles(t.as_py()) for t in batch.column(1)]
+        ids, sets = batch.column(0).type, [shingles(t.as_py()) for t in batch.column(1)]
+        if sets:
+            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()),
-            pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+            pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.list_(pa.int32()))], names)
+    if counts.any():
+        yield pa.RecordBatch.from_arrays([
+            pa.nulls(1, ids), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts))], names)
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -194,9 +202,13 @@ def _confirmer(percent: int):
     return confirm
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of every row; the last two are null for texts without a word."""
-    return docs.select("doc_id", "text").mapInArrow(_described, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, signature binary")
+def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_key, signature) of every row, the last two null for texts without a word; and (bin, n), the
+    shingles of all rows by their leading ``BIN_BITS`` bits. Each text is cut once for both."""
+    both = stage(docs.select("doc_id", "text").mapInArrow(
+        _described, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, signature binary, bins array<int>"))
+    bins = both.where("bins IS NOT NULL").select(F.posexplode("bins").alias("bin", "n")).where("n > 0")
+    return both.where("bins IS NULL").drop("bins"), bins.groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
@@ -235,16 +247,6 @@ def links(docs: DataFrame, nodes: DataFrame, near: DataFrame, percent: int) -> D
     return placed.groupBy(*block).cogroup(members.groupBy(*[f"_{c}" for c in block])).applyInPandas(_confirmer(percent), "a binary, b binary")
 
 
-def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << BIN_BITS, np.int64)
-    for batch in batches:
-        sets = [shingles(t.as_py()) for t in batch.column(0)]
-        if sets:
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS)
-    full = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], ["bin", "n"])
-
-
 def _prefixer(ranks: np.ndarray, percent: int):
     low = np.uint64((1 << (64 - BIN_BITS)) - 1)
 
@@ -263,16 +265,16 @@ def _prefixer(ranks: np.ndarray, percent: int):
     return cut
 
 
-def unjoined(docs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def unjoined(docs: DataFrame, bins: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, near), one pair a row, of nodes in different components of ``roots``; no linked pair is missing.
 
-    The order of elements comes from counts in 2 ** BIN_BITS bins, all that is brought to the driver. It only decides how
+    The order of elements comes from ``bins``, counts in 2 ** BIN_BITS bins, all that is brought to the driver. It only decides how
     few pairs there are: any order gives a superset of the links.
     """
     texts = docs.select("text")
-    bins = texts.mapInArrow(_binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    known = bins.toPandas()
     counts = np.zeros(1 << BIN_BITS, np.int64)
-    counts[bins["bin"].to_numpy(np.int64)] = bins["n"].to_numpy(np.int64)
+    counts[known["bin"].to_numpy(np.int64)] = known["n"].to_numpy(np.int64)
     ranks = np.empty(1 << BIN_BITS, np.uint64)
     ranks[np.argsort(counts, kind="stable")] = np.arange(1 << BIN_BITS, dtype=np.uint64)
     sets = texts.mapInArrow(_prefixer(ranks, percent), "node binary, n long, rarest array<long>").groupBy("node").agg(
@@ -296,11 +298,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     are in one component; rows that share an id but not a text are judged apart; null ids are never a
     component_id unless a component has no other; an empty table gives no rows; further columns are ignored.
     """
-    described = stage(describe(docs))
+    described, bins = describe(docs)
     nodes = described.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(
         F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"))
     found = stage(links(docs, nodes, stage(candidates(nodes, percent)), percent))
-    missed = stage(unjoined(docs, stage(components(found)), percent))
+    missed = stage(unjoined(docs, bins, stage(components(found)), percent))
     roots = stage(components(found.unionByName(links(docs, nodes, missed, percent))))
     rooted = described.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     # Minima per component combine before the shuffle; the join back splits a crowded component.

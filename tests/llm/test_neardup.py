@@ -122,3 +122,15 @@ def test_pipeline_stages(spark, sf):
     empty = docs.limit(0)
     for _, stage_function in corpus_pipeline.STAGES:
         assert stage_function(spark, empty, sf).count() == 0
+
+
+def test_each_text_is_cut_once_for_signatures_and_bins(spark):
+    texts = ["a b c d e f g", None, "  ", "a b c d e f g", "one two"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    described, bins = neardup.describe(docs)
+    assert sorted(r.doc_id for r in described.collect()) == [0, 1, 2, 3, 4]
+    want = {}
+    for t in texts:
+        for h in neardup.shingles(t):
+            want[int(h) >> 64 - neardup.BIN_BITS] = want.get(int(h) >> 64 - neardup.BIN_BITS, 0) + 1
+    assert {r.bin: r.n for r in bins.collect()} == want
