@@ -42,8 +42,8 @@ SKETCH = 32
 #: Documents of a chunk of the grid, and forest entries of a partition.
 CHUNK, ENTRIES = 256, 100_000
 
-#: Shingles are ordered by how full their bin is, so that common passages come last; 2 ** BIN_BITS counts are held.
-BIN_BITS = 18
+#: Shingles are ordered by how full their bin is, so that common passages come last; 2 ** BIN_BITS counts are held, in blocks of BIN_BLOCK.
+BIN_BITS, BIN_BLOCK = 18, 256
 
 _HASHES = TREES * DEPTH + SKETCH
 _MUL = np.random.default_rng(20).integers(0, 2**31, _HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -83,19 +83,32 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is known of each row, and after the last one a row with how many shingles of the task lie in each bin."""
-    names, counts, ids = ["doc_id", "n_shingles", "set_key", "signature", "bins"], np.zeros(1 << BIN_BITS, np.int32), None
+    """What is known of each row, and after the last one how many shingles of the task lie in each bin, a row per block of bins."""
+    names, counts, ids = ["doc_id", "n_shingles", "set_key", "signature", "block", "bins"], np.zeros(1 << BIN_BITS, np.int32), None
     for batch in batches:
         ids, sets = batch.column(0).type, [shingles(t.as_py()) for t in batch.column(1)]
         if sets:
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()),
-            pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.list_(pa.int32()))], names)
-    if counts.any():
+            pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int32()))], names)
+    blocks = np.flatnonzero(counts.reshape(-1, BIN_BLOCK).any(axis=1)).astype(np.int32)
+    if len(blocks):
+        n, held = len(blocks), counts.reshape(-1, BIN_BLOCK)[blocks].ravel()
         yield pa.RecordBatch.from_arrays([
-            pa.nulls(1, ids), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts))], names)
+            pa.nulls(n, ids), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(blocks),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, len(held) + 1, BIN_BLOCK, dtype=np.int32)), pa.array(held))], names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bin, n) of the blocks of a task, added up as they come."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            total[block] = total.get(block, 0) + counts.values.to_numpy().astype(np.int64)
+    for block, counts in total.items():
+        full = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((full + block * BIN_BLOCK).astype(np.int32)), pa.array(counts[full])], ["bin", "n"])
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -205,10 +218,11 @@ def _confirmer(percent: int):
 def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, set_key, signature) of every row, the last two null for texts without a word; and (bin, n), the
     shingles of all rows by their leading ``BIN_BITS`` bits. Each text is cut once for both."""
-    both = stage(docs.select("doc_id", "text").mapInArrow(
-        _described, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, signature binary, bins array<int>"))
-    bins = both.where("bins IS NOT NULL").select(F.posexplode("bins").alias("bin", "n")).where("n > 0")
-    return both.where("bins IS NULL").drop("bins"), bins.groupBy("bin").agg(F.sum("n").alias("n"))
+    both = stage(docs.select("doc_id", "text").mapInArrow(_described, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
+                                                          "n_shingles long, set_key binary, signature binary, block int, bins array<int>"))
+    # Counts of all tasks are added block by block: rows of single bins are made once, not once a task.
+    bins = both.where("block IS NOT NULL").select("block", "bins").repartition("block").mapInArrow(_summed, "bin int, n long")
+    return both.where("block IS NULL").drop("block", "bins"), bins
 
 
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:

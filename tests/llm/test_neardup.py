@@ -134,3 +134,16 @@ def test_each_text_is_cut_once_for_signatures_and_bins(spark):
         for h in neardup.shingles(t):
             want[int(h) >> 64 - neardup.BIN_BITS] = want.get(int(h) >> 64 - neardup.BIN_BITS, 0) + 1
     assert {r.bin: r.n for r in bins.collect()} == want
+
+
+def test_bins_of_many_tasks_are_added_without_a_row_for_each_bin_and_task(spark):
+    texts = [f"w{i} x y z v u t {i % 3} one two three" for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    _, bins = neardup.describe(docs)
+    want = {}
+    for t in texts:
+        for h in neardup.shingles(t):
+            want[int(h) >> 64 - neardup.BIN_BITS] = want.get(int(h) >> 64 - neardup.BIN_BITS, 0) + 1
+    rows = bins.collect()
+    assert len(rows) == len(want) and {r.bin: r.n for r in rows} == want
+    assert "Generate" not in bins._jdf.queryExecution().optimizedPlan().toString()
