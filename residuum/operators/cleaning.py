@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chemistry as chem
-from ..session import stage
+from ..session import merged, stage
 from .keyed import argmin_by
 from .sequence import BLOCK_ROWS, numbered
 
@@ -188,9 +188,9 @@ def low_confidence(atoms: DataFrame, residues: DataFrame, queried: DataFrame, ra
     """Queried residues with a residue of low confidence within ``radius``; a missing value counts as 100."""
     from .spatial import radius_join
     pts = atoms.select("structure_id", "residue_idx", "x", "y", "z")
-    asked = pts.join(queried.select("structure_id", "residue_idx").distinct(), ["structure_id", "residue_idx"], "left_semi")
+    asked = pts.join(merged(queried.select("structure_id", "residue_idx").distinct()), ["structure_id", "residue_idx"], "left_semi")
     near = radius_join(pts, asked, radius).selectExpr("structure_id", "a_residue_idx AS residue_idx", "b_residue_idx AS queried_idx").distinct()
-    return near.join(residues.select("structure_id", "residue_idx", "confidence", "label"), ["structure_id", "residue_idx"]).filter(
+    return near.join(merged(residues.select("structure_id", "residue_idx", "confidence", "label")), ["structure_id", "residue_idx"]).filter(
         f"coalesce(confidence, 100D) < {minimum}D").select("structure_id", "queried_idx", "residue_idx", "label", "confidence")
 
 

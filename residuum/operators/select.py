@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import merged, stage
 from .keyed import first_per_key
 
 POOL, ROUNDS, PER_SOURCE, OVERSAMPLE, EXAMPLES = 16, 3, 6, 4, 8  # fixed values
@@ -21,7 +21,7 @@ def pooled_order(df: DataFrame, keys: list[str], order: list[str], seed: str, po
     marked = stage(df.withColumn("_row", F.monotonically_increasing_id()))
     head = first_per_key(marked, keys, order, pool, "_place")
     ranked = head.selectExpr("_row", f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {seed}, _place) AS pool_rank")
-    return marked.join(ranked, "_row", "left").drop("_row")
+    return marked.join(merged(ranked), "_row", "left").drop("_row")
 
 
 def pooled_terms(order: list[str]) -> list[str]:

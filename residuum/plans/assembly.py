@@ -20,7 +20,7 @@ from ..functions.texts import token_estimate
 from ..operators import cleaning, display, select
 from ..operators.keyed import argmin_by
 from ..operators.sequence import BLOCK_ROWS, numbered
-from ..session import stage
+from ..session import merged, stage
 from ..sources import records, structures
 from . import dataset
 from . import families as fam
@@ -89,12 +89,12 @@ def admissible(proposals: DataFrame, atoms: DataFrame, plan: Plan, confidence: D
         return accepted.drop("_predicted", KEY), refused.unionByName(failed)
     # Every quoted word of the parameters that is a label counts as asked for; other words find no residue.
     asked = accepted.filter("_predicted").selectExpr(KEY, "structure_id", "family", "explode(array_union(required, regexp_extract_all(parameters, '\"([^\"]+)\"', 1))) AS label")
-    residues = atoms.select("structure_id", "residue_idx", "label").distinct().join(confidence, ["structure_id", "label"], "left")
-    asked = stage(asked.join(residues.select("structure_id", "label", "residue_idx"), ["structure_id", "label"]))
+    residues = atoms.select("structure_id", "residue_idx", "label").distinct().join(merged(confidence), ["structure_id", "label"], "left")
+    asked = stage(merged(asked).join(merged(residues.select("structure_id", "label", "residue_idx")), ["structure_id", "label"]))
     low = cleaning.low_confidence(atoms, residues, asked, CONFIDENCE_RADIUS, MIN_CONFIDENCE).selectExpr("structure_id", "queried_idx AS residue_idx", "label AS low")
-    near = stage(asked.join(low, ["structure_id", "residue_idx"]).groupBy(KEY, "structure_id", "family").agg(F.expr("array_sort(collect_set(low)) AS low")))
+    near = stage(merged(asked).join(merged(low), ["structure_id", "residue_idx"]).groupBy(KEY, "structure_id", "family").agg(F.expr("array_sort(collect_set(low)) AS low")))
     doubtful = near.selectExpr("structure_id", "family", "'afdb_low_plddt_near_query' AS reason", f"array_join(slice(low, 1, {SHOWN_LABELS}), ',') AS detail")
-    return accepted.join(near, KEY, "left_anti").drop("_predicted", KEY), _union([refused, failed, doubtful])
+    return accepted.join(merged(near), KEY, "left_anti").drop("_predicted", KEY), _union([refused, failed, doubtful])
 
 
 # -- showing and answering ----------------------------------------------------------

@@ -268,9 +268,9 @@ def s01(a: Analysis) -> DataFrame:
     found = _partner_rows(a.bridges).groupBy("structure_id", "residue_idx", "label").agg(
         F.expr("count(*) AS n"), F.expr("min(struct(distance, other, other_label)) AS best"))
     wide = _partner_rows(contacts.charged_pairs(a.atoms, 4.0 + NEGATIVE_MARGIN))
-    runner = wide.join(found.selectExpr("structure_id", "residue_idx", "best.other AS partner"), ["structure_id", "residue_idx"]).filter(
+    runner = wide.join(merged(found.selectExpr("structure_id", "residue_idx", "best.other AS partner")), ["structure_id", "residue_idx"]).filter(
         "other <> partner").groupBy("structure_id", "residue_idx").agg(F.expr("min(distance) AS runner_up"))
-    rows = found.join(runner, ["structure_id", "residue_idx"], "left")
+    rows = found.join(merged(runner), ["structure_id", "residue_idx"], "left")
     verdict = (f"CASE WHEN n <> 1 THEN 'multiple_salt_bridge_partners' WHEN runner_up < {4.0 + NEGATIVE_MARGIN}D THEN 'salt_bridge_negative_margin' END")
     tag = "IF(split(label, ':')[0] <> split(best.other_label, ':')[0], 'interchain', 'intrachain')"
     return _rows(rows, "S01", _json(residue="label"), verdict, "best.distance", tag, "array(label, best.other_label)")
@@ -336,7 +336,7 @@ def s06(a: Analysis) -> DataFrame:
     inside = wide.filter("distance <= 4D").groupBy("structure_id", "ligand").agg(
         F.expr("count(*) AS n"), F.expr("collect_list(label) AS labels"))
     edge = contacts.nearest_excluded(wide, ["structure_id", "ligand"], 4.0)
-    rows = sizes.join(inside, ["structure_id", "ligand"], "left").join(edge, ["structure_id", "ligand"], "left")
+    rows = sizes.join(merged(inside), ["structure_id", "ligand"], "left").join(merged(edge), ["structure_id", "ligand"], "left")
     verdict = ("CASE WHEN n_atoms < 6 THEN 'ligand_too_small' WHEN coalesce(n, 0) NOT BETWEEN 3 AND 35 THEN 'ligand_contact_count_out_of_range' "
                f"WHEN nearest_excluded < {4.0 + SET_MARGIN}D THEN 'ligand_contact_negative_margin' END")
     return _rows(rows, "S06", _json(ligand="ligand"), verdict, "n", required="concat(array(ligand), coalesce(labels, CAST(array() AS array<string>)))")
@@ -353,7 +353,7 @@ def s07(a: Analysis) -> DataFrame:
     around = contacts.metal_coordination(a.atoms).groupBy("structure_id", "metal").agg(
         F.expr("max(distance) FILTER (WHERE is_donor) AS worst"), F.expr("min(distance) FILTER (WHERE NOT is_donor) AS nearest_other"),
         F.expr("count_if(is_donor) AS n"), F.expr("collect_set(IF(is_donor, label, NULL)) AS labels"))
-    rows = metals.join(around, ["structure_id", "metal"], "left")
+    rows = metals.join(merged(around), ["structure_id", "metal"], "left")
     verdict = ("CASE WHEN limit IS NULL THEN 'metal_not_eligible' WHEN coalesce(n, 0) = 0 THEN 'metal_without_protein_donors' "
                "WHEN worst > limit - 0.15D THEN 'metal_donor_inside_margin' WHEN nearest_other < limit + 0.25D THEN 'metal_nondonor_inside_margin' END")
     return _rows(rows, "S07", _json(metal="metal", element="element", cutoff="limit"), verdict, "-n", "element",

@@ -169,3 +169,32 @@ def test_suite_passes_a_clean_dataset(spark):
     found = validation.violations(validation.Dataset(instances, renders, {"S01": 1}, 2, (1, 5), True, recomputed=fresh))
     assert found.count() == 0 and validation.verdict(found).collect()[0].passes
     assert [r.rule for r in validation.violations(validation.Dataset(instances, renders, {"S01": 9}, 2), ["targets", "cap"]).collect()] == ["targets"]
+
+
+def test_candidates_of_a_dataset_are_not_broadcast(spark, sf, monkeypatch):
+    from residuum.plans import families
+    from residuum.session import stage
+    from residuum.sources import tables
+
+    seen = []
+
+    def shown(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df):
+        seen.append(shown(df))
+        return stage(df)
+
+    atoms = stage(tables.atoms(spark, sf))
+    a = families.Analysis(atoms)
+    proposals = [families.PROPOSERS[f](a).select(*families.COLUMNS) for f in ("S01", "S06", "S07")]
+    seen += map(shown, proposals)
+    monkeypatch.setattr(assembly, "stage", watched)
+    monkeypatch.setattr(select, "stage", watched)
+    confidence = atoms.select("structure_id", "label", "residue_idx").distinct().selectExpr("structure_id", "label", "IF(residue_idx % 53 = 7, 60D, NULL) AS confidence")
+    good, _ = assembly.admissible(stage(proposals[0].unionByName(proposals[1])), atoms, assembly.Plan(("S01", "S06"), {}, 11, 34_600, predicted="true"), confidence)
+    ordered = select.pooled_order(good, ["family", "structure_id"], ["rank", "parameters"], "xxhash64(parameters)")
+    seen.append(shown(ordered))
+    assert len(seen) == 8 and not any("BroadcastExchange" in p for p in seen)
+    # Candidates of S01 within 8 of a residue of low confidence are left out, whatever the joins.
+    assert 0 < ordered.count() < proposals[0].filter("accepted").count() + proposals[1].filter("accepted").count()
