@@ -25,6 +25,7 @@ RESIDUE = r"(?U)^([A-Za-z0-9])[:\s]+([A-Za-z])\s*(-?[0-9]+)$"
 ENTITY = r"(?U)^([A-Za-z0-9])[:\s]+([A-Za-z][A-Za-z0-9]{0,2}?)\s*(-?[0-9]+)$"
 ATOM = r"(?U)^([A-Za-z0-9])[:\s]+([A-Za-z])\s*(-?[0-9]+)[:\s]+([A-Za-z0-9']{1,4})$"
 NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
+MARKUP = r"(?U)^\s|[`*_]|[\s.]\z"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
@@ -38,10 +39,12 @@ def stripped(text: str) -> str:
 
 def strip_markup(text: str) -> str:
     """Outer white space, back-ticks, bold markers, emphasis and trailing full stops removed, in that order."""
-    out = f"regexp_replace({stripped(text)}, '^`+|`+$', '')"
+    out = f"regexp_replace({stripped('raw')}, '^`+|`+$', '')"
     out = f"regexp_replace({out}, {_re(r'(?d)\*\*(.*?)\*\*')}, '$1')"
     out = f"regexp_replace({out}, {_re(r'(?U)^[*_`\s]+|[*_`\s]+\z')}, '')"
-    return stripped(f"regexp_replace({out}, {_re(r'\.+\z')}, '')")
+    out = stripped(f"regexp_replace({out}, {_re(r'\.+\z')}, '')")
+    # Most values have nothing to remove; one pattern tells.
+    return let(text, "raw", f"IF(raw RLIKE {_re(MARKUP)}, {out}, raw)")
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -98,14 +101,14 @@ def looks_like_refusal(text: str) -> str:
 
 def _integer_text(text: str) -> str:
     """Leading zeros dropped, minus kept unless the value is zero."""
-    digits = f"regexp_replace({text}, '^-?0*(?=[0-9])', '')"
-    return f"concat(IF({text} LIKE '-%' AND {digits} <> '0', '-', ''), {digits})"
+    digits = "regexp_replace(num, '^-?0*(?=[0-9])', '')"
+    return let(text, "num", let(digits, "dg", "concat(IF(num LIKE '-%' AND dg <> '0', '-', ''), dg)"))
 
 
 def canonical_residue(token: str) -> str:
     def build(pattern: str) -> str:
-        part = [f"regexp_extract(tok, {_re(pattern)}, {i})" for i in (1, 2, 3)]
-        return f"concat(upper({part[0]}), ':', upper({part[1]}), {_integer_text(part[2])})"
+        # The pattern spans the whole token.
+        return f"concat(upper(regexp_replace(tok, {_re(pattern)}, '$1:$2')), {_integer_text(f'regexp_extract(tok, {_re(pattern)}, 3)')})"
     return let(f"replace({strip_markup(token)}, ' ', '')", "tok",
                f"CASE WHEN tok RLIKE {_re(RESIDUE)} THEN {build(RESIDUE)} WHEN tok RLIKE {_re(ENTITY)} THEN {build(ENTITY)} END")
 

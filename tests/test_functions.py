@@ -135,3 +135,17 @@ def test_superposition_recovers_a_rotation(spark):
     assert np.allclose(np.array(fit.rotation).reshape(3, 3), rotation, atol=1e-9) and np.allclose(fit.translation, shift, atol=1e-9)
     assert fit.n_outliers == 1 and fit.refitted and fit.rmsd_after < 1e-9 < fit.rmsd_before
     assert [r.pair_idx for r in placed.filter("displacement_class = 'substantially displaced'").collect()] == [7]
+
+
+def test_plain_values_skip_the_markup_patterns(spark):
+    values = ["A:K22", "A:K 22", " A:K22", "A:K22. ", "**A:K22**", "`a:k022`", "_A:K-007_", "A:K-0", "\u00a0A:K22", "A:K22\u2003", "A:KAL0012", "A:K22\n", "", ".", None, "A_K", "a. b", "B:D00"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r.i: (r.m, r.c) for r in rows.selectExpr("i", f"{an.strip_markup('v')} AS m", f"{an.canonical_residue('v')} AS c").collect()}
+    full = f"regexp_replace({an.stripped('v')}, '^`+|`+$', '')"
+    for pattern, to in ((r"(?d)\*\*(.*?)\*\*", "$1"), (r"(?U)^[*_`\s]+|[*_`\s]+\z", "")):
+        full = f"regexp_replace({full}, {an._re(pattern)}, '{to}')"
+    full = an.stripped(f"regexp_replace({full}, {an._re(r'[.]+' + chr(92) + 'z')}, '')")
+    assert {r.i: r.m for r in rows.selectExpr("i", f"{full} AS m").collect()} == {i: m for i, (m, _) in got.items()}
+    assert [got[i][1] for i in range(len(values))] == ["A:K22", "A:K22", "A:K22", "A:K22", "A:K22", "A:K22", "A:K-7", "A:K0", "A:K22", "A:K22", "A:KAL12", "A:K22", None, None, None, None, None, "B:D0"]
+    # Each of the two forms of a label is cut once for its number.
+    assert an.canonical_residue("v").count("regexp_extract(") == 2
